@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from skerry.llm.chat import OP10_SQL, op10_chat_format
+from skerry.llm.packing import op3_best_fit_packing
+from skerry.llm.quality import op6_quality_classifier
 from skerry.llm.token_store import op9_token_store
 
 
 def queries() -> dict:
-    return {"op9_token_store": op9_token_store}
+    return {"op3_best_fit_packing": op3_best_fit_packing, "op6_quality_classifier": op6_quality_classifier, "op9_token_store": op9_token_store, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": OP10_SQL}
