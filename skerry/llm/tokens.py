@@ -11,14 +11,25 @@ from __future__ import annotations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
 #: New words are encoded as lines of so many, since a call of the library costs more than a word.
-LINE_WORDS = 256
+LINE_WORDS = 512
 _FIRST = "\r"
 
 
+def _plain(text: str) -> bool:
+    """No white space but single spaces and line feeds between words."""
+    if not text.isascii():
+        return len(text.split()) == text.count(" ") + text.count("\n") + 1
+    if text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f"))
+
+
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes, without special tokens."""
 
@@ -42,15 +53,6 @@ class WordEncoder:
         words = (w.removesuffix("</w>") for w in self.tokenizer.get_vocab(with_added_tokens=False) if w.endswith("</w>"))
         return max((w for w in words if w.isascii() and w.isalpha()), key=lambda w: (len(w), w))
 
-    def _words(self, text: str) -> list[str] | None:
-        """Keys of the memo: a word as it stands (after a space, if that matters), after a line feed, or after the text's start."""
-        if not self.byte_level:
-            return text.replace("\n", " ").split(" ")
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return None
-        first, *words = text.replace("\n", " \n").split(" ")
-        return [_FIRST + first, *words]
-
     def _learn(self, keys: list[str]) -> None:
         memo = self.memo
         if self.byte_level:
@@ -84,17 +86,38 @@ class WordEncoder:
             memo[key + w] = memo[key + w[:-1]] + self.ends[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        words = [self._words(t) if t else [] for t in texts]
-        known = len(memo)
-        self._learn(list(set().union(*[w for w in words if w]).difference(memo)))
-        out = [b"" if w is None else b"".join([memo[k] for k in w]) for w in words]
-        if len(memo) > MEMO_WORDS:
-            for k in list(memo)[max(1, known) :]:
-                del memo[k]
-        whole = [i for i, w in enumerate(words) if w is None]
+        out = [b""] * len(texts)
+        easy = [i for i, t in enumerate(texts) if t and (not self.byte_level or _plain(t))]
+        whole = [i for i, t in enumerate(texts) if t and self.byte_level and not _plain(t)]
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = self._ids(e)
+        if not easy:
+            return out
+        # the words of all texts, each a number of the distinct keys: a word as it stands (after a space, if that
+        # matters), after a line feed, or after the text's start
+        lists = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in easy], pa.large_string()), "\n", " \n" if self.byte_level else " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        number, keys = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        if self.byte_level:
+            firsts = np.concatenate([[0], ends[:-1]])
+            opening, at = np.unique(number[firsts], return_inverse=True)
+            number[firsts] = at + len(keys)
+            keys += [_FIRST + keys[k] for k in opening.tolist()]
+        memo = self.memo
+        known = len(memo)
+        self._learn([k for k in keys if k not in memo])
+        ids = [memo[k] for k in keys]
+        for _ in range(len(memo) - max(known, MEMO_WORDS)):
+            memo.popitem()  # the last come
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        taken = sizes[number]
+        until = np.cumsum(taken)
+        body = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[number] - until + taken, taken) + np.arange(until[-1])].tobytes()
+        cuts = [0, *(4 * until[ends - 1]).tolist()]
+        for i, a, b in zip(easy, cuts, cuts[1:], strict=False):
+            out[i] = body[a:b]
         return out
 
 
@@ -108,7 +131,7 @@ def encoder(name: str, path: str | None = None) -> WordEncoder:
     return _ENCODERS[name, path]
 
 
-def batches(texts: list[str], max_chars: int = 1 << 20):
+def batches(texts: list[str], max_chars: int = 1 << 22):
     """Index ranges of at most ``max_chars`` characters (one text at least)."""
     start, size = 0, 0
     for i, t in enumerate(texts):
