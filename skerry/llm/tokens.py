@@ -13,11 +13,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 MEMO_WORDS = 800_000
 #: New words are encoded as lines of so many, since a call of the library costs more than a word.
-LINE_WORDS = 512
+LINE_WORDS = 64
 _FIRST = "\r"
 
 
@@ -37,6 +37,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
         self.byte_level = self.tokenizer.normalizer is None
+        # for lines of words that are letters only: no split but at the mark, no white space to fold
+        self.letters = Tokenizer.from_file(path or public_tokenizers.path(name))
+        apart = pre_tokenizers.Split("\n", "isolated") if self.byte_level else pre_tokenizers.Split(" ", "removed")
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([apart, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if not self.byte_level:
+            self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         # what stands between the words of a line
         self.mark = "\n" if self.byte_level else f" {self._long_word()} "
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
@@ -70,16 +76,18 @@ class WordEncoder:
         ended = [w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()]  # a word, then a token of its own
         todo = [w for w in set(words).difference(ended).union([w[:-1] for w in ended]) if key + w not in memo]
         alone = []
-        lines = [todo[i : i + LINE_WORDS] for i in range(0, len(todo), LINE_WORDS)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([self.mark.join([before + w for w in x]) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            at = 4 * np.flatnonzero(ids == self.mark_id)
-            if len(at) != len(line) - 1:  # a word gives the mark's id itself
-                alone += line
-                continue
-            body = ids.tobytes()
-            for w, a, b in zip(line, [0, *(at + 4).tolist()], [*at.tolist(), len(body)], strict=True):
-                memo[key + w] = body[a:b]
+        letters = [w for w in todo if w.isalpha() and w.lower().isalpha()]
+        for tokenizer, some in ((self.letters, letters), (self.tokenizer, list(set(todo).difference(letters)))):
+            lines = [some[i : i + LINE_WORDS] for i in range(0, len(some), LINE_WORDS)]
+            for line, e in zip(lines, tokenizer.encode_batch_fast([self.mark.join([before + w for w in x]) for x in lines], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                at = 4 * np.flatnonzero(ids == self.mark_id)
+                if len(at) != len(line) - 1:  # a word gives the mark's id itself
+                    alone += line
+                    continue
+                body = ids.tobytes()
+                for w, a, b in zip(line, [0, *(at + 4).tolist()], [*at.tolist(), len(body)], strict=True):
+                    memo[key + w] = body[a:b]
         for w, e in zip(alone, self.tokenizer.encode_batch_fast([before + w for w in alone], add_special_tokens=False), strict=True):
             memo[key + w] = self._ids(e)
         for w in ended:
@@ -106,8 +114,11 @@ class WordEncoder:
             keys += [_FIRST + keys[k] for k in opening.tolist()]
         memo = self.memo
         known = len(memo)
-        self._learn([k for k in keys if k not in memo])
-        ids = [memo[k] for k in keys]
+        ids = list(map(memo.get, keys))
+        new = [j for j, x in enumerate(ids) if x is None]
+        self._learn([keys[j] for j in new])
+        for j in new:
+            ids[j] = memo[keys[j]]
         for _ in range(len(memo) - max(known, MEMO_WORDS)):
             memo.popitem()  # the last come
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
