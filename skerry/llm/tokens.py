@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-MEMO_WORDS = 800_000
+MEMO_WORDS = 500_000
 #: New words are encoded as lines of so many, since a call of the library costs more than a word.
 LINE_WORDS = 64
 _FIRST = "\r"
@@ -38,7 +38,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.byte_level = self.tokenizer.normalizer is None
         # for lines of words that are letters only: no split but at the mark, no white space to fold
-        self.letters = Tokenizer.from_file(path or public_tokenizers.path(name))
+        self.letters = Tokenizer(self.tokenizer.model)
         apart = pre_tokenizers.Split("\n", "isolated") if self.byte_level else pre_tokenizers.Split(" ", "removed")
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([apart, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         if not self.byte_level:
