@@ -36,13 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete tables made by ``written`` once nothing reads them any more."""
+    """Delete tables made by ``written`` once nothing reads them any more.
+
+    The driver's garbage is collected too: Spark's cleaner then drops the shuffle files of finished steps.
+    """
     for df in frames:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,14 +10,16 @@ share one; a run of windows with one key is a segment.
 1. Texts are dealt into groups by doc_id and stored once, as a table bucketed by group, which the later steps join
    without shuffling texts again.
 2. Each group says which keys it has, once each. Keys that two groups have, or two documents of a group, are shared.
-3. Segments with shared keys give their text (their windows' bytes), the least doc_id of equal ones in a group only; for
-   the others in the group nothing is left to find out, their windows are repeated.
+3. Of its segments with shared keys each group says the content (a hash of their text), once each, with the least
+   doc_id. Where a smaller doc_id has an equal segment, all its windows are repeated. The others give their text, so
+   each different text counts once.
 4. Segment texts meet by key. A task joins them, each ended by a 0, sorts the suffixes in two stages, and the adjacent
    common prefixes say which windows are equal; the least doc_id of each class decides. A key with more than ``HOT``
    different segment texts is dealt by single windows (a hash of each) instead, so that no key gathers in one task.
 5. Repeated windows go back to the groups as byte ranges.
 
-Keys are 64-bit hashes that only bring windows together; bytes are always compared.
+Keys are 64-bit hashes that only bring windows together. Segments count as equal texts by key and content, 128 bits;
+all else compares bytes.
 
 Defined results: a null text counts as empty; rows with a null doc_id are kept whole and make nothing else go; rows
 with equal doc_id do not count as earlier to each other; texts shorter than ``length`` are kept whole; an empty table
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +43,10 @@ from pyspark.sql import types as T
 from skerry.llm.common import forget, new_path, parts, table, text_or_empty, written
 from skerry.llm.suffix_array import big_words, common_prefixes, two_stage
 
-LENGTH, GRAM = 50, 26
+LENGTH, GRAM = 50, 24
 LONGEST, HOT = 64, 400
 TASK_BYTES, GROUPS = 32 << 20, 4
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
 _STEP = 1 << 18
 _C = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 _SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -167,17 +170,19 @@ def _find_shared(rows: pa.Table) -> pa.Table:
     return pa.table({"_group": pa.array(groups[at], pa.int32()), "keys": pa.array(parts_, pa.binary())})
 
 
-_SEGMENTS = "_group int, row long, doc long, at long, windows int, key long, own long, text binary"
-_NAMES = ["_group", "row", "doc", "at", "windows", "key", "own", "text"]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+_SEGMENTS = "_group int, row long, doc long, at long, windows int, key long, text binary, hot boolean"
+_NAMES = ["_group", "row", "doc", "at", "windows", "key", "text", "hot"]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
+_SAID = "share int, _group int, keys binary, contents binary, docs binary, at binary"
 
 
-def _give_segments(length: int):
+def _say_contents(length: int, shares: int):
+    """Shared segments by content: (key, content, doc_id, index in the group) to the key's share; those that an equal one in the group makes repeated to a share of the group's own."""
+
     def run(rows: pa.Table, shared: pa.Table) -> pa.Table:
-        data, off, docs, row, (at, count, key) = _group(rows)
+        data, _, docs, row, (at, count, key) = _group(rows)
         known = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared.column("keys").to_pylist()])) if shared.num_rows else np.empty(0, np.uint64)
         doc = docs[row]
-        # shared within the group: two documents have the key
         order = np.argsort(key, kind="stable")
         begin, nth = _runs(key[order])
         many = np.zeros(len(key), bool)
@@ -187,30 +192,81 @@ def _give_segments(length: int):
             if len(known):
                 many |= known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
         pick = np.flatnonzero(many)
-        at, count, key, row, doc = at[pick], count[pick], key[pick], row[pick], doc[pick]
-        own = _content(data, at, count + length - 1)
-        # equal texts in the group: the least doc_id speaks for them
-        order = np.lexsort((doc, own, count, key))
-        same = np.zeros(len(order), bool)
-        if len(order) > 1:
-            a, b = order[1:], order[:-1]
-            same[1:] = (key[a] == key[b]) & (own[a] == own[b]) & (count[a] == count[b])
-        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
+        key, doc = key[pick], doc[pick]
+        own = _content(data, at[pick], count[pick] + length - 1)
+        order = np.lexsort((doc, own, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
         later = doc[order] > doc[order[lead]]
-        speaks = ~same | ~later
-        use = order[speaks]  # equal doc_ids speak for themselves
-        texts = [data[a : a + c + length - 1].tobytes() for a, c in zip(at[use].tolist(), count[use].tolist(), strict=True)]
-        gone = order[~speaks]
-        ids = np.concatenate([use, gone])
+        say = order[~later]  # equal segments of one document speak each for itself
+        share = (key[say] % np.uint64(shares)).astype(np.int64)
+        say, share = say[by := np.argsort(share, kind="stable")], share[by]
+        cuts, _ = _runs(share)
+        split = lambda x: [v.tobytes() for v in np.split(x, cuts[1:])] if len(x) else []
         group = (rows if rows.num_rows else shared).column("_group")[0].as_py()
-        cols = [np.full(len(ids), group), rows.column("_row").to_numpy()[row[ids]], doc[ids], at[ids] - off[row[ids]], count[ids], key[ids].view(np.int64), own[ids].view(np.int64), texts + [None] * len(gone)]
+        cols = [share[cuts].tolist() + [shares + group], [group] * (len(cuts) + 1), split(key[say]) + [b""], split(own[say]) + [b""], split(doc[say]) + [b""], split(pick[say].astype(np.uint32)) + [pick[order[later]].astype(np.uint32).tobytes()]]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], names=["share", "_group", "keys", "contents", "docs", "at"])
+
+    return run
+
+
+def _choose(shares: int, hot: int):
+    """Back to the groups, by index: segments that speak for their text (1; 2 if their key is hot) and those that are repeated (0)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        names = ["_group", "kind", "at"]
+        if rows.column("share")[0].as_py() >= shares:
+            return pa.table([rows.column("_group"), pa.array([0] * rows.num_rows, pa.int32()), rows.column("at")], names=names)
+        joined = lambda c, t: np.concatenate([np.frombuffer(b, t) for b in rows.column(c).to_pylist()])
+        key, own, doc, at = (joined(c, t) for c, t in (("keys", np.uint64), ("contents", np.uint64), ("docs", np.int64), ("at", np.uint32)))
+        group = np.repeat(rows.column("_group").to_numpy(), [len(b) // 8 for b in rows.column("keys").to_pylist()])
+        order = np.lexsort((doc, own, key))
+        key, own, at, group = key[order], own[order], at[order], group[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        _, nth = _runs(key)
+        doc = doc[order]
+        speaks = doc == doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        kind = np.where(speaks, 1 + (np.bincount(nth, new) > hot)[nth], 0)
+        order = np.lexsort((kind, group))
+        group, kind, at = group[order], kind[order], at[order]
+        cuts, _ = _runs(3 * group.astype(np.int64) + kind)
+        return pa.table([pa.array(group[cuts], pa.int32()), pa.array(kind[cuts], pa.int32()), pa.array([v.tobytes() for v in np.split(at, cuts[1:])], pa.binary())], names=names)
+
+    return run
+
+
+def _give_segments(length: int):
+    """The texts of the segments that speak, and byte ranges (null text; ``windows`` of them) of repeated ones."""
+
+    def run(rows: pa.Table, chosen: pa.Table) -> pa.Table:
+        data, off, docs, row, (at, count, key) = _group(rows)
+        kinds = chosen.column("kind").to_numpy()
+        picks = [np.frombuffer(b, np.uint32).astype(np.int64) for b in chosen.column("at").to_pylist()]
+        of = lambda k: np.sort(np.concatenate([np.empty(0, np.int64), *(p for p, kind in zip(picks, kinds, strict=True) if kind == k)]))
+        gone, plain, hot = of(0), of(1), of(2)
+        # neighbours become one range
+        new = np.ones(len(gone), bool)
+        new[1:] = (at[gone[1:]] > at[gone[:-1]] + count[gone[:-1]]) | (row[gone[1:]] != row[gone[:-1]])
+        first = gone[new]
+        last = gone[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(gone) - 1]])] if len(gone) else gone
+        use = np.concatenate([plain, hot])
+        texts = [data[a : a + c + length - 1].tobytes() for a, c in zip(at[use].tolist(), count[use].tolist(), strict=True)]
+        ids = np.concatenate([use, first])
+        group = (rows if rows.num_rows else chosen).column("_group")[0].as_py()
+        windows = np.concatenate([count[use], at[last] + count[last] - at[first]])
+        keys = np.concatenate([key[use], _mixed(first.astype(np.uint64) + np.uint64(group))]).view(np.int64)  # ranges meet nobody: dealt evenly
+        is_hot = np.arange(len(ids)) >= len(plain)
+        is_hot[len(use) :] = False
+        cols = [np.full(len(ids), group), rows.column("_row").to_numpy()[row[ids]], docs[row[ids]], at[ids] - off[row[ids]], windows, keys, texts + [None] * len(first), is_hot]
         return pa.table([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
     return run
 
 
 def _content(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each text ``size`` bytes long at ``at``; texts of one size and one hash are taken as equal (128 bits with the key)."""
+    """A hash of each text of ``size`` bytes (8 or more) at ``at``."""
     out = np.zeros(len(at), np.uint64)
     for a in range(0, len(at), 1 << 15):
         p, n = at[a : a + (1 << 15)], size[a : a + (1 << 15)]
@@ -231,21 +287,19 @@ def _by_window(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hot = np.asarray(batch.column("hot").to_pylist(), bool)
-            rest = batch.select(_NAMES)
             if not hot.all():
-                yield rest.filter(pa.array(~hot))
-            rows = rest.filter(pa.array(hot)) if hot.any() else rest.slice(0, 0)
+                yield batch.filter(pa.array(~hot))
+            rows = batch.filter(pa.array(hot)) if hot.any() else batch.slice(0, 0)
             for a in range(0, rows.num_rows, 2000):
                 some = rows.slice(a, 2000)
                 count = some.column("windows").to_numpy()
                 data, off = _joined(pa.chunked_array([some.column("text")]))
                 nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 place = np.repeat(off[:-1], count) + nth
-                own = _content(data, place, np.full(len(place), length))
-                doc = np.repeat(some.column("doc").to_numpy(), count)
-                cols = [np.repeat(some.column(i).to_numpy(), count) for i in (0, 1)] + [doc, np.repeat(some.column("at").to_numpy(), count) + nth, np.ones(len(place)), own.view(np.int64), own.view(np.int64)]
-                texts = [data[p : p + length].tobytes() for p in place.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, texts], _TYPES, strict=True)], _NAMES)
+                own = _content(data, place, np.full(len(place), length)).view(np.int64)
+                repeat = lambda c: np.repeat(some.column(c).to_numpy(), count)  # noqa: B023, E731
+                cols = [repeat("_group"), repeat("row"), repeat("doc"), repeat("at") + nth, np.ones(len(place)), own, [data[p : p + length].tobytes() for p in place.tolist()], [True] * len(place)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
     return run
 
@@ -279,14 +333,22 @@ def _decide(length: int):
         held: list[pa.RecordBatch] = []
         bytes_held = 0
 
+        def ranges(group, row, a, b) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(row, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["_group", "row", "start", "end"])
+
         def settle(rows: pa.Table) -> pa.RecordBatch:
             texts = rows.column("text").to_pylist()
             text, a, b = repeated_windows(texts, rows.column("windows").to_numpy(), rows.column("doc").to_numpy(), length)
             at = rows.column("at").to_numpy()[text]
-            return pa.RecordBatch.from_arrays([pa.array(rows.column("_group").to_numpy()[text], pa.int32()), pa.array(rows.column("row").to_numpy()[text], pa.int64()), pa.array(at + a, pa.int64()), pa.array(at + b, pa.int64())], ["_group", "row", "start", "end"])
+            return ranges(rows.column("_group").to_numpy()[text], rows.column("row").to_numpy()[text], at + a, at + b)
 
         last = None
         for batch in batches:
+            settled = batch.filter(pc.is_null(batch.column("text")))
+            if settled.num_rows:
+                a = settled.column("at").to_numpy()
+                yield ranges(settled.column("_group"), settled.column("row"), a, a + settled.column("windows").to_numpy() + length - 1)
+            batch = batch.filter(pc.is_valid(batch.column("text")))
             if not batch.num_rows:
                 continue
             key = batch.column("key").to_numpy()
@@ -348,17 +410,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bare = texts.select("_group", "_row", "_doc", "_bytes")
     said = bare.groupBy("_group").applyInArrow(_say_keys(groups), "share int, _group int, keys binary")
     shared = written(said.groupBy("share").applyInArrow(_find_shared, "_group int, keys binary"), "shared")
-    given = written(bare.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_give_segments(length), _SEGMENTS), "segments")
+    said = bare.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_say_contents(length, groups), _SAID)
+    chosen = written(said.groupBy("share").applyInArrow(_choose(groups, HOT), "_group int, kind int, at binary"), "chosen")
     forget(shared)
-    told = given.where(F.col("text").isNotNull())
-    distinct = told.groupBy("key", "own", "windows").agg(F.lit(1).alias("one"))
-    hot = written(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")), "hot")
-    placed = told.join(hot, "key", "left").select(*_NAMES, F.coalesce("hot", F.lit(False)).alias("hot"))
-    met = placed.mapInArrow(_by_window(length), _SEGMENTS).repartition(tasks, "key").sortWithinPartitions("key")
-    found = met.mapInArrow(_decide(length), "_group int, row long, start long, end long")
-    known = given.where(F.col("text").isNull()).select("_group", "row", F.col("at").alias("start"), (F.col("at") + F.col("windows") + length - 1).alias("end"))
-    ranges = written(found.unionByName(known), "ranges")
-    forget(given, hot)
+    given = bare.groupBy("_group").cogroup(chosen.groupBy("_group")).applyInArrow(_give_segments(length), _SEGMENTS)
+    met = given.mapInArrow(_by_window(length), _SEGMENTS).repartition(tasks, "key").sortWithinPartitions("key")
+    ranges = written(met.mapInArrow(_decide(length), "_group int, row long, start long, end long"), "ranges")
+    forget(chosen)
     shape = T.StructType([texts.schema["rest"], texts.schema["_null"], T.StructField("repeat_kept", T.BinaryType()), *spark.createDataFrame([], f"repeat_spans {_SPANS}, repeat_bytes long").schema.fields])
     cut = texts.select("_group", "_row", "_bytes", "_null", "rest").groupBy("_group").cogroup(ranges.groupBy("_group")).applyInArrow(_cut_out, shape)
     alone = slim.where(F.col("_doc").isNull()).select("rest", "_null", F.col("_bytes").alias("repeat_kept"), F.expr(f"CAST(array() AS {_SPANS})").alias("repeat_spans"), F.octet_length("_bytes").cast("long").alias("repeat_bytes"))
