@@ -158,7 +158,7 @@ def _find_shared(rows: pa.Table) -> pa.Table:
     blobs = [np.frombuffer(b, np.uint64) for b in rows.column("keys").to_pylist()]
     groups = np.repeat(rows.column("_group").to_numpy(), [len(b) for b in blobs])
     keys = np.concatenate(blobs)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, groups = keys[order], groups[order]
     _, run = _runs(keys)
     again = np.bincount(run)[run] > 1
@@ -183,7 +183,7 @@ def _say_contents(length: int, shares: int):
         data, _, docs, row, (at, count, key) = _group(rows)
         known = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared.column("keys").to_pylist()])) if shared.num_rows else np.empty(0, np.uint64)
         doc = docs[row]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         begin, nth = _runs(key[order])
         many = np.zeros(len(key), bool)
         if len(key):
@@ -408,10 +408,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt.repartition(tasks, "_group").write.option("compression", "zstd").option("path", new_path(spark, "texts")).bucketBy(tasks, "_group").saveAsTable(name)
     texts = spark.table(name)
     bare = texts.select("_group", "_row", "_doc", "_bytes")
-    said = bare.groupBy("_group").applyInArrow(_say_keys(groups), "share int, _group int, keys binary")
+    said = bare.groupBy("_group").applyInArrow(_say_keys(tasks), "share int, _group int, keys binary")
     shared = written(said.groupBy("share").applyInArrow(_find_shared, "_group int, keys binary"), "shared")
-    said = bare.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_say_contents(length, groups), _SAID)
-    chosen = written(said.groupBy("share").applyInArrow(_choose(groups, HOT), "_group int, kind int, at binary"), "chosen")
+    said = bare.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_say_contents(length, tasks), _SAID)
+    chosen = written(said.groupBy("share").applyInArrow(_choose(tasks, HOT), "_group int, kind int, at binary"), "chosen")
     forget(shared)
     given = bare.groupBy("_group").cogroup(chosen.groupBy("_group")).applyInArrow(_give_segments(length), _SEGMENTS)
     met = given.mapInArrow(_by_window(length), _SEGMENTS).repartition(tasks, "key").sortWithinPartitions("key")
@@ -427,6 +427,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out.select(*[text.alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns], "repeat_kept", "repeat_spans", "repeat_bytes")
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` as they are without repeated strings, with the same columns; n_chars follows the text."""
+    out = remove_repeats(docs, length)
+    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*docs.columns)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.col("repeat_bytes") - F.length("repeat_kept")

@@ -30,9 +30,9 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
 
 
 def sort_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` symbols, ties by place; ties are refined 8 symbols at a time."""
+    """Suffixes in order of their first ``depth`` symbols; ties are refined 8 symbols at a time."""
     first = words[places]
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     places, first = places[order], first[order]
     starts = np.ones(len(places), bool)
     starts[1:] = first[1:] != first[:-1]
@@ -41,8 +41,11 @@ def sort_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarr
         tied = np.flatnonzero(np.bincount(group)[group] > 1)
         if not len(tied):
             break
-        w, g = words[places[tied] + at], group[tied]
-        o = np.lexsort((w, g))
+        w = words[places[tied] + at]
+        o = np.argsort(w)
+        rank = np.empty(len(o), np.uint64)
+        rank[o] = np.cumsum(np.concatenate([[False], w[o][1:] != w[o][:-1]]))
+        o = np.argsort(group[tied].astype(np.uint64) << np.uint64(32) | rank)
         places[tied], w = places[tied][o], w[o]
         starts[tied[1:]] |= w[1:] != w[:-1]
     return places
