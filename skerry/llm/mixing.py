@@ -115,6 +115,21 @@ def policy_mix(docs: DataFrame, tokens: Column) -> DataFrame:
     return mix(docs, F.expr(DOMAIN), (F.expr(W_DOMAIN), F.expr(W_LANG), F.expr(W_SOURCE)), tokens)
 
 
+def first_words(text: str, count: str) -> Column:
+    """The text up to and with its ``count``-th word; columns by name."""
+    pieces = F.split(F.col(text), "(?<=[ \\t\\n\\r])(?=[^ \\t\\n\\r])")  # a word and the white space after it
+    lead = F.col(text).rlike("^[ \\t\\n\\r]").cast("int")
+    return F.array_join(F.slice(pieces, F.lit(1), F.col(count).cast("int") + lead), "")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mixture as documents, with the columns of ``docs``: a row an epoch, the last of a leaf's prefix cut to the words taken."""
+    mixed = policy_mix(docs, word_tokens())
+    text = F.when(F.col("mix_taken") < F.col("mix_tokens"), first_words("text", "mix_taken")).otherwise(F.col("text"))
+    out = mixed.withColumn("text", text)
+    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*docs.columns)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", word_tokens().alias("words"))
     mixed = policy_mix(docs, F.col("words"))

@@ -148,7 +148,11 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("p")).select("sequence_id", "length", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Every piece of ``docs`` with its sequence and place there; pieces by their ids' crc32."""
+    pieces = token_pieces(docs, "word_bpe_49k.json", end_id=1)
+    return pack(written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"), "length")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = token_pieces(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
-    items = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack(items, "length")
+    return packed_documents(table(spark, sf_dir, "documents"))

@@ -189,6 +189,13 @@ def fit_on_table(stats: DataFrame, labels: DataFrame) -> Model:
     return fit(stats.join(known, "doc_id"))
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that a model fitted to their own labelled rows scores ``threshold`` or more."""
+    known = labels.select(F.col("doc_id").cast("long").alias("_labelled")).where(F.col("_labelled").isNotNull()).distinct()
+    stats = features(docs.join(known, F.col("doc_id") == F.col("_labelled"), "left_semi"))
+    return keep_good(docs, fit_on_table(stats, labels), threshold)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(features(table(spark, sf_dir, "documents")), "statistics")
     model = fit_on_table(stats, table(spark, sf_dir, "labels"))
