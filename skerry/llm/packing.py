@@ -132,6 +132,7 @@ def _pieces(name: str, path: str | None, end_id: int, capacity: int):
                     rows += [(doc, k, s, min(capacity, n - s), ids[4 * s : 4 * (s + capacity)]) for k, s in enumerate(range(0, n, capacity))]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+        enc.rest()
 
     return run
 

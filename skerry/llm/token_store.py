@@ -60,6 +60,7 @@ def _segments(name: str, path: str | None, end_id: int, segment_ids: int):
                         yield flush()
         if docs:
             yield flush()
+        enc.rest()
 
     return run
 

@@ -2,8 +2,8 @@
 
 Both vocabularies split a text before they merge, and no token reaches over white space into the next word. A text's
 ids are therefore its words' ids in order; at byte level a space belongs to the word after it and a line feed is a
-token of its own. Words repeat, so a worker keeps the ids of the first ``MEMO_WORDS`` that it meets (the common ones
-come early) and encodes others anew. Byte-level texts with other white space than single spaces and line feeds between
+token of its own. Words repeat, so a task keeps the ids of the first ``MEMO_WORDS`` that it meets (the common ones
+come early) and encodes others anew; a worker hands ``KEPT_WORDS`` of them on to its next task. Byte-level texts with other white space than single spaces and line feeds between
 words are encoded whole.
 """
 
@@ -15,7 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
+KEPT_WORDS = 60_000
 #: New words are encoded as lines of so many, since a call of the library costs more than a word.
 LINE_WORDS = 64
 _FIRST = "\r"
@@ -93,6 +94,12 @@ class WordEncoder:
         for w in ended:
             memo[key + w] = memo[key + w[:-1]] + self.ends[w[-1]]
 
+    def rest(self) -> None:
+        """A task has ended: what it held goes, but for the words that came first."""
+        while len(self.memo) > KEPT_WORDS:
+            self.memo.popitem()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
         easy = [i for i, t in enumerate(texts) if t and (not self.byte_level or _plain(t))]
@@ -142,7 +149,7 @@ def encoder(name: str, path: str | None = None) -> WordEncoder:
     return _ENCODERS[name, path]
 
 
-def batches(texts: list[str], max_chars: int = 1 << 22):
+def batches(texts: list[str], max_chars: int = 1 << 21):
     """Index ranges of at most ``max_chars`` characters (one text at least)."""
     start, size = 0, 0
     for i, t in enumerate(texts):
