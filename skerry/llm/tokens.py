@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-MEMO_WORDS = 300_000
-KEPT_WORDS = 60_000
+MEMO_WORDS = 500_000
+KEPT_WORDS = 200_000
 #: New words are encoded as lines of so many, since a call of the library costs more than a word.
 LINE_WORDS = 64
 _FIRST = "\r"
@@ -128,14 +128,11 @@ class WordEncoder:
             ids[j] = memo[keys[j]]
         for _ in range(len(memo) - max(known, MEMO_WORDS)):
             memo.popitem()  # the last come
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        taken = sizes[number]
-        until = np.cumsum(taken)
-        body = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[number] - until + taken, taken) + np.arange(until[-1])].tobytes()
-        cuts = [0, *(4 * until[ends - 1]).tolist()]
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(number))
+        body = memoryview(taken.buffers()[2] or b"")
+        cuts = [0, *np.frombuffer(taken.buffers()[1], np.int64)[ends].tolist()]
         for i, a, b in zip(easy, cuts, cuts[1:], strict=False):
-            out[i] = body[a:b]
+            out[i] = bytes(body[a:b])
         return out
 
 
@@ -149,7 +146,7 @@ def encoder(name: str, path: str | None = None) -> WordEncoder:
     return _ENCODERS[name, path]
 
 
-def batches(texts: list[str], max_chars: int = 1 << 21):
+def batches(texts: list[str], max_chars: int = 1 << 22):
     """Index ranges of at most ``max_chars`` characters (one text at least)."""
     start, size = 0, 0
     for i, t in enumerate(texts):
