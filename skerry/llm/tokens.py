@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-MEMO_WORDS = 500_000
-KEPT_WORDS = 200_000
+MEMO_WORDS = 400_000
+KEPT_WORDS = 100_000
 #: New words are encoded as lines of so many, since a call of the library costs more than a word.
 LINE_WORDS = 64
 _FIRST = "\r"
@@ -25,7 +25,7 @@ _FIRST = "\r"
 def _plain(text: str) -> bool:
     """No white space but single spaces and line feeds between words."""
     if not text.isascii():
-        return len(text.split()) == text.count(" ") + text.count("\n") + 1
+        return " ".join(text.split()) == text.replace("\n", " ")
     if text[0] in " \n" or text[-1] in " \n":
         return False
     return not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f"))
@@ -146,7 +146,7 @@ def encoder(name: str, path: str | None = None) -> WordEncoder:
     return _ENCODERS[name, path]
 
 
-def batches(texts: list[str], max_chars: int = 1 << 22):
+def batches(texts: list[str], max_chars: int = 3 << 20):
     """Index ranges of at most ``max_chars`` characters (one text at least)."""
     start, size = 0, 0
     for i, t in enumerate(texts):

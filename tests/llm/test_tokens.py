@@ -14,8 +14,8 @@ def test_encoder_equals_the_library(name, monkeypatch):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
     plain.encode_special_tokens = True
     rng = random.Random(1)
-    words = ["the", "The", "don't", "l'été", "co-op", "x1y2", "中文", "ß", "İstanbul", "<|endoftext|>", "a,b", "end.", "...", " x", "é", "12345", "__", "퟿", "🙂", "long" * 50]
-    texts = ["", " ", "\n", "a", " a", "a ", "a  b", "\n\na", "a\tb", "a\r\nb", "\x00", "a b"]
+    words = ["the", "The", "don't", "l'été", "co-op", "x1y2", "中文", "ß", "İstanbul", "<|endoftext|>", "a,b", "end.", "...", "\u00a0x", "é", "12345", "__", "퟿", "🙂", "long" * 50]
+    texts = ["", " ", "\n", "a", " a", "a ", "a  b", "\n\na", "a\tb", "a\r\nb", "\x00", "a\u00a0b", "\u2028", "é  a\u00a0b"]
     texts += ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "  ", ""]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
     enc = tokens.WordEncoder(name)
     for part in (texts, texts[::-1]):
