@@ -1,0 +1,159 @@
+"""Small learners for models fitted inside tasks: a model sees the rows of one fold, never more.
+
+Trees are grown on quantile cuts (32 a feature), forests by bootstrap, boosting on the logistic loss; the hinge model is an
+elastic-net logistic regression on linear and hinge features, fitted by proximal gradient steps.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+
+
+def _grow(x, target, weight, depth, min_leaf, features, rng):
+    """A regression tree by weighted squared error: nested tuples (feature, cut, low, high) or a value."""
+    value = float(np.average(target, weights=weight))
+    if depth == 0 or len(target) < 2 * min_leaf or np.ptp(target) == 0:
+        return value
+    best = (1e-12, None, None)
+    base = (weight * target).sum() ** 2 / weight.sum()
+    for f in rng.choice(x.shape[1], min(features, x.shape[1]), replace=False):
+        order = np.argsort(x[:, f], kind="stable")
+        v, w = x[order, f], np.cumsum(weight[order])
+        s = np.cumsum((weight * target)[order])
+        cut = np.flatnonzero(v[1:] > v[:-1])
+        cut = cut[(cut + 1 >= min_leaf) & (len(v) - cut - 1 >= min_leaf)]
+        if len(cut) > 32:
+            cut = cut[np.linspace(0, len(cut) - 1, 32).astype(int)]
+        if len(cut):
+            gain = s[cut] ** 2 / w[cut] + (s[-1] - s[cut]) ** 2 / (w[-1] - w[cut]) - base
+            at = int(gain.argmax())
+            if gain[at] > best[0]:
+                best = (gain[at], f, (v[cut[at]] + v[cut[at] + 1]) / 2)
+    if best[1] is None:
+        return value
+    low = x[:, best[1]] <= best[2]
+    return int(best[1]), float(best[2]), _grow(x[low], target[low], weight[low], depth - 1, min_leaf, features, rng), _grow(x[~low], target[~low], weight[~low], depth - 1, min_leaf, features, rng)
+
+
+def _value(tree, x):
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    low = x[:, tree[0]] <= tree[1]
+    out = np.empty(len(x))
+    out[low], out[~low] = _value(tree[2], x[low]), _value(tree[3], x[~low])
+    return out
+
+
+def _balanced(y):
+    n = np.bincount(y, minlength=2)
+    return len(y) / (2 * np.maximum(n, 1))[y]
+
+
+@dataclass
+class Forest:
+    trees: int = 50
+    depth: int = 8
+    min_leaf: int = 1
+    seed: int = 42
+    model: list = field(default_factory=list)
+
+    def fit(self, x, y):
+        rng = np.random.default_rng(self.seed)
+        w = _balanced(y)
+        features = max(1, int(np.sqrt(x.shape[1])))
+        for _ in range(self.trees):
+            rows = rng.integers(0, len(y), len(y))
+            self.model.append(_grow(x[rows], y[rows].astype(float), w[rows], self.depth, self.min_leaf, features, rng))
+        return self
+
+    def predict(self, x):
+        return np.mean([_value(t, x) for t in self.model], axis=0)
+
+
+@dataclass
+class Boosting:
+    rounds: int = 50
+    depth: int = 3
+    rate: float = 0.1
+    seed: int = 42
+    start: float = 0.0
+    model: list = field(default_factory=list)
+
+    def fit(self, x, y):
+        rng = np.random.default_rng(self.seed)
+        w = np.where(y == 1, (y == 0).sum() / max(1, (y == 1).sum()), 1.0)
+        score = np.full(len(y), self.start)
+        for _ in range(self.rounds):
+            p = 1 / (1 + np.exp(-score))
+            h = np.maximum(p * (1 - p), 1e-6)
+            tree = _grow(x, (y - p) / h, w * h, self.depth, 1, x.shape[1], rng)
+            self.model.append(tree)
+            score += self.rate * np.clip(_value(tree, x), -4, 4)
+        return self
+
+    def predict(self, x):
+        return 1 / (1 + np.exp(-(self.start + self.rate * sum(np.clip(_value(t, x), -4, 4) for t in self.model))))
+
+
+@dataclass
+class Hinges:
+    strength: float = 1.0
+    l1_ratio: float = 0.5
+    knots: int = 9
+    steps: int = 300
+    seed: int = 42
+
+    def _basis(self, x):
+        z = (x - self.mean) / self.sd
+        return np.column_stack([z, *[np.maximum(0, z[:, [j]] - self.at[:, j]) for j in range(z.shape[1])]])
+
+    def fit(self, x, y):
+        self.mean, self.sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+        self.at = np.quantile((x - self.mean) / self.sd, np.linspace(0.1, 0.9, self.knots), axis=0)
+        b, w = self._basis(x), _balanced(y)
+        lam = 1 / (self.strength * len(y))
+        step = 4 / (np.linalg.norm(b * np.sqrt(w)[:, None], 2) ** 2 / len(y) + 4 * lam + 1)
+        self.coef, self.bias = np.zeros(b.shape[1]), 0.0
+        for _ in range(self.steps):
+            r = w * (1 / (1 + np.exp(-(b @ self.coef + self.bias))) - y) / len(y)
+            c = self.coef - step * (b.T @ r + lam * (1 - self.l1_ratio) * self.coef)
+            self.coef = np.sign(c) * np.maximum(np.abs(c) - step * lam * self.l1_ratio, 0)
+            self.bias -= step * r.sum()
+        return self
+
+    def predict(self, x):
+        return 1 / (1 + np.exp(-(self._basis(x) @ self.coef + self.bias)))
+
+
+LEARNERS = {"forest": Forest, "boosting": Boosting, "hinges": Hinges}
+
+
+def auc_of(y, p) -> float:
+    """By average ranks; NaN with one class only."""
+    values, at, n = np.unique(p, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    pos = int(y.sum())
+    return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))) if 0 < pos < len(y) else float("nan")
+
+
+def youden_of(y, p) -> float:
+    """The highest threshold of the greatest TPR - FPR."""
+    cuts = np.unique(p)[::-1]
+    pos, neg = max(1, (y == 1).sum()), max(1, (y == 0).sum())
+    j = [((p >= c) & (y == 1)).sum() / pos - ((p >= c) & (y == 0)).sum() / neg for c in cuts]
+    return float(cuts[int(np.argmax(np.round(j, 12)))])
+
+
+def vif_keep(x, limit: float = 10.0) -> list[int]:
+    """Columns left when the one of the greatest variance inflation goes until none reaches the limit."""
+    keep = list(range(x.shape[1]))
+    while len(keep) > 1:
+        c = np.corrcoef(x[:, keep], rowvar=False)
+        r2 = 1 - 1 / np.maximum(np.diag(np.linalg.pinv(np.nan_to_num(c) + 1e-10 * np.eye(len(keep)))), 1)
+        v = 1 / (1 - r2 + 1e-8)
+        if v.max() < limit:
+            break
+        keep.pop(int(v.argmax()))
+    return keep
