@@ -212,12 +212,12 @@ def _say_contents(length: int, shares: int):
 
 
 def _choose(shares: int, hot: int):
-    """Back to the groups, by index: segments that speak for their text (1; 2 if their key is hot) and those that are repeated (0)."""
+    """Back to the groups, by index: segments that speak for their text (kind 1; 2 if their key is hot) and those that are repeated (0)."""
 
     def run(rows: pa.Table) -> pa.Table:
         names = ["_group", "kind", "at"]
         if rows.column("share")[0].as_py() >= shares:
-            return pa.table([rows.column("_group"), pa.array([0] * rows.num_rows, pa.int32()), rows.column("at")], names=names)
+            return pa.table([rows.column("_group"), pa.array([bytes(len(b) // 4) for b in rows.column("at").to_pylist()], pa.binary()), rows.column("at")], names=names)
         joined = lambda c, t: np.concatenate([np.frombuffer(b, t) for b in rows.column(c).to_pylist()])
         key, own, doc, at = (joined(c, t) for c, t in (("keys", np.uint64), ("contents", np.uint64), ("docs", np.int64), ("at", np.uint32)))
         group = np.repeat(rows.column("_group").to_numpy(), [len(b) // 8 for b in rows.column("keys").to_pylist()])
@@ -229,10 +229,11 @@ def _choose(shares: int, hot: int):
         doc = doc[order]
         speaks = doc == doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         kind = np.where(speaks, 1 + (np.bincount(nth, new) > hot)[nth], 0)
-        order = np.lexsort((kind, group))
-        group, kind, at = group[order], kind[order], at[order]
-        cuts, _ = _runs(3 * group.astype(np.int64) + kind)
-        return pa.table([pa.array(group[cuts], pa.int32()), pa.array(kind[cuts], pa.int32()), pa.array([v.tobytes() for v in np.split(at, cuts[1:])], pa.binary())], names=names)
+        order = np.argsort(group, kind="stable")
+        group, kind, at = group[order], kind[order].astype(np.uint8), at[order]
+        cuts, _ = _runs(group)
+        blobs = lambda x: pa.array([v.tobytes() for v in np.split(x, cuts[1:])], pa.binary())
+        return pa.table([pa.array(group[cuts], pa.int32()), blobs(kind), blobs(at)], names=names)
 
     return run
 
@@ -242,9 +243,9 @@ def _give_segments(length: int):
 
     def run(rows: pa.Table, chosen: pa.Table) -> pa.Table:
         data, off, docs, row, (at, count, key) = _group(rows)
-        kinds = chosen.column("kind").to_numpy()
-        picks = [np.frombuffer(b, np.uint32).astype(np.int64) for b in chosen.column("at").to_pylist()]
-        of = lambda k: np.sort(np.concatenate([np.empty(0, np.int64), *(p for p, kind in zip(picks, kinds, strict=True) if kind == k)]))
+        kinds = np.frombuffer(b"".join(chosen.column("kind").to_pylist()), np.uint8)
+        picks = np.frombuffer(b"".join(chosen.column("at").to_pylist()), np.uint32).astype(np.int64)
+        of = lambda k: np.sort(picks[kinds == k])
         gone, plain, hot = of(0), of(1), of(2)
         # neighbours become one range
         new = np.ones(len(gone), bool)
@@ -411,7 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     said = bare.groupBy("_group").applyInArrow(_say_keys(tasks), "share int, _group int, keys binary")
     shared = written(said.groupBy("share").applyInArrow(_find_shared, "_group int, keys binary"), "shared")
     said = bare.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_say_contents(length, tasks), _SAID)
-    chosen = written(said.groupBy("share").applyInArrow(_choose(tasks, HOT), "_group int, kind int, at binary"), "chosen")
+    chosen = written(said.groupBy("share").applyInArrow(_choose(tasks, HOT), "_group int, kind binary, at binary"), "chosen")
     forget(shared)
     given = bare.groupBy("_group").cogroup(chosen.groupBy("_group")).applyInArrow(_give_segments(length), _SEGMENTS)
     met = given.mapInArrow(_by_window(length), _SEGMENTS).repartition(tasks, "key").sortWithinPartitions("key")
