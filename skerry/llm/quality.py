@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skerry.llm.common import table, text_or_empty, written
+from skerry.llm.common import give_back, table, text_or_empty, written
 
 FEATURES = ["log_bytes", "log_words", "letters", "upper", "digits", "spaces", "stops", "symbols", "shouts", "high_bytes", "entropy", "log_word_length", "distinct_words", "top_word", "same_neighbour", "plain_words", "log_line_length", "distinct_lines", "distinct_pairs"]
 TO_POOLED, TO_IDENTITY = 0.2, 0.02
@@ -169,6 +169,7 @@ def _score_texts(model: Model, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(_matrix(batch.column(text))))], [*batch.schema.names, "_score"])
+        give_back()
 
     return run
 

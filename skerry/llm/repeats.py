@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skerry.llm.common import forget, new_path, parts, table, text_or_empty, written
+from skerry.llm.common import forget, give_back, new_path, parts, table, text_or_empty, written
 from skerry.llm.suffix_array import big_words, common_prefixes, two_stage
 
 LENGTH, GRAM = 50, 24
@@ -180,6 +180,7 @@ def _say_contents(length: int, shares: int):
     """Shared segments by content: (key, content, doc_id, index in the group) to the key's share; those that an equal one in the group makes repeated to a share of the group's own."""
 
     def run(rows: pa.Table, shared: pa.Table) -> pa.Table:
+        give_back()
         data, _, docs, row, (at, count, key) = _group(rows)
         known = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared.column("keys").to_pylist()])) if shared.num_rows else np.empty(0, np.uint64)
         doc = docs[row]
@@ -242,6 +243,7 @@ def _give_segments(length: int):
     """The texts of the segments that speak, and byte ranges (null text; ``windows`` of them) of repeated ones."""
 
     def run(rows: pa.Table, chosen: pa.Table) -> pa.Table:
+        give_back()
         data, off, docs, row, (at, count, key) = _group(rows)
         kinds = np.frombuffer(b"".join(chosen.column("kind").to_pylist()), np.uint8)
         picks = np.frombuffer(b"".join(chosen.column("at").to_pylist()), np.uint32).astype(np.int64)
@@ -368,11 +370,14 @@ def _decide(length: int):
             last = key[-1]
         if held:
             yield settle(pa.Table.from_batches(held))
+        held.clear()
+        give_back()
 
     return run
 
 
 def _cut_out(rows: pa.Table, ranges: pa.Table) -> pa.Table:
+    give_back()
     data, off = _joined(rows.column("_bytes"))
     row_at = {r: i for i, r in enumerate(rows.column("_row").to_pylist())}
     begin = off[[row_at[r] for r in ranges.column("row").to_pylist()]] if ranges.num_rows else np.empty(0, np.int64)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import parts, table, text_or_empty, written
+from skerry.llm.common import give_back, parts, table, text_or_empty, written
 from skerry.llm.components import connected_components
 
 WORDS, SEED, BITS, BLOCK = 3, 42, 3, 512
@@ -65,6 +65,7 @@ def _fingerprints(words: int, seed: int):
         for batch in batches:
             fp = fingerprints_of(batch.column(1).to_pylist(), words, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        give_back()
 
     return run
 

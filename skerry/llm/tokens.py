@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+from skerry.llm.common import give_back
+
 MEMO_WORDS = 400_000
 KEPT_WORDS = 100_000
 #: New words are encoded as lines of so many, since a call of the library costs more than a word.
@@ -98,7 +100,7 @@ class WordEncoder:
         """A task has ended: what it held goes, but for the words that came first."""
         while len(self.memo) > KEPT_WORDS:
             self.memo.popitem()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
