@@ -17,8 +17,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from skerry.llm.common import give_back
 
-MEMO_WORDS = 400_000
-KEPT_WORDS = 100_000
+MEMO_WORDS = 300_000
+KEPT_WORDS = 60_000
 #: New words are encoded as lines of so many, since a call of the library costs more than a word.
 LINE_WORDS = 64
 _FIRST = "\r"
@@ -82,7 +82,8 @@ class WordEncoder:
         letters = [w for w in todo if w.isalpha() and w.lower().isalpha()]
         for tokenizer, some in ((self.letters, letters), (self.tokenizer, list(set(todo).difference(letters)))):
             lines = [some[i : i + LINE_WORDS] for i in range(0, len(some), LINE_WORDS)]
-            for line, e in zip(lines, tokenizer.encode_batch_fast([self.mark.join([before + w for w in x]) for x in lines], add_special_tokens=False), strict=True):
+            coded = (e for i in range(0, len(lines), 256) for e in tokenizer.encode_batch_fast([self.mark.join([before + w for w in x]) for x in lines[i : i + 256]], add_special_tokens=False))
+            for line, e in zip(lines, coded, strict=True):
                 ids = np.array(e.ids, "<u4")
                 at = 4 * np.flatnonzero(ids == self.mark_id)
                 if len(at) != len(line) - 1:  # a word gives the mark's id itself
@@ -148,7 +149,7 @@ def encoder(name: str, path: str | None = None) -> WordEncoder:
     return _ENCODERS[name, path]
 
 
-def batches(texts: list[str], max_chars: int = 1 << 22):
+def batches(texts: list[str], max_chars: int = 3 << 20):
     """Index ranges of at most ``max_chars`` characters (one text at least)."""
     start, size = 0, 0
     for i, t in enumerate(texts):
