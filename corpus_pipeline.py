@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skerry.llm.common import table, written
 from skerry.llm.mixing import mixed_documents
+from skerry.llm.near_copies import keep_one
 from skerry.llm.packing import packed_documents
 from skerry.llm.quality import keep_quality
 from skerry.llm.repeats import without_repeats
-from skerry.llm.simhash import keep_one
 
-#: Words of a shingle in the near-duplicate stage.
-SHINGLE_WORDS = 5
+#: Words of a shingle in the near-duplicate stage, and the least Jaccard similarity of near-duplicates.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return keep_one(docs, words=SHINGLE_WORDS)
+    return keep_one(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,15 +175,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> Da
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """Of each component the row with the smallest doc_id (of repeated rows one); rows without a doc_id all stay."""
-    marks = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, seed)
+def keep_least(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``marks`` (doc_id, component_id) has as their component's smallest, one a doc_id; rows without a doc_id all stay."""
     kept = marks.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     found = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     first = found.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
     return first.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """Of each component the row with the smallest doc_id (of repeated rows one); rows without a doc_id all stay."""
+    return keep_least(docs, near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, seed))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
