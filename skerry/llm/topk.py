@@ -137,7 +137,7 @@ def _scan(k: int):
             ok = (ids[None] != own[a : a + 512, None]) & (s >= floor[a : a + 512, None])
             if s.shape[1] > k:  # the k best of the chunk, ties by id
                 low = np.where(ok, s, np.iinfo(np.int64).min)
-                kth = -np.partition(-low, k - 1, axis=1)[:, k - 1]
+                kth = np.partition(low, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                 over = (low > kth[:, None]).sum(axis=1)
                 equal = low == kth[:, None]
                 ok &= (low > kth[:, None]) | equal & (np.cumsum(equal, axis=1) <= (k - over)[:, None])

@@ -3,6 +3,7 @@ import itertools
 
 import duckdb
 import numpy as np
+import pandas as pd
 import oracle
 import pytest
 import xxhash
@@ -122,3 +123,28 @@ def test_topk_small_and_ties(spark):
     v = topk.whole_vectors(rows)
     got = topk.search(v, v.where("vec_id % 20 = 0"), 5).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in got if r.query_id == 20] == [2, 5, 8, 11, 14]
+
+
+def test_topk_chunk_cut_keeps_all_results():
+    """A chunk of more than k rows with the query's own row, repeated, and rows under the floor."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.arange(1.0, 61.0), [500.0, 500.0]])[:, None]
+    ids = np.concatenate([rng.permutation(60), [99, 99]])
+    rows = pd.DataFrame({"vec_id": ids, "v": list(x)})
+    for floor in (float("-inf"), 100.0, 5990.0):
+        asked = pd.DataFrame({"query_id": [99], "v": [[100.0]], "floor": [floor]})
+        got = topk._scan(20)((0, 0, 0), rows, asked)
+        want = sorted(((int(100 * v), int(i)) for v, i in zip(x[:, 0], ids, strict=True) if i != 99 and 100 * v >= floor), key=lambda r: (-r[0], r[1]))[:20]
+        assert sorted(zip(got["score"], got["vec_id"], strict=True), key=lambda r: (-r[0], r[1])) == want
+
+
+def test_topk_cluster_of_near_copies(spark):
+    """The query's best all lie in its own cluster, with a repeated vec_id."""
+    rows = [(i, [10.0 + i / 64, 10.0]) for i in range(60)] + [(40, [10.5, 10.0])] + [(100 + i, [-10.0 - i, 3.0]) for i in range(200)]
+    v = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.search(v, v.where("vec_id IN (0, 20, 59)"), 20)
+    held = [(r.vec_id, np.array(r.v)) for r in v.collect()]
+    for q, x in held:
+        if q in (0, 20, 59):
+            want = sorted(((int(x @ y), i) for i, y in held if i != q), key=lambda r: (-r[0], r[1]))[:20]
+            assert [(r.score, r.vec_id) for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] == want
