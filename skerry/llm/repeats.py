@@ -15,7 +15,8 @@ share one; a run of windows with one key is a segment.
    each different text counts once.
 4. Segment texts meet by key. A task joins them, each ended by a 0, sorts the suffixes in two stages, and the adjacent
    common prefixes say which windows are equal; the least doc_id of each class decides. A key with more than ``HOT``
-   different segment texts is dealt by single windows (a hash of each) instead, so that no key gathers in one task.
+   different segment texts is dealt by single windows (a hash of each) instead; of equal ones each group gives only those
+   of its least doc_id, so a key has about a row for each group, however many documents hold it.
 5. Repeated windows go back to the groups as byte ranges.
 
 Keys are 64-bit hashes that only bring windows together. Segments count as equal texts by key and content, 128 bits;
@@ -254,15 +255,18 @@ def _give_segments(length: int):
         new[1:] = (at[gone[1:]] > at[gone[:-1]] + count[gone[:-1]]) | (row[gone[1:]] != row[gone[:-1]])
         first = gone[new]
         last = gone[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(gone) - 1]])] if len(gone) else gone
-        use = np.concatenate([plain, hot])
-        texts = [data[a : a + c + length - 1].tobytes() for a, c in zip(at[use].tolist(), count[use].tolist(), strict=True)]
-        ids = np.concatenate([use, first])
+        place, of_place, own, later, of_later = _single(data, hot, at, count, key, docs[row], length)
+        use = np.concatenate([plain, of_place])
+        start = np.concatenate([at[plain], place, at[first], later])
+        windows = np.concatenate([count[plain], np.ones(len(place), np.int64), at[last] + count[last] - at[first], np.ones(len(later), np.int64)])
+        texts = [data[a : a + c + length - 1].tobytes() for a, c in zip(start[: len(use)].tolist(), windows[: len(use)].tolist(), strict=True)]
+        ids = np.concatenate([use, first, of_later])
         group = (rows if rows.num_rows else chosen).column("_group")[0].as_py()
-        windows = np.concatenate([count[use], at[last] + count[last] - at[first]])
-        keys = np.concatenate([key[use], _mixed(first.astype(np.uint64) + np.uint64(group))]).view(np.int64)  # ranges meet nobody: dealt evenly
-        is_hot = np.arange(len(ids)) >= len(plain)
-        is_hot[len(use) :] = False
-        cols = [np.full(len(ids), group), rows.column("_row").to_numpy()[row[ids]], docs[row[ids]], at[ids] - off[row[ids]], windows, keys, texts + [None] * len(first), is_hot]
+        settled = start[len(use) :].astype(np.uint64)
+        keys = np.concatenate([key[plain], own, _mixed(settled + np.uint64(group))]).view(np.int64)  # ranges meet nobody: dealt evenly
+        is_hot = np.zeros(len(ids), bool)
+        is_hot[len(plain) : len(use)] = True
+        cols = [np.full(len(ids), group), rows.column("_row").to_numpy()[row[ids]], docs[row[ids]], start - off[row[ids]], windows, keys, texts + [None] * (len(ids) - len(use)), is_hot]
         return pa.table([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
     return run
@@ -284,27 +288,18 @@ def _content(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_window(length: int):
-    """Segments of hot keys as single windows, keyed by all their bytes; the others as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hot = np.asarray(batch.column("hot").to_pylist(), bool)
-            if not hot.all():
-                yield batch.filter(pa.array(~hot))
-            rows = batch.filter(pa.array(hot)) if hot.any() else batch.slice(0, 0)
-            for a in range(0, rows.num_rows, 2000):
-                some = rows.slice(a, 2000)
-                count = some.column("windows").to_numpy()
-                data, off = _joined(pa.chunked_array([some.column("text")]))
-                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                place = np.repeat(off[:-1], count) + nth
-                own = _content(data, place, np.full(len(place), length)).view(np.int64)
-                repeat = lambda c: np.repeat(some.column(c).to_numpy(), count)  # noqa: B023, E731
-                cols = [repeat("_group"), repeat("row"), repeat("doc"), repeat("at") + nth, np.ones(len(place)), own, [data[p : p + length].tobytes() for p in place.tolist()], [True] * len(place)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
-
-    return run
+def _single(data: np.ndarray, hot: np.ndarray, at: np.ndarray, count: np.ndarray, key: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, segment, content) of the windows of hot segments that speak, those of the least doc_id in the group, and (place, segment) of the others."""
+    n = count[hot]
+    of = np.repeat(hot, n)
+    place = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    own = _content(data, place, np.full(len(place), length))
+    order = np.lexsort((doc[of], own, key[of]))
+    of, place, own = of[order], place[order], own[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (key[of[1:]] != key[of[:-1]]) | (own[1:] != own[:-1])
+    later = doc[of] > doc[of[np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))]]
+    return place[~later], of[~later], own[~later], place[later], of[later]
 
 
 def repeated_windows(texts: list[bytes], windows: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -420,7 +415,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     chosen = written(said.groupBy("share").applyInArrow(_choose(tasks, HOT), "_group int, kind binary, at binary"), "chosen")
     forget(shared)
     given = bare.groupBy("_group").cogroup(chosen.groupBy("_group")).applyInArrow(_give_segments(length), _SEGMENTS)
-    met = given.mapInArrow(_by_window(length), _SEGMENTS).repartition(tasks, "key").sortWithinPartitions("key")
+    met = given.repartition(tasks, "key").sortWithinPartitions("key")
     ranges = written(met.mapInArrow(_decide(length), "_group int, row long, start long, end long"), "ranges")
     forget(chosen)
     shape = T.StructType([texts.schema["rest"], texts.schema["_null"], T.StructField("repeat_kept", T.BinaryType()), *spark.createDataFrame([], f"repeat_spans {_SPANS}, repeat_bytes long").schema.fields])

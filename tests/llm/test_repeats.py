@@ -2,6 +2,8 @@ import hashlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from skerry.llm import repeats
@@ -62,3 +64,19 @@ def test_table(spark, monkeypatch, hot):
     got = repeats.remove_repeats(spark.read.parquet(path).select("doc_id", "text")).collect()
     have = [(r.doc_id, r.repeat_bytes, r.repeat_bytes - len(r.repeat_kept), len(r.repeat_spans), bytes(r.repeat_kept)) for r in got]
     assert digest(have) == digest(brute(rows))
+
+
+def test_hot_passage_speaks_once_a_group(spark, monkeypatch):
+    """500 documents of one passage, each in words of its own: a group gives each of its windows once."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    passage = "licensed under terms that all of the documents repeat "
+    texts = [(d, hashlib.sha256(b"a%d" % d).hexdigest() + passage + hashlib.sha256(b"b%d" % d).hexdigest()) for d in range(500)]
+    whole = pa.table({"_group": pa.array([0] * 500, pa.int32()), "_row": list(range(500)), "_doc": [d for d, _ in texts], "_bytes": [t.encode() for _, t in texts]})
+    n = len(repeats._group(whole)[4][0])
+    chosen = pa.table({"_group": pa.array([0], pa.int32()), "kind": [bytes([2]) * n], "at": [np.arange(n, dtype=np.uint32).tobytes()]})
+    given = repeats._give_segments(50)(whole, chosen).to_pylist()
+    said = [r["text"] for r in given if r["text"] is not None]
+    assert len(said) == len(set(said)) and any(t in passage.encode() for t in said)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    have = [(r.doc_id, r.repeat_bytes, r.repeat_bytes - len(r.repeat_kept), len(r.repeat_spans), bytes(r.repeat_kept)) for r in repeats.remove_repeats(df).collect()]
+    assert digest(have) == digest(brute(texts))
