@@ -2,7 +2,7 @@
 
 A text's set holds the 64-bit hashes of its shingles; texts of equal sets are one node from the start. Candidates share
 one of ``BANDS`` fingerprints, each a hash of ``ROWS`` minima of the set under permutations of its own. A pair of
-similarity s shares none with probability (1 - s ** ROWS) ** BANDS: 3.3e-6 at 0.8, less above. A SimHash of 64 bits
+similarity s shares none with probability (1 - s ** ROWS) ** BANDS: 3.2e-6 at 0.8, less above. A SimHash of 64 bits
 differs in about 10 bits at 0.8, more than its segments can filter. Every candidate is judged by its two whole sets.
 
 1. Nodes that share a fingerprint form a chain, in blocks of ``BLOCK`` and over the blocks' heads; its neighbours are
