@@ -121,17 +121,16 @@ def pack(items: DataFrame, size: str, capacity: int = CAPACITY, group_items: int
 def _pieces(name: str, path: str | None, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(name, path)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.batches(texts):
-                rows = []
-                for doc, ids in zip(docs[a:b], enc.encode(texts[a:b]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    rows += [(doc, k, s, min(capacity, n - s), ids[4 * s : 4 * (s + capacity)]) for k, s in enumerate(range(0, n, capacity))]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+            for a, b in tokens.batches(batch.column(1)):
+                ids, count = tokens.with_end(*enc.encode(batch.column(1).slice(a, b - a)), end_id)
+                n = -(-count // capacity)  # pieces
+                of = np.repeat(np.arange(len(count)), n)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                start = capacity * piece
+                length = np.minimum(capacity, count[of] - start)
+                cols = [batch.column(0).slice(a, b - a).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), tokens.binaries(ids.astype("<u4"), 4 * np.cumsum(length))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids"])
         enc.rest()
 
     return run

@@ -5,7 +5,7 @@ documents (2 bytes an id where the vocabulary allows, else 4), the Elias-Fano co
 their Elias-Fano coded doc_ids. Shards are ascending ranges of doc_id, segments ascend within a shard.
 
 Defined results: a null text counts as empty (only the end id); null doc_ids come first, in their own places; rows with
-equal doc_id follow each other by their texts' hash, then text; an empty table gives an empty store. Other columns of
+equal doc_id follow each other by their texts' hash, then ids; an empty table gives an empty store. Other columns of
 the input are ignored, whatever their names.
 """
 
@@ -20,57 +20,80 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm import elias_fano, tokens
-from skerry.llm.common import new_path, parts, table, text_or_empty
+from skerry.llm.common import forget, new_path, parts, table, text_or_empty, written
 
 SEGMENT_IDS = 1 << 20
 _SEGMENT = "shard int, segment int, ids_before long, n_docs int, n_null int, first_doc long, doc_gaps binary, ends binary, width int, ids binary, n_ids long"
 
 
-def _segments(name: str, path: str | None, end_id: int, segment_ids: int):
+def _encoded(name: str, path: str | None, end_id: int):
+    """doc_id, h, n and the ids with the end id, ``width`` bytes each, in the order of the rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(name, path)
-        width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        end = np.array([end_id], "<u4").tobytes()
-        shard, segment, before = TaskContext.get().partitionId(), 0, 0
-        docs: list[int | None] = []
-        ids: list[bytes] = []
-        held = 0
+        width = id_width(enc, end_id)
+        for batch in batches:
+            for a, b in tokens.batches(batch.column(2)):
+                part = batch.slice(a, b - a)
+                ids, count = tokens.with_end(*enc.encode(part.column(2)), end_id)
+                body = tokens.binaries(ids.astype(f"<u{width}"), width * np.cumsum(count))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count), body], ["doc_id", "h", "n", "ids"])
+        enc.rest()
+
+    return run
+
+
+def id_width(enc: tokens.WordEncoder, end_id: int) -> int:
+    return 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+
+def _segments(name: str, path: str | None, end_id: int, segment_ids: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = id_width(tokens.encoder(name, path), end_id)
+        shard, segment, before, held = TaskContext.get().partitionId(), 0, 0, 0
+        rows: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal segment, before, docs, ids, held
-            known = [d for d in docs if d is not None]
-            first = known[0] if known else 0
-            gaps = np.array([d - first for d in known], np.uint64)
-            ends = np.cumsum([len(x) // 4 for x in ids])
-            body = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()
-            row = [shard, segment, before, len(docs), len(docs) - len(known), first, elias_fano.encode(gaps), elias_fano.encode(ends), width, body, held]
-            segment, before, docs, ids, held = segment + 1, before + held, [], [], 0
+            nonlocal segment, before, held, rows
+            whole = pa.Table.from_batches(rows)
+            docs = whole.column(0)
+            known = docs.drop_null().to_numpy()
+            first = int(known[0]) if len(known) else 0
+            ends = np.cumsum(whole.column(1).to_numpy())
+            body = b"".join(x.as_buffer() for x in whole.column(2))
+            row = [shard, segment, before, len(docs), docs.null_count, first, elias_fano.encode((known - first).astype(np.uint64)), elias_fano.encode(ends), width, body, held]
+            segment, before, rows, held = segment + 1, before + held, [], 0
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
             names = [f.split()[0] for f in _SEGMENT.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            ids_in, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.batches(texts):
-                for doc, body in zip(ids_in[a:b], enc.encode(texts[a:b]), strict=True):
-                    docs.append(doc)
-                    ids.append(body + end)
-                    held += len(body) // 4 + 1
-                    if held >= segment_ids:
-                        yield flush()
-        if docs:
+            size = np.cumsum(batch.column(1).to_numpy())
+            at, done = 0, 0
+            while at < len(size):  # a segment ends with the row that fills it
+                stop = min(len(size), int(np.searchsorted(size, done + segment_ids - held)) + 1)
+                rows.append(batch.slice(at, stop - at))
+                held += int(size[stop - 1]) - done
+                at, done = stop, int(size[stop - 1])
+                if held >= segment_ids:
+                    yield flush()
+        if rows:
             yield flush()
-        enc.rest()
 
     return run
 
 
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, tokenizer_path: str | None = None, segment_ids: int = SEGMENT_IDS) -> None:
-    """Encode ``docs`` (doc_id, text) in ascending doc_id order into a store at ``path``."""
-    n = parts(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    rows.mapInArrow(_segments(tokenizer, tokenizer_path, end_id, segment_ids), _SEGMENT).write.option("compression", "zstd").parquet(path)
+    """Encode ``docs`` (doc_id, text) in ascending doc_id order into a store at ``path``.
+
+    Texts are encoded where they are read; what is sorted are ids, a table that is stored first, so that the sampling of
+    ranges reads its first two columns only.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text"))
+    encoded = written(rows.mapInArrow(_encoded(tokenizer, tokenizer_path, end_id), "doc_id long, h long, n long, ids binary"), "encoded")
+    dealt = encoded.repartitionByRange(parts(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "n", "ids")
+    dealt.mapInArrow(_segments(tokenizer, tokenizer_path, end_id, segment_ids), _SEGMENT).write.option("compression", "zstd").parquet(path)
+    forget(encoded)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +103,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.concatenate([[0], ends[:-1]])
             known = elias_fano.EliasFano(r["doc_gaps"]).all() + r["first_doc"]
             docs = pa.concat_arrays([pa.nulls(r["n_null"], pa.int64()), pa.array(known, pa.int64())])
-            body = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4").tobytes()
-            ids = pa.array([body[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())
+            ids = tokens.binaries(np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4"), 4 * ends)
             yield pa.RecordBatch.from_arrays([docs, pa.array(starts + (r["shard_start"] + r["ids_before"]), pa.int64()), pa.array(ends - starts, pa.int64()), ids], ["doc_id", "start", "n_tokens", "ids"])
 
 
