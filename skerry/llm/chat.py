@@ -41,6 +41,15 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def escape_role(role: str) -> str:
+    """As a text, and ``\\n`` for a line feed, since a line feed ends a role; no control string has an n in second place."""
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
 def instruction_template(turns: Turns) -> str:
     out = []
     for role, text in turns:
@@ -48,16 +57,16 @@ def instruction_template(turns: Turns) -> str:
             before, after = MARKS[role]
             out.append(before + escape(text) + after)
         else:
-            out.append(OTHER[0] + escape(role).replace("\n", "\\n") + "\n" + escape(text) + OTHER[1])
+            out.append(OTHER[0] + escape_role(role) + "\n" + escape(text) + OTHER[1])
     return "".join(out)
 
 
 def parse(formatted: str) -> Turns:
-    """The turns of what ``instruction_template`` wrote; roles beside the three cannot hold line feeds in this reading."""
+    """The turns of what ``instruction_template`` wrote."""
     out = []
     for m in _TURN.finditer(formatted):
         kind = "other" if m["name"] is not None else m.lastgroup
-        out.append((unescape(m["name"]) if kind == "other" else kind, unescape(m[kind])))
+        out.append((unescape_role(m["name"]) if kind == "other" else kind, unescape(m[kind])))
     return out
 
 
@@ -149,8 +158,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
-_FIXED = "CASE role " + " ".join(f"WHEN '{r}' THEN {sum(map(len, m))}" for r, m in MARKS.items()) + f" ELSE {sum(map(len, OTHER)) + 1} + length(role) END"
-_ADDED = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in ["\\", *CONTROLS])
+def _added(column: str) -> str:
+    return " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ["\\", *CONTROLS])
+
+
+_FIXED = "CASE role " + " ".join(f"WHEN '{r}' THEN {sum(map(len, m))}" for r, m in MARKS.items()) + f" ELSE {sum(map(len, OTHER)) + 1} + length(role) + {_added('role')} + length(role) - length(replace(role, chr(10), '')) END"
 OP10_SQL = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -160,5 +172,5 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(text) + {_FIXED} + {_ADDED}) AS BIGINT) AS formatted_chars
+  CAST(sum(length(text) + {_FIXED} + {_added('text')}) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder of this process is made and set.
+    Only where that is unset and the master is local (tests) a temporary folder of this process is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="skerry-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -37,10 +39,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(*frames: DataFrame) -> None:
+def forget(*frames: DataFrame, shuffles: bool = False) -> None:
     """Delete tables made by ``written`` once nothing reads them any more.
 
-    The driver's garbage is collected too: Spark's cleaner then drops the shuffle files of finished steps.
+    With ``shuffles`` the driver's garbage is collected too: Spark's cleaner then drops the shuffle files of finished steps.
     """
     for df in frames:
         spark = df.sparkSession
@@ -48,7 +50,8 @@ def forget(*frames: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+    if shuffles:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def give_back() -> None:
@@ -60,6 +63,14 @@ def give_back() -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

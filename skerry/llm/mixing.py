@@ -10,8 +10,8 @@ order, the last one only for the tokens that are left.
 Only DataFrame functions are used. A document's place in an epoch is the md5 of seed, epoch and doc_id. Token sums by the
 first two digits of it (256 buckets a leaf) find the bucket where the prefix ends, sums by the next two the bucket in
 that one; only what is in it is ordered, so no leaf, however large, is sorted in one task, and the documents themselves
-are not shuffled. The table of leaves is
-broadcast where it has at most ``BROADCAST_LEAVES`` rows, and joined by shuffle beyond.
+are not shuffled. The table of leaves is broadcast where it has at most ``BROADCAST_LEAVES`` rows, and joined by
+shuffle beyond.
 
 A document counts its words (runs of other characters than space, tab and line ends) and one end token.
 
@@ -19,7 +19,7 @@ Defined results: null or empty texts count one token; null domain, lang or sourc
 an empty id; a leaf without weight rows of its own has the weights that its rows carry; weights of 0 or less, or null,
 give nothing while siblings can fill the budget, and nothing otherwise either; rows of equal place come by doc_id, tokens,
 then text, and repeated rows each count; an empty table gives no rows. Added columns are ``mix_epoch`` (from 0),
-``mix_tokens`` and ``mix_taken``; input columns keep their names.
+``mix_tokens`` and ``mix_taken``; they replace input columns of these names, all others keep their names and values.
 """
 
 from __future__ import annotations
@@ -66,16 +66,13 @@ def leaf_budgets(leaves: DataFrame, budget: int | None, max_epochs: int) -> Data
     return _share(leaves.withColumn("weight", F.col("w_source")).join(shared, ["_domain", "_lang"]), ["_domain", "_lang"], "_source").select(*_LEAF, "supply", "budget")
 
 
-def mix(docs: DataFrame, domain: Column, weights: tuple[Column, Column, Column], tokens: Column, budget: int | None = None, max_epochs: int = 4, seed: int = 42) -> DataFrame:
-    """Rows of ``docs`` as the mixture takes them, one for each epoch.
-
-    ``docs`` has doc_id, lang and source; ``domain``, ``weights`` (whole numbers for domain, language within it, source
-    within that; the least of a node's rows counts) and ``tokens`` are expressions over it.
-    """
+def _mixed_rows(docs: DataFrame, domain: Column, weights: tuple[Column, Column, Column], tokens: Column, budget: int | None, max_epochs: int, seed: int) -> DataFrame:
+    """``row`` (the columns of ``docs``), mix_epoch, mix_tokens and mix_taken of ``mix``."""
     spark = docs.sparkSession
-    named = docs.select("*", F.coalesce(domain, F.lit("")).alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"), tokens.alias("mix_tokens"))
     w = [x.cast("long").alias(n) for x, n in zip(weights, ("w_domain", "w_lang", "w_source"), strict=True)]
-    slim = written(named.select("doc_id", *_LEAF, *w, "mix_tokens"), "slim")
+    leaf = [F.coalesce(x, F.lit("")).alias(n) for x, n in zip((domain, F.col("lang"), F.col("source")), _LEAF, strict=True)]
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), *leaf, tokens.alias("mix_tokens"))
+    slim = written(docs.select("doc_id", *leaf, *w, tokens.alias("mix_tokens")), "slim")
     supply = slim.groupBy(*_LEAF).agg(F.sum("mix_tokens").alias("supply"), *[F.min(n).alias(n) for n in ("w_domain", "w_lang", "w_source")])
     leaves = written(leaf_budgets(written(supply, "supply"), budget, max_epochs), "leaves")
     few = F.broadcast if leaves.count() <= BROADCAST_LEAVES else lambda x: x
@@ -93,15 +90,26 @@ def mix(docs: DataFrame, domain: Column, weights: tuple[Column, Column, Column],
     bucket = F.substring("_place", 1, 2 * LEVELS)
     epochs = F.expr("IF(_whole > 0, sequence(0, CAST(_whole - 1 AS INT)), CAST(array() AS ARRAY<INT>))")
     inside = F.when(bucket < F.col("_edge"), F.array(F.col("_whole").cast("int"))).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
-    out = [*docs.columns, "mix_epoch", "mix_tokens", "mix_taken"]
+    out = ["row", "mix_epoch", "mix_tokens", "mix_taken"]
     whole = rows.withColumn("mix_epoch", F.explode(F.concat(epochs, inside))).withColumn("mix_taken", F.col("mix_tokens")).select(*out)
-    last = [F.col("text")] if "text" in docs.columns else []
+    last = [F.col("row.text")] if "text" in docs.columns else []
     order = Window.partitionBy(*_LEAF).orderBy("_place", "doc_id", "mix_tokens", *last).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.where(bucket == F.col("_edge")).withColumn("_left", F.col("_rest") - F.col("_before") - F.sum("mix_tokens").over(order) + F.col("mix_tokens"))
     edge = edge.where(F.col("_left") > 0).withColumn("mix_epoch", F.col("_whole").cast("int")).withColumn("mix_taken", F.least("mix_tokens", "_left")).select(*out)
     return whole.unionByName(edge)
 
 
+def mix(docs: DataFrame, domain: Column, weights: tuple[Column, Column, Column], tokens: Column, budget: int | None = None, max_epochs: int = 4, seed: int = 42) -> DataFrame:
+    """Rows of ``docs`` as the mixture takes them, one for each epoch.
+
+    ``docs`` has doc_id, lang and source; ``domain``, ``weights`` (whole numbers for domain, language within it, source
+    within that; the least of a node's rows counts) and ``tokens`` are expressions over it.
+    """
+    added = ["mix_epoch", "mix_tokens", "mix_taken"]
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added]
+    return _mixed_rows(docs, domain, weights, tokens, budget, max_epochs, seed).select(*kept, *added)
+
+
 #: The policy of the query and the pipeline, over documents' lang and source.
 _NUMBER = "CAST(coalesce(nullif(regexp_extract(source, '([0-9]{1,6})$', 1), ''), '0') AS INT)"
 DOMAIN = f"CASE {_NUMBER} % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'news' ELSE 'code' END"
@@ -110,9 +118,14 @@ W_LANG = "CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 EN
 W_SOURCE = f"1 + {_NUMBER} % 3"
 
 
+def _policy() -> tuple:
+    """Domain and weights of the policy above."""
+    return F.expr(DOMAIN), (F.expr(W_DOMAIN), F.expr(W_LANG), F.expr(W_SOURCE))
+
+
 def policy_mix(docs: DataFrame, tokens: Column) -> DataFrame:
     """The mixture of the policy above: as many tokens as there are, at most four epochs of a source, seed 42."""
-    return mix(docs, F.expr(DOMAIN), (F.expr(W_DOMAIN), F.expr(W_LANG), F.expr(W_SOURCE)), tokens)
+    return mix(docs, *_policy(), tokens)
 
 
 def first_words(text: str, count: str) -> Column:
@@ -123,11 +136,11 @@ def first_words(text: str, count: str) -> Column:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mixture as documents, with the columns of ``docs``: a row an epoch, the last of a leaf's prefix cut to the words taken."""
-    mixed = policy_mix(docs, word_tokens())
-    text = F.when(F.col("mix_taken") < F.col("mix_tokens"), first_words("text", "mix_taken")).otherwise(F.col("text"))
-    out = mixed.withColumn("text", text)
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*docs.columns)
+    """The mixture as documents, with the columns of ``docs``: a row an epoch, the last of a leaf's prefix cut to the words taken; n_chars follows the text."""
+    mixed = _mixed_rows(docs, *_policy(), word_tokens(), None, 4, 42).select("row", F.col("row.text").alias("text"), "mix_tokens", "mix_taken")
+    mixed = mixed.withColumn("text", F.when(F.col("mix_taken") < F.col("mix_tokens"), first_words("text", "mix_taken")).otherwise(F.col("text")))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return mixed.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def near_copies(docs: DataFrame, words: int, least: float = LEAST, seed: int = S
     found = written(connected_components(edges).withColumnsRenamed({"u": "node", "v": "root"}), "found")
     more = written(_across(met, found, least).join(tried, ["u", "v"], "left_anti"), "more")
     edges_more = written(edges.unionByName(_similar(more, sets, least)), "edges")
-    forget(met, sets, tried, more, edges, found)
+    forget(met, sets, tried, more, edges, found, shuffles=True)
     final = connected_components(edges_more).withColumnsRenamed({"u": "node", "v": "root"})
     rooted = written(nodes.select("node", "rep").join(final, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))

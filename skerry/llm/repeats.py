@@ -413,16 +413,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = written(said.groupBy("share").applyInArrow(_find_shared, "_group int, keys binary"), "shared")
     said = bare.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_say_contents(length, tasks), _SAID)
     chosen = written(said.groupBy("share").applyInArrow(_choose(tasks, HOT), "_group int, kind binary, at binary"), "chosen")
-    forget(shared)
+    forget(shared, shuffles=True)
     given = bare.groupBy("_group").cogroup(chosen.groupBy("_group")).applyInArrow(_give_segments(length), _SEGMENTS)
     met = given.repartition(tasks, "key").sortWithinPartitions("key")
     ranges = written(met.mapInArrow(_decide(length), "_group int, row long, start long, end long"), "ranges")
-    forget(chosen)
+    forget(chosen, shuffles=True)
     shape = T.StructType([texts.schema["rest"], texts.schema["_null"], T.StructField("repeat_kept", T.BinaryType()), *spark.createDataFrame([], f"repeat_spans {_SPANS}, repeat_bytes long").schema.fields])
     cut = texts.select("_group", "_row", "_bytes", "_null", "rest").groupBy("_group").cogroup(ranges.groupBy("_group")).applyInArrow(_cut_out, shape)
     alone = slim.where(F.col("_doc").isNull()).select("rest", "_null", F.col("_bytes").alias("repeat_kept"), F.expr(f"CAST(array() AS {_SPANS})").alias("repeat_spans"), F.octet_length("_bytes").cast("long").alias("repeat_bytes"))
     out = written(cut.unionByName(alone), "kept")
-    forget(ranges, texts)
+    forget(ranges, texts, shuffles=True)
     spark.sql(f"DROP TABLE {name}")
     text = F.when(~F.col("_null"), F.expr("make_valid_utf8(CAST(repeat_kept AS STRING))"))
     return out.select(*[text.alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns], "repeat_kept", "repeat_spans", "repeat_bytes")

@@ -177,9 +177,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> Da
 
 def keep_least(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``marks`` (doc_id, component_id) has as their component's smallest, one a doc_id; rows without a doc_id all stay."""
-    kept = marks.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    first = found.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
+    kept = marks.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    found = rows.join(kept, "id", "left_semi")
+    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("row.text"))).where("nth = 1").select("row.*")
     return first.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
