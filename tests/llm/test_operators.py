@@ -3,7 +3,6 @@ import itertools
 
 import duckdb
 import numpy as np
-import pandas as pd
 import oracle
 import pytest
 import xxhash
@@ -125,17 +124,32 @@ def test_topk_small_and_ties(spark):
     assert [r.vec_id for r in got if r.query_id == 20] == [2, 5, 8, 11, 14]
 
 
-def test_topk_chunk_cut_keeps_all_results():
-    """A chunk of more than k rows with the query's own row, repeated, and rows under the floor."""
+def test_topk_block_cut_keeps_all_results(monkeypatch):
+    """Tiles of more than k rows with the query's own row, repeated, ties, and rows under the floor."""
+    monkeypatch.setattr(topk, "_TILE", (2, 25))
     rng = np.random.default_rng(4)
-    x = np.concatenate([np.arange(1.0, 61.0), [500.0, 500.0]])[:, None]
-    ids = np.concatenate([rng.permutation(60), [99, 99]])
-    rows = pd.DataFrame({"vec_id": ids, "v": list(x)})
-    for floor in (float("-inf"), 100.0, 5990.0):
-        asked = pd.DataFrame({"query_id": [99], "v": [[100.0]], "floor": [floor]})
-        got = topk._scan(20)((0, 0, 0), rows, asked)
-        want = sorted(((int(100 * v), int(i)) for v, i in zip(x[:, 0], ids, strict=True) if i != 99 and 100 * v >= floor), key=lambda r: (-r[0], r[1]))[:20]
-        assert sorted(zip(got["score"], got["vec_id"], strict=True), key=lambda r: (-r[0], r[1])) == want
+    x = np.concatenate([rng.integers(1, 30, 60), [500, 500]])[:, None]
+    ids = np.concatenate([np.sort(rng.permutation(60)), [99, 99]])
+    for floor in (float("-inf"), 100.0, 2500.0):
+        i, j, s = topk.best_of_block(ids, np.arange(62) % 2, x, np.array([99, 3, 4]), np.full(3, floor), np.full((3, 1), 100), np.array([[1, 1], [1, 1], [1, 0]], bool), 20)
+        for q, own, rings in ((0, 99, (0, 1)), (1, 3, (0, 1)), (2, 4, (0,))):
+            want = sorted(((int(100 * v), int(d)) for n, (v, d) in enumerate(zip(x[:, 0], ids, strict=True)) if d != own and 100 * v >= floor and n % 2 in rings), key=lambda r: (-r[0], r[1]))[:20]
+            assert list(zip(s[i == q].tolist(), ids[j[i == q]].tolist(), strict=True)) == want
+
+
+def test_topk_many_blocks_and_parts(spark):
+    """Small blocks and parts, ties, repeated and null ids, short vectors, large numbers, and the empty table."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i % 250), [float(v) for v in rng.integers(-3, 3, 3 if i % 7 else 2)]) for i in range(300)] + [(None, [1.0, 1.0, 1.0]), (400, [1e6, 5.0, 5.0])]
+    v = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.search(v, v.where("vec_id % 50 = 0"), 7, block_rows=20, part_queries=2).collect()
+    held = [(i, np.array([*(64 * np.array(x)), 0.0])[:3]) for i, x in rows if i is not None]
+    for q in range(0, 401, 50):
+        own = {tuple(x) for i, x in held if i == q}
+        want = sorted(((int(np.array(o) @ y), i) for o in own for i, y in held if i != q), key=lambda r: (-r[0], r[1]))[:7]
+        assert sorted([(r.score, r.vec_id) for r in got if r.query_id == q], key=lambda r: (-r[0], r[1])) == want
+    assert topk.search(v.limit(0), v, 3).count() == 0
+    assert topk.search(v, v.limit(0), 3).count() == 0
 
 
 def test_topk_cluster_of_near_copies(spark):
