@@ -1,7 +1,7 @@
 """Operator 4: removal of byte strings that an earlier document holds, by suffix arrays.
 
 A string of ``length`` bytes (a window) is repeated if it also starts in a document with a smaller doc_id; every byte that a
-repeated window covers goes. Windows stay within a document and are judged on the input. All of it is exact.
+repeated window covers goes. Windows stay within a document and are judged on the input.
 
 The corpus is never sorted as one array: windows that can be equal are brought together first. Each window is keyed by
 the least hash among its byte grams of ``GRAM`` bytes, so equal windows have equal keys, and neighbouring windows mostly
@@ -9,18 +9,20 @@ share one; a run of windows with one key is a segment.
 
 1. Texts are dealt into groups by doc_id and stored once, as a table bucketed by group, which the later steps join
    without shuffling texts again.
-2. Each group says which keys it has, once each. Keys that two groups have, or two documents of a group, are shared.
+2. Each group says which keys it has, once each, and how many segments. Keys that two groups have, or two documents of
+   a group, are shared; those of more than ``HOT`` segments in all are hot.
 3. Of its segments with shared keys each group says the content (a hash of their text), once each, with the least
-   doc_id. Where a smaller doc_id has an equal segment, all its windows are repeated. The others give their text, so
-   each different text counts once.
+   doc_id, to a share by content. Where a smaller doc_id has an equal segment, all its windows are repeated. The others
+   give their text, so each different text counts once.
 4. Segment texts meet by key. A task joins them, each ended by a 0, sorts the suffixes in two stages, and the adjacent
-   common prefixes say which windows are equal; the least doc_id of each class decides. A key with more than ``HOT``
-   different segment texts is dealt by single windows (a hash of each) instead; of equal ones each group gives only those
-   of its least doc_id, so a key has about a row for each group, however many documents hold it.
+   common prefixes say which windows are equal; the least doc_id of each class decides. Segments of hot keys are dealt
+   by single windows (a hash of each) instead; of equal ones each group gives only those of its least doc_id, so that a
+   window has at most a row for each group of about 8 MB, however many documents and surroundings hold it.
 5. Repeated windows go back to the groups as byte ranges.
 
-Keys are 64-bit hashes that only bring windows together. Segments count as equal texts by key and content, 128 bits;
-all else compares bytes.
+Keys are 64-bit hashes that only bring windows together. Segments count as equal texts by a content hash of 128 bits
+over all their bytes (two among 10^11 different segments collide with a probability under 10^-16); all else compares
+bytes.
 
 Defined results: a null text counts as empty; rows with a null doc_id are kept whole and make nothing else go; rows
 with equal doc_id do not count as earlier to each other; texts shorter than ``length`` are kept whole; an empty table
@@ -140,102 +142,114 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _blobs(x: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.array([v.tobytes() for v in np.split(x, at[1:])] if len(x) else [], pa.binary())
+
+
 def _say_keys(shares: int):
+    """Keys and how many segments have them (255 and more count as 255), to each key's share."""
+
     def run(rows: pa.Table) -> pa.Table:
-        keys = np.unique(_group(rows)[4][2])
+        keys, count = np.unique(_group(rows)[4][2], return_counts=True)
         share = (keys % np.uint64(shares)).astype(np.int64)
         order = np.argsort(share, kind="stable")
-        keys, share = keys[order], share[order]
+        keys, share, count = keys[order], share[order], np.minimum(count[order], 255).astype(np.uint8)
         at, _ = _runs(share)
-        blobs = [x.tobytes() for x in np.split(keys, at[1:])] if len(keys) else []
         group = rows.column("_group")[0].as_py()
-        return pa.table({"share": pa.array(share[at], pa.int32()), "_group": pa.array([group] * len(blobs), pa.int32()), "keys": pa.array(blobs, pa.binary())})
+        return pa.table({"share": pa.array(share[at], pa.int32()), "_group": pa.array([group] * len(at), pa.int32()), "keys": _blobs(keys, at), "counts": _blobs(count, at)})
 
     return run
 
 
-def _find_shared(rows: pa.Table) -> pa.Table:
-    """Keys that two groups have, back to their groups."""
-    blobs = [np.frombuffer(b, np.uint64) for b in rows.column("keys").to_pylist()]
-    groups = np.repeat(rows.column("_group").to_numpy(), [len(b) for b in blobs])
-    keys = np.concatenate(blobs)
-    order = np.argsort(keys)
-    keys, groups = keys[order], groups[order]
-    _, run = _runs(keys)
-    again = np.bincount(run)[run] > 1
-    keys, groups = keys[again], groups[again]
-    order = np.argsort(groups, kind="stable")
-    keys, groups = keys[order], groups[order]
-    at, _ = _runs(groups)
-    parts_ = [x.tobytes() for x in np.split(keys, at[1:])] if len(keys) else []
-    return pa.table({"_group": pa.array(groups[at], pa.int32()), "keys": pa.array(parts_, pa.binary())})
+def _find_shared(hot: int):
+    """Keys that two groups have, and whether they are hot, back to their groups."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(b, np.uint64) for b in rows.column("keys").to_pylist()]
+        groups = np.repeat(rows.column("_group").to_numpy(), [len(b) for b in blobs])
+        keys, count = np.concatenate(blobs), np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8)
+        order = np.argsort(keys)
+        keys, groups, count = keys[order], groups[order], count[order]
+        _, run = _runs(keys)
+        again = np.bincount(run)[run] > 1
+        wide = (np.bincount(run, count) > hot)[run]
+        keys, groups, wide = keys[again], groups[again], wide[again]
+        order = np.argsort(groups, kind="stable")
+        keys, groups, wide = keys[order], groups[order], wide[order]
+        at, _ = _runs(groups)
+        return pa.table({"_group": pa.array(groups[at], pa.int32()), "keys": _blobs(keys, at), "hot": _blobs(wide, at)})
+
+    return run
 
 
 _SEGMENTS = "_group int, row long, doc long, at long, windows int, key long, text binary, hot boolean"
 _NAMES = ["_group", "row", "doc", "at", "windows", "key", "text", "hot"]
 _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
-_SAID = "share int, _group int, keys binary, contents binary, docs binary, at binary"
+_SAID = "share int, _group int, contents binary, more binary, docs binary, at binary"
+_IS_HOT = np.uint32(1 << 31)
 
 
-def _say_contents(length: int, shares: int):
-    """Shared segments by content: (key, content, doc_id, index in the group) to the key's share; those that an equal one in the group makes repeated to a share of the group's own."""
+def _say_contents(length: int, shares: int, hot: int):
+    """Shared segments by content: (content of two numbers, doc_id, index in the group and whether the key is hot) to the content's share; those that an equal one in the group makes repeated to a share of the group's own."""
 
     def run(rows: pa.Table, shared: pa.Table) -> pa.Table:
         give_back()
         data, _, docs, row, (at, count, key) = _group(rows)
-        known = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared.column("keys").to_pylist()])) if shared.num_rows else np.empty(0, np.uint64)
+        known, wide = np.frombuffer(b"".join(shared.column("keys").to_pylist()), np.uint64), np.frombuffer(b"".join(shared.column("hot").to_pylist()), bool)
+        order = np.argsort(known)
+        known, wide = known[order], wide[order]
         doc = docs[row]
         order = np.argsort(key)
         begin, nth = _runs(key[order])
-        many = np.zeros(len(key), bool)
+        many, is_hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
         if len(key):
             d = doc[order]
             many[order] = (np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin))[nth]
+            is_hot[order] = (np.bincount(nth) > hot)[nth]
             if len(known):
-                many |= known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+                place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                there = known[place] == key
+                many |= there
+                is_hot |= there & wide[place]
         pick = np.flatnonzero(many)
-        key, doc = key[pick], doc[pick]
-        own = _content(data, at[pick], count[pick] + length - 1)
-        order = np.lexsort((doc, own, key))
+        doc, index = doc[pick], pick.astype(np.uint32) | is_hot[pick] * _IS_HOT
+        own, more = _content(data, at[pick], count[pick] + length - 1)
+        order = np.lexsort((doc, more, own))
         new = np.ones(len(order), bool)
-        new[1:] = (key[order[1:]] != key[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
+        new[1:] = (more[order[1:]] != more[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
         later = doc[order] > doc[order[lead]]
         say = order[~later]  # equal segments of one document speak each for itself
-        share = (key[say] % np.uint64(shares)).astype(np.int64)
+        share = (own[say] % np.uint64(shares)).astype(np.int64)
         say, share = say[by := np.argsort(share, kind="stable")], share[by]
         cuts, _ = _runs(share)
         split = lambda x: [v.tobytes() for v in np.split(x, cuts[1:])] if len(x) else []
         group = (rows if rows.num_rows else shared).column("_group")[0].as_py()
-        cols = [share[cuts].tolist() + [shares + group], [group] * (len(cuts) + 1), split(key[say]) + [b""], split(own[say]) + [b""], split(doc[say]) + [b""], split(pick[say].astype(np.uint32)) + [pick[order[later]].astype(np.uint32).tobytes()]]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], names=["share", "_group", "keys", "contents", "docs", "at"])
+        cols = [share[cuts].tolist() + [shares + group], [group] * (len(cuts) + 1), split(own[say]) + [b""], split(more[say]) + [b""], split(doc[say]) + [b""], split(index[say]) + [index[order[later]].tobytes()]]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], names=["share", "_group", "contents", "more", "docs", "at"])
 
     return run
 
 
-def _choose(shares: int, hot: int):
-    """Back to the groups, by index: segments that speak for their text (kind 1; 2 if their key is hot) and those that are repeated (0)."""
+def _choose(shares: int):
+    """Back to the groups, by index: segments that speak for their text (kind 1) and those that are repeated (0)."""
 
     def run(rows: pa.Table) -> pa.Table:
         names = ["_group", "kind", "at"]
         if rows.column("share")[0].as_py() >= shares:
             return pa.table([rows.column("_group"), pa.array([bytes(len(b) // 4) for b in rows.column("at").to_pylist()], pa.binary()), rows.column("at")], names=names)
         joined = lambda c, t: np.concatenate([np.frombuffer(b, t) for b in rows.column(c).to_pylist()])
-        key, own, doc, at = (joined(c, t) for c, t in (("keys", np.uint64), ("contents", np.uint64), ("docs", np.int64), ("at", np.uint32)))
-        group = np.repeat(rows.column("_group").to_numpy(), [len(b) // 8 for b in rows.column("keys").to_pylist()])
-        order = np.lexsort((doc, own, key))
-        key, own, at, group = key[order], own[order], at[order], group[order]
+        own, more, doc, at = (joined(c, t) for c, t in (("contents", np.uint64), ("more", np.uint64), ("docs", np.int64), ("at", np.uint32)))
+        group = np.repeat(rows.column("_group").to_numpy(), [len(b) // 8 for b in rows.column("docs").to_pylist()])
+        order = np.lexsort((doc, more, own))
+        own, more, at, group, doc = own[order], more[order], at[order], group[order], doc[order]
         new = np.ones(len(order), bool)
-        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-        _, nth = _runs(key)
-        doc = doc[order]
-        speaks = doc == doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-        kind = np.where(speaks, 1 + (np.bincount(nth, new) > hot)[nth], 0)
+        new[1:] = (own[1:] != own[:-1]) | (more[1:] != more[:-1])
+        kind = doc == doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         order = np.argsort(group, kind="stable")
         group, kind, at = group[order], kind[order].astype(np.uint8), at[order]
         cuts, _ = _runs(group)
-        blobs = lambda x: pa.array([v.tobytes() for v in np.split(x, cuts[1:])], pa.binary())
-        return pa.table([pa.array(group[cuts], pa.int32()), blobs(kind), blobs(at)], names=names)
+        return pa.table([pa.array(group[cuts], pa.int32()), _blobs(kind, cuts), _blobs(at, cuts)], names=names)
 
     return run
 
@@ -247,9 +261,9 @@ def _give_segments(length: int):
         give_back()
         data, off, docs, row, (at, count, key) = _group(rows)
         kinds = np.frombuffer(b"".join(chosen.column("kind").to_pylist()), np.uint8)
-        picks = np.frombuffer(b"".join(chosen.column("at").to_pylist()), np.uint32).astype(np.int64)
-        of = lambda k: np.sort(picks[kinds == k])
-        gone, plain, hot = of(0), of(1), of(2)
+        picks = np.frombuffer(b"".join(chosen.column("at").to_pylist()), np.uint32)
+        of = lambda use: np.sort((picks[use] & ~_IS_HOT).astype(np.int64))
+        gone, plain, hot = of(kinds == 0), of((kinds == 1) & (picks < _IS_HOT)), of((kinds == 1) & (picks >= _IS_HOT))
         # neighbours become one range
         new = np.ones(len(gone), bool)
         new[1:] = (at[gone[1:]] > at[gone[:-1]] + count[gone[:-1]]) | (row[gone[1:]] != row[gone[:-1]])
@@ -272,33 +286,44 @@ def _give_segments(length: int):
     return run
 
 
-def _content(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each text of ``size`` bytes (8 or more) at ``at``."""
-    out = np.zeros(len(at), np.uint64)
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The number of 8 bytes that begins at each place."""
+    return np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data), 0, (1,))
+
+
+def _content(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each text of ``size`` bytes (8 or more) at ``at``."""
+    out, more = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    eight = _eight(data)
     for a in range(0, len(at), 1 << 15):
         p, n = at[a : a + (1 << 15)], size[a : a + (1 << 15)]
-        w = out[a : a + (1 << 15)]
+        w, v = out[a : a + (1 << 15)], more[a : a + (1 << 15)]
         w += n.astype(np.uint64)
-        for o in range(0, int(n.max()), 8):
+        for o in range(0, int(n.max(initial=0)), 8):
             live = np.flatnonzero(n > o)
-            place = p[live] + np.minimum(o, n[live] - 8)  # the last word ends with the text
-            bytes8 = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[place]).view("<u8")[:, 0]
+            bytes8 = eight[p[live] + np.minimum(o, n[live] - 8)]  # the last word ends with the text
             h = (w[live] ^ bytes8) * _C[0]
             w[live] = (h ^ h >> np.uint64(32)) * _C[1] + np.uint64(o)
-    return out
+            h = (v[live] + bytes8) * _C[2]
+            v[live] = (h ^ h >> np.uint64(29)) * _C[0] ^ np.uint64(o)
+    return out, more
 
 
 def _single(data: np.ndarray, hot: np.ndarray, at: np.ndarray, count: np.ndarray, key: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, segment, content) of the windows of hot segments that speak, those of the least doc_id in the group, and (place, segment) of the others."""
+    """(place, segment, hash) of the windows of hot segments that speak, those of the least doc_id in the group, and (place, segment) of the others."""
     n = count[hot]
     of = np.repeat(hot, n)
     place = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    own = _content(data, place, np.full(len(place), length))
-    order = np.lexsort((doc[of], own, key[of]))
+    own, _ = _content(data, place, np.full(len(place), length))
+    order = np.lexsort((doc[of], own))
     of, place, own = of[order], place[order], own[order]
     new = np.ones(len(of), bool)
-    new[1:] = (key[of[1:]] != key[of[:-1]]) | (own[1:] != own[:-1])
-    later = doc[of] > doc[of[np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))]]
+    new[1:] = own[1:] != own[:-1]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))
+    later = doc[of] > doc[of[lead]]
+    eight = _eight(data)
+    for o in (*range(0, length - 8, 8), length - 8):  # windows of one hash whose bytes differ speak for themselves
+        later &= eight[place + o] == eight[place[lead] + o]
     return place[~later], of[~later], own[~later], place[later], of[later]
 
 
@@ -409,10 +434,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt.repartition(tasks, "_group").write.option("compression", "zstd").option("path", new_path(spark, "texts")).bucketBy(tasks, "_group").saveAsTable(name)
     texts = spark.table(name)
     bare = texts.select("_group", "_row", "_doc", "_bytes")
-    said = bare.groupBy("_group").applyInArrow(_say_keys(tasks), "share int, _group int, keys binary")
-    shared = written(said.groupBy("share").applyInArrow(_find_shared, "_group int, keys binary"), "shared")
-    said = bare.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_say_contents(length, tasks), _SAID)
-    chosen = written(said.groupBy("share").applyInArrow(_choose(tasks, HOT), "_group int, kind binary, at binary"), "chosen")
+    said = bare.groupBy("_group").applyInArrow(_say_keys(tasks), "share int, _group int, keys binary, counts binary")
+    shared = written(said.groupBy("share").applyInArrow(_find_shared(HOT), "_group int, keys binary, hot binary"), "shared")
+    said = bare.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_say_contents(length, tasks, HOT), _SAID)
+    chosen = written(said.groupBy("share").applyInArrow(_choose(tasks), "_group int, kind binary, at binary"), "chosen")
     forget(shared, shuffles=True)
     given = bare.groupBy("_group").cogroup(chosen.groupBy("_group")).applyInArrow(_give_segments(length), _SEGMENTS)
     met = given.repartition(tasks, "key").sortWithinPartitions("key")
@@ -429,9 +454,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` as they are without repeated strings, with the same columns; n_chars follows the text."""
-    out = remove_repeats(docs, length)
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*docs.columns)
+    """``docs`` as they are without repeated strings, with the same columns, whatever their names; n_chars follows the text."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    out = remove_repeats(rows, length)
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

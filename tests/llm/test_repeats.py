@@ -1,4 +1,6 @@
 import hashlib
+import os
+import uuid
 from collections import defaultdict
 
 import duckdb
@@ -73,10 +75,45 @@ def test_hot_passage_speaks_once_a_group(spark, monkeypatch):
     texts = [(d, hashlib.sha256(b"a%d" % d).hexdigest() + passage + hashlib.sha256(b"b%d" % d).hexdigest()) for d in range(500)]
     whole = pa.table({"_group": pa.array([0] * 500, pa.int32()), "_row": list(range(500)), "_doc": [d for d, _ in texts], "_bytes": [t.encode() for _, t in texts]})
     n = len(repeats._group(whole)[4][0])
-    chosen = pa.table({"_group": pa.array([0], pa.int32()), "kind": [bytes([2]) * n], "at": [np.arange(n, dtype=np.uint32).tobytes()]})
+    chosen = pa.table({"_group": pa.array([0], pa.int32()), "kind": [bytes([1]) * n], "at": [(np.arange(n, dtype=np.uint32) | repeats._IS_HOT).tobytes()]})
     given = repeats._give_segments(50)(whole, chosen).to_pylist()
     said = [r["text"] for r in given if r["text"] is not None]
     assert len(said) == len(set(said)) and any(t in passage.encode() for t in said)
     df = spark.createDataFrame(texts, "doc_id long, text string")
     have = [(r.doc_id, r.repeat_bytes, r.repeat_bytes - len(r.repeat_kept), len(r.repeat_spans), bytes(r.repeat_kept)) for r in repeats.remove_repeats(df).collect()]
     assert digest(have) == digest(brute(texts))
+
+
+def test_line_in_many_surroundings_meets_evenly(spark, monkeypatch, tmp_path):
+    """One 60-byte line in 20,000 different surroundings: it goes from all but the first, and no task gets much more than another."""
+    line = "all rights are reserved by those that hold rights, say these."[:60]
+    texts = [(d, f"{hashlib.sha256(b'a%d' % d).hexdigest()}{line}{hashlib.sha256(b'b%d' % d).hexdigest()}") for d in range(20_000)]
+    decide, folder = repeats._decide, str(tmp_path)
+
+    def counted(length):
+        run = decide(length)
+
+        def count(batches):
+            n = 0
+
+            def seen():
+                nonlocal n
+                for b in batches:
+                    n += b.num_rows
+                    yield b
+
+            yield from run(seen())
+            open(f"{folder}/{uuid.uuid4().hex}-{n}", "w").close()
+
+        return count
+
+    monkeypatch.setattr(repeats, "_decide", counted)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r for r in repeats.remove_repeats(df).select("doc_id", "repeat_kept", "repeat_spans").collect()}
+    assert len(got) == len(texts) and not got[0].repeat_spans
+    for d, t in texts[1:]:
+        (span,) = got[d].repeat_spans
+        # the surroundings may share a character or two with an earlier document's
+        assert span.start <= 64 and span.end >= 124 and span.end - span.start < 75
+    sizes = sorted(int(f.rsplit("-")[-1]) for f in os.listdir(folder))
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2], sizes
