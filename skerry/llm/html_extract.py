@@ -1,9 +1,11 @@
 """Operator 1: main text of web pages, from flat text blocks that a decision tree classifies.
 
 A page becomes a flat list of text blocks (block-level tags end a block; inline tags do not). Each block has its word
-count, link density, the same two of its neighbours, and the kind of region it stands in: 1 inside an article or main
-element, -1 inside a menu, header, footer, sidebar, notice, advert, form or comment thread, 0 elsewhere. A decision tree
-fitted to a small table of labelled blocks keeps or drops each block.
+count and link density, the same two of its neighbours, and one hint, the place that markup gives it: 1 inside an
+article or main element, -2 inside an element that is made for other things (menu, aside, footer, form, comment thread,
+hidden), -1 where a class or id is such a name ("ad", "cookie-notice"), -0.5 where such a name is only part of one, 0
+elsewhere. A decision tree fitted to a small table of labelled blocks keeps or drops each block. Link density and words
+head the tree; the hint decides only among blocks that these leave open.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones
 left out, and the kept ones joined by one line feed in page order. ``<br>`` is white space. Nothing is cut.
@@ -25,49 +27,30 @@ from pyspark.sql import functions as F
 
 from skerry.llm.common import table
 
-FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "region"]
+FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "hint"]
 
-#: Labelled blocks: the features in their order, then 1 for main text and 0 for the rest.
+#: Labelled blocks, a family of similar ones a line: label (1 main text), hint and link density; numbers of words; and
+#: neighbourhoods (words and link density before, words and link density after).
 LABELLED = """
-6 1.0 0 0.0 4 1.0 -1 0
-4 1.0 6 1.0 9 0.0 -1 0
-9 0.0 4 1.0 12 0.0 -1 0
-40 0.0 9 0.0 11 0.0 -1 0
-85 0.0 30 0.0 25 0.0 -1 0
-3 0.0 60 0.0 5 0.0 -1 0
-1 0.0 90 0.0 0 0.0 -1 0
-22 0.1 70 0.0 18 0.1 -1 0
-12 0.0 3 0.5 80 0.0 1 1
-95 0.0 12 0.0 60 0.0 1 1
-60 0.1 95 0.0 1 0.0 1 1
-1 0.0 60 0.0 44 0.0 1 1
-2 0.0 1 0.0 0 0.0 1 1
-44 0.0 1 0.0 7 0.0 1 1
-7 0.2 44 0.0 15 0.0 1 1
-150 0.0 80 0.0 3 1.0 1 1
-5 1.0 50 0.0 40 0.0 1 1
-1 1.0 2 0.0 3 0.0 1 1
-8 0.0 0 0.0 6 1.0 -1 0
-30 0.5 22 0.3 3 1.0 -1 0
-5 1.0 6 1.0 7 1.0 0 0
-7 1.0 5 1.0 4 0.9 0 0
-3 0.0 7 1.0 5 1.0 0 0
-4 0.9 3 0.0 2 1.0 0 0
-2 0.0 1 0.0 3 0.0 0 0
-6 0.0 2 0.0 4 0.5 0 0
-14 0.6 6 1.0 8 0.7 0 0
-25 0.7 14 0.6 10 0.8 0 0
-8 0.0 3 1.0 5 0.0 0 0
-10 0.0 5 1.0 90 0.0 0 1
-9 0.0 40 0.0 70 0.0 0 1
-75 0.0 10 0.0 50 0.0 0 1
-50 0.1 75 0.0 3 1.0 0 1
-32 0.0 4 1.0 35 0.0 0 1
-35 0.0 32 0.0 2 1.0 0 1
-18 0.0 60 0.0 45 0.0 0 1
-4 0.0 55 0.0 65 0.0 0 1
-28 0.1 20 0.0 5 0.0 0 1
-110 0.2 0 0.0 0 0.0 0 1
+0 -2 1.0 | 1 4 9 | 0 0 4 1; 4 1 5 1; 60 0 3 1; 5 1 0 0
+0 0 0.9 | 1 5 14 30 | 0 0 4 1; 5 1 4 0.9; 3 0 6 1; 70 0 5 1; 60 0 60 0; 90 0 0 0
+0 0 0.5 | 3 14 30 | 6 1 8 0.7; 80 0 0 0; 22 0.3 3 1; 60 0 60 0
+0 1 0.9 | 2 5 9 20 | 50 0 4 1; 4 1 40 0; 60 0 60 0; 3 0 3 0; 6 1 5 1
+0 1 0.5 | 2 5 9 20 | 50 0 4 1; 4 1 40 0; 60 0 60 0; 3 0 3 0; 6 1 5 1
+0 -0.5 0.8 | 3 8 30 | 40 0 70 0; 5 1 5 1
+0 -1 0.5 | 3 8 30 | 40 0 70 0; 5 1 5 1
+0 -2 0 | 2 5 9 16 30 60 | 60 0 0 0; 4 1 5 1; 100 0 20 0; 8 0 70 0
+0 -1 0 | 2 4 8 14 24 40 | 1 1 8 0; 9 0 11 0; 60 0 55 0; 100 0 0 0
+1 -1 0 | 50 70 95 150 | 70 0 60 0; 90 0 120 0; 75 0 6 0; 12 0 80 0
+1 1 0 | 1 2 4 7 12 25 60 150 | 6 1 8 0; 40 0 44 0; 1 0 2 0; 70 0 5 1; 12 0 60 0; 90 0 0 0; 3 0 5 0; 4 0 0 0; 2 0 20 0; 2 0 4 1; 1 0 3 0.6
+1 1 0.2 | 7 60 150 | 44 0 15 0; 95 0 1 0; 3 0 4 0
+1 -0.5 0 | 6 9 12 | 6 1 60 0; 80 0 40 0; 8 0 70 0; 70 0 4 1
+1 -0.5 0 | 25 45 90 | 9 0 45 0; 40 0 4 1; 80 0 70 0
+0 -0.5 0 | 3 5 8 | 3 1 4 0.8; 2 1 3 0.5; 6 1 8 0
+0 0 0 | 2 4 6 8 | 7 1 5 1; 1 1 3 0; 3 1 5 0; 1 1 9 0; 5 1 0 0; 2 0 4 0.5; 9 0.9 4 0.7
+1 0 0 | 3 6 9 | 5 1 30 0; 4 1 90 0; 40 0 70 0; 55 0 25 0; 8 0 60 0
+1 0 0 | 5 8 12 20 | 60 0 3 1; 45 0 2 1; 70 0 5 1
+1 0 0 | 18 32 75 150 | 10 0 50 0; 75 0 3 1; 4 1 35 0; 32 0 2 1; 60 0 45 0; 0 0 0 0; 6 1 4 1; 3 0 5 0
 """
 
 #: Elements whose content is no text of the page.
@@ -80,46 +63,63 @@ _TOKEN = re.compile(
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _AWAY = frozenset("nav aside footer form dialog menu fieldset".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:(?P<thread>comments?|respond|replies|disqus)|(?:ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|promotion|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter"
-    r"|subscribe|signup|sidebar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|login|search))(?:$|[\s_-])",
-    re.IGNORECASE,
+_THREAD = frozenset("comment comments respond replies disqus commentlist".split())
+_OTHERS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation"
+    " breadcrumb breadcrumbs header masthead footer share sharing social related recommended widget toolbar pagination pager login search".split()
 )
+_WORDS = re.compile(r"[a-z0-9]+")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 
-def _region(tag: str, attributes: str, above: tuple[int, bool]) -> tuple[int, bool]:
-    """(region, whether an article inside can end it) of an element whose parent has ``above``."""
-    region, firm = above
-    if firm:
+def _named(attributes: str) -> tuple[bool, float]:
+    """(whether a class or id names a comment thread, the hint of its names: -1, -0.5 or 0)."""
+    hint = 0.0
+    for m in _NAMED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = _WORDS.findall(name)
+            if words and words[0] in _THREAD:
+                return True, -1.0
+            others = sum(w in _OTHERS for w in words)
+            if others:  # "share-box" is one, "post-header" and "text-share-price" may be
+                hint = min(hint, -1.0 if others == len(words) or words[0] in _OTHERS else -0.5)
+    return False, hint
+
+
+def _region(tag: str, attributes: str, above: tuple[float, bool]) -> tuple[float, bool]:
+    """(hint, whether nothing inside can end it) of an element whose parent has ``above``."""
+    hint, firm = above
+    if firm or tag in ("html", "body"):
         return above
-    names = " ".join(filter(None, (x for m in _NAMED.finditer(attributes) for x in m.groups()))) if attributes else ""
-    hint = _HINT.search(names) if names else None
-    if tag in ("html", "body"):
-        return above
-    if tag in _AWAY or hint and hint["thread"] or attributes and _UNSEEN.search(attributes):
-        return -1, True
+    thread, named = _named(attributes) if attributes else (False, 0.0)
+    if tag in _AWAY or thread or attributes and _UNSEEN.search(attributes):
+        return -2.0, True
     if tag in ("article", "main"):
-        return (-1, False) if hint else (1, False)
-    if hint or tag == "header" and region != 1:
-        return -1, False
-    return above
+        return 1.0, False
+    if tag == "header" and hint != 1:
+        return -1.0, False
+    if not named:
+        return above
+    if hint == 1 and named == -0.5:  # a part of a name says nothing inside an article
+        return above
+    return min(hint, named), False
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int]]:
-    """The page's text blocks in order: text, words, words in links, region."""
-    out: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, tuple[int, bool]]] = []
-    state, parts, links, in_link, at, in_head = (0, False), [], 0, False, 0, False
+def blocks(page: str) -> list[tuple[str, int, int, float]]:
+    """The page's text blocks in order: text, words, words in links, hint."""
+    out: list[tuple[str, int, int, float]] = []
+    stack: list[tuple[str, tuple[float, bool]]] = []
+    state, parts, links, in_link, at, in_head = (0.0, False), [], 0, False, 0, False
+    paragraph = None  # the state of a paragraph with attributes of its own: it ends with its block
 
     def end_block() -> None:
-        nonlocal parts, links
+        nonlocal parts, links, paragraph
         if parts:
             words = html.unescape("".join(parts)).split()
             if words:
-                out.append((" ".join(words), len(words), min(links, len(words)), state[0]))
-        parts, links = [], 0
+                out.append((" ".join(words), len(words), min(links, len(words)), (paragraph or state)[0]))
+        parts, links, paragraph = [], 0, None
 
     def add(text: str) -> None:
         nonlocal links
@@ -148,6 +148,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             in_head = not closing
         elif tag == "body":
             in_head = False
+        if tag == "p" and not closing and attributes:
+            paragraph = _region(tag, attributes, state)
         if tag in _VOID or tag in ("p", "head", "html", "body"):
             continue
         if not closing:
@@ -164,7 +166,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def block_features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
+def block_features(found: list[tuple[str, int, int, float]]) -> np.ndarray:
     if not found:
         return np.empty((0, len(FEATURES)))
     words = np.array([b[1] for b in found], float)
@@ -176,7 +178,7 @@ def block_features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
 Node = tuple[int, float, "Node", "Node"] | int
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, max_depth: int = 6) -> Node:
+def fit_tree(x: np.ndarray, y: np.ndarray, max_depth: int = 8) -> Node:
     """A binary classification tree by Gini impurity; (feature, threshold, tree where at most it, tree where over) or a class."""
     ones = int(y.sum())
     if max_depth == 0 or ones in (0, len(y)):
@@ -202,9 +204,19 @@ def decide(tree: Node, row) -> int:
     return tree
 
 
-def train(labelled: str = LABELLED) -> Node:
-    """The tree for a table of labelled blocks (text; a line a block)."""
-    rows = np.array([[float(v) for v in line.split()] for line in labelled.strip().splitlines()])
+def labelled_blocks(families: str = LABELLED) -> np.ndarray:
+    """The table's rows: ``FEATURES``, then the label."""
+    rows = []
+    for line in families.strip().splitlines():
+        head, words, near = line.split("|")
+        label, hint, density = (float(v) for v in head.split())
+        rows += [[float(n), density, *(float(v) for v in around.split()), hint, label] for n in words.split() for around in near.split(";")]
+    return np.array(rows)
+
+
+def train(families: str = LABELLED) -> Node:
+    """The tree for a table of labelled blocks."""
+    rows = labelled_blocks(families)
     return fit_tree(rows[:, :-1], rows[:, -1].astype(int))
 
 
