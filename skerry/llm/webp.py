@@ -2,12 +2,18 @@
 
 The decoder reads prefix codes (simple and coded lengths, one group or a group a block), literals, back-references and
 the colour cache, and inverts predictor, cross-colour, subtract-green and palette transforms. Pixels are ARGB in one
-unsigned 32-bit number each. Images whose five prefix codes all have one length for all their symbols, and no colour
-cache, are read by columns of bits at once; all others go pixel by pixel.
+unsigned 32-bit number each. In an image of one group of codes, what a symbol is and where the next begins is looked up
+for all bit places of a piece at once; then the places are followed. Images of several groups go pixel by pixel.
+
+The encoder writes code lengths from the histogram and back-references of ``SHORTEST`` pixels and more. Up to 16 shades
+become a palette of packed indices; others are literals under subtract-green, after the left or top predictor where the
+histogram of its residuals is cheaper.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 #: Fixed values of the format: the order of code length codes.
@@ -17,6 +23,9 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 MAX_SIDE = 1 << 14
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_FACTOR = 0x1E35A7BD
+LONGEST_CODE, LONGEST_MATCH, SHORTEST = 15, 4096, 6
+#: Bytes of a piece whose bit places are looked up at once.
+PIECE = 1 << 14
 
 
 class Bits:
@@ -32,55 +41,49 @@ class Bits:
             raise ValueError("the image ends too early")
         return int.from_bytes(self.data[a >> 3 : (a + n + 7) >> 3], "little") >> (a & 7) & ((1 << n) - 1)
 
-    def block(self, n: int) -> np.ndarray:
-        """The next n bits as an array."""
-        a = self.at
-        self.at = a + n
-        if self.at > 8 * len(self.data):
-            raise ValueError("the image ends too early")
-        raw = np.frombuffer(self.data, np.uint8, ((a + n + 7) >> 3) - (a >> 3), a >> 3)
-        return np.unpackbits(raw, bitorder="little")[a & 7 : (a & 7) + n]
+
+
+_REVERSED: dict[int, np.ndarray] = {}
+
+
+def _reversed(width: int) -> np.ndarray:
+    """Each number of ``width`` bits with its bits in the other order."""
+    if width not in _REVERSED:
+        out = np.zeros(1 << width, np.int64)
+        for i in range(width):
+            out |= (np.arange(1 << width) >> i & 1) << (width - 1 - i)
+        _REVERSED[width] = out
+    return _REVERSED[width]
+
+
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols by code, their lengths): shorter codes first, then smaller symbols."""
+    used = np.flatnonzero(lengths)
+    symbols = used[np.argsort(lengths[used], kind="stable")]
+    return symbols, lengths[symbols]
 
 
 class Code:
-    """A canonical prefix code. ``width``: the length that all its symbols have (0: one symbol, no bits), or None."""
+    """A canonical prefix code as tables of the next ``longest`` bits: the symbol, and how many bits it takes."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
-        if not len(used):
+        symbols, sizes = canonical(lengths)
+        if not len(symbols):
             raise ValueError("a prefix code without symbols")
-        self.symbols = used[np.argsort(lengths[used], kind="stable")]
-        sizes = lengths[self.symbols]
-        self.width: int | None = None
-        self.table: dict[tuple[int, int], int] = {}
-        if len(used) == 1:
-            self.width = 0
-            return
-        if (sizes == sizes[0]).all() and len(used) == 1 << int(sizes[0]):
-            self.width = int(sizes[0])
+        if len(symbols) == 1:  # one symbol takes no bits
+            self.longest, self.symbol, self.size = 0, symbols, np.zeros(1, np.int64)
             return
-        code, size = 0, int(sizes[0])
-        for s, n in zip(self.symbols.tolist(), sizes.tolist(), strict=True):
-            code <<= n - size
-            size = n
-            self.table[n, code] = s
-            code += 1
-        if code != 1 << size:
+        self.longest = int(sizes[-1])
+        spans = 1 << (self.longest - sizes)
+        if spans.sum() != 1 << self.longest:
             raise ValueError("an incomplete or overfull prefix code")
-        self.longest = size
+        order = _reversed(self.longest)
+        self.symbol, self.size = np.repeat(symbols, spans)[order], np.repeat(sizes, spans)[order]
 
     def read(self, bits: Bits) -> int:
-        if self.width is not None:
-            code = 0
-            for _ in range(self.width):
-                code = code << 1 | bits.read(1)
-            return int(self.symbols[code])
-        code = 0
-        for n in range(1, self.longest + 1):
-            code = code << 1 | bits.read(1)
-            if (s := self.table.get((n, code))) is not None:
-                return s
-        raise ValueError("a bit string that no code has")
+        ahead = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 4], "little") >> (bits.at & 7) & ((1 << self.longest) - 1)
+        bits.read(int(self.size[ahead]))
+        return int(self.symbol[ahead])
 
 
 def _read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
@@ -102,9 +105,6 @@ def _read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
         left = 2 + bits.read(n)
         if left > alphabet:
             raise ValueError("more code lengths than symbols")
-    if code.width == 0 and code.symbols[0] < 16:
-        lengths[:left] = code.symbols[0]
-        return lengths
     at, last = 0, 8
     while at < alphabet and left:
         left -= 1
@@ -143,26 +143,21 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     codes = [[Code(_read_lengths(bits, n)) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(groups)]
     count = width * height
     first = codes[0]
-    if groups == 1 and not cache_bits and all(c.width is not None for c in first[:4]) and first[0].symbols.max() < 256:
-        return _read_columns(bits, first[:4], count)
+    if owner is None:
+        return _read_pieces(bits, first, cache_bits, count, width)
     out: list[int] = []
     cache = [0] * (1 << cache_bits)
     fresh = 0  # pixels that the cache has not seen yet begin here
     while len(out) < count:
         at = len(out)
-        g = codes[int(owner[(at // width >> block) * wide + (at % width >> block)])] if owner is not None else first
+        g = codes[int(owner[(at // width >> block) * wide + (at % width >> block)])]
         s = g[0].read(bits)
         if s < 256:
             red, blue, alpha = g[1].read(bits), g[2].read(bits), g[3].read(bits)
             out.append(alpha << 24 | red << 16 | s << 8 | blue)
         elif s < 280:
             length = _number(bits, s - 256)
-            far = _number(bits, g[4].read(bits))
-            if far > 120:
-                far -= 120
-            else:
-                x, y = NEAR[far - 1]
-                far = max(1, x + y * width)
+            far = int(_distance(np.array([_number(bits, g[4].read(bits))]), width)[0])
             if far > at or at + length > count:
                 raise ValueError("a back-reference beyond the image")
             for _ in range(length):
@@ -176,19 +171,132 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _read_columns(bits: Bits, codes: list[Code], count: int) -> np.ndarray:
-    """Pixels where every symbol of a channel has as many bits: green, red, blue, alpha side by side."""
-    whole = bits.block(count * sum(c.width for c in codes)).reshape(count, -1)
-    out, at = np.zeros(count, np.uint32), 0
-    for c, shift in zip(codes, (8, 16, 0, 24), strict=True):
-        number = np.zeros(count, np.intp)
-        for j in range(c.width):
-            number = number << 1 | whole[:, at + j]
-        at += c.width
-        out |= c.symbols.astype(np.uint32)[number] << np.uint32(shift)
+def _distance(code: np.ndarray, width: int) -> np.ndarray:
+    """Pixels back, by distance code."""
+    near = np.array([max(1, x + y * width) for x, y in NEAR])
+    return np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
+
+
+def _extra(prefix: np.ndarray) -> np.ndarray:
+    """How many more bits a length or distance has."""
+    return np.maximum(0, (prefix - 2) >> 1)
+
+
+def _value(prefix: np.ndarray, more: np.ndarray) -> np.ndarray:
+    n = _extra(prefix)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + more + 1)
+
+
+def _read_pieces(bits: Bits, codes: list[Code], cache_bits: int, count: int, width: int) -> np.ndarray:
+    """The pixels of an image of one group of codes."""
+    green, red, blue, alpha, far = codes
+    data = np.frombuffer(bits.data + bytes(32), np.uint8)
+    eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+    ahead = lambda at, n: (eight[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << n) - 1)
+    symbols, pixels, lengths, distances, have = [], [], [], [], 0
+    while have < count:
+        if bits.at >= 8 * len(bits.data):
+            if len(green.symbol) > 1 or green.symbol[0] >= 256 or max(c.longest for c in (red, blue, alpha)):
+                raise ValueError("the image ends too early")
+            n = count - have  # nothing is left to read
+            symbols.append(np.full(n, green.symbol[0]))
+            pixels.append(np.full(n, int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(blue.symbol[0])))
+            lengths.append(np.ones(n, np.int64))
+            distances.append(np.zeros(n, np.int64))
+            break
+        start = bits.at
+        stop = min(8 * len(bits.data), (start >> 3 << 3) + 8 * PIECE)
+        at = np.arange(start, stop)
+        low = ahead(at, green.longest)
+        symbol, then = green.symbol[low], at + green.size[low]
+        literal = symbol < 256
+        for c in (red, blue, alpha):
+            if c.longest:
+                then = np.where(literal, then + c.size[ahead(then, c.longest)], then)
+        back = np.flatnonzero((symbol >= 256) & (symbol < 280))
+        if len(back):
+            more = then[back] + _extra(symbol[back] - 256)
+            low = ahead(more, far.longest)
+            then[back] = more + far.size[low] + _extra(far.symbol[low])
+        if max(c.longest for c in (green, red, blue, alpha)) == 0 and literal[0]:
+            seen = np.zeros(count - have, np.int64)  # one colour, no bits
+        else:
+            follow, walk, p, limit = (then - start).tolist(), [], 0, stop - start
+            room = count - have
+            while p < limit and len(walk) < room:
+                walk.append(p)
+                p = follow[p]
+            seen = np.array(walk)
+        symbol, here = symbol[seen], at[seen]
+        length, gap = np.ones(len(seen), np.int64), np.zeros(len(seen), np.int64)
+        pixel = np.zeros(len(seen), np.int64)
+        lit = np.flatnonzero(symbol < 256)
+        place = here[lit] + green.size[ahead(here[lit], green.longest)]
+        pixel[lit] = symbol[lit] << 8
+        for c, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            low = ahead(place, c.longest)
+            pixel[lit] |= c.symbol[low] << shift
+            place = place + c.size[low]
+        back = np.flatnonzero((symbol >= 256) & (symbol < 280))
+        if len(back):
+            place = here[back] + green.size[ahead(here[back], green.longest)]
+            prefix = symbol[back] - 256
+            n = _extra(prefix)
+            length[back] = _value(prefix, ahead(place, 32) & ((1 << n) - 1))
+            place += n
+            low = ahead(place, far.longest)
+            prefix, place = far.symbol[low], place + far.size[low]
+            gap[back] = _distance(_value(prefix, ahead(place, 32) & ((1 << _extra(prefix)) - 1)), width)
+        ends = np.cumsum(length) + have
+        use = int(np.searchsorted(ends, count)) + 1  # symbols until the image is full
+        symbols.append(symbol[:use])
+        pixels.append(pixel[:use])
+        lengths.append(length[:use])
+        distances.append(gap[:use])
+        if ends[min(use, len(ends)) - 1] > count:
+            raise ValueError("a back-reference beyond the image")
+        have = int(ends[min(use, len(ends)) - 1])
+        bits.at = int(then[seen[min(use, len(ends)) - 1]])
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the image ends too early")
+    symbol, pixel, length, gap = (np.concatenate(x) for x in (symbols, pixels, lengths, distances))
+    at = np.cumsum(length) - length
+    if cache_bits and (symbol >= 280).any():
+        return _with_cache(symbol, pixel, length, gap, cache_bits)
+    out = np.zeros(count, np.uint32)
+    lit = symbol < 256
+    out[at[lit]] = pixel[lit]
+    back = np.flatnonzero(~lit)
+    if (gap[back] > at[back]).any():
+        raise ValueError("a back-reference beyond the image")
+    for a, n, d in zip(at[back].tolist(), length[back].tolist(), gap[back].tolist(), strict=True):
+        if d >= n:
+            out[a : a + n] = out[a - d : a - d + n]
+        else:
+            out[a : a + n] = np.resize(out[a - d : a], n)
     return out
 
 
+def _with_cache(symbol: np.ndarray, pixel: np.ndarray, length: np.ndarray, gap: np.ndarray, cache_bits: int) -> np.ndarray:
+    out: list[int] = []
+    cache = [0] * (1 << cache_bits)
+    fresh = 0
+    for s, p, n, d in zip(symbol.tolist(), pixel.tolist(), length.tolist(), gap.tolist(), strict=True):
+        if s >= 280:
+            for q in out[fresh:]:  # the cache has every pixel before
+                cache[(CACHE_FACTOR * q & 0xFFFFFFFF) >> (32 - cache_bits)] = q
+            fresh = len(out)
+            out.append(cache[s - 280])
+        elif s < 256:
+            out.append(p)
+        else:
+            if d > len(out):
+                raise ValueError("a back-reference beyond the image")
+            for _ in range(n):
+                out.append(out[-d])
+    return np.array(out, np.uint32)
+
+
 def _channels(p: np.ndarray) -> np.ndarray:
     """Alpha, red, green, blue as int64, along a last axis."""
     return p[..., None].astype(np.int64) >> np.array([24, 16, 8, 0]) & 255
@@ -224,6 +332,15 @@ def _predicted(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray,
 def _undo_predictor(p: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
     height, width = p.shape
     c = _channels(p)
+    only = int(modes.flat[0]) if (modes == modes.flat[0]).all() else -1
+    if only in (1, 2):  # sums along rows, or down columns
+        c[0, 0] += [255, 0, 0, 0]
+        c[0] = np.cumsum(c[0], axis=0)
+        if only == 2:
+            return _joined(np.cumsum(c, axis=0))
+        c[:, 0] = np.cumsum(c[:, 0], axis=0)
+        c[1:] = np.cumsum(c[1:], axis=1)
+        return _joined(c)
     for y in range(height):
         for x in range(width):
             if y == 0:
@@ -301,73 +418,234 @@ def decode(data: bytes) -> np.ndarray:
     return p
 
 
-class _Writer:
-    def __init__(self):
-        self.parts: list[np.ndarray] = []
-
-    def put(self, *values: tuple[int, int]) -> None:
-        """(value, bits) pairs."""
-        self.parts.append(np.array([v >> i & 1 for v, n in values for i in range(n)], np.uint8))
-
-    def bytes(self) -> bytes:
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+class Writer:
+    """Collects (value, bits) pairs, lowest bit first; a value has at most 64 bits."""
 
+    def __init__(self):
+        self.values: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
 
-def _even_code(w: _Writer, width: int) -> None:
-    """A code of the first 2 ** width symbols with ``width`` bits each (1 to 8): one length, said once."""
-    place = LENGTH_ORDER.index(width)
-    n = max(4, place + 1)
-    w.put((0, 1), (n - 4, 4), *[(int(i == place), 3) for i in range(n)])
-    w.put((1, 1), (3, 3), ((1 << width) - 2, 8))
+    def put(self, *pairs: tuple[int, int]) -> None:
+        self.put_all(np.array([v for v, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64))
 
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values.append(values)
+        self.sizes.append(sizes)
 
-def _single(w: _Writer, symbol: int) -> None:
-    w.put((1, 1), (0, 1), (1, 1), (symbol, 8))
+    def bytes(self) -> bytes:
+        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
+        begin = np.cumsum(sizes) - sizes
+        each = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+        return np.packbits((np.repeat(values, sizes) >> each.astype(np.uint64) & np.uint64(1)).astype(np.uint8), bitorder="little").tobytes()
+
+
+def code_lengths(counts: np.ndarray, longest: int = LONGEST_CODE) -> np.ndarray:
+    """Lengths of a prefix code for the counts, none over ``longest``; 1 for a symbol that is alone."""
+    lengths = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) <= 1:
+        lengths[used] = 1
+        return lengths
+    weight = counts[used].tolist()
+    while True:
+        heap = [(w, i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        above = [0] * (2 * len(used) - 1)
+        node = len(used)
+        while len(heap) > 1:
+            a = heapq.heappop(heap)
+            b = heap[0]
+            above[a[1]] = above[b[1]] = node
+            heapq.heapreplace(heap, (a[0] + b[0], node))
+            node += 1
+        depth = [0] * node
+        for i in range(node - 2, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        if max(depth[: len(used)]) <= longest:
+            lengths[used] = depth[: len(used)]
+            return lengths
+        weight = [w // 2 + 1 for w in weight]  # flatter until it fits
+
+
+def code_words(lengths: np.ndarray) -> np.ndarray:
+    """Each symbol's code, in the order in which its bits are written."""
+    symbols, sizes = canonical(lengths)
+    out = np.zeros(len(lengths), np.uint64)
+    if len(symbols) > 1:
+        top = int(sizes[-1])
+        spans = 1 << (top - sizes)
+        out[symbols] = _reversed(top)[np.cumsum(spans) - spans]
+    return out
 
 
-def _columns(values: np.ndarray, width: int) -> np.ndarray:
-    return (values[:, None].astype(np.int64) >> np.arange(width - 1, -1, -1) & 1).astype(np.uint8)
+def put_code(w: Writer, lengths: np.ndarray) -> None:
+    """A code's lengths: one or two symbols plainly, others run by run under a code of their own."""
+    used = np.flatnonzero(lengths)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        first = int(used[0]) if len(used) else 0
+        wide = int(first > 1)
+        w.put((1, 1), (int(len(used) == 2), 1), (wide, 1), (first, 8 if wide else 1), *([(int(used[1]), 8)] if len(used) == 2 else []))
+        return
+    upto = int(used[-1]) + 1
+    runs: list[tuple[int, int, int]] = []  # symbol, more bits, how many
+    edges = np.flatnonzero(np.diff(lengths[:upto])) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), upto], strict=True):
+        value, n = int(lengths[a]), b - a
+        if value:
+            runs.append((value, 0, 0))
+            n -= 1
+        while n:
+            if not value and n >= 11:
+                k = min(n, 138)
+                runs.append((18, k - 11, 7))
+            elif n >= 3:
+                k = min(n, 10 if not value else 6)
+                runs.append((16 if value else 17, k - 3, 2 if value else 3))
+            else:
+                k = 1
+                runs.append((value, 0, 0))
+            n -= k
+    own = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
+    sent = [int(own[i]) for i in LENGTH_ORDER]
+    n = max(4, max(i for i, x in enumerate(sent) if x) + 1)
+    w.put((0, 1), (n - 4, 4), *[(x, 3) for x in sent[:n]])
+    if upto < len(lengths):  # how many follow, at least 2
+        k = max(1, -(-max(1, (len(runs) - 2).bit_length()) // 2))
+        w.put((1, 1), (k - 1, 3), (len(runs) - 2, 2 * k))
+    else:
+        w.put((0, 1))
+    words, alone = code_words(own), (own > 0).sum() == 1
+    w.put(*[p for s, more, bits in runs for p in ((int(words[s]), 0 if alone else int(own[s])), (more, bits))])
+
+
+def prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, more bits, how many) of lengths or distance codes."""
+    v = values.astype(np.int64) - 1
+    top = np.zeros(len(v), np.int64)
+    big = v >= 4
+    top[big] = np.frexp(v[big].astype(float))[1] - 1
+    n = np.where(big, top - 1, 0)
+    return np.where(big, 2 * top + (v >> n & 1), v), np.where(big, v & ((1 << n) - 1), 0), n
+
+
+def matches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of back-references to the last equal ``SHORTEST`` samples, taken greedily."""
+    none = np.empty(0, np.int64)
+    n = len(x) - SHORTEST + 1
+    if n < 2:
+        return none, none, none
+    padded = np.concatenate([x.astype(np.uint8), np.zeros(8, np.uint8)])
+    key = np.ndarray(n, "<u8", padded, 0, (1,)) & np.uint64((1 << 8 * SHORTEST) - 1)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    gap = np.zeros(n + 1, np.int64)
+    gap[order[1:][same]] = order[1:][same] - order[:-1][same]
+    at = np.flatnonzero(gap)
+    if not len(at):
+        return none, none, none
+    edges = np.flatnonzero(np.diff(gap)) + 1  # runs of one distance are one match
+    length = edges[np.searchsorted(edges, at, side="right")] - at + SHORTEST - 1
+    after = np.searchsorted(at, at + np.minimum(length, LONGEST_MATCH)).tolist()
+    taken, i = [], 0
+    while i < len(after):
+        taken.append(i)
+        i = after[i]
+    at = at[taken]
+    return at, np.minimum(length[taken], LONGEST_MATCH), gap[at]
+
+
+_NEAR_CODES: dict[int, dict[int, int]] = {}
+
+
+def _distance_codes(gap: np.ndarray, width: int) -> np.ndarray:
+    if width not in _NEAR_CODES:
+        _NEAR_CODES[width] = {d: c for c, d in reversed(list(enumerate((max(1, x + y * width) for x, y in NEAR), 1)))}
+    near = _NEAR_CODES[width]
+    return np.array([near.get(d, d + 120) for d in gap.tolist()], np.int64)
+
+
+def put_pixels(w: Writer, x: np.ndarray, width: int, alpha: int, main: bool = True) -> None:
+    """An image whose green samples are ``x`` and whose other channels are constant (red and blue 0)."""
+    at, length, gap = matches(x)
+    literal = np.ones(len(x), bool)
+    change = np.zeros(len(x) + 1, np.int64)
+    change[at] += 1
+    np.add.at(change, at + length, -1)
+    literal[np.cumsum(change[:-1]) > 0] = False
+    places = np.sort(np.concatenate([np.flatnonzero(literal), at]))
+    back = np.searchsorted(places, at)
+    green, more, n = x[places].astype(np.int64), np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    prefix, more[back], n[back] = prefixed(length)
+    green[back] = 256 + prefix
+    far, far_more, far_n = prefixed(_distance_codes(gap, width))
+    greens, fars = code_lengths(np.bincount(green, minlength=280)), code_lengths(np.bincount(far, minlength=40))
+    w.put((0, 1), *([(0, 1)] if main else []))
+    for lengths in (greens, np.eye(256, dtype=np.int64)[0], np.eye(256, dtype=np.int64)[0], np.eye(256, dtype=np.int64)[alpha], fars):
+        put_code(w, lengths)
+    size = greens[green] if (greens > 0).sum() > 1 else np.zeros(len(green), np.int64)
+    value = code_words(greens)[green]
+    value |= more.astype(np.uint64) << size.astype(np.uint64)
+    size = size + n
+    if len(back):
+        far_size = fars[far] if (fars > 0).sum() > 1 else np.zeros(len(far), np.int64)
+        value[back] |= code_words(fars)[far] << size[back].astype(np.uint64) | far_more.astype(np.uint64) << (size[back] + far_size).astype(np.uint64)
+        size[back] += far_size + far_n
+    w.put_all(value, size)
+
+
+def _cost(x: np.ndarray) -> float:
+    """Bits that the samples take without back-references."""
+    n = np.bincount(x, minlength=256)
+    n = n[n > 0]
+    return float(-(n * np.log2(n / len(x))).sum())
 
 
 def encode_grey(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of a (height, width) array of 8-bit grey samples.
-
-    The distinct samples become a palette; indices are packed where it has 16 colours at most, and else take one
-    prefix code of as many bits as the palette needs.
-    """
+    """A lossless WebP file of a (height, width) array of 8-bit grey samples."""
     height, width = samples.shape
     if not (0 < height <= MAX_SIDE and 0 < width <= MAX_SIDE):
         raise ValueError("sides are from 1 to 16384")
-    present = np.bincount(samples.ravel(), minlength=256) > 0
-    shades = np.flatnonzero(present)
-    n = len(shades)
-    pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-    w = _Writer()
+    x = samples.ravel()
+    shades = np.flatnonzero(np.bincount(x, minlength=256))
+    w = Writer()
     w.put((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3))
-    w.put((1, 1), (PALETTE, 2), (n - 1, 8), (0, 1))
-    for _ in range(3):
-        _even_code(w, 8)
-    w.put((1, 1), (1, 1), (0, 1), (0, 1), (255, 8))  # alpha: 0 or 255
-    _single(w, 0)
-    step = _columns(np.diff(shades, prepend=0), 8)
-    w.parts.append(np.column_stack([step, step, step, np.arange(n) == 0]).astype(np.uint8).ravel())
-    index = (np.cumsum(present) - 1)[samples]
-    if pack:
+    if len(shades) <= 16:
+        pack = 3 if len(shades) <= 2 else 2 if len(shades) <= 4 else 1
+        w.put((1, 1), (PALETTE, 2), (len(shades) - 1, 8))
+        _put_palette(w, shades)
         per, size = 1 << pack, 8 >> pack
-        index = np.pad(index, ((0, 0), (0, -width % per))).reshape(height, -1, per)
-        index = (index << size * np.arange(per)).sum(axis=2)
-    bits = int(index.max()).bit_length()
-    w.put((0, 1), (0, 1), (0, 1))
-    if bits:
-        _even_code(w, bits)
+        index = np.pad(np.searchsorted(shades, samples), ((0, 0), (0, -width % per))).reshape(height, -1, per)
+        w.put((0, 1))
+        put_pixels(w, (index << size * np.arange(per)).sum(axis=2).ravel(), -(-width // per), 255)
     else:
-        _single(w, 0)
-    _single(w, 0)
-    _single(w, 0)
-    _single(w, 255)
-    _single(w, 0)
-    if bits:
-        w.parts.append(_columns(index.ravel(), bits).ravel())
+        left, top = samples.copy(), samples.copy()
+        left[:, 1:] -= samples[:, :-1]
+        left[1:, 0] -= samples[:-1, 0]
+        top[1:] -= samples[:-1]
+        top[0, 1:] -= samples[0, :-1]
+        costs = [_cost(x), _cost(left.ravel()) + 64, _cost(top.ravel()) + 64]
+        mode = int(np.argmin(costs))
+        alpha = 255
+        if mode:  # one mode for the whole image; residuals have alpha 0 throughout
+            x, alpha, block = (left if mode == 1 else top).ravel(), 0, 9
+            w.put((1, 1), (PREDICTOR, 2), (block - 2, 3), (0, 1))
+            for symbol in (mode, 0, 0, 255, 0):
+                put_code(w, np.bincount([symbol], minlength=256))
+        w.put((1, 1), (SUBTRACT_GREEN, 2), (0, 1))
+        put_pixels(w, x, width, alpha)
     body = w.bytes()
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+
+
+def _put_palette(w: Writer, shades: np.ndarray) -> None:
+    """The palette image: differences of grey colours, the first from transparent black."""
+    step = np.diff(shades, prepend=0)
+    alpha = (np.arange(len(shades)) == 0) * 255
+    w.put((0, 1))
+    codes = [code_lengths(np.bincount(c, minlength=n)) for c, n in ((step, 280), (step, 256), (step, 256), (alpha, 256))]
+    for lengths in (*codes, np.eye(40, dtype=np.int64)[0]):
+        put_code(w, lengths)
+    for s, a in zip(step.tolist(), alpha.tolist(), strict=True):
+        for lengths, v in zip(codes, (s, s, s, a), strict=True):
+            w.put((int(code_words(lengths)[v]), int(lengths[v]) if (lengths > 0).sum() > 1 else 0))
