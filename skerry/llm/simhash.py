@@ -47,17 +47,17 @@ def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> list[int]
     return [digest(line[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), _ROWS):
+        part = hashes[a : a + _ROWS]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints_of(texts: list[str], words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    out = np.zeros(len(texts), np.uint64)
-    for i, t in enumerate(texts):
-        h = np.array(shingle_hashes(t, words, seed), "<u8")
-        if len(h):
-            ones = np.zeros(64, np.int64)
-            for a in range(0, len(h), _ROWS):
-                part = h[a : a + _ROWS]
-                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
-    return out
+    return np.array([fingerprint_of(np.array(shingle_hashes(t, words, seed), "<u8")) for t in texts], np.uint64)
 
 
 def _fingerprints(words: int, seed: int):
