@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.numeric import rounded
@@ -11,7 +13,7 @@ from skerry.operators.ranking import average_ranks
 from skerry.plans.registry import r6, registered
 from skerry.plans.spatial import _HAV
 from skerry.plans.views import view, with_views
-from skerry.sources.tables import parquet
+from skerry.sources.tables import parquet, union_by_name
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -35,20 +37,108 @@ def kruskal_h(spark, d):
     return k.select(rounded(F.col("h")).alias("h"), "df", "n", rounded(F.exp(-F.col("h") / 2)).alias("p"))
 
 
-_PAIRS = """m AS (SELECT rep, fold, feat_set, algo, CAST(sum(response) AS BIGINT) AS s, count(*) AS n FROM fold_metrics GROUP BY ALL),
-pairs AS (SELECT a.algo AS level_a, b.algo AS level_b, CAST(a.s AS DOUBLE) / a.n - CAST(b.s AS DOUBLE) / b.n AS diff FROM m a JOIN m b USING (rep, fold, feat_set) WHERE a.algo < b.algo)"""
+def chi_square_tail(h: Column, df: Column) -> Column:
+    """Upper tail for 2 or 3 degrees of freedom; with 3 the error function is the usual five-term approximation (1.5e-7)."""
+    x = F.sqrt(h / 2)
+    t = 1 / (1 + F.lit(0.3275911) * x)
+    erfc = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429))))) * F.exp(-h / 2)
+    return F.when(df == 2, F.exp(-h / 2)).when(df == 3, erfc + F.sqrt(2 * h / F.lit(math.pi)) * F.exp(-h / 2))
+
+
+def _kruskal_sql(factor: str) -> str:
+    return f"""SELECT '{factor}' AS factor, h, df, n FROM (WITH r AS (SELECT {factor} AS g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2e0 AS r FROM cells_),
+g AS (SELECT g, sum(r) AS rs, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM cells_ GROUP BY v),
+n AS (SELECT CAST(sum(n) AS DOUBLE) AS n, sum(rs * rs / n) AS s, count(*) AS k FROM g)
+SELECT (12e0 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - (SELECT sum(t * t * t - t) FROM t) / (n * n * n - n)) AS h, k - 1 AS df, CAST(n AS BIGINT) AS n FROM n) x"""
+
+
+_TAIL = """CASE df WHEN 2 THEN exp(-h / 2) WHEN 3 THEN t * (0.254829592e0 + t * (-0.284496736e0 + t * (1.421413741e0 + t * (-1.453152027e0 + t * 1.061405429e0)))) * exp(-h / 2) + sqrt(2 * h / pi()) * exp(-h / 2) END"""
+
+
+_FACTORS = ["algo", "feat_set", "pa_method"]
+_CELLS = "cells_ AS (SELECT algo, feat_set, pa_method, rep, fold, CAST(floor(CAST(sum(response) AS DOUBLE) / count(*)) AS BIGINT) AS v FROM fold_metrics GROUP BY ALL)"
+
+
+def _others(factor: str) -> list[str]:
+    return ["rep", "fold", *(f for f in _FACTORS if f != factor)]
 
 
-def _pairs(spark, d):
-    m = view(spark, d, "fold_metrics").groupBy("rep", "fold", "feat_set", "algo").agg((F.sum("response").cast("double") / F.count("*")).alias("mean"))
-    other = m.select("rep", "fold", "feat_set", F.col("algo").alias("level_b"), F.col("mean").alias("mean_b"))
-    return m.join(other, ["rep", "fold", "feat_set"]).where("algo < level_b").select(F.col("algo").alias("level_a"), "level_b", (F.col("mean") - F.col("mean_b")).alias("diff"))
+def _pairs_sql(factor: str) -> str:
+    by = ", ".join(_others(factor))
+    one = f"SELECT {by}, {factor} AS level, max(v) AS v FROM cells_ GROUP BY ALL HAVING count(*) = 1"
+    block = " || '_' || ".join(f"CAST({c} AS VARCHAR)" for c in _others(factor))
+    return f"SELECT '{factor}' AS factor, a.level AS level_a, b.level AS level_b, {block} AS block, a.v - b.v AS diff, a.v AS va, b.v AS vb FROM ({one}) a JOIN ({one}) b USING ({by}) WHERE a.level < b.level"
 
 
-@registered(with_views(f"WITH {_PAIRS} SELECT level_a, level_b, count(*) AS n_pairs, round(avg(diff), 3) AS diff FROM pairs GROUP BY ALL", "fold_metrics"))
+_PAIRS = f"{_CELLS}, pairs AS ({' UNION ALL '.join(_pairs_sql(f) for f in _FACTORS)})"
+
+
+def _cells(spark, d) -> DataFrame:
+    """A whole number for each configuration and partition."""
+    mean = F.floor(F.sum("response").cast("double") / F.count("*"))
+    return view(spark, d, "fold_metrics").groupBy(*_FACTORS, "rep", "fold").agg(mean.alias("v"))
+
+
+def matched_pairs(cells: DataFrame, factor: str, blocks: list[str], value: str) -> DataFrame:
+    """factor, level_a, level_b, block, diff, va, vb: levels of a factor within blocks of all else, where each has exactly one row."""
+    one = cells.groupBy(*blocks, F.col(factor).alias("level")).agg(F.max(value).alias("v"), F.count("*").alias("n")).where("n = 1")
+    a = one.select(*blocks, F.col("level").alias("level_a"), F.col("v").alias("va"))
+    b = one.select(*blocks, F.col("level").alias("level_b"), F.col("v").alias("vb"))
+    block = F.concat_ws("_", *[F.col(c).cast("string") for c in blocks])
+    return a.join(b, blocks).where("level_a < level_b").select(F.lit(factor).alias("factor"), "level_a", "level_b", block.alias("block"), (F.col("va") - F.col("vb")).alias("diff"), "va", "vb")
+
+
+def _pairs(spark, d) -> DataFrame:
+    cells = _cells(spark, d)
+    return union_by_name([matched_pairs(cells, f, _others(f), "v") for f in _FACTORS])
+
+
+@registered(with_views(f"WITH {_PAIRS} SELECT factor, level_a, level_b, count(*) AS n_pairs, CAST(sum(diff) AS BIGINT) AS diff FROM pairs GROUP BY ALL", "fold_metrics"))
 def paired_level_diffs(spark, d):
-    """Levels matched in blocks of repetition, fold and the other factor."""
-    return _pairs(spark, d).groupBy("level_a", "level_b").agg(F.count("*").alias("n_pairs"), F.round(F.avg("diff"), 3).alias("diff"))
+    """Levels of each factor matched in blocks of repetition, fold and both other factors."""
+    return _pairs(spark, d).groupBy("factor", "level_a", "level_b").agg(F.count("*").alias("n_pairs"), F.sum("diff").alias("diff"))
+
+
+@registered(with_views(f"WITH {_CELLS}, k AS ({' UNION ALL '.join(_kruskal_sql(f) for f in _FACTORS)}) SELECT factor, {r6('h')} AS h, df, n, {r6(_TAIL)} AS p FROM (SELECT *, 1 / (1 + 0.3275911e0 * sqrt(h / 2)) AS t FROM k) y", "fold_metrics"))
+def kruskal_factors(spark, d):
+    """Rank test of the response over the levels of each factor."""
+    cells = _cells(spark, d)
+    out = union_by_name([kruskal(cells, f, "v").withColumn("factor", F.lit(f)) for f in _FACTORS])
+    return out.select("factor", rounded(F.col("h")).alias("h"), "df", "n", rounded(chi_square_tail(F.col("h"), F.col("df"))).alias("p"))
+
+
+def paired_permutation(pairs: DataFrame, keys: list[str], draws: int = 500, seed: int = 42) -> DataFrame:
+    """keys, n_pairs, sum, p: how often a random flip of the pairs' signs has a sum as far from 0, one added to both.
+
+    ``pairs``: keys, block (text) and diff (whole numbers). A draw is a row for each pair; its sign is a bit of a hash.
+    """
+    sign = F.when(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), "block")), 1, 1) < "8", 1).otherwise(-1)
+    drawn = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).groupBy(*keys, "draw").agg(F.sum(F.col("diff") * sign).alias("t"))
+    seen = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.sum("diff").alias("sum"))
+    return drawn.join(seen, keys).groupBy(*keys, "n_pairs", "sum").agg(((F.count_if(F.abs("t") >= F.abs("sum")) + 1) / F.lit(draws + 1.0)).alias("p"))
+
+
+_BY = "factor, level_a, level_b"
+
+
+@registered(with_views(f"""WITH {_PAIRS}, drawn AS (SELECT {_BY}, draw, sum(diff * CASE WHEN substr(md5('42:' || draw || ':' || block), 1, 1) < '8' THEN 1 ELSE -1 END) AS t FROM pairs, range(1, 501) r(draw) GROUP BY ALL),
+seen AS (SELECT {_BY}, count(*) AS n_pairs, sum(diff) AS s, avg(va) AS mean_a, avg(vb) AS mean_b FROM pairs GROUP BY ALL),
+tested AS (SELECT {_BY}, n_pairs, s, mean_a, mean_b, (count(*) FILTER (abs(t) >= abs(s)) + 1) / 501e0 AS p FROM drawn JOIN seen USING ({_BY}) GROUP BY ALL),
+steps AS (SELECT *, p * (count(*) OVER (PARTITION BY factor) - row_number() OVER (PARTITION BY factor ORDER BY p, level_a, level_b) + 1) AS step FROM tested),
+adjusted AS (SELECT *, least(max(step) OVER (PARTITION BY factor ORDER BY p, level_a, level_b ROWS UNBOUNDED PRECEDING), 1e0) AS h FROM steps)
+SELECT {_BY}, n_pairs, round(mean_a, 3) AS mean_a, round(mean_b, 3) AS mean_b, CAST(s AS BIGINT) AS diff_sum, round(p, 9) AS p, round(h, 9) AS p_holm, CASE WHEN h < 0.01 THEN '**' WHEN h < 0.05 THEN '*' ELSE 'ns' END AS sig FROM adjusted""", "fold_metrics"))
+def paired_permutation_holm(spark, d):
+    """Every level pair of every factor by 500 sign flips of its matched differences, adjusted within its factor."""
+    keys = ["factor", "level_a", "level_b"]
+    pairs = _pairs(spark, d)
+    means = pairs.groupBy(*keys).agg(F.round(F.avg("va"), 3).alias("mean_a"), F.round(F.avg("vb"), 3).alias("mean_b"))
+    tested = paired_permutation(pairs, keys).join(means, keys).withColumn("tie", F.col("level_a") * 1000 + F.col("level_b"))
+    out = holm(tested, "p", ["factor"], "tie")
+    return out.select(*keys, "n_pairs", "mean_a", "mean_b", F.col("sum").alias("diff_sum"), F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"), significance(F.col("p_holm")).alias("sig"))
+
+
+def significance(p: Column) -> Column:
+    return F.when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 
 
 def holm(df: DataFrame, p: str, family: list[str], tie: str) -> DataFrame:
@@ -65,12 +155,11 @@ SELECT family, test, p, round(h, 9) AS p_holm, CASE WHEN h < 0.01 THEN '**' WHEN
 def holm_adjust(spark, d):
     p = parquet(spark, d, "nation").select(F.col("n_regionkey").alias("family"), F.col("n_nationkey").alias("test"), (((F.col("n_nationkey") * 37 + 11) % 101).cast("double") / 1000).alias("p"))
     out = holm(p, "p", ["family"], "test")
-    sig = F.when(F.col("p_holm") < 0.01, "**").when(F.col("p_holm") < 0.05, "*").otherwise("ns")
-    return out.select("family", "test", "p", F.round("p_holm", 9).alias("p_holm"), sig.alias("sig"))
+    return out.select("family", "test", "p", F.round("p_holm", 9).alias("p_holm"), significance(F.col("p_holm")).alias("sig"))
 
 
 def exact_sign_flip(diffs: DataFrame, key: str, diff: str) -> DataFrame:
-    """key, n, mean, p: the share of all 2^n sign assignments with a mean at least as far from 0, plus one on both sides.
+    """key, n, sum, p: the share of all 2^n sign assignments with a sum at least as far from 0, plus one on both sides.
 
     ``diffs`` has at most 20 rows a key (whole numbers); each key's assignments are numbers 0 to 2^n - 1.
     """
@@ -81,15 +170,42 @@ def exact_sign_flip(diffs: DataFrame, key: str, diff: str) -> DataFrame:
     return hits.groupBy(key, "n", "sum").agg(F.count_if("hit").alias("c")).select(key, "n", "sum", ((F.col("c") + 1) / (F.pow(F.lit(2.0), F.col("n")) + 1)).alias("p"))
 
 
+def drawn_sign_flip(diffs: DataFrame, key: str, id_: str, diff: str, draws: int = 200_000, seed: int = 42) -> DataFrame:
+    """As ``exact_sign_flip`` for keys of any size, over ``draws`` random assignments.
+
+    Rows of a key go by their number ``id_`` (unique in the key) into sets of 32; a draw gives each set 32 bits of a hash.
+    """
+    sets = diffs.groupBy(key, F.expr(f"{id_} div 32").alias("set")).agg(F.collect_list(F.struct((F.col(id_) % 32).cast("int").alias("i"), F.col(diff).alias("d"))).alias("d"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("set").cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = sets.crossJoin(diffs.sparkSession.range(1, draws + 1).withColumnRenamed("id", "draw")).withColumn("bits", bits)
+    total = F.expr("aggregate(d, 0L, (s, x) -> s + x.d * (1 - 2 * (shiftright(bits, x.i) & 1)))")
+    sums = drawn.groupBy(key, "draw").agg(F.sum(total).alias("t"))
+    seen = diffs.groupBy(key).agg(F.count("*").cast("int").alias("n"), F.sum(diff).alias("sum"))
+    return sums.join(seen, key).groupBy(key, "n", "sum").agg(((F.count_if(F.abs("t") >= F.abs("sum")) + 1) / F.lit(draws + 1.0)).alias("p"))
+
+
+def sign_flip(diffs: DataFrame, key: str, id_: str, diff: str, exact_up_to: int = 20) -> DataFrame:
+    """key, n, sum, p of the mean of paired differences: exact for few rows a key, drawn beyond."""
+    size = diffs.groupBy(key).agg(F.count("*").alias("_n"))
+    few = diffs.join(size.where(F.col("_n") <= exact_up_to), key)
+    many = diffs.join(size.where(F.col("_n") > exact_up_to), key)
+    return exact_sign_flip(few, key, diff).unionByName(drawn_sign_flip(many, key, id_, diff))
+
+
+_HEX8 = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
 
 
-@registered("""WITH d AS (SELECT s_suppkey % 2 AS grp, CAST(floor(s_acctbal) AS BIGINT) % 200 - 90 AS diff FROM supplier WHERE s_suppkey <= 24),
+@registered(f"""WITH d AS (SELECT CASE WHEN s_nationkey < 4 THEN s_nationkey ELSE 4 END AS grp, s_suppkey AS id, CAST(floor(s_acctbal) AS BIGINT) % 200 - 90 AS diff FROM supplier),
 l AS (SELECT grp, list(diff) AS d, sum(diff) AS s, count(*) AS n FROM d GROUP BY ALL),
-f AS (SELECT grp, n, s, list_sum([d[i + 1] * (1 - 2 * ((m >> i) & 1)) for i in range(n)]) AS t FROM l, range(1048576) x(m) WHERE m < (1::BIGINT << n))
-SELECT CAST(grp AS BIGINT) AS grp, CAST(n AS INT) AS n, CAST(s AS BIGINT) AS sum, round((count(*) FILTER (abs(t) >= abs(s)) + 1) / (pow(2e0, n) + 1), 9) AS p FROM f GROUP BY grp, n, s""")
-def exact_sign_flip_p(spark, d):
-    rows = parquet(spark, d, "supplier").where("s_suppkey <= 24").select((F.col("s_suppkey") % 2).alias("grp"), (F.floor("s_acctbal").cast("long") % 200 - 90).alias("diff"))
-    return exact_sign_flip(rows, "grp", "diff").withColumn("p", F.round("p", 9))
+f AS (SELECT grp, n, s, list_sum([d[i + 1] * (1 - 2 * ((m >> i) & 1)) for i in range(n)]) AS t FROM l, range(1048576) x(m) WHERE n <= 20 AND m < (1::BIGINT << n)),
+sets AS (SELECT grp, id // 32 AS set_, list({{'i': id % 32, 'd': diff}}) AS d FROM d WHERE grp IN (SELECT grp FROM l WHERE n > 20) GROUP BY ALL),
+drawn AS (SELECT grp, draw, sum(list_sum([x.d * (1 - 2 * ((bits >> x.i) & 1)) for x in d])) AS t FROM (SELECT *, {_HEX8.format("'42:' || draw || ':' || set_")} AS bits FROM sets, range(1, 200001) r(draw)) y GROUP BY ALL)
+SELECT CAST(grp AS BIGINT) AS grp, CAST(n AS INT) AS n, CAST(s AS BIGINT) AS sum, round((count(*) FILTER (abs(t) >= abs(s)) + 1) / (pow(2e0, n) + 1), 9) AS p FROM f GROUP BY grp, n, s
+UNION ALL SELECT CAST(grp AS BIGINT), CAST(n AS INT), CAST(s AS BIGINT), round((count(*) FILTER (abs(t) >= abs(s)) + 1) / 200001e0, 9) FROM drawn JOIN l USING (grp) GROUP BY grp, n, s""")
+def sign_flip_p(spark, d):
+    """Small groups by all sign assignments, the large one by 200,000 random ones."""
+    rows = parquet(spark, d, "supplier").select(F.least("s_nationkey", F.lit(4)).cast("long").alias("grp"), F.col("s_suppkey").alias("id"), (F.floor("s_acctbal").cast("long") % 200 - 90).alias("diff"))
+    return sign_flip(rows, "grp", "id", "diff").withColumn("p", F.round("p", 9))
 
 
 @registered(with_views("""WITH m AS (SELECT rep, fold, feat_set, CAST(sum(response) AS BIGINT) // count(*) AS v FROM fold_metrics GROUP BY ALL),

@@ -77,11 +77,11 @@ def pr_auc_trapezoid(spark, d):
 _RP = "PARTITION BY algo, feat_set ORDER BY score DESC ROWS UNBOUNDED PRECEDING"
 
 
-@registered(with_views(f"""WITH counts AS (SELECT algo, feat_set, floor(suit * 100) / 100 AS score, sum(label) AS pos, count(*) - sum(label) AS neg FROM oof GROUP BY ALL)
+@registered(with_views(f"""WITH counts AS (SELECT algo, feat_set, suit AS score, sum(label) AS pos, count(*) - sum(label) AS neg FROM oof GROUP BY ALL)
 SELECT algo, feat_set, score, CAST(sum(pos) OVER ({_RP}) AS BIGINT) AS tp, CAST(sum(neg) OVER ({_RP}) AS BIGINT) AS fp FROM counts""", "oof"))
 def roc_points(spark, d):
     keys = ["algo", "feat_set"]
-    return ranking.curve(ranking.score_counts(_oof(spark, d), keys, digits=2), keys).select(*keys, "score", "tp", "fp")
+    return ranking.curve(ranking.score_counts(_oof(spark, d), keys), keys).select(*keys, "score", "tp", "fp")
 
 
 @registered(with_views(f"""WITH e AS (SELECT [i * (1e0 / 10) for i in range(11)] AS edges),
@@ -130,3 +130,57 @@ def single_predictor_auc(spark, d):
     rows = parquet(spark, d, "documents").select("doc_id", "n_chars").join(parquet(spark, d, "labels"), "doc_id").where("n_chars IS NOT NULL").withColumn("all", F.lit(0))
     counts = ranking.score_counts(rows.withColumn("s", F.col("n_chars").cast("double")), ["all"], "s", "quality")
     return ranking.auc(counts, ["all"]).select((F.col("n_pos") + F.col("n_neg")).alias("n"), rounded(F.col("auc")).alias("auc"))
+
+
+_FOLD = f"{_K}, rep, fold"
+#: A fold's threshold: none where it has few rows, infinite where it has no presence.
+_INNER = f"inner_ AS (SELECT {_FOLD}, CASE WHEN count(*) < 5 THEN NULL WHEN sum(label) = 0 THEN CAST('Infinity' AS DOUBLE) ELSE median(suit) END AS threshold FROM oof GROUP BY ALL)"
+
+
+def _bundle_sql(keys: str, thresholds: str, fallback: bool) -> str:
+    """CTEs up to ``bundle``; ``thresholds`` names a CTE of keys and threshold."""
+    own = "CASE WHEN sum(j_) > -1 THEN arg_max(score, (j, score)) END" if fallback else "CAST(NULL AS DOUBLE)"
+    return f"""usable AS (SELECT * FROM oof WHERE suit IS NOT NULL AND NOT isnan(suit) AND suit BETWEEN 0 AND 1),
+sizes AS (SELECT {keys}, sum(label) AS p, count(*) - sum(label) AS q FROM usable GROUP BY ALL HAVING sum(label) > 0 AND count(*) > sum(label) AND count(*) >= 5),
+counts AS (SELECT {keys}, suit AS score, sum(label) AS pos, count(*) - sum(label) AS neg FROM usable JOIN sizes USING ({keys}) GROUP BY ALL),
+points AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER a AS n_pos, sum(neg) OVER a AS n_neg FROM counts WINDOW w AS (PARTITION BY {keys} ORDER BY score DESC ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY {keys})),
+own AS (SELECT {keys}, {own} AS own FROM (SELECT *, 0 AS j_, round(CAST(tp AS DOUBLE) / n_pos - CAST(fp AS DOUBLE) / n_neg, 12) AS j FROM points) x GROUP BY ALL),
+cut AS (SELECT sizes.*, coalesce(CASE WHEN isfinite(threshold) THEN threshold END, own) AS threshold, CASE WHEN threshold IS NOT NULL AND isfinite(threshold) THEN 'inner' WHEN own IS NOT NULL THEN 'test' ELSE 'none' END AS thr_source FROM sizes LEFT JOIN {thresholds} USING ({keys}) LEFT JOIN own USING ({keys})),
+at_ AS (SELECT {keys}, threshold, thr_source, p, q, coalesce(sum(pos) FILTER (score >= threshold), 0) / (p + 1e-9) AS sens, (q - coalesce(sum(neg) FILTER (score >= threshold), 0)) / (q + 1e-9) AS spec, sum((score - 1) * (score - 1) * pos + score * score * neg) / sum(pos + neg) AS brier FROM counts JOIN cut USING ({keys}) GROUP BY {keys}, threshold, thr_source, p, q),
+ap AS (SELECT {keys}, sum(CAST(pos AS DOUBLE) / n_pos * tp / (tp + fp)) AS ap, sum(pos * (2 * (n_neg - fp) + neg)) / (2e0 * any_value(n_pos) * any_value(n_neg)) AS auc FROM points GROUP BY ALL),
+low AS (SELECT i * (0.9e0 / 19) AS low FROM range(20) t(i)),
+met AS (SELECT {keys}, low, sum(label) AS pos, count(*) - sum(label) AS neg FROM usable JOIN low ON low <= suit AND suit < low + 0.1e0 GROUP BY ALL),
+pe AS (SELECT {keys}, low, round((CAST(pos AS DOUBLE) / p) / (CAST(neg AS DOUBLE) / q), 12) AS pe FROM met JOIN sizes USING ({keys}) WHERE neg > 0),
+rk AS (SELECT {keys}, rank() OVER (PARTITION BY {keys} ORDER BY pe) + (count(*) OVER (PARTITION BY {keys}, pe) - 1) / 2e0 AS r1, rank() OVER (PARTITION BY {keys} ORDER BY low) AS r2 FROM pe),
+bo AS (SELECT {keys}, CASE WHEN count(*) >= 3 THEN corr(r1, r2) END AS boyce FROM rk GROUP BY ALL),
+bundle AS (SELECT {keys}, CAST(p AS BIGINT) AS n_pres, CAST(q AS BIGINT) AS n_bg, {r6('threshold')} AS threshold, thr_source, CASE WHEN threshold IS NOT NULL THEN {r6('sens')} END AS sensitivity, CASE WHEN threshold IS NOT NULL THEN {r6('spec')} END AS specificity,
+  CASE WHEN threshold IS NOT NULL THEN {r6('sens + spec - 1')} END AS tss, CASE WHEN threshold IS NOT NULL THEN {r6('(sens + spec) / 2')} END AS bal_acc, {r6('auc')} AS auc_roc, {r6('ap')} AS pr_auc, {r6('brier')} AS brier, CASE WHEN isnan(boyce) THEN NULL ELSE {r6('boyce')} END AS boyce
+  FROM at_ JOIN ap USING ({keys}) LEFT JOIN bo USING ({keys}))"""
+
+
+def _inner_thresholds(oof):
+    t = F.when(F.count("*") < 5, F.lit(None)).when(F.sum("label") == 0, F.lit(float("inf"))).otherwise(F.percentile("suit", F.lit(0.5)))
+    return oof.groupBy(*CONFIG, "rep", "fold").agg(t.alias("threshold"))
+
+
+@registered(with_views(f"WITH {_INNER}, mean_ AS (SELECT {_K}, round(avg(threshold) FILTER (isfinite(threshold)), 9) AS threshold FROM inner_ GROUP BY ALL), {_bundle_sql(_K, 'mean_', False)} SELECT * FROM bundle", "oof"))
+def pooled_oof_metrics(spark, d):
+    """All metrics of each configuration's pooled out-of-fold predictions, at the mean of its folds' finite thresholds."""
+    oof = _oof(spark, d)
+    mean = _inner_thresholds(oof).groupBy(*CONFIG).agg(F.round(F.avg(F.when(F.col("threshold") < float("inf"), F.col("threshold"))), 9).alias("threshold"))
+    return ranking.bundle(oof, CONFIG, mean, fallback=False)
+
+
+@registered(with_views(f"WITH {_INNER}, {_bundle_sql(_FOLD, 'inner_', True)} SELECT * FROM bundle", "oof"))
+def fold_metric_bundle(spark, d):
+    """All metrics of each fold, at its threshold or, where that is missing or infinite, at the one best on the fold itself."""
+    oof = _oof(spark, d)
+    return ranking.bundle(oof, [*CONFIG, "rep", "fold"], _inner_thresholds(oof), fallback=True)
+
+
+@registered(with_views(f"WITH {_INNER}, m AS (SELECT thr_source, count(*) AS n, round(avg(tss) + 1e-9, 6) AS mean_tss FROM (SELECT *, CASE WHEN threshold IS NULL THEN 'none' WHEN isfinite(threshold) THEN 'inner' ELSE 'infinite' END AS thr_source, CAST(rep * 3 + fold AS DOUBLE) AS tss FROM inner_) t GROUP BY ALL) SELECT * FROM m", "oof"))
+def threshold_provenance(spark, d):
+    """How many folds have a threshold, an infinite one, or none."""
+    t = F.col("threshold")
+    source = F.when(t.isNull(), "none").when(t < float("inf"), "inner").otherwise("infinite")
+    return _inner_thresholds(_oof(spark, d)).groupBy(source.alias("thr_source")).agg(F.count("*").alias("n"), rounded(F.avg((F.col("rep") * 3 + F.col("fold")).cast("double"))).alias("mean_tss"))

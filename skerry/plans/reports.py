@@ -192,12 +192,15 @@ def json_hp_parse(spark, d):
     return parsed.groupBy("n_estimators", "max_depth", "max_features").agg(F.count("*").alias("n"))
 
 
-@registered(with_views("""WITH p AS (SELECT rep, feat_set, string_agg(DISTINCT CAST(occ_id AS VARCHAR), ',' ORDER BY CAST(occ_id AS VARCHAR)) AS f FROM oof WHERE label = 1 AND occ_id < 50 GROUP BY ALL)
-SELECT feat_set, count(*) AS n, count(DISTINCT f) AS n_distinct FROM p GROUP BY ALL""", "oof"))
+@registered(with_views("""WITH o AS (SELECT DISTINCT rep, feat_set, occ_id, (occ_id * 2654435761) % 4294967296 AS h FROM oof WHERE label = 1),
+p AS (SELECT rep, feat_set, count(*) AS n, sum(h) AS s, bit_xor(h) AS x FROM o GROUP BY ALL)
+SELECT feat_set, count(*) AS n, count(DISTINCT (n, s, x)) AS n_distinct FROM p GROUP BY ALL""", "oof"))
 def partition_fingerprint(spark, d):
-    """How many of the repetitions of a partition differ."""
-    p = view(spark, d, "oof").where("label = 1 AND occ_id < 50").groupBy("rep", "feat_set").agg(F.array_join(F.array_sort(F.collect_set(F.col("occ_id").cast("string"))), ",").alias("f"))
-    return p.groupBy("feat_set").agg(F.count("*").alias("n"), F.count_distinct("f").alias("n_distinct"))
+    """How many of the repetitions of a partition differ: by number, sum and exclusive or of hashes of their members."""
+    h = F.pmod(F.col("occ_id") * F.lit(2654435761), F.lit(4294967296))
+    members = view(spark, d, "oof").where("label = 1").select("rep", "feat_set", "occ_id", h.alias("h")).distinct()
+    p = members.groupBy("rep", "feat_set").agg(F.count("*").alias("c"), F.sum("h").alias("s"), F.bit_xor("h").alias("x"))
+    return p.groupBy("feat_set").agg(F.count("*").alias("n"), F.count_distinct("c", "s", "x").alias("n_distinct"))
 
 
 @registered("""WITH want AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer), have AS (SELECT c_custkey AS k, c_nationkey + CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_custkey % 10 <> 3)

@@ -16,9 +16,9 @@ VIEWS = {
   CAST(((event_id - event_id % 4) / 4) % 4 AS INT) AS pa_method,
   CAST(event_id % 5 AS INT) AS rep, CAST(((event_id - event_id % 5) / 5) % 3 AS INT) AS fold,
   CAST(user_id % 3 AS INT) AS source FROM events WHERE value IS NOT NULL AND value >= 0""",
-    # metrics of folds: a response for each order
-    "fold_metrics": """SELECT o_orderkey, CAST(o_orderkey % 3 AS INT) AS algo, CAST(o_custkey % 4 AS INT) AS feat_set,
-  CAST((o_orderkey + o_custkey) % 4 AS INT) AS pa_method, CAST(o_orderkey % 5 AS INT) AS rep,
+    # metrics of folds: a response for each order; factors and partitions do not depend on each other
+    "fold_metrics": """SELECT o_orderkey, CAST(o_custkey % 3 AS INT) AS algo, CAST(((o_custkey - o_custkey % 3) / 3) % 4 AS INT) AS feat_set,
+  CAST(((o_orderkey - o_orderkey % 15) / 15) % 4 AS INT) AS pa_method, CAST(o_orderkey % 5 AS INT) AS rep,
   CAST(((o_orderkey - o_orderkey % 5) / 5) % 3 AS INT) AS fold,
   CAST(round(o_totalprice * 100) AS BIGINT) AS response, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey % 100 AS BIGINT) END AS tss FROM orders""",
     # presences
