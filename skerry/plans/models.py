@@ -242,41 +242,3 @@ def sensitivity_sweep(spark, d):
         kept = resampling.spatial_thin(occ, float(km), [1, 2, 3]).groupBy("seed").agg(F.count("*").alias("n_occ")).withColumn("km", F.lit(km))
         out = kept if out is None else out.unionByName(kept)
     return out
-
-
-@registered()
-def spatial_thin(spark, d):
-    return resampling.spatial_thin(view(spark, d, "occ").select("occ_id", "lon", "lat"), 20.0, [1, 2, 3])
-
-
-@registered()
-def clustered_bootstrap_ci(spark, d):
-    return resampling.clustered_auc_ci(view(spark, d, "oof"), ["algo"])
-
-
-@registered()
-def bootstrap_mean_ci(spark, d):
-    m = view(spark, d, "fold_metrics").groupBy("algo", "rep", "fold").agg((F.sum("response") / F.count("*")).alias("mean_response"))
-    return resampling.mean_ci(m, "algo", "mean_response")
-
-
-@registered()
-def calibration_slope(spark, d):
-    return resampling.calibration_line(view(spark, d, "oof"), ["algo"])
-
-
-@registered()
-def random_pr_null(spark, d):
-    return resampling.random_precision(20, 400, spark).agg(F.avg("ap").alias("mean_ap"), F.percentile("ap", F.lit(0.975)).alias("high"))
-
-
-@registered()
-def morans_perm_p(spark, d):
-    occ = view(spark, d, "occ")
-    z = occ.crossJoin(F.broadcast(occ.agg(F.avg("value").alias("m")))).select("occ_id", "lon", "lat", (F.col("value") - F.col("m")).alias("z"))
-    pairs = spatial.within_distance(z.withColumnRenamed("occ_id", "a_id"), z.withColumnRenamed("occ_id", "b_id"), 100.0).where("a_id <> b_id AND km > 0").select("a_id", "b_id")
-    each = resampling.permuted_moran(z.select("occ_id", "z"), pairs)
-    seen = each.where("draw = 0").select(F.abs("morans").alias("seen"))
-    return each.where("draw > 0").crossJoin(F.broadcast(seen)).agg(((F.count_if(F.abs("morans") >= F.col("seen")) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("draws"))
-
-

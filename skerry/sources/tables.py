@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +88,24 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored in the session's shared folder and read back: cuts the lineage of loops, survives lost executors.
+
+    The folder is ``spark.checkpoint.dir``; only local sessions may do without, with a temporary one.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="skerry-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     """All rows; columns that a frame lacks are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
