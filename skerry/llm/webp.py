@@ -13,6 +13,7 @@ histogram of its residuals is cheaper.
 from __future__ import annotations
 
 import heapq
+from array import array
 
 import numpy as np
 
@@ -26,6 +27,8 @@ CACHE_FACTOR = 0x1E35A7BD
 LONGEST_CODE, LONGEST_MATCH, SHORTEST = 15, 4096, 6
 #: Bytes of a piece whose bit places are looked up at once.
 PIECE = 1 << 14
+#: Samples by which a predictor is chosen.
+_TRIED = 4096
 
 
 class Bits:
@@ -86,15 +89,35 @@ class Code:
         return int(self.symbol[ahead])
 
 
-def _read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
-    lengths = np.zeros(alphabet, np.int64)
+_ALONE: dict[int, Code] = {}
+
+
+def _alone(symbol: int) -> Code:
+    """The code of one symbol, which takes no bits."""
+    if symbol not in _ALONE:
+        lengths = np.zeros(symbol + 1, np.int64)
+        lengths[symbol] = 1
+        _ALONE[symbol] = Code(lengths)
+    return _ALONE[symbol]
+
+
+def _read_code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
-        lengths[first] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return lengths
+        second = bits.read(8) if two else first
+        if max(first, second) >= alphabet:
+            raise ValueError("a symbol beyond the alphabet")
+        if first == second:
+            return _alone(first)
+        lengths = np.zeros(256, np.int64)
+        lengths[[first, second]] = 1
+        return Code(lengths)
+    return Code(_read_lengths(bits, alphabet))
+
+
+def _read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
+    lengths = np.zeros(alphabet, np.int64)
     own = np.zeros(19, np.int64)
     for i in range(4 + bits.read(4)):
         own[LENGTH_ORDER[i]] = bits.read(3)
@@ -105,20 +128,30 @@ def _read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
         left = 2 + bits.read(n)
         if left > alphabet:
             raise ValueError("more code lengths than symbols")
-    at, last = 0, 8
-    while at < alphabet and left:
+    # all that can follow as one number, from which bits are taken at the low end
+    symbols, sizes, mask = code.symbol.tolist(), code.size.tolist(), (1 << code.longest) - 1
+    most = 14 * min(left, alphabet)
+    ahead = int.from_bytes(bits.data[bits.at >> 3 : (bits.at + most + 7 >> 3) + 1], "little") >> (bits.at & 7)
+    out: list[int] = []
+    used, last = 0, 8
+    while len(out) < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        k = ahead & mask
+        s, n = symbols[k], sizes[k]
+        ahead >>= n
+        used += n
         if s < 16:
-            lengths[at] = s
-            at += 1
+            out.append(s)
             last = s or last
             continue
-        value, n = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        if at + n > alphabet:
-            raise ValueError("a run beyond the alphabet")
-        lengths[at : at + n] = value
-        at += n
+        value, base, n = (last, 3, 2) if s == 16 else (0, 3, 3) if s == 17 else (0, 11, 7)
+        out += [value] * (base + (ahead & ((1 << n) - 1)))
+        ahead >>= n
+        used += n
+    bits.read(used)
+    if len(out) > alphabet:
+        raise ValueError("a run beyond the alphabet")
+    lengths[: len(out)] = out
     return lengths
 
 
@@ -140,7 +173,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         wide = -(-width >> block)
         owner = _read_image(bits, wide, -(-height >> block), False) >> 8 & 0xFFFF
         groups = int(owner.max()) + 1
-    codes = [[Code(_read_lengths(bits, n)) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(groups)]
+    codes = [[_read_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(groups)]
     count = width * height
     first = codes[0]
     if owner is None:
@@ -171,92 +204,106 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
+_NEAR_GAPS: dict[int, np.ndarray] = {}
+
+
+def _near_gaps(width: int) -> np.ndarray:
+    """Pixels back of the distance codes 1 to 120."""
+    if width not in _NEAR_GAPS:
+        _NEAR_GAPS[width] = np.array([max(1, x + y * width) for x, y in NEAR])
+    return _NEAR_GAPS[width]
+
+
 def _distance(code: np.ndarray, width: int) -> np.ndarray:
     """Pixels back, by distance code."""
-    near = np.array([max(1, x + y * width) for x, y in NEAR])
-    return np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
+    return np.where(code > 120, code - 120, _near_gaps(width)[np.minimum(code, 120) - 1])
 
 
-def _extra(prefix: np.ndarray) -> np.ndarray:
-    """How many more bits a length or distance has."""
-    return np.maximum(0, (prefix - 2) >> 1)
+#: How many more bits a length or distance has, by prefix.
+_EXTRA = np.array([max(0, (p - 2) >> 1) for p in range(40)])
 
 
 def _value(prefix: np.ndarray, more: np.ndarray) -> np.ndarray:
-    n = _extra(prefix)
-    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + more + 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << _EXTRA[prefix]) + more + 1)
+
+
+_SHIFTS = np.arange(8, dtype=np.uint32)
 
 
 def _read_pieces(bits: Bits, codes: list[Code], cache_bits: int, count: int, width: int) -> np.ndarray:
     """The pixels of an image of one group of codes."""
     green, red, blue, alpha, far = codes
     data = np.frombuffer(bits.data + bytes(32), np.uint8)
-    eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+    four, eight = np.ndarray(len(data) - 3, "<u4", data, 0, (1,)), np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
     ahead = lambda at, n: (eight[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << n) - 1)
+    others = [(c, shift) for c, shift in ((red, 16), (blue, 0), (alpha, 24)) if c.longest]
+    plain = sum(int(c.symbol[0]) << shift for c, shift in ((red, 16), (blue, 0), (alpha, 24)) if not c.longest)
+    backs = (green.symbol >= 256) & (green.symbol < 280)
+    any_back, mask = bool(backs.any()), np.uint32((1 << green.longest) - 1)
     symbols, pixels, lengths, distances, have = [], [], [], [], 0
+    if green.longest == 0 and not others and green.symbol[0] < 256:  # one colour, no bits
+        return np.full(count, plain | int(green.symbol[0]) << 8, np.uint32)
     while have < count:
         if bits.at >= 8 * len(bits.data):
-            if len(green.symbol) > 1 or green.symbol[0] >= 256 or max(c.longest for c in (red, blue, alpha)):
-                raise ValueError("the image ends too early")
-            n = count - have  # nothing is left to read
-            symbols.append(np.full(n, green.symbol[0]))
-            pixels.append(np.full(n, int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(blue.symbol[0])))
-            lengths.append(np.ones(n, np.int64))
-            distances.append(np.zeros(n, np.int64))
-            break
-        start = bits.at
-        stop = min(8 * len(bits.data), (start >> 3 << 3) + 8 * PIECE)
-        at = np.arange(start, stop)
-        low = ahead(at, green.longest)
-        symbol, then = green.symbol[low], at + green.size[low]
-        literal = symbol < 256
-        for c in (red, blue, alpha):
-            if c.longest:
-                then = np.where(literal, then + c.size[ahead(then, c.longest)], then)
-        back = np.flatnonzero((symbol >= 256) & (symbol < 280))
+            raise ValueError("the image ends too early")
+        first = bits.at >> 3  # places are counted from this byte
+        stop = min(len(bits.data), first + PIECE)
+        limit = 8 * (stop - first)
+        low = ((four[first:stop, None] >> _SHIFTS).ravel() & mask).astype(np.int32)
+        then = np.arange(limit, dtype=np.int32) + green.size[low].astype(np.int32)
+        if others:
+            literal = np.flatnonzero(green.symbol[low] < 256)
+            place = then[literal] + 8 * first
+            for c, _ in others:
+                place = place + c.size[ahead(place, c.longest)]
+            then[literal] = place - 8 * first
+        back = np.flatnonzero(backs[low]) if any_back else ()
         if len(back):
-            more = then[back] + _extra(symbol[back] - 256)
-            low = ahead(more, far.longest)
-            then[back] = more + far.size[low] + _extra(far.symbol[low])
-        if max(c.longest for c in (green, red, blue, alpha)) == 0 and literal[0]:
-            seen = np.zeros(count - have, np.int64)  # one colour, no bits
-        else:
-            follow, walk, p, limit = (then - start).tolist(), [], 0, stop - start
-            room = count - have
-            while p < limit and len(walk) < room:
-                walk.append(p)
-                p = follow[p]
-            seen = np.array(walk)
-        symbol, here = symbol[seen], at[seen]
+            more = then[back] + _EXTRA[green.symbol[low[back]] - 256] + 8 * first
+            at_far = ahead(more, far.longest)
+            then[back] = more + far.size[at_far] + _EXTRA[far.symbol[at_far]] - 8 * first
+        # followed four symbols at a time; places beyond the piece lead to themselves
+        then = np.concatenate([then, np.arange(limit, limit + 64, dtype=np.int32)])
+        two = then[then]
+        follow, walk, p = memoryview(two[two]), array("i"), bits.at & 7
+        push = walk.append
+        while p < limit:
+            push(p)
+            p = follow[p]
+        walk = np.frombuffer(walk, np.int32)
+        seen = np.stack([walk, then[walk], two[walk], then[two[walk]]], axis=1).ravel()
+        seen = seen[seen < limit]
+        low = low[seen]
+        symbol, here = green.symbol[low], seen.astype(np.int64) + 8 * first
         length, gap = np.ones(len(seen), np.int64), np.zeros(len(seen), np.int64)
-        pixel = np.zeros(len(seen), np.int64)
-        lit = np.flatnonzero(symbol < 256)
-        place = here[lit] + green.size[ahead(here[lit], green.longest)]
-        pixel[lit] = symbol[lit] << 8
-        for c, shift in ((red, 16), (blue, 0), (alpha, 24)):
-            low = ahead(place, c.longest)
-            pixel[lit] |= c.symbol[low] << shift
-            place = place + c.size[low]
-        back = np.flatnonzero((symbol >= 256) & (symbol < 280))
+        pixel = (symbol << 8) | plain
+        if others:
+            lit = np.flatnonzero(symbol < 256)
+            place = here[lit] + green.size[low[lit]]
+            for c, shift in others:
+                at_c = ahead(place, c.longest)
+                pixel[lit] |= c.symbol[at_c] << shift
+                place = place + c.size[at_c]
+        back = np.flatnonzero((symbol >= 256) & (symbol < 280)) if any_back else ()
         if len(back):
-            place = here[back] + green.size[ahead(here[back], green.longest)]
+            place = here[back] + green.size[low[back]]
             prefix = symbol[back] - 256
-            n = _extra(prefix)
+            n = _EXTRA[prefix]
             length[back] = _value(prefix, ahead(place, 32) & ((1 << n) - 1))
-            place += n
-            low = ahead(place, far.longest)
-            prefix, place = far.symbol[low], place + far.size[low]
-            gap[back] = _distance(_value(prefix, ahead(place, 32) & ((1 << _extra(prefix)) - 1)), width)
+            place = place + n
+            at_far = ahead(place, far.longest)
+            prefix, place = far.symbol[at_far], place + far.size[at_far]
+            gap[back] = _distance(_value(prefix, ahead(place, 32) & ((1 << _EXTRA[prefix]) - 1)), width)
         ends = np.cumsum(length) + have
-        use = int(np.searchsorted(ends, count)) + 1  # symbols until the image is full
+        use = min(int(np.searchsorted(ends, count)) + 1, len(ends))  # symbols until the image is full
         symbols.append(symbol[:use])
         pixels.append(pixel[:use])
         lengths.append(length[:use])
         distances.append(gap[:use])
-        if ends[min(use, len(ends)) - 1] > count:
+        if ends[use - 1] > count:
             raise ValueError("a back-reference beyond the image")
-        have = int(ends[min(use, len(ends)) - 1])
-        bits.at = int(then[seen[min(use, len(ends)) - 1]])
+        have = int(ends[use - 1])
+        bits.at = int(then[seen[use - 1]]) + 8 * first
     if bits.at > 8 * len(bits.data):
         raise ValueError("the image ends too early")
     symbol, pixel, length, gap = (np.concatenate(x) for x in (symbols, pixels, lengths, distances))
@@ -269,12 +316,13 @@ def _read_pieces(bits: Bits, codes: list[Code], cache_bits: int, count: int, wid
     back = np.flatnonzero(~lit)
     if (gap[back] > at[back]).any():
         raise ValueError("a back-reference beyond the image")
-    for a, n, d in zip(at[back].tolist(), length[back].tolist(), gap[back].tolist(), strict=True):
+    raw = bytearray(out.tobytes())
+    for a, n, d in zip((4 * at[back]).tolist(), (4 * length[back]).tolist(), (4 * gap[back]).tolist(), strict=True):
         if d >= n:
-            out[a : a + n] = out[a - d : a - d + n]
+            raw[a : a + n] = raw[a - d : a - d + n]
         else:
-            out[a : a + n] = np.resize(out[a - d : a], n)
-    return out
+            raw[a : a + n] = (raw[a - d : a] * (n // d + 1))[:n]
+    return np.frombuffer(raw, np.uint32)
 
 
 def _with_cache(symbol: np.ndarray, pixel: np.ndarray, length: np.ndarray, gap: np.ndarray, cache_bits: int) -> np.ndarray:
@@ -419,24 +467,28 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Writer:
-    """Collects (value, bits) pairs, lowest bit first; a value has at most 64 bits."""
+    """Collects (value, bits) pairs, lowest bit first: few at a time in ``put``, then arrays of at most 64 bits a value."""
 
     def __init__(self):
-        self.values: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        self.head, self.n = 0, 0
+        self.arrays: list[tuple[np.ndarray, np.ndarray]] = []
 
     def put(self, *pairs: tuple[int, int]) -> None:
-        self.put_all(np.array([v for v, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64))
+        for v, n in pairs:
+            self.head |= v << self.n
+            self.n += n
 
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.values.append(values)
-        self.sizes.append(sizes)
+        """After all that ``put`` writes."""
+        self.arrays.append((values, sizes))
 
     def bytes(self) -> bytes:
-        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        begin = np.cumsum(sizes) - sizes
-        each = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
-        return np.packbits((np.repeat(values, sizes) >> each.astype(np.uint64) & np.uint64(1)).astype(np.uint8), bitorder="little").tobytes()
+        bits = [np.unpackbits(np.frombuffer(self.head.to_bytes(self.n + 7 >> 3, "little"), np.uint8), count=self.n, bitorder="little")]
+        for values, sizes in self.arrays:
+            begin = np.cumsum(sizes) - sizes
+            each = (np.arange(int(sizes.sum())) - np.repeat(begin, sizes)).astype(np.uint64)
+            bits.append((np.repeat(values, sizes) >> each & np.uint64(1)).astype(np.uint8))
+        return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST_CODE) -> np.ndarray:
@@ -478,6 +530,16 @@ def code_words(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+#: One code for all lists of code lengths, by how often the symbols come: runs and the middle lengths most.
+_OWN = code_lengths(np.array([40, 1, 2, 6, 10, 16, 20, 20, 20, 16, 10, 6, 4, 3, 2, 2, 10, 30, 10]), 7)
+_LENGTHS_OF_LENGTHS = [(int(_OWN[i]), 3) for i in LENGTH_ORDER]
+_LENGTH_WORDS = list(zip(code_words(_OWN).tolist(), _OWN.tolist(), strict=True))
+
+
+def _one_symbol(symbol: int) -> list[tuple[int, int]]:
+    return [(1, 1), (0, 1), (int(symbol > 1), 1), (symbol, 8 if symbol > 1 else 1)]
+
+
 def put_code(w: Writer, lengths: np.ndarray) -> None:
     """A code's lengths: one or two symbols plainly, others run by run under a code of their own."""
     used = np.flatnonzero(lengths)
@@ -505,21 +567,16 @@ def put_code(w: Writer, lengths: np.ndarray) -> None:
                 k = 1
                 runs.append((value, 0, 0))
             n -= k
-    own = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
-    sent = [int(own[i]) for i in LENGTH_ORDER]
-    n = max(4, max(i for i, x in enumerate(sent) if x) + 1)
-    w.put((0, 1), (n - 4, 4), *[(x, 3) for x in sent[:n]])
+    w.put((0, 1), (15, 4), *_LENGTHS_OF_LENGTHS)
     if upto < len(lengths):  # how many follow, at least 2
         k = max(1, -(-max(1, (len(runs) - 2).bit_length()) // 2))
         w.put((1, 1), (k - 1, 3), (len(runs) - 2, 2 * k))
     else:
         w.put((0, 1))
-    words, alone = code_words(own), (own > 0).sum() == 1
-    w.put(*[p for s, more, bits in runs for p in ((int(words[s]), 0 if alone else int(own[s])), (more, bits))])
+    w.put(*[p for s, more, bits in runs for p in (_LENGTH_WORDS[s], (more, bits))])
 
 
-def prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix, more bits, how many) of lengths or distance codes."""
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = values.astype(np.int64) - 1
     top = np.zeros(len(v), np.int64)
     big = v >= 4
@@ -528,6 +585,17 @@ def prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(big, 2 * top + (v >> n & 1), v), np.where(big, v & ((1 << n) - 1), 0), n
 
 
+_FEW = 1 << 13
+_FEW_PREFIXED = _prefixed(np.arange(1, _FEW))
+
+
+def prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, more bits, how many) of lengths or distance codes."""
+    if len(values) and values.max() >= _FEW:
+        return _prefixed(values)
+    return tuple(x[values - 1] for x in _FEW_PREFIXED)
+
+
 def matches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, length, distance) of back-references to the last equal ``SHORTEST`` samples, taken greedily."""
     none = np.empty(0, np.int64)
@@ -536,32 +604,45 @@ def matches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none, none, none
     padded = np.concatenate([x.astype(np.uint8), np.zeros(8, np.uint8)])
     key = np.ndarray(n, "<u8", padded, 0, (1,)) & np.uint64((1 << 8 * SHORTEST) - 1)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    mixed = key * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort((mixed >> np.uint64(32)).astype(np.uint16), kind="stable")  # by 32 bits of a hash, 16 at a time
+    order = order[np.argsort((mixed >> np.uint64(48)).astype(np.uint16)[order], kind="stable")]
+    sorted_ = key[order]
+    same = np.flatnonzero(sorted_[1:] == sorted_[:-1])
     gap = np.zeros(n + 1, np.int64)
-    gap[order[1:][same]] = order[1:][same] - order[:-1][same]
+    gap[order[same + 1]] = order[same + 1] - order[same]
     at = np.flatnonzero(gap)
     if not len(at):
         return none, none, none
-    edges = np.flatnonzero(np.diff(gap)) + 1  # runs of one distance are one match
-    length = edges[np.searchsorted(edges, at, side="right")] - at + SHORTEST - 1
-    after = np.searchsorted(at, at + np.minimum(length, LONGEST_MATCH)).tolist()
-    taken, i = [], 0
-    while i < len(after):
-        taken.append(i)
+    # runs of one distance are one match: where the run of each place ends
+    change = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    length = np.minimum(change[np.searchsorted(change, at, side="right")] - at + SHORTEST - 1, LONGEST_MATCH)
+    upto = np.zeros(len(x) + 1, np.int64)
+    upto[at] = 1
+    upto = np.cumsum(upto) - upto  # candidates before each place
+    after = memoryview(upto[at + length])
+    taken, i, stop = array("q"), 0, len(at)
+    push = taken.append
+    while i < stop:
+        push(i)
         i = after[i]
+    taken = np.frombuffer(taken, np.int64)
     at = at[taken]
-    return at, np.minimum(length[taken], LONGEST_MATCH), gap[at]
+    return at, length[taken], gap[at]
 
 
-_NEAR_CODES: dict[int, dict[int, int]] = {}
+_NEAR_CODES: dict[int, np.ndarray] = {}
 
 
 def _distance_codes(gap: np.ndarray, width: int) -> np.ndarray:
+    """The shortest code of each distance: a near one where there is one."""
     if width not in _NEAR_CODES:
-        _NEAR_CODES[width] = {d: c for c, d in reversed(list(enumerate((max(1, x + y * width) for x, y in NEAR), 1)))}
-    near = _NEAR_CODES[width]
-    return np.array([near.get(d, d + 120) for d in gap.tolist()], np.int64)
+        gaps = _near_gaps(width)
+        codes = np.arange(int(gaps.max()) + 1) + 120
+        codes[gaps[::-1]] = np.arange(120, 0, -1)
+        _NEAR_CODES[width] = codes
+    codes = _NEAR_CODES[width]
+    return np.where(gap < len(codes), codes[np.minimum(gap, len(codes) - 1)], gap + 120)
 
 
 def put_pixels(w: Writer, x: np.ndarray, width: int, alpha: int, main: bool = True) -> None:
@@ -570,9 +651,10 @@ def put_pixels(w: Writer, x: np.ndarray, width: int, alpha: int, main: bool = Tr
     literal = np.ones(len(x), bool)
     change = np.zeros(len(x) + 1, np.int64)
     change[at] += 1
-    np.add.at(change, at + length, -1)
+    change[at + length] -= 1
     literal[np.cumsum(change[:-1]) > 0] = False
-    places = np.sort(np.concatenate([np.flatnonzero(literal), at]))
+    literal[at] = True  # the first pixel stands for its match
+    places = np.flatnonzero(literal)
     back = np.searchsorted(places, at)
     green, more, n = x[places].astype(np.int64), np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
     prefix, more[back], n[back] = prefixed(length)
@@ -580,8 +662,9 @@ def put_pixels(w: Writer, x: np.ndarray, width: int, alpha: int, main: bool = Tr
     far, far_more, far_n = prefixed(_distance_codes(gap, width))
     greens, fars = code_lengths(np.bincount(green, minlength=280)), code_lengths(np.bincount(far, minlength=40))
     w.put((0, 1), *([(0, 1)] if main else []))
-    for lengths in (greens, np.eye(256, dtype=np.int64)[0], np.eye(256, dtype=np.int64)[0], np.eye(256, dtype=np.int64)[alpha], fars):
-        put_code(w, lengths)
+    put_code(w, greens)
+    w.put(*[p for symbol in (0, 0, alpha) for p in _one_symbol(symbol)])
+    put_code(w, fars)
     size = greens[green] if (greens > 0).sum() > 1 else np.zeros(len(green), np.int64)
     value = code_words(greens)[green]
     value |= more.astype(np.uint64) << size.astype(np.uint64)
@@ -600,6 +683,17 @@ def _cost(x: np.ndarray) -> float:
     return float(-(n * np.log2(n / len(x))).sum())
 
 
+def _predictor(some: np.ndarray) -> int:
+    """0, or the predictor (1 left, 2 top) whose residuals are cheaper; samples of few bits each are left as they are."""
+    plain = _cost(some.ravel())
+    if plain <= 5.5 * some.size:
+        return 0
+    left, top = some.copy(), some.copy()
+    left[:, 1:] -= some[:, :-1]
+    top[1:] -= some[:-1]
+    return int(np.argmin([plain, _cost(left.ravel()) + 64, _cost(top.ravel()) + 64]))
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
     """A lossless WebP file of a (height, width) array of 8-bit grey samples."""
     height, width = samples.shape
@@ -618,19 +712,18 @@ def encode_grey(samples: np.ndarray) -> bytes:
         w.put((0, 1))
         put_pixels(w, (index << size * np.arange(per)).sum(axis=2).ravel(), -(-width // per), 255)
     else:
-        left, top = samples.copy(), samples.copy()
-        left[:, 1:] -= samples[:, :-1]
-        left[1:, 0] -= samples[:-1, 0]
-        top[1:] -= samples[:-1]
-        top[0, 1:] -= samples[0, :-1]
-        costs = [_cost(x), _cost(left.ravel()) + 64, _cost(top.ravel()) + 64]
-        mode = int(np.argmin(costs))
-        alpha = 255
+        alpha, mode = 255, _predictor(samples[: -(-_TRIED // width)])
         if mode:  # one mode for the whole image; residuals have alpha 0 throughout
-            x, alpha, block = (left if mode == 1 else top).ravel(), 0, 9
+            rest = samples.copy()
+            if mode == 1:
+                rest[:, 1:] -= samples[:, :-1]
+                rest[1:, 0] -= samples[:-1, 0]
+            else:
+                rest[1:] -= samples[:-1]
+                rest[0, 1:] -= samples[0, :-1]
+            x, alpha, block = rest.ravel(), 0, 9
             w.put((1, 1), (PREDICTOR, 2), (block - 2, 3), (0, 1))
-            for symbol in (mode, 0, 0, 255, 0):
-                put_code(w, np.bincount([symbol], minlength=256))
+            w.put(*[p for symbol in (mode, 0, 0, 255, 0) for p in _one_symbol(symbol)])
         w.put((1, 1), (SUBTRACT_GREEN, 2), (0, 1))
         put_pixels(w, x, width, alpha)
     body = w.bytes()
