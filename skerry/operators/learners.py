@@ -6,13 +6,15 @@ elastic-net logistic regression on linear and hinge features, fitted by proximal
 
 from __future__ import annotations
 
+import itertools
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 
 
 def _grow(x, target, weight, depth, min_leaf, features, rng):
-    """A regression tree by weighted squared error: nested tuples (feature, cut, low, high) or a value."""
+    """A regression tree by weighted squared error: nested tuples (feature, cut, low, high, share of the weight that is low) or a value."""
     value = float(np.average(target, weights=weight))
     if depth == 0 or len(target) < 2 * min_leaf or np.ptp(target) == 0:
         return value
@@ -34,7 +36,7 @@ def _grow(x, target, weight, depth, min_leaf, features, rng):
     if best[1] is None:
         return value
     low = x[:, best[1]] <= best[2]
-    return int(best[1]), float(best[2]), _grow(x[low], target[low], weight[low], depth - 1, min_leaf, features, rng), _grow(x[~low], target[~low], weight[~low], depth - 1, min_leaf, features, rng)
+    return int(best[1]), float(best[2]), _grow(x[low], target[low], weight[low], depth - 1, min_leaf, features, rng), _grow(x[~low], target[~low], weight[~low], depth - 1, min_leaf, features, rng), float(weight[low].sum() / weight.sum())
 
 
 def _value(tree, x):
@@ -46,6 +48,25 @@ def _value(tree, x):
     return out
 
 
+def _expected(tree, x, known):
+    """The tree's value where only the features ``known`` are given, the others by the weight of their branches."""
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    low, high = _expected(tree[2], x, known), _expected(tree[3], x, known)
+    return np.where(x[:, tree[0]] <= tree[1], low, high) if tree[0] in known else tree[4] * low + (1 - tree[4]) * high
+
+
+def shapley(trees, x):
+    """(rows, features): each feature's exact Shapley value in the mean of the trees, over all sets of the few features."""
+    n = x.shape[1]
+    worth = {s: np.mean([_expected(t, x, s) for t in trees], axis=0) for k in range(n + 1) for s in map(frozenset, itertools.combinations(range(n), k))}
+    out = np.zeros(x.shape)
+    for s, v in worth.items():
+        for j in set(range(n)) - s:
+            out[:, j] += math.factorial(len(s)) * math.factorial(n - len(s) - 1) / math.factorial(n) * (worth[s | {j}] - v)
+    return out
+
+
 def _balanced(y):
     n = np.bincount(y, minlength=2)
     return len(y) / (2 * np.maximum(n, 1))[y]

@@ -122,6 +122,13 @@ def average_ranks(df: DataFrame, partition: list[str], value: str, out: str, buc
     return df.join(ranks, on).drop("_v", *[f"_p{i}" for i in range(len(partition))])
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's, as an aggregate; null where a side does not vary."""
+    a, b, n = F.col(x), F.col(y), F.count("*")
+    spread = lambda c: n * F.sum(c * c) - F.sum(c) * F.sum(c)
+    return F.try_divide(n * F.sum(a * b) - F.sum(a) * F.sum(b), F.sqrt(F.greatest(spread(a) * spread(b), F.lit(0.0))))
+
+
 def boyce(df: DataFrame, keys: list[str], windows: int = 20, width: float = 0.1, score: str = "suit", label: str = "label") -> DataFrame:
     """Continuous Boyce index: Spearman's rank correlation of P/E with the midpoints of overlapping score windows."""
     lows = [i * ((1.0 - width) / (windows - 1)) for i in range(windows)]
@@ -131,7 +138,7 @@ def boyce(df: DataFrame, keys: list[str], windows: int = 20, width: float = 0.1,
     met = df.select(*keys, label, F.explode(inside).alias("low")).groupBy(*keys, "low").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     ratio = met.join(totals, keys).where("neg > 0 AND all_pos > 0").withColumn("pe", F.round((F.col("pos").cast("double") / F.col("all_pos")) / (F.col("neg").cast("double") / F.col("all_neg")), 12))
     ranked = average_ranks(average_ranks(ratio, keys, "pe", "r1", 1), keys, "low", "r2", 1)  # at most ``windows`` rows a group
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n_windows"), F.when(F.count("*") >= 3, F.corr("r1", "r2")).alias("boyce"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n_windows"), F.when(F.count("*") >= 3, correlation("r1", "r2")).alias("boyce"))
 
 
 def bundle(df: DataFrame, keys: list[str], thresholds: DataFrame, fallback: bool, score: str = "suit", label: str = "label", least_rows: int = 5) -> DataFrame:

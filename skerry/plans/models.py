@@ -1,203 +1,340 @@
-"""Model queries: a table of tasks, one small model fit a task, over bounded fold samples."""
+"""Model queries: a table of tasks, one small fit a task on a bounded sample, and figures over every row."""
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.numeric import hash_order
-from skerry.operators import resampling, spatial
-from skerry.operators.learners import LEARNERS, auc_of, vif_keep, youden_of
+from skerry.functions.numeric import hash_order, rounded
+from skerry.operators import modelling, ranking, resampling, spatial
+from skerry.operators.learners import LEARNERS, auc_of, shapley, vif_keep, youden_of
 from skerry.plans.registry import registered
-from skerry.plans.spatial import _near
+from skerry.plans.spatial import ANGLE, _blocks, _near
 from skerry.plans.views import view
-from skerry.sources.tables import parquet
+from skerry.sources.tables import parquet, union_by_name, written
+
+FEATURES = ["quantity", "price", "unit", "discount", "tax"]
+#: Feature sets; one with fewer than three of its features in the table is left out.
+FEATURE_SETS = {"S": FEATURES[:3], "SA": FEATURES[:4], "SP": [*FEATURES[:3], "tax"], "SAP": FEATURES}
+GRIDS = {
+    "forest": [{"trees": t, "depth": d, "min_leaf": m} for t in (10, 20) for d in (3, 5, 8) for m in (1, 5)],
+    "boosting": [{"rounds": r, "depth": d, "rate": e} for r in (10, 20) for d in (1, 2, 3) for e in (0.1, 0.3)],
+    "hinges": [{"strength": s, "l1_ratio": r} for s in (0.01, 0.1, 1.0, 10.0) for r in (0.0, 0.5, 1.0)],
+}
+CANDIDATES, FOLDS = 10, 3
+_MODELS: dict[tuple[str, str], dict] = {}
+
+
+def rows_of(spark, d) -> DataFrame:
+    """Every line as id, fold, label and the predictors, complete rows only."""
+    return parquet(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") % FOLDS).cast("int").alias("fold"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / 1000).alias("price"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"), (F.col("l_discount") * 100).alias("discount"), (F.col("l_tax") * 100).alias("tax"),
+    ).dropna()
 
-FEATURES = ["quantity", "price", "discount", "tax", "unit"]
-FOLD_ROWS = 300
 
+def task_table(spark, columns: list[str]) -> DataFrame:
+    """task, algo, feat_set, test_fold: the cross product of algorithms, usable feature sets and outer folds."""
+    sets = [f for f, members in FEATURE_SETS.items() if sum(c in columns for c in members) >= 3]
+    return spark.createDataFrame([(json.dumps([a, f, k]), a, f, k) for a in GRIDS for f in sets for k in range(FOLDS)], "task string, algo string, feat_set string, test_fold int")
 
-def sample_rows(spark, d) -> DataFrame:
-    """The modelling sample: ``FOLD_ROWS`` rows of each fold and label in a seeded order, with 5 predictors."""
-    rows = parquet(spark, d, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") % 3).cast("int").alias("fold"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
-        F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / 1000).alias("price"), (F.col("l_discount") * 100).alias("discount"), (F.col("l_tax") * 100).alias("tax"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"),
-    ).dropna()
-    w = Window.partitionBy("fold", "label").orderBy("o", "id")
-    return rows.withColumn("o", hash_order(F.col("id"), 11)).withColumn("n", F.row_number().over(w)).where(F.col("n") <= FOLD_ROWS).drop("o", "n")
+
+def candidates(algo: str, seed: int = 42) -> list[dict]:
+    """``CANDIDATES`` settings of the grid, without replacement, in a seeded order."""
+    order = np.random.default_rng(seed).permutation(len(GRIDS[algo]))[:CANDIDATES]
+    return [GRIDS[algo][i] for i in order]
+
+
+def _out_of_fold(algo: str, settings: dict, x, y, inner, seed: int) -> np.ndarray:
+    out = np.full(len(y), np.nan)
+    for k in range(FOLDS):
+        a, b = inner != k, inner == k
+        if b.any() and 0 < y[a].sum() < a.sum():
+            out[b] = LEARNERS[algo](**settings, seed=seed).fit(x[a], y[a]).predict(x[b])
+    return out
 
 
-def tasks(spark, algos=("forest", "boosting", "hinges"), feat_sets=("all", "no_price")) -> DataFrame:
-    return spark.createDataFrame([(a,) for a in algos], "algo string").crossJoin(spark.createDataFrame([(f,) for f in feat_sets], "feat_set string")).crossJoin(spark.range(3).select(F.col("id").cast("int").alias("test_fold")))
+def nested_fit(rows: pd.DataFrame) -> dict | None:
+    """Predictors by variance inflation, settings by inner folds (mean AUC, the first of equals), the threshold by a second pass over them."""
+    algo, feat_set, _ = json.loads(rows["task"].iloc[0])
+    y = rows["label"].to_numpy()
+    if not 0 < y.sum() < len(y):
+        return None
+    cols = [c for c in FEATURE_SETS[feat_set] if c in rows]
+    cols = [cols[i] for i in vif_keep(rows[cols].to_numpy())]
+    x, inner = rows[cols].to_numpy(), rows["id"].to_numpy() // 10 // FOLDS % FOLDS
+    best, chosen = -1.0, None
+    for settings in candidates(algo):
+        p = _out_of_fold(algo, settings, x, y, inner, 42)
+        folds = [auc_of(y[ok], p[ok]) for k in range(FOLDS) if (ok := (inner == k) & ~np.isnan(p)).any()]
+        score = float(np.nanmean(folds)) if np.isfinite(folds).any() else -0.5
+        if score > best:
+            best, chosen = score, settings
+    p = _out_of_fold(algo, chosen, x, y, inner, 10042)
+    ok = ~np.isnan(p)
+    threshold = youden_of(y[ok], p[ok]) if 0 < y[ok].sum() < ok.sum() else 0.5
+    return {"columns": cols, "settings": chosen, "threshold": threshold, "model": LEARNERS[algo](**chosen).fit(x, y)}
 
 
-def _columns(feat_set: str) -> list[str]:
-    return [f for f in FEATURES if feat_set == "all" or f != "price"]
+def fitted(spark, d) -> dict:
+    """The models of all tasks (36), fitted once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        rows = rows_of(spark, d)
+        tasks = task_table(spark, rows.columns)
+        train = rows.join(F.broadcast(tasks), F.col("fold") != F.col("test_fold"))
+        _MODELS[key] = modelling.fit(train.select("task", "id", "label", *FEATURES), nested_fit)
+    return _MODELS[key]
 
 
-def _fit_task(rows: pd.DataFrame):
-    """(learner, kept columns, test rows, threshold, hyper-parameter) of one task: choice and threshold by inner folds of the training rows."""
-    rows = rows.sort_values("id")
-    algo, feat_set, test = rows["algo"].iloc[0], rows["feat_set"].iloc[0], int(rows["test_fold"].iloc[0])
-    train, held = rows[rows["fold"] != test], rows[rows["fold"] == test]
-    cols = _columns(feat_set)
-    cols = [cols[i] for i in vif_keep(train[cols].to_numpy())]
-    x, y = train[cols].to_numpy(), train["label"].to_numpy()
-    grid = {"forest": [{"trees": 20, "depth": 4}, {"trees": 20, "depth": 8}], "boosting": [{"rounds": 20, "depth": 2}, {"rounds": 20, "depth": 3}], "hinges": [{"strength": 0.1}, {"strength": 1.0}]}[algo]
-    inner = train["id"].to_numpy() // 10 // 3 % 3
-    best = (-1.0, None, None)
-    for hp in grid:
-        oof = np.full(len(y), np.nan)
-        for k in range(3):
-            a, b = inner != k, inner == k
-            if b.any() and 0 < y[a].sum() < a.sum():
-                oof[b] = LEARNERS[algo](**hp).fit(x[a], y[a]).predict(x[b])
-        ok = ~np.isnan(oof)
-        score = np.nan_to_num(auc_of(y[ok], oof[ok]), nan=-0.5)
-        if score > best[0]:
-            best = (score, hp, youden_of(y[ok], oof[ok]) if ok.any() else 0.5)
-    return LEARNERS[algo](**(best[1] or grid[0])).fit(x, y), cols, held, best[2] or 0.5, best[1] or grid[0]
+def held_out(spark, d, algos=tuple(GRIDS), feat_sets=tuple(FEATURE_SETS)) -> DataFrame:
+    """Every row with each task that tests it."""
+    rows = rows_of(spark, d)
+    tasks = task_table(spark, rows.columns).where(F.col("algo").isin(*algos) & F.col("feat_set").isin(*feat_sets))
+    return rows.join(F.broadcast(tasks), F.col("fold") == F.col("test_fold"))
 
 
-def _per_task(spark, d, run, schema: str, **which) -> DataFrame:
-    return tasks(spark, **which).crossJoin(sample_rows(spark, d)).groupBy("algo", "feat_set", "test_fold").applyInPandas(run, schema)
+def _task_columns(df: DataFrame) -> DataFrame:
+    t = F.from_json("task", "array<string>")
+    return df.withColumns({"algo": t[0], "feat_set": t[1], "test_fold": t[2].cast("int")})
 
 
-_HEAD = "algo string, feat_set string, test_fold int"
+_TASK = ["algo", "feat_set", "test_fold"]
 
 
-def _head(rows: pd.DataFrame) -> dict:
-    return {k: rows[k].iloc[0] for k in ("algo", "feat_set", "test_fold")}
+@registered()
+def oof_predictions(spark, d):
+    """Out-of-fold predictions of every configuration for every row."""
+    return _task_columns(modelling.predict(held_out(spark, d), fitted(spark, d))).select(*_TASK, "id", "label", "suit")
 
 
 @registered()
 def nested_cv(spark, d):
-    """Every algorithm, feature set and outer fold: choice and threshold by inner folds, metrics on the outer one."""
+    """Every algorithm, feature set and outer fold: choice and threshold by inner folds, all metrics over every row of the outer one."""
+    models = fitted(spark, d)
+    scored = _task_columns(modelling.predict(held_out(spark, d), models))
+    specs = [(*json.loads(t), float(m["threshold"]), ",".join(m["columns"]), json.dumps(m["settings"])) for t, m in models.items()]
+    chosen = spark.createDataFrame(specs, "algo string, feat_set string, test_fold int, threshold double, selected string, hp string")
+    return ranking.bundle(scored, _TASK, chosen.select(*_TASK, "threshold"), fallback=True).join(chosen.drop("threshold"), _TASK)
+
+
+def _refit(rows: pd.DataFrame) -> dict | None:
+    """From the stored specification alone: predictors, settings and seed."""
+    spec = json.loads(rows["spec"].iloc[0])
+    y = rows["label"].to_numpy()
+    return {"columns": spec["columns"], "model": LEARNERS[spec["algo"]](**spec["settings"]).fit(rows[spec["columns"]].to_numpy(), y)} if 0 < y.sum() < len(y) else None
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model, cols, held, threshold, hp = _fit_task(rows)
-        y, p = held["label"].to_numpy(), model.predict(held[cols].to_numpy())
-        hit = p >= threshold
-        sens, spec = (hit & (y == 1)).sum() / ((y == 1).sum() + 1e-9), (~hit & (y == 0)).sum() / ((y == 0).sum() + 1e-9)
-        return pd.DataFrame([_head(rows) | {"auc": auc_of(y, p), "brier": float(((p - y) ** 2).mean()), "tss": sens + spec - 1, "threshold": threshold, "selected": ",".join(cols), "hp": str(hp)}])
 
-    return _per_task(spark, d, run, f"{_HEAD}, auc double, brier double, tss double, threshold double, selected string, hp string")
+def _specs(spark, d, feat_set: str = "SAP") -> DataFrame:
+    rows = [(t, json.loads(t)[2], json.dumps({"algo": "forest", "columns": m["columns"], "settings": m["settings"]}), float(m["threshold"])) for t, m in fitted(spark, d).items() if json.loads(t)[:2] == ["forest", feat_set]]
+    return spark.createDataFrame(rows, "task string, test_fold int, spec string, threshold double")
 
 
 @registered()
-def oof_predictions(spark, d):
-    """Out-of-fold predictions of every configuration."""
+def refit_selected(spark, d):
+    """The selected models fitted again from their stored specifications: AUC as reported and as reconstructed."""
+    rows, specs = rows_of(spark, d), _specs(spark, d)
+    again = modelling.fit(rows.join(F.broadcast(specs), F.col("fold") != F.col("test_fold")).select("task", "id", "label", "spec", *FEATURES), _refit)
+    held = held_out(spark, d, ("forest",), ("SAP",))
+    auc = lambda models, name: ranking.auc(ranking.score_counts(modelling.predict(held, models), ["task"]), ["task"]).select("task", F.col("auc").alias(name))
+    both = auc(fitted(spark, d), "reported_auc").join(auc(again, "reconstructed_auc"), "task")
+    return _task_columns(both).select(*_TASK, "reported_auc", "reconstructed_auc", (F.abs(F.col("reported_auc") - F.col("reconstructed_auc")) < 1e-9).alias("same"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model, cols, held, _, _ = _fit_task(rows)
-        return held.assign(**_head(rows), suit=model.predict(held[cols].to_numpy()))[["algo", "feat_set", "test_fold", "id", "label", "suit"]]
 
-    return _per_task(spark, d, run, f"{_HEAD}, id long, label int, suit double")
+@registered()
+def full_refit_ensemble(spark, d):
+    """Every selected specification fitted to all folds and every row scored by each: mean, deviation, the class at the median threshold, and support."""
+    rows, specs = rows_of(spark, d), _specs(spark, d)
+    models = modelling.fit(rows.crossJoin(F.broadcast(specs)).select("task", "id", "label", "spec", *FEATURES), _refit)
+    cut = specs.agg(F.percentile("threshold", F.lit(0.5)).alias("cut"))
+    scored = modelling.predict(rows.crossJoin(F.broadcast(specs.select("task"))), models).crossJoin(F.broadcast(cut))
+    out = scored.groupBy("id", "cut").agg(F.avg("suit").alias("mean"), F.stddev_samp("suit").alias("sd"), F.avg((F.col("suit") >= F.col("cut")).cast("double")).alias("support"))
+    return out.select("id", "mean", "sd", (F.col("mean") >= F.col("cut")).cast("int").alias("above"), "support")
 
 
 @registered()
-def permutation_importance(spark, d):
-    """Loss of AUC when a predictor is shuffled, mean of ten shuffles; 0 for predictors left out."""
+def ensemble_support(spark, d):
+    """Shares of rows that all models, four in five and fewer than half support."""
+    s = full_refit_ensemble(spark, d)
+    share = lambda c: F.avg(c.cast("double"))
+    return s.agg(F.count("*").alias("n"), share(F.col("support") == 1).alias("by_all"), share(F.col("support") >= 0.8).alias("by_most"), share(F.col("support") < 0.5).alias("by_few"), F.percentile("sd", F.lit(0.99)).alias("sd_p99"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model, cols, held, _, _ = _fit_task(rows)
-        x, y = held[cols].to_numpy(), held["label"].to_numpy()
-        base, rng, out = auc_of(y, model.predict(x)), np.random.default_rng(42), []
-        for f in FEATURES:
-            drops = []
-            for _ in range(10 if f in cols else 0):
-                z = x.copy()
-                z[:, cols.index(f)] = rng.permutation(z[:, cols.index(f)])
-                drops.append(base - auc_of(y, model.predict(z)))
-            out.append(_head(rows) | {"feature": f, "importance": float(np.mean(drops)) if drops else 0.0})
-        return pd.DataFrame(out)
 
-    return _per_task(spark, d, run, f"{_HEAD}, feature string, importance double", algos=("forest",))
+def _decreases(spark, d, groups: dict[str, list[str]], draws: int, seed: int) -> DataFrame:
+    """algo, feat_set, test_fold, grp, mean decrease of AUC; 0 for groups none of whose features was selected."""
+    models, held = fitted(spark, d), held_out(spark, d, ("forest",), ("SAP",))
+    base = ranking.auc(ranking.score_counts(modelling.predict(held, models), ["task"]), ["task"]).select("task", F.col("auc").alias("base"))
+    scores = modelling.shuffled_scores(held.select("task", "id", "label", *FEATURES), models, groups, draws, seed)
+    each = ranking.auc(ranking.score_counts(scores, ["task", "grp", "draw"]), ["task", "grp", "draw"])
+    mean = each.join(base, "task").groupBy("task", "grp").agg(F.avg(F.col("base") - F.col("auc")).alias("importance"))
+    every = base.select("task").crossJoin(F.broadcast(spark.createDataFrame([(g,) for g in groups], "grp string")))
+    return _task_columns(every.join(mean, ["task", "grp"], "left")).select(*_TASK, "grp", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
+@registered()
+def permutation_importance(spark, d):
+    """Loss of AUC over every held-out row when a predictor is dealt anew, mean of 30; 0 for predictors left out."""
+    return _decreases(spark, d, {f: [f] for f in FEATURES}, 30, 42).withColumnRenamed("grp", "feature")
 
 
 @registered()
 def grouped_permutation(spark, d):
-    """As ``permutation_importance``, with groups of predictors shuffled together."""
-    groups = {"price": ["price", "unit", "quantity"], "terms": ["discount", "tax"]}
+    """As ``permutation_importance``, with groups of predictors dealt anew together, 100 times."""
+    return _decreases(spark, d, {"price": ["price", "unit", "quantity"], "terms": ["discount", "tax"]}, 100, 43)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model, cols, held, _, _ = _fit_task(rows)
-        x, y = held[cols].to_numpy(), held["label"].to_numpy()
-        base, rng, out = auc_of(y, model.predict(x)), np.random.default_rng(43), []
-        for name, members in groups.items():
-            at = [cols.index(m) for m in members if m in cols]
-            drops = []
-            for _ in range(20 if at else 0):
-                z = x.copy()
-                z[:, at] = z[rng.permutation(len(z))][:, at]
-                drops.append(base - auc_of(y, model.predict(z)))
-            out.append(_head(rows) | {"grp": name, "n_features": len(at), "importance": float(np.mean(drops)) if drops else 0.0})
-        return pd.DataFrame(out)
 
-    return _per_task(spark, d, run, f"{_HEAD}, grp string, n_features int, importance double", algos=("forest",))
+@registered()
+def shap_long(spark, d):
+    """Shapley values of a uniform sample of 300 rows, a row a predictor: the first fold's forest of the widest set."""
+    model = fitted(spark, d)[json.dumps(["forest", "SAP", 0])]
+    sample = rows_of(spark, d).where("fold = 0").orderBy(hash_order(F.col("id"), 23), "id").limit(300)
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                v = shapley(model["model"].model, f[model["columns"]].to_numpy(float))
+                wide = pd.DataFrame(v, columns=model["columns"]).assign(id=f["id"].to_numpy())
+                long = wide.melt("id", var_name="feature", value_name="shap")
+                yield long.merge(f[["id", *model["columns"]]].melt("id", var_name="feature", value_name="value"), on=["id", "feature"])
+
+    return sample.mapInPandas(run, "id long, feature string, shap double, value double")
 
 
 @registered()
-def ale_curve(spark, d):
-    """Accumulated local effects over decile edges: mean finite differences, summed up and centred by weight."""
+def importance_summary(spark, d):
+    """Predictors by mean loss of AUC: how often selected, the interval of the loss over the models, mean absolute Shapley value, and both scaled to their greatest."""
+    models = {t: m for t, m in fitted(spark, d).items() if json.loads(t)[0] == "forest"}
+    chosen = [(f, sum(f in m["columns"] for m in models.values()) / len(models)) for f in FEATURES]
+    loss = permutation_importance(spark, d).withColumn("nth", F.col("test_fold").cast("long"))
+    interval = resampling.mean_ci(loss, "feature", "importance", 2000, 5)
+    shap = shap_long(spark, d).groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
+    out = spark.createDataFrame(chosen, "feature string, selection_frequency double").join(interval, "feature").join(shap, "feature", "left").fillna(0.0, ["mean_abs_shap"])
+    all_ = Window.partitionBy(F.lit(0))  # five rows
+    scaled = lambda c: F.coalesce(F.try_divide(F.col(c), F.max(c).over(all_)), F.lit(0.0))
+    return out.withColumns({"scaled_loss": scaled("mean"), "scaled_shap": scaled("mean_abs_shap")}).orderBy(F.desc("mean"), "feature").limit(6)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model, cols, held, _, _ = _fit_task(rows)
-        x, out = held[cols].to_numpy(), []
-        for j, f in enumerate(cols):
-            edges = np.unique(np.quantile(x[:, j], np.linspace(0, 1, 11)))
-            if len(edges) < 4:
-                continue
-            bin_ = np.clip(np.searchsorted(edges, x[:, j], side="right") - 1, 0, len(edges) - 2)
-            low, high = x.copy(), x.copy()
-            low[:, j], high[:, j] = edges[bin_], edges[bin_ + 1]
-            step = model.predict(high) - model.predict(low)
-            n = np.bincount(bin_, minlength=len(edges) - 1)
-            curve = np.cumsum(np.bincount(bin_, step, len(edges) - 1) / np.maximum(n, 1))
-            curve -= np.average(curve, weights=np.maximum(n, 1))
-            out += [_head(rows) | {"feature": f, "x": float((a + b) / 2), "ale": float(v), "n": int(k)} for a, b, v, k in zip(edges, edges[1:], curve, n, strict=False)]
-        return pd.DataFrame(out, columns=["algo", "feat_set", "test_fold", "feature", "x", "ale", "n"])
 
-    return _per_task(spark, d, run, f"{_HEAD}, feature string, x double, ale double, n long", algos=("forest",), feat_sets=("all",))
+@registered()
+def ale_curve(spark, d):
+    """Accumulated local effects over decile edges of every held-out row: mean finite differences, summed up and centred by weight."""
+    models, held = fitted(spark, d), held_out(spark, d, ("forest",), ("SAP",))
+    deciles = [i / 10 for i in range(11)]
+    found = held.groupBy("task").agg(*[F.percentile(c, F.array(*[F.lit(q) for q in deciles])).alias(c) for c in FEATURES]).collect()
+    edges = {(r.task, c): e for r in found for c in models[r.task]["columns"] if len(e := np.unique(r[c])) >= 4}
+
+    def run(frames):
+        for f in frames:
+            for task, part in f.groupby("task"):
+                m = models[task]
+                x = part[m["columns"]].to_numpy(float)
+                for j, c in enumerate(m["columns"]):
+                    if (task, c) not in edges:
+                        continue
+                    e = edges[task, c]
+                    at = np.clip(np.searchsorted(e, x[:, j], side="right") - 1, 0, len(e) - 2)
+                    low, high = x.copy(), x.copy()
+                    low[:, j], high[:, j] = e[at], e[at + 1]
+                    step = m["model"].predict(high) - m["model"].predict(low)
+                    n = np.bincount(at, minlength=len(e) - 1)
+                    yield pd.DataFrame({"task": task, "feature": c, "bin": np.arange(len(e) - 1), "x": (e[1:] + e[:-1]) / 2, "n": n, "step": np.bincount(at, step, len(e) - 1)})
+
+    bins = held.mapInPandas(run, "task string, feature string, bin int, x double, n long, step double").groupBy("task", "feature", "bin").agg(F.first("x").alias("x"), F.sum("n").alias("n"), F.sum("step").alias("step"))
+    upto = Window.partitionBy("task", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    curve = bins.withColumn("ale", F.sum(F.col("step") / F.greatest("n", F.lit(1))).over(upto))
+    whole = Window.partitionBy("task", "feature")
+    w = F.greatest("n", F.lit(1))
+    return _task_columns(curve.withColumn("ale", F.col("ale") - F.sum(F.col("ale") * w).over(whole) / F.sum(w).over(whole))).select(*_TASK, "feature", "x", "ale", "n")
 
 
 @registered()
 def vif_select(spark, d):
-    """Predictors kept by stepwise variance inflation; the moments are summed on the executors."""
-    rows = sample_rows(spark, d)
+    """Predictors kept by stepwise variance inflation; correlations over every row, in one pass."""
+    rows = rows_of(spark, d)
     pairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
-    m = rows.agg(*[F.corr(a, b).alias(f"c_{a}_{b}") for a, b in pairs]).first()
+    m = rows.agg(F.count("*").alias("n"), *[F.corr(a, b).alias(f"c_{a}_{b}") for a, b in pairs]).first()
     c = np.array([[m[f"c_{a}_{b}"] if (a, b) in pairs else m[f"c_{b}_{a}"] for b in FEATURES] for a in FEATURES], float)
     keep = list(range(len(FEATURES)))
-    while len(keep) > 1:
-        v = np.diag(np.linalg.pinv(np.nan_to_num(c[np.ix_(keep, keep)]) + 1e-10 * np.eye(len(keep))))
+    while len(keep) > 1 and m["n"] >= 5:
+        inverse = np.diag(np.linalg.pinv(np.nan_to_num(c[np.ix_(keep, keep)]) + 1e-10 * np.eye(len(keep))))
+        v = 1 / (1 / np.maximum(inverse, 1) + 1e-8)
         if v.max() < 10:
             break
         keep.pop(int(v.argmax()))
     return spark.createDataFrame([(f, i in keep) for i, f in enumerate(FEATURES)], "feature string, kept boolean")
 
 
-def _pilot(spark, d) -> DataFrame:
-    """cell_id, km, score: a pilot forest's score of every cell, from presences (zone parity as predictor) and 200 cells."""
-    cells = view(spark, d, "cells").join(_near(spark, d).select("cell_id", "km"), "cell_id")
-    occ = view(spark, d, "occ").select("lon", "lat").orderBy(F.xxhash64("lon", "lat")).limit(200).withColumn("label", F.lit(1))
-    bg = cells.where("km >= 10").orderBy(hash_order(F.col("cell_id"), 3), "cell_id").limit(200).select("lon", "lat", F.lit(0).alias("label"))
-    fitted = occ.unionByName(bg).toPandas().sort_values(["label", "lon", "lat"])
-    model = LEARNERS["forest"](trees=50, depth=6).fit(fitted[["lon", "lat"]].to_numpy(), fitted["label"].to_numpy()) if fitted["label"].nunique() == 2 else None
+@registered()
+def aoa_fraction(spark, d):
+    """Area of applicability by fold: share of every test row whose nearest training row (of those that a fit sees) is no farther than these are from each other (95th percentile)."""
+    rows = rows_of(spark, d)
+    folds = spark.range(FOLDS).select(F.col("id").cast("int").alias("test_fold"))
+    train = rows.join(F.broadcast(folds), F.col("fold") != F.col("test_fold")).withColumn("task", F.col("test_fold").cast("string"))
+    gap = lambda p, q: np.maximum((p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1) - 2 * p @ q.T, 0)
+
+    def reach(part: pd.DataFrame) -> dict:
+        x = part[FEATURES].to_numpy(float)
+        mean, sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+        x = (x - mean) / sd
+        own = gap(x, x)
+        np.fill_diagonal(own, np.inf)
+        return {"mean": mean, "sd": sd, "x": x, "limit": float(np.quantile(np.sqrt(own.min(axis=1)), 0.95))}
+
+    areas = modelling.fit(train.select("task", "id", "label", *FEATURES), reach)
 
     def run(frames):
         for f in frames:
-            yield f.assign(score=model.predict(f[["lon", "lat"]].to_numpy()) if model and len(f) else 0.5)[["cell_id", "km", "score"]]
+            for fold, part in f.groupby("fold"):
+                if (a := areas.get(str(fold))) is not None:
+                    near = np.sqrt(gap((part[FEATURES].to_numpy(float) - a["mean"]) / a["sd"], a["x"]).min(axis=1))
+                    yield pd.DataFrame({"test_fold": [fold], "limit": [a["limit"]], "inside": [int((near <= a["limit"]).sum())], "n": [len(part)]})
+
+    counted = rows.select("fold", *FEATURES).mapInPandas(run, "test_fold int, limit double, inside long, n long")
+    return counted.groupBy("test_fold", "limit").agg((F.sum("inside") / F.sum("n")).alias("inside"), F.sum("n").alias("n"))
+
+
+PLACE = ["f1", "f2", "parity"]
+
+
+def _places(spark, d) -> DataFrame:
+    """Cells with their predictors and distance to the nearest presence."""
+    return view(spark, d, "cells").withColumn("parity", (F.col("zone") % 2).cast("double")).join(_near(spark, d).select("cell_id", "km"), "cell_id").dropna()
+
 
-    return cells.select("cell_id", "lon", "lat", "km").mapInPandas(run, "cell_id long, km double, score double")
+def _presences(spark, d) -> DataFrame:
+    """Presences with the predictors of their nearest cell."""
+    cells = view(spark, d, "cells").withColumn("parity", (F.col("zone") % 2).cast("double"))
+    near = spatial.nearest(view(spark, d, "occ").select(F.col("occ_id").alias("a_id"), "lon", "lat"), cells.select(F.col("cell_id").alias("b_id"), "lon", "lat"), 100.0)
+    found = near.join(cells.select(F.col("cell_id").alias("b_id"), *PLACE), "b_id").select(F.col("a_id").alias("id"), *PLACE)
+    return found.dropna()
+
+
+def _forest(trees: int, depth: int):
+    def run(rows: pd.DataFrame) -> dict | None:
+        y = rows["label"].to_numpy()
+        return {"columns": PLACE, "model": LEARNERS["forest"](trees=trees, depth=depth).fit(rows[PLACE].to_numpy(float), y)} if 0 < y.sum() < len(y) else None
+
+    return run
+
+
+def _pilot(spark, d) -> DataFrame:
+    """cell_id, km, score: a pilot forest's score of every cell (null without a model), from presences and at most 200 cells beyond 10 km."""
+    cells = _places(spark, d)
+    background = cells.where("km >= 10").orderBy(hash_order(F.col("cell_id"), 3), "cell_id").limit(200)
+    train = _presences(spark, d).select("id", F.lit(1).alias("label"), *PLACE).unionByName(background.select(F.col("cell_id").alias("id"), F.lit(0).alias("label"), *PLACE))
+    models = modelling.fit(train.withColumn("task", F.lit("pilot")), _forest(50, 6))
+    rows = cells.select(F.lit("pilot").alias("task"), F.col("cell_id").alias("id"), F.lit(0).alias("label"), *PLACE)
+    scored = modelling.predict(rows, models).select(F.col("id").alias("cell_id"), F.col("suit").alias("score"))
+    return cells.select("cell_id", "km").join(scored, "cell_id", "left")
 
 
 @registered()
 def pa_two_step(spark, d):
-    """Background beyond 10 km where a pilot model's score is in its lowest third; all beyond 10 km if that is too little."""
-    far = _pilot(spark, d).where("km >= 10")
+    """Background beyond 10 km where a pilot model's score is in its lowest third (0.5 where it has none); all beyond 10 km if that is too little."""
+    far = _pilot(spark, d).where("km >= 10").fillna(0.5, ["score"])
     cut = far.agg(F.percentile("score", F.lit(0.33)).alias("cut"))
     low = far.crossJoin(F.broadcast(cut)).withColumn("low", (F.col("score") <= F.col("cut")).cast("int"))
     have = low.agg(F.sum("low").alias("have"))
@@ -207,38 +344,55 @@ def pa_two_step(spark, d):
 
 @registered()
 def pa_uncertainty_zone(spark, d):
-    """Background beyond 10 km where the pilot is unsure (0.2 to 0.6); all beyond 10 km if that is under half of what is asked."""
-    far = _pilot(spark, d).where("km >= 10").withColumn("unsure", F.col("score").between(0.2, 0.6).cast("int"))
+    """Background beyond 10 km where the pilot is unsure (0.2 to 0.6; 0.4 where it has no score); all beyond 10 km if that is under half of what is asked."""
+    far = _pilot(spark, d).where("km >= 10").fillna(0.4, ["score"]).withColumn("unsure", F.col("score").between(0.2, 0.6).cast("int"))
     have = far.agg(F.sum("unsure").alias("have"))
     use = far.crossJoin(F.broadcast(have)).where("unsure = 1 OR have < 50")
     return use.orderBy(hash_order(F.col("cell_id"), 5), "cell_id").limit(100).select("cell_id", "score")
 
 
-@registered()
-def aoa_fraction(spark, d):
-    """Area of applicability by fold: share of test rows whose nearest training row is no farther than training rows are from each other (95th percentile)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        test = int(rows["test_fold"].iloc[0])
-        train, held = rows[rows["fold"] != test], rows[rows["fold"] == test]
-        mean, sd = train[FEATURES].mean(), train[FEATURES].std(ddof=0).replace(0, 1)
-        a, b = ((train[FEATURES] - mean) / sd).to_numpy(), ((held[FEATURES] - mean) / sd).to_numpy()
-        gap = lambda p, q: ((p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1) - 2 * p @ q.T)
-        own = gap(a, a)
-        np.fill_diagonal(own, np.inf)
-        limit = np.quantile(np.sqrt(np.maximum(own.min(axis=1), 0)), 0.95)
-        near = np.sqrt(np.maximum(gap(b, a).min(axis=1), 0))
-        return pd.DataFrame({"test_fold": [test], "limit": [limit], "inside": [float((near <= limit).mean())], "n": [len(b)]})
+def pseudo_absences(method: str, spark, d) -> DataFrame:
+    """cell_id by the method's name; unknown names take the random one."""
+    from skerry.plans.spatial import pa_random, pa_spatial_constrained
+
+    chosen = {"random": pa_random, "spatial": pa_spatial_constrained, "two_step": pa_two_step, "uncertainty_zone": pa_uncertainty_zone}
+    return chosen.get(method, pa_random)(spark, d).select("cell_id")
 
-    return spark.range(3).select(F.col("id").cast("int").alias("test_fold")).crossJoin(sample_rows(spark, d)).groupBy("test_fold").applyInPandas(run, "test_fold int, limit double, inside double, n long")
+
+@registered()
+def pa_dispatch(spark, d):
+    """Background cells by each method, and by an unknown one."""
+    return union_by_name([pseudo_absences(m, spark, d).select(F.lit(m).alias("method"), "cell_id") for m in ("random", "spatial", "two_step", "uncertainty_zone", "unheard_of")])
 
 
 @registered()
 def sensitivity_sweep(spark, d):
-    """AUC under thinning distances: presences thinned at 5, 10 and 20 km, scored against cells by distance from the rest."""
-    occ = view(spark, d, "occ").select("occ_id", "lon", "lat")
-    out = None
-    for km in (5, 10, 20):
-        kept = resampling.spatial_thin(occ, float(km), [1, 2, 3]).groupBy("seed").agg(F.count("*").alias("n_occ")).withColumn("km", F.lit(km))
-        out = kept if out is None else out.unionByName(kept)
-    return out
+    """Mean and deviation of AUC over spatial folds when presences are thinned, masked, taken from one source, or dealt into other folds.
+
+    A condition and fold is one forest, fitted on its training presences and background (at most 200 cells beyond 10 km in
+    training blocks), and judged on every presence of the fold and every cell beyond 10 km in its block.
+    """
+    occ, places = view(spark, d, "occ"), _presences(spark, d)
+    thinned = [resampling.spatial_thin(occ.select("occ_id", "lon", "lat"), float(km), [1]).select(F.col("occ_id").alias("id"), F.lit("thin_km").alias("factor"), F.lit(str(km)).alias("level"), F.lit(3).alias("k")) for km in (5, 10, 20)]
+    named = lambda rows, factor, level, k=3: rows.select(F.col("occ_id").alias("id"), F.lit(factor).alias("factor"), F.lit(level).alias("level"), F.lit(k).alias("k"))
+    conditions = [*thinned, named(occ, "subset", "full"), named(occ.where("occ_id % 3 > 0"), "subset", "two_sources"), named(occ.where("zone < 13"), "mask", "half"), *[named(occ, "folds", str(k), k) for k in (2, 3, 4)]]
+    chosen = union_by_name(conditions)
+    folds, blocks = [], []
+    for k in (2, 3, 4):
+        dealt = spatial.projection_folds(occ, k, ANGLE)
+        folds.append(dealt.select(F.col("occ_id").alias("id"), F.lit(k).alias("k"), (F.col("fold") - 1).cast("int").alias("fold")))
+        cells = spatial.cell_blocks(view(spark, d, "cells").select("cell_id", "lon", "lat"), spatial.fold_cuts(dealt), ANGLE)
+        blocks.append(cells.select("cell_id", F.lit(k).alias("k"), F.col("block").cast("int").alias("fold")))
+    presence = chosen.join(union_by_name(folds), ["id", "k"]).join(places, "id").withColumn("label", F.lit(1))
+    far = _places(spark, d).where("km >= 10").select("cell_id", *PLACE)
+    background = far.join(union_by_name(blocks), "cell_id").join(F.broadcast(chosen.select("factor", "level", "k").distinct()), "k").withColumn("label", F.lit(0)).withColumnRenamed("cell_id", "id")
+    rows = written(presence.unionByName(background, allowMissingColumns=True).select("factor", "level", "k", "fold", F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"), *PLACE), "sweep")
+    task = F.to_json(F.array(F.col("factor"), F.col("level"), F.col("test").cast("string")))
+    tested = rows.withColumn("test", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("task", task)
+    w = Window.partitionBy("task", "label").orderBy(hash_order(F.col("id"), 9), "id")
+    train = tested.where("fold <> test").withColumn("n", F.row_number().over(w)).where("label = 1 OR n <= 200")
+    models = modelling.fit(train.select("task", "id", "label", *PLACE), _forest(20, 6))
+    auc = ranking.auc(ranking.score_counts(modelling.predict(tested.where("fold = test").select("task", "id", "label", *PLACE), models), ["task"]), ["task"])
+    t = F.from_json("task", "array<string>")
+    out = auc.select(t[0].alias("factor"), t[1].alias("level"), "auc", "n_pos").groupBy("factor", "level")
+    return out.agg(rounded(F.avg("auc"), 4).alias("auc_mean"), rounded(F.stddev_samp("auc"), 4).alias("auc_sd"), F.count("auc").alias("n_folds"), F.sum("n_pos").alias("n_occ"))
