@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.numeric import EARTH_KM, haversine_km
+from skerry.operators import ranking
+from skerry.sources.tables import written
+
+
+MERCATOR_M = 6378137.0
 
 
 def _buckets(df: DataFrame, size: float, spread: bool, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -19,36 +24,46 @@ def _buckets(df: DataFrame, size: float, spread: bool, lon: str = "lon", lat: st
     return df.withColumn("_x", F.explode(F.transform(d, lambda i: x + i))).withColumn("_y", F.explode(F.transform(d, lambda i: y + i)))
 
 
-def _degrees(km: float, max_abs_lat: float = 60.0) -> float:
-    """A square of so many degrees is at least ``km`` wide and high up to the latitude given."""
-    return km / (math.pi / 180 * EARTH_KM * math.cos(math.radians(max_abs_lat)))
+def _columns(band, km: float, high: float):
+    """How many columns of equal width the latitude band has, each at least as wide as ``km`` anywhere in it and beside it."""
+    pole = F.least(F.greatest(F.abs((band - 1) * high), F.abs((band + 2) * high)), F.lit(90.0))
+    reach = F.lit(math.sin(min(km / (2 * EARTH_KM), math.pi / 2))) / F.greatest(F.cos(F.radians(pole)), F.lit(1e-9))
+    width = F.degrees(2 * F.asin(F.least(reach, F.lit(1.0))))
+    return F.greatest(F.floor(F.lit(359.999) / width), F.lit(1)).cast("int")
 
 
-def within_distance(left: DataFrame, right: DataFrame, km: float, max_abs_lat: float = 60.0) -> DataFrame:
-    """Pairs at most ``km`` apart, with ``km`` as a column. left: a_id, lon, lat; right: b_id, lon, lat."""
-    size = _degrees(km, max_abs_lat)
-    a = _buckets(left.select("a_id", F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat")), size, True, "a_lon", "a_lat")
-    b = _buckets(right.select("b_id", F.col("lon").alias("b_lon"), F.col("lat").alias("b_lat")), size, False, "b_lon", "b_lat")
+def within_distance(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Pairs at most ``km`` apart, with ``km`` as a column. left: a_id, lon, lat; right: b_id, lon, lat.
+
+    An equi-join of latitude bands as high as ``km`` and columns in each: a left row goes to the three bands and three
+    columns around it, over 180 degrees too and up to the poles, where a band has one column.
+    """
+    high = km / (math.pi / 180 * EARTH_KM) * (1 + 1e-9)
+    place = lambda lon, n: F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * n).cast("int"), n - 1)
+    a = left.select("a_id", F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat")).withColumn("_y", F.explode(F.array(*[F.floor(F.col("a_lat") / high).cast("int") + i for i in (-1, 0, 1)])))
+    a = a.withColumn("_n", _columns(F.col("_y"), km, high)).withColumn("_c", place("a_lon", F.col("_n")))
+    a = a.withColumn("_x", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_c") + i, F.col("_n")) for i in (-1, 0, 1)])))).drop("_n", "_c")
+    b = right.select("b_id", F.col("lon").alias("b_lon"), F.col("lat").alias("b_lat")).withColumn("_y", F.floor(F.col("b_lat") / high).cast("int"))
+    b = b.withColumn("_x", place("b_lon", _columns(F.col("_y"), km, high)))
     d = haversine_km(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"))
-    return a.join(b, ["_x", "_y"]).withColumn("km", d).where(F.col("km") <= km).drop("_x", "_y")
+    return a.join(b, ["_y", "_x"]).withColumn("km", d).where(F.col("km") <= km).drop("_x", "_y")
 
 
-def nearest(left: DataFrame, right: DataFrame, start_km: float, max_rounds: int = 12, max_abs_lat: float = 60.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, start_km: float) -> DataFrame:
     """a_id, b_id, km: the nearest right row of every left row (ties to the smaller b_id).
 
-    Rings grow: rows without a neighbour within a radius go on with twice the radius; what is left after the last
-    round, of a radius beyond any distance on the globe, has no counterpart because ``right`` is empty.
+    Rings grow: rows without a neighbour within a radius go on with twice the radius, up to half the globe; what is left
+    then has no counterpart because ``right`` is empty. Each round is stored.
     """
     found, open_, km = None, left.select("a_id", "lon", "lat"), start_km
-    for _ in range(max_rounds):
-        near = within_distance(open_, right, km, max_abs_lat).groupBy("a_id").agg(F.min(F.struct("km", "b_id")).alias("n")).select("a_id", F.col("n.b_id").alias("b_id"), F.col("n.km").alias("km"))
-        near = near.persist()
+    while True:
+        near = within_distance(open_, right, km).groupBy("a_id").agg(F.min(F.struct("km", "b_id")).alias("n")).select("a_id", F.col("n.b_id").alias("b_id"), F.col("n.km").alias("km"))
+        near = written(near, "nearest")
         found = near if found is None else found.unionByName(near)
-        open_ = open_.join(near.select("a_id"), "a_id", "left_anti")
-        if open_.isEmpty():
-            break
+        open_ = written(open_.join(near.select("a_id"), "a_id", "left_anti"), "open")
+        if km > math.pi * EARTH_KM or open_.isEmpty():
+            return found
         km *= 2
-    return found
 
 
 def affine_index(df: DataFrame, west: float, north: float, step: float, rows: int, cols: int) -> DataFrame:
@@ -66,8 +81,15 @@ def projection_scores(points: DataFrame, angle: float) -> DataFrame:
 
 
 def projection_folds(points: DataFrame, k: int, angle: float) -> DataFrame:
-    """Balanced folds from 1 along an axis; ties by occ_id. The window orders presence points, of which there are few."""
-    return projection_scores(points, angle).withColumn("fold", F.ntile(k).over(Window.orderBy("score", "occ_id")))
+    """Balanced folds from 1 along an axis, the first ones a row larger where rows do not divide; ties by occ_id."""
+    scored = projection_scores(points, angle)
+    counts = scored.groupBy(F.col("score").alias("_s")).agg(F.count("*").alias("_n"))
+    less = ranking.running(counts, [], "_s", {"_less": "_n"}).select("_s", "_less")
+    nth = F.col("_less") + F.row_number().over(Window.partitionBy("score").orderBy("occ_id")) - 1
+    size = scored.agg(F.count("*").alias("_all"))
+    rows = scored.join(less, F.col("score") == F.col("_s")).withColumn("_nth", nth).crossJoin(F.broadcast(size))
+    fold = F.expr(f"""CASE WHEN _nth < (_all % {k}) * (_all div {k} + 1) THEN _nth div (_all div {k} + 1) ELSE (_nth - _all % {k}) div greatest(_all div {k}, 1) END""")
+    return rows.withColumn("fold", (fold + 1).cast("int")).select(*scored.columns, "fold")
 
 
 def fold_cuts(folds: DataFrame) -> DataFrame:
@@ -115,3 +137,54 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 1.0
     tile = lambda v: F.floor(v / size).cast("int")
     boxed = polygons.withColumn("_x", F.explode(F.sequence(tile(F.array_min(xs)), tile(F.array_max(xs))))).withColumn("_y", F.explode(F.sequence(tile(F.array_min(ys)), tile(F.array_max(ys)))))
     return _buckets(points, size, False).join(boxed, ["_x", "_y"]).where(inside_polygon("lon", "lat", "ring")).drop("_x", "_y", "ring")
+
+
+def _segments(shapes: DataFrame, closed: bool) -> DataFrame:
+    """``shapes`` with a row for each edge of ``ring`` (array of structs x, y): x1, y1, x2, y2."""
+    n = F.size("ring")
+    at = lambda i: F.element_at("ring", i)
+    last = n if closed else n - 1
+    edges = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(at(i)["x"].alias("x1"), at(i)["y"].alias("y1"), at(F.pmod(i, n) + 1)["x"].alias("x2"), at(F.pmod(i, n) + 1)["y"].alias("y2")))
+    return shapes.withColumn("_e", F.explode(edges)).select(*[c for c in shapes.columns if c != "ring"], "_e.*")
+
+
+def _tiles(low, high, size: float):
+    return F.explode(F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int")))
+
+
+def edge_meets_box(half: float):
+    """Whether the edge (x1, y1, x2, y2) meets the square of ``half`` a side around (lon, lat): the part of it within both pairs of sides."""
+    ends = []
+    for a, b, c in (("x1", "x2", "lon"), ("y1", "y2", "lat")):
+        step, low, high = F.col(b) - F.col(a), F.col(c) - half - F.col(a), F.col(c) + half - F.col(a)
+        flat = (low <= 0) & (high >= 0)
+        p, q = F.try_divide(low, step), F.try_divide(high, step)
+        ends.append((F.when(step == 0, F.when(flat, 0.0).otherwise(2.0)).otherwise(F.least(p, q)), F.when(step == 0, F.when(flat, 1.0).otherwise(-1.0)).otherwise(F.greatest(p, q))))
+    return F.greatest(F.lit(0.0), ends[0][0], ends[1][0]) <= F.least(F.lit(1.0), ends[0][1], ends[1][1])
+
+
+def cells_touching(cells: DataFrame, polygons: DataFrame, half: float, size: float = 1.0) -> DataFrame:
+    """zone, cell_id: square cells (cell_id, lon, lat; ``half`` a side) that polygons (zone, ring) touch: an edge meets them, or their centre lies inside."""
+    edges = _segments(polygons, True)
+    boxed = edges.withColumn("_x", _tiles(F.least("x1", "x2") - half, F.greatest("x1", "x2") + half, size)).withColumn("_y", _tiles(F.least("y1", "y2") - half, F.greatest("y1", "y2") + half, size))
+    met = _buckets(cells.select("cell_id", "lon", "lat"), size, False).join(boxed, ["_x", "_y"]).where(edge_meets_box(half)).select("zone", "cell_id")
+    inside = points_in_polygons(cells.select("cell_id", "lon", "lat"), polygons, size).select("zone", "cell_id")
+    return met.unionByName(inside).distinct()
+
+
+def mercator(lon: str, lat: str):
+    """Web Mercator metres."""
+    return F.radians(lon) * F.lit(MERCATOR_M), F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * F.lit(MERCATOR_M)
+
+
+def within_lines(points: DataFrame, lines: DataFrame, metres: float) -> DataFrame:
+    """Points (cell_id, x, y) at most ``metres`` from a line (line, ring of structs x, y, open), in the plane."""
+    size = 10 * metres
+    edges = _segments(lines, False)
+    boxed = edges.withColumn("_x", _tiles(F.least("x1", "x2") - metres, F.greatest("x1", "x2") + metres, size)).withColumn("_y", _tiles(F.least("y1", "y2") - metres, F.greatest("y1", "y2") + metres, size))
+    near = _buckets(points, size, False, "x", "y").join(boxed, ["_x", "_y"])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
+    gap = lambda c, a, d: F.col(c) - F.col(a) - t * d
+    gx, gy = gap("x", "x1", dx), gap("y", "y1", dy)
+    return near.where(gx * gx + gy * gy <= metres * metres).select("line", "cell_id").distinct()

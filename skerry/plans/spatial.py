@@ -112,10 +112,12 @@ def eval_background(spark, d):
     return reps.withColumn("o", o).withColumn("n", F.row_number().over(w)).where("n <= 400").select("rep", "block", "cell_id")
 
 
-@registered(with_views(f"WITH {_NEAR} SELECT cell_id FROM near WHERE km >= 10 ORDER BY {_order_sql('7')}, cell_id LIMIT 500", "cells", "occ"))
+@registered(with_views(f"WITH {_NEAR}, c AS (SELECT *, count(*) FILTER (km >= 10) OVER () AS far FROM near) SELECT cell_id FROM c WHERE km >= 10 OR far = 0 ORDER BY {_order_sql('7')}, cell_id LIMIT 500", "cells", "occ"))
 def pa_random(spark, d):
-    """Background at 10 km and more from every presence, in a seeded order."""
-    return _near(spark, d).where("km >= 10").orderBy(hash_order(F.col("cell_id"), 7), "cell_id").limit(500).select("cell_id")
+    """Background at 10 km and more from every presence, in a seeded order; any cell if there is none."""
+    near = _near(spark, d)
+    far = near.agg(F.count_if(F.col("km") >= 10).alias("far"))
+    return near.crossJoin(F.broadcast(far)).where("km >= 10 OR far = 0").orderBy(hash_order(F.col("cell_id"), 7), "cell_id").limit(500).select("cell_id")
 
 
 @registered(with_views(f"""WITH {_NEAR}, c AS (SELECT cell_id, km, count(*) FILTER (km BETWEEN 10 AND 200) OVER () AS inside, count(*) FILTER (km >= 10) OVER () AS beyond FROM near)
@@ -128,26 +130,16 @@ def pa_spatial_constrained(spark, d):
     return near.crossJoin(F.broadcast(have)).where(use).orderBy(hash_order(F.col("cell_id"), 8), "cell_id").limit(300).select("cell_id")
 
 
-_FEAT = "feat AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS a, l_extendedprice / 1000 AS b, l_discount * 100 AS c, l_partkey % 10 = 0 AS train FROM lineitem WHERE l_orderkey % 50 = 1)"
-
-
-def _feat(spark, d):
-    rows = parquet(spark, d, "lineitem").where("l_orderkey % 50 = 1")
-    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"), (F.col("l_discount") * 100).alias("c"), (F.col("l_partkey") % 10 == 0).alias("train"))
-
-
-
-
-@registered(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
-p AS (SELECT a.vec_id, min(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL)
+@registered(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT a.vec_id, min(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (coalesce(t[1], 0) - coalesce(t[2], 0)) * (coalesce(t[1], 0) - coalesce(t[2], 0))))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL)
 SELECT vec_id, round(sqrt(d2), 6) AS distance FROM p""")
 def knn_leave_self_out(spark, d):
-    """Distance to the nearest other vector, for a stated query set against all rows in blocks."""
+    """Distance to the nearest other vector, for a stated query set against all rows in blocks; short vectors are filled up with zeros."""
     import numpy as np
     import pandas as pd
 
     x = F.col("embedding")
-    good = F.coalesce((F.size(x) == 64) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))), F.lit(False))
+    good = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))), F.lit(False))
     rows = parquet(spark, d, "embeddings").where(good).select("vec_id", F.transform(x, lambda e: e.cast("double")).alias("v"))
     block = 1024
     n_queries = rows.where("vec_id % 50 = 0").count()
@@ -159,7 +151,8 @@ def knn_leave_self_out(spark, d):
     def least(asked_part: pd.DataFrame, held_part: pd.DataFrame) -> pd.DataFrame:
         if not len(asked_part) or not len(held_part):
             return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "d2": pd.Series(dtype="float64")})
-        q, v = np.stack(asked_part["q"]), np.stack(held_part["v"])
+        dims = max(asked_part["q"].map(len).max(), held_part["v"].map(len).max())
+        q, v = (np.stack([np.pad(x, (0, dims - len(x))) for x in c]) for c in (asked_part["q"], held_part["v"]))
         ids = held_part["vec_id"].to_numpy()
         best = [((v - one) ** 2).sum(axis=1)[ids != own].min(initial=np.inf) for one, own in zip(q, asked_part["query"], strict=True)]
         return pd.DataFrame({"vec_id": asked_part["query"], "d2": best})
@@ -178,14 +171,27 @@ def hinge_basis(spark, d):
     return rows.crossJoin(F.broadcast(knots)).select("l_orderkey", "l_linenumber", *[F.round(hinge(F.col("t")[i - 1]), 6).alias(f"h{i}") for i in (1, 5, 9)], F.round(F.aggregate("t", F.lit(0.0), lambda s, t: s + hinge(t)), 6).alias("h_all"))
 
 
-@registered(with_views("""WITH RECURSIVE base AS (SELECT DISTINCT CAST(trunc((21e0 - lat) / 0.25e0) AS INT) AS row, CAST(trunc((lon - 97e0) / 0.25e0) AS INT) AS col FROM cells WHERE f1 > 9000),
-d(n, row, col) AS (SELECT 0, row, col FROM base UNION SELECT n + 1, row + dr, col + dc FROM d, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(dr, dc) WHERE n < 2),
-s AS (SELECT DISTINCT row, col FROM d WHERE n = 2)
-SELECT row, col FROM (SELECT row + dr AS row, col + dc AS col FROM s, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) t(dr, dc)) x GROUP BY ALL HAVING count(*) = 5""", "cells").replace("WITH cells AS", "WITH RECURSIVE cells AS").replace(", RECURSIVE base", ", base"))
+_STEPS_SQL = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) t(dr, dc)"
+_GRID_SQL = "CAST(trunc((21e0 - lat) / 0.25e0) AS INT) AS row, CAST(trunc((lon - 97e0) / 0.25e0) AS INT) AS col"
+
+
+def _dilated_sql(name: str, source: str) -> str:
+    return f"{name} AS (SELECT DISTINCT row + dr AS row, col + dc AS col FROM {source}, {_STEPS_SQL})"
+
+
+def _eroded_sql(name: str, source: str) -> str:
+    return f"{name} AS (SELECT row + dr AS row, col + dc AS col FROM {source}, {_STEPS_SQL} GROUP BY ALL HAVING count(*) = 5)"
+
+
+@registered(with_views(f"""WITH d0 AS (SELECT DISTINCT {_GRID_SQL} FROM cells WHERE f1 > 9000), land AS (SELECT DISTINCT {_GRID_SQL} FROM cells WHERE zone < 20),
+{_dilated_sql('d1', 'd0')}, {_dilated_sql('d2', 'd1')}, {_dilated_sql('d3', 'd2')}, {_dilated_sql('d4', 'd3')}, {_dilated_sql('d5', 'd4')}, {_eroded_sql('e1', 'd5')}, {_eroded_sql('e2', 'e1')}
+SELECT row, col FROM e2 SEMI JOIN land USING (row, col)""", "cells"))
 def morphology_support(spark, d):
-    """Dilation twice, then erosion once, with four neighbours."""
-    at = spatial.affine_index(view(spark, d, "cells").where("f1 > 9000"), 97.0, 21.0, 0.25, 10_000, 10_000).select("row", "col").distinct()
-    return spatial.erode(spatial.dilate(at, 2), 1)
+    """Dilation three times and closing of two, with four neighbours, within the land mask."""
+    at = lambda rows: spatial.affine_index(rows, 97.0, 21.0, 0.25, 10_000, 10_000).select("row", "col").distinct()
+    cells = view(spark, d, "cells")
+    closed = spatial.erode(spatial.dilate(spatial.dilate(at(cells.where("f1 > 9000")), 3), 2), 2)
+    return closed.join(at(cells.where("zone < 20")), ["row", "col"], "left_semi")
 
 
 _RINGS = [("west", [(97.0, 6.0), (101.0, 7.0), (100.0, 20.0), (98.0, 15.0)]), ("east", [(101.5, 5.0), (106.0, 8.0), (105.0, 20.5), (102.0, 12.0)])]
@@ -200,6 +206,156 @@ def _edges_sql() -> str:
 SELECT zone, count(*) AS cells, {r6('quantile_cont(f1, 0.5)')} AS median FROM hits WHERE n % 2 = 1 GROUP BY ALL""", "cells"))
 def polygon_zonal_stats(spark, d):
     """Cells inside polygons, by cell centre, and their statistics by zone."""
-    polygons = spark.createDataFrame([(z, ring) for z, ring in _RINGS], "zone string, ring array<struct<x:double,y:double>>")
-    held = spatial.points_in_polygons(view(spark, d, "cells").drop("zone"), polygons)
+    held = spatial.points_in_polygons(view(spark, d, "cells").drop("zone"), _polygons(spark))
     return held.groupBy("zone").agg(F.count("*").alias("cells"), rounded(F.percentile("f1", F.lit(0.5))).alias("median"))
+
+
+_GRID = (97.0, 21.0, 0.25, 64, 36)
+_BANDS_SQL = f"""g AS (SELECT cell_id, f1, CASE WHEN zone % 5 = 0 THEN NULL ELSE f2 END AS f2, zone, {_GRID_SQL} FROM cells),
+bands AS (SELECT row, col, arg_min(f1, cell_id) AS f1, arg_min(coalesce(f2, 'NaN'), cell_id) AS f2, arg_min(zone, cell_id) AS zone FROM g WHERE col BETWEEN 0 AND 35 AND row BETWEEN 0 AND 63 GROUP BY row, col)"""
+
+
+def _bands(spark, d):
+    """One value of each band a grid cell; the second band has gaps."""
+    cells = view(spark, d, "cells").withColumn("f2", F.when(F.col("zone") % 5 != 0, F.col("f2")).otherwise(float("nan")))
+    b = spatial.affine_index(cells, *_GRID).where("row IS NOT NULL").groupBy("row", "col").agg(F.min_by(F.struct("f1", "f2", "zone"), "cell_id").alias("b"))
+    return b.select("row", "col", "b.*")
+
+
+@registered(with_views(f"WITH {_BANDS_SQL} SELECT row, col, 97e0 + (col + 0.5) * 0.25e0 AS lon, 21e0 - (row + 0.5) * 0.25e0 AS lat, f1, f2 FROM bands WHERE zone % 4 <> 0 AND isfinite(f1) AND isfinite(f2)", "cells"))
+def common_valid_cells(spark, d):
+    """Cells under the mask with all bands finite, at their centres."""
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    b = _bands(spark, d).where((F.col("zone") % 4 != 0) & finite("f1") & finite("f2"))
+    return b.select("row", "col", (F.lit(97.0) + (F.col("col") + 0.5) * 0.25).alias("lon"), (F.lit(21.0) - (F.col("row") + 0.5) * 0.25).alias("lat"), "f1", "f2")
+
+
+@registered(with_views(f"WITH {_BANDS_SQL} SELECT row - CAST(round((21e0 - 18.1e0) / 0.25e0) AS INT) AS row, col - CAST(round((99.1e0 - 97e0) / 0.25e0) AS INT) AS col, f1 FROM bands WHERE row BETWEEN CAST(round((21e0 - 18.1e0) / 0.25e0) AS INT) AND CAST(round((21e0 - 9.9e0) / 0.25e0) AS INT) - 1 AND col BETWEEN CAST(round((99.1e0 - 97e0) / 0.25e0) AS INT) AND CAST(round((104.9e0 - 97e0) / 0.25e0) AS INT) - 1", "cells"))
+def window_crop(spark, d):
+    """The window of given bounds, by offsets rounded to whole cells."""
+    top, bottom, left, right = (round(x / 0.25) for x in (21.0 - 18.1, 21.0 - 9.9, 99.1 - 97.0, 104.9 - 97.0))
+    return _bands(spark, d).where(F.col("row").between(top, bottom - 1) & F.col("col").between(left, right - 1)).select((F.col("row") - top).alias("row"), (F.col("col") - left).alias("col"), "f1")
+
+
+@registered(with_views(f"WITH {_BANDS_SQL} SELECT row, col, CASE WHEN zone < 10 AND f1 > 0 THEN f1 ELSE -9999 END AS masked FROM bands", "cells"))
+def mask_raster(spark, d):
+    """A band where it is valid and under the mask, nodata elsewhere."""
+    return _bands(spark, d).select("row", "col", F.when((F.col("zone") < 10) & (F.col("f1") > 0), F.col("f1")).otherwise(F.lit(-9999.0)).alias("masked"))
+
+
+@registered(with_views(f"""WITH {_BANDS_SQL}, t AS (SELECT r AS row, c AS col, CAST(trunc((21e0 - (20.5e0 - (r + 0.5) * 0.4e0)) / 0.25e0) AS INT) AS sr, CAST(trunc((97.5e0 + (c + 0.5) * 0.4e0 - 97e0) / 0.25e0) AS INT) AS sc FROM range(36) a(r), range(20) b(c))
+SELECT CAST(t.row AS INT) AS row, CAST(t.col AS INT) AS col, f1 FROM t LEFT JOIN bands ON bands.row = sr AND bands.col = sc""", "cells"))
+def nearest_resample(spark, d):
+    """A band on another grid: the value of the source cell that holds each target centre."""
+    rows, cols = spark.range(36).select(F.col("id").cast("int").alias("row")), spark.range(20).select(F.col("id").cast("int").alias("col"))
+    target = rows.crossJoin(cols).withColumns({"lon": F.lit(97.5) + (F.col("col") + 0.5) * 0.4, "lat": F.lit(20.5) - (F.col("row") + 0.5) * 0.4})
+    at = spatial.affine_index(target.withColumnsRenamed({"row": "t_row", "col": "t_col"}), *_GRID)
+    return at.join(_bands(spark, d), ["row", "col"], "left").select(F.col("t_row").alias("row"), F.col("t_col").alias("col"), "f1")
+
+
+@registered(with_views(f"WITH {_BANDS_SQL} SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, coalesce(f1, -9999) AS value FROM range(64) a(r) CROSS JOIN range(36) b(c) LEFT JOIN bands ON bands.row = r AND bands.col = c", "cells"))
+def scatter_to_grid(spark, d):
+    """Values back on the whole grid by their indices, nodata where there is none."""
+    rows, cols = spark.range(64).select(F.col("id").cast("int").alias("row")), spark.range(36).select(F.col("id").cast("int").alias("col"))
+    return rows.crossJoin(cols).join(_bands(spark, d), ["row", "col"], "left").select("row", "col", F.coalesce("f1", F.lit(-9999.0)).alias("value"))
+
+
+@registered(with_views("SELECT t AS threshold, count(*) AS n FROM (SELECT abs(f1) / 100 AS percent FROM cells) c, (VALUES (50), (75)) v(t) WHERE percent >= t GROUP BY ALL", "cells"))
+def water_mask(spark, d):
+    """Cells that a percent band makes water, at two thresholds."""
+    percent = view(spark, d, "cells").select((F.abs("f1") / 100).alias("percent"))
+    return percent.withColumn("threshold", F.explode(F.array(F.lit(50), F.lit(75)))).where("percent >= threshold").groupBy("threshold").agg(F.count("*").alias("n"))
+
+
+@registered(with_views(f"SELECT cell_id, round(CASE WHEN zone < 15 THEN coalesce(CASE WHEN f1 > 0 THEN f1 / ({_SIDE} * {_SIDE} * abs(cos(radians(lat)))) END, 0) END, 6) AS density FROM cells", "cells"))
+def masked_density(spark, d):
+    """Counts as densities, 0 where the mask holds and the count is missing, nothing outside."""
+    area = cell_area_km2(F.col("lat"), 1 / 24, 1 / 24)
+    density = F.when(F.col("zone") < 15, F.coalesce(F.when(F.col("f1") > 0, F.col("f1") / area), F.lit(0.0)))
+    return view(spark, d, "cells").select("cell_id", F.round(density, 6).alias("density"))
+
+
+@registered(with_views(f"SELECT occ_id, round(radians(lon) * 6378137e0, 3) AS x, round(ln(tan({math.pi / 4!r} + radians(lat) / 2)) * 6378137e0, 3) AS y FROM occ", "occ"))
+def web_mercator(spark, d):
+    """Points in projected metres."""
+    x, y = spatial.mercator("lon", "lat")
+    return view(spark, d, "occ").select("occ_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+_HALF = 0.125
+_TOUCH_SQL = f"""sides AS (SELECT e.zone, c.cell_id, CASE WHEN x2 = x1 THEN CASE WHEN abs(lon - x1) <= {_HALF} THEN 0 ELSE 2 END ELSE least((lon - {_HALF} - x1) / (x2 - x1), (lon + {_HALF} - x1) / (x2 - x1)) END AS a0,
+  CASE WHEN x2 = x1 THEN CASE WHEN abs(lon - x1) <= {_HALF} THEN 1 ELSE -1 END ELSE greatest((lon - {_HALF} - x1) / (x2 - x1), (lon + {_HALF} - x1) / (x2 - x1)) END AS a1,
+  least((lat - {_HALF} - y1) / (y2 - y1), (lat + {_HALF} - y1) / (y2 - y1)) AS b0, greatest((lat - {_HALF} - y1) / (y2 - y1), (lat + {_HALF} - y1) / (y2 - y1)) AS b1,
+  CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END AS crossed FROM cells c, {_edges_sql()}),
+touched AS (SELECT zone, cell_id FROM sides GROUP BY ALL HAVING sum(crossed) % 2 = 1 OR max(CASE WHEN greatest(0, a0, b0) <= least(1, a1, b1) THEN 1 ELSE 0 END) = 1)"""
+
+
+def _polygons(spark):
+    return spark.createDataFrame([(z, ring) for z, ring in _RINGS], "zone string, ring array<struct<x:double,y:double>>")
+
+
+@registered(with_views(f"WITH {_TOUCH_SQL} SELECT zone, cell_id FROM touched", "cells"))
+def cells_touched(spark, d):
+    """Cells that a polygon touches anywhere, not only at their centres."""
+    return spatial.cells_touching(view(spark, d, "cells"), _polygons(spark), _HALF)
+
+
+@registered(with_views(f"WITH {_TOUCH_SQL} SELECT zone, CAST(min(lon) AS DOUBLE) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north, count(*) AS cells FROM touched JOIN cells c USING (cell_id) GROUP BY touched.zone".replace("SELECT zone, CAST", "SELECT touched.zone, CAST"), "cells"))
+def polygon_clip(spark, d):
+    """The cells of each polygon cut out, touched ones included, with the box that holds them."""
+    held = spatial.cells_touching(view(spark, d, "cells"), _polygons(spark), _HALF).join(view(spark, d, "cells").select("cell_id", "lon", "lat"), "cell_id")
+    return held.groupBy("zone").agg(F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.count("*").alias("cells"))
+
+
+_LINES = [("north", [(97.5, 19.0), (100.0, 17.5), (103.5, 18.0)]), ("south", [(98.0, 6.0), (99.0, 9.5), (99.0, 12.0)])]
+_REACH_M = 30_000.0
+
+
+def _line_edges_sql() -> str:
+    rows = [f"('{z}', {a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for z, line in _LINES for a, b in zip(line, line[1:], strict=False)]
+    m = lambda c: f"radians({c}) * 6378137e0"
+    n = lambda c: f"ln(tan({math.pi / 4!r} + radians({c}) / 2)) * 6378137e0"
+    return f"(SELECT line, {m('a')} AS x1, {n('b')} AS y1, {m('c')} AS x2, {n('d')} AS y2 FROM (VALUES {', '.join(rows)}) v(line, a, b, c, d)) e"
+
+
+_BUFFER_SQL = f"""xy AS (SELECT cell_id, radians(lon) * 6378137e0 AS x, ln(tan({math.pi / 4!r} + radians(lat) / 2)) * 6378137e0 AS y FROM cells),
+t AS (SELECT *, greatest(0e0, least(1e0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM xy, {_line_edges_sql()}),
+buffered AS (SELECT DISTINCT line, cell_id FROM t WHERE pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2) <= {_REACH_M * _REACH_M!r})"""
+
+
+def _line_cells(spark, d):
+    ends = [(z, [(math.radians(x) * spatial.MERCATOR_M, math.log(math.tan(math.pi / 4 + math.radians(y) / 2)) * spatial.MERCATOR_M) for x, y in line]) for z, line in _LINES]
+    lines = spark.createDataFrame(ends, "line string, ring array<struct<x:double,y:double>>")
+    x, y = spatial.mercator("lon", "lat")
+    return spatial.within_lines(view(spark, d, "cells").select("cell_id", x.alias("x"), y.alias("y")), lines, _REACH_M)
+
+
+@registered(with_views(f"WITH {_BUFFER_SQL} SELECT line, cell_id FROM buffered", "cells"))
+def line_buffer(spark, d):
+    """Cells whose centre lies within a distance of a line, in projected metres."""
+    return _line_cells(spark, d)
+
+
+@registered(with_views(f"WITH {_BUFFER_SQL}, {_TOUCH_SQL}, wet AS (SELECT cell_id FROM buffered UNION SELECT cell_id FROM touched WHERE zone = 'west') SELECT cell_id, CASE WHEN wet.cell_id IS NOT NULL THEN f1 ELSE -9999 END AS suitability FROM cells LEFT JOIN wet USING (cell_id)", "cells"))
+def aquatic_mask(spark, d):
+    """A band under the union of buffered lines and touched water bodies, nodata elsewhere."""
+    cells = view(spark, d, "cells")
+    bodies = spatial.cells_touching(cells, _polygons(spark).where("zone = 'west'"), _HALF).select("cell_id")
+    wet = _line_cells(spark, d).select("cell_id").unionByName(bodies).distinct().withColumn("wet", F.lit(True))
+    return cells.join(wet, "cell_id", "left").select("cell_id", F.when(F.col("wet"), F.col("f1")).otherwise(F.lit(-9999.0)).alias("suitability"))
+
+
+@registered(with_views(f"WITH {_FOLDS} SELECT o.occ_id, CASE WHEN o.occ_id % 3 = 0 THEN 'Literature' ELSE 'Citizen science' END AS source, CAST(fold AS INT) AS fold, CASE WHEN fold = 1 THEN 'test' ELSE 'train' END AS role FROM occ o JOIN folds USING (occ_id)", "occ"))
+def example_fold(spark, d):
+    """Presences by source and their part in one fold."""
+    folds = spatial.projection_folds(view(spark, d, "occ"), 3, ANGLE)
+    return folds.select("occ_id", F.when(F.col("occ_id") % 3 == 0, "Literature").otherwise("Citizen science").alias("source"), "fold", F.when(F.col("fold") == 1, "test").otherwise("train").alias("role"))
+
+
+@registered(with_views(f"""WITH hits AS (SELECT e.zone, cell_id, f1, count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1) AS n FROM cells, {_edges_sql()} GROUP BY ALL)
+SELECT zone, count(*) AS cells, round(avg(f1), 4) AS mean, round(quantile_cont(f1, 0.9), 4) AS p90, round(CAST(count(*) FILTER (f1 >= 5000) AS DOUBLE) / count(*), 6) AS fraction FROM hits WHERE n % 2 = 1 GROUP BY ALL ORDER BY mean DESC, zone LIMIT 15""", "cells"))
+def province_ranking(spark, d):
+    """Zones by the mean of the cells whose centre they hold."""
+    held = spatial.points_in_polygons(view(spark, d, "cells").drop("zone"), _polygons(spark))
+    out = held.groupBy("zone").agg(F.count("*").alias("cells"), F.round(F.avg("f1"), 4).alias("mean"), F.round(F.percentile("f1", F.lit(0.9)), 4).alias("p90"), F.round(F.count_if(F.col("f1") >= 5000) / F.count("*"), 6).alias("fraction"))
+    return out.orderBy(F.desc("mean"), "zone").limit(15)

@@ -45,12 +45,13 @@ def optional(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return csv(spark, found, schema) if found else spark.createDataFrame([], schema)
 
 
-def masked_band(df: DataFrame, value: str, nodata: float | None, relative: bool = True) -> DataFrame:
-    """Raster cells in long form: values at or near nodata, and below -1e30, become null."""
+def masked_band(df: DataFrame, value: str, nodata: float | None, relative: bool = True, tolerance: float | None = None, floor: float = -1e30) -> DataFrame:
+    """Raster cells in long form: values at nodata (or near it: by ``tolerance``, else relatively) and below ``floor`` become null."""
     v = F.col(value)
-    bad = (v < -1e30) | F.isnan(v)
+    bad = (v < floor) | F.isnan(v)
     if nodata is not None:
-        bad |= F.abs(v - nodata) < max(abs(nodata) * 1e-4, 1e-3) if relative else v == nodata
+        near = tolerance if tolerance is not None else max(abs(nodata) * 1e-4, 1e-3) if relative else 0.0
+        bad |= F.abs(v - nodata) < near if near else v == nodata
     return df.withColumn(value, F.when(~F.coalesce(bad, F.lit(True)), v))
 
 
