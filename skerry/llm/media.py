@@ -20,6 +20,7 @@ from skerry.llm import webp
 from skerry.llm.common import table, text_or_empty, written
 
 WIDTH = 64
+_LEVELS = np.arange(256)
 
 
 def to_media(payload: bytes) -> bytes:
@@ -54,9 +55,9 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def feature(pixels: np.ndarray) -> str:
     """Size, sum, sum of squares, sum of steps along rows, and counts of 16 shades, of grey samples."""
-    v = pixels.astype(np.int64)
-    shades = np.bincount(v.ravel() >> 4, minlength=16)
-    return f"{v.shape[1]}x{v.shape[0]}:{v.sum()}:{(v * v).sum()}:{abs(np.diff(v, axis=1)).sum()}:" + ",".join(map(str, shades.tolist()))
+    counts = np.bincount(pixels.ravel(), minlength=256)
+    shades, steps = counts.reshape(16, 16).sum(axis=1), np.abs(np.diff(pixels.astype(np.int16), axis=1)).sum(dtype=np.int64)
+    return f"{pixels.shape[1]}x{pixels.shape[0]}:{counts @ _LEVELS}:{counts @ (_LEVELS * _LEVELS)}:{steps}:" + ",".join(map(str, shades.tolist()))
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

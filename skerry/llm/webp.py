@@ -12,6 +12,7 @@ histogram of its residuals is cheaper.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from array import array
 
@@ -116,12 +117,19 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
     return Code(_read_lengths(bits, alphabet))
 
 
+@functools.lru_cache(64)
+def _code_of_lengths(n: int, sent: int) -> Code:
+    """The code of code lengths whose first ``n`` lengths, of 3 bits each, are ``sent``."""
+    own = np.zeros(19, np.int64)
+    for i in range(n):
+        own[LENGTH_ORDER[i]] = sent >> 3 * i & 7
+    return Code(own)
+
+
 def _read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
     lengths = np.zeros(alphabet, np.int64)
-    own = np.zeros(19, np.int64)
-    for i in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[i]] = bits.read(3)
-    code = Code(own)
+    n = 4 + bits.read(4)
+    code = _code_of_lengths(n, bits.read(3 * n))
     left = alphabet
     if bits.read(1):
         n = 2 + 2 * bits.read(3)
@@ -249,8 +257,9 @@ def _read_pieces(bits: Bits, codes: list[Code], cache_bits: int, count: int, wid
         first = bits.at >> 3  # places are counted from this byte
         stop = min(len(bits.data), first + PIECE)
         limit = 8 * (stop - first)
-        low = ((four[first:stop, None] >> _SHIFTS).ravel() & mask).astype(np.int32)
-        then = np.arange(limit, dtype=np.int32) + green.size[low].astype(np.int32)
+        low = ((four[first:stop, None] >> _SHIFTS) & mask).ravel().astype(np.intp)
+        then = green.size[low]
+        then += np.arange(limit)
         if others:
             literal = np.flatnonzero(green.symbol[low] < 256)
             place = then[literal] + 8 * first
@@ -263,18 +272,18 @@ def _read_pieces(bits: Bits, codes: list[Code], cache_bits: int, count: int, wid
             at_far = ahead(more, far.longest)
             then[back] = more + far.size[at_far] + _EXTRA[far.symbol[at_far]] - 8 * first
         # followed four symbols at a time; places beyond the piece lead to themselves
-        then = np.concatenate([then, np.arange(limit, limit + 64, dtype=np.int32)])
+        then = np.concatenate([then, np.arange(limit, limit + 64)])
         two = then[then]
-        follow, walk, p = memoryview(two[two]), array("i"), bits.at & 7
+        follow, walk, p = memoryview(two[two]), array("q"), bits.at & 7
         push = walk.append
         while p < limit:
             push(p)
             p = follow[p]
-        walk = np.frombuffer(walk, np.int32)
+        walk = np.frombuffer(walk, np.int64)
         seen = np.stack([walk, then[walk], two[walk], then[two[walk]]], axis=1).ravel()
         seen = seen[seen < limit]
         low = low[seen]
-        symbol, here = green.symbol[low], seen.astype(np.int64) + 8 * first
+        symbol, here = green.symbol[low], seen + 8 * first
         length, gap = np.ones(len(seen), np.int64), np.zeros(len(seen), np.int64)
         pixel = (symbol << 8) | plain
         if others:
@@ -589,6 +598,13 @@ _FEW = 1 << 13
 _FEW_PREFIXED = _prefixed(np.arange(1, _FEW))
 
 
+def _sent(lengths: np.ndarray) -> tuple[int, int]:
+    """What ``put_code`` writes, as one number and its bits."""
+    w = Writer()
+    put_code(w, lengths)
+    return w.head, w.n
+
+
 def prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(prefix, more bits, how many) of lengths or distance codes."""
     if len(values) and values.max() >= _FEW:
@@ -605,8 +621,10 @@ def matches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded = np.concatenate([x.astype(np.uint8), np.zeros(8, np.uint8)])
     key = np.ndarray(n, "<u8", padded, 0, (1,)) & np.uint64((1 << 8 * SHORTEST) - 1)
     mixed = key * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort((mixed >> np.uint64(32)).astype(np.uint16), kind="stable")  # by 32 bits of a hash, 16 at a time
-    order = order[np.argsort((mixed >> np.uint64(48)).astype(np.uint16)[order], kind="stable")]
+    order = np.argsort((mixed >> np.uint64(48)).astype(np.uint16), kind="stable")  # by 16 bits of a hash, for many places by 32
+    if n > 1 << 14:
+        lower = np.argsort((mixed >> np.uint64(32)).astype(np.uint16), kind="stable")
+        order = lower[np.argsort((mixed >> np.uint64(48)).astype(np.uint16)[lower], kind="stable")]
     sorted_ = key[order]
     same = np.flatnonzero(sorted_[1:] == sorted_[:-1])
     gap = np.zeros(n + 1, np.int64)
@@ -645,6 +663,11 @@ def _distance_codes(gap: np.ndarray, width: int) -> np.ndarray:
     return np.where(gap < len(codes), codes[np.minimum(gap, len(codes) - 1)], gap + 120)
 
 
+_EVEN = np.where(np.arange(40) < 32, 5, 0)
+_EVEN_WORDS = code_words(_EVEN)
+_EVEN_SENT = _sent(_EVEN)
+
+
 def put_pixels(w: Writer, x: np.ndarray, width: int, alpha: int, main: bool = True) -> None:
     """An image whose green samples are ``x`` and whose other channels are constant (red and blue 0)."""
     at, length, gap = matches(x)
@@ -660,18 +683,20 @@ def put_pixels(w: Writer, x: np.ndarray, width: int, alpha: int, main: bool = Tr
     prefix, more[back], n[back] = prefixed(length)
     green[back] = 256 + prefix
     far, far_more, far_n = prefixed(_distance_codes(gap, width))
-    greens, fars = code_lengths(np.bincount(green, minlength=280)), code_lengths(np.bincount(far, minlength=40))
+    greens = code_lengths(np.bincount(green, minlength=280))
+    even = bool(len(far)) and int(far.max()) < 32  # distances up to 65,536: one code of 5 bits each
+    fars = _EVEN if even else code_lengths(np.bincount(far, minlength=40))
     w.put((0, 1), *([(0, 1)] if main else []))
     put_code(w, greens)
     w.put(*[p for symbol in (0, 0, alpha) for p in _one_symbol(symbol)])
-    put_code(w, fars)
+    w.put(_EVEN_SENT) if even else put_code(w, fars)
     size = greens[green] if (greens > 0).sum() > 1 else np.zeros(len(green), np.int64)
     value = code_words(greens)[green]
     value |= more.astype(np.uint64) << size.astype(np.uint64)
     size = size + n
     if len(back):
         far_size = fars[far] if (fars > 0).sum() > 1 else np.zeros(len(far), np.int64)
-        value[back] |= code_words(fars)[far] << size[back].astype(np.uint64) | far_more.astype(np.uint64) << (size[back] + far_size).astype(np.uint64)
+        value[back] |= (_EVEN_WORDS if even else code_words(fars))[far] << size[back].astype(np.uint64) | far_more.astype(np.uint64) << (size[back] + far_size).astype(np.uint64)
         size[back] += far_size + far_n
     w.put_all(value, size)
 
