@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's ``docs``. All but the last return the columns of ``documents``.
+
+Defined results: null texts count as empty in every stage and stay null until they are packed; rows with a null doc_id
+are judged for quality, are copies of nothing, lose no repeats, and are mixed and packed like others; of rows with one
+doc_id the near-duplicate stage keeps one; texts are used whole, however long; extra columns keep their names and values
+up to packing, which gives its own columns; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id: candidates by linked SimHash
+    fingerprints and minima, each judged by the Jaccard similarity of whole sets of shingles."""
     return keep_one(docs, SHINGLE_WORDS, SIMILARITY)
 
 
