@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import fnmatch
 import shutil
 import tempfile
 import uuid
@@ -63,10 +64,24 @@ def geojson_geometries(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.coalesce(F.transform(features, lambda f: F.get_json_object(f, "$.geometry")), F.array(one))).alias("geometry"))
 
 
+def _empty_files(spark: SparkSession, path: str, glob: str) -> list[str]:
+    """Files of no bytes, which Spark's scans leave out; names match ``glob``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    out = []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0 and fnmatch.fnmatchcase(f.getPath().getName(), glob):
+            out.append(f.getPath().toString())
+    return out
+
+
 def checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, bytes, sha256 of files."""
+    """path, bytes, sha256 of the files under a folder, in it and below."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    full = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    empty = spark.createDataFrame([(f,) for f in _empty_files(spark, path, glob)], "path string")
+    return full.unionByName(empty.select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(b""), 256).alias("sha256")))
 
 
 def checksum_lines(spark: SparkSession, path: str) -> DataFrame:
