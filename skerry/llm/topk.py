@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import forget, parts, table, written
+from skerry.llm.common import forget, table, written
 
 PIVOTS, RINGS, SAMPLE = 24, 6, 4000
 BLOCK_ROWS, PART_QUERIES = 1 << 15, 1 << 14
@@ -269,9 +269,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLO
     if not len(directory.rings):
         return vectors.sparkSession.createDataFrame([], shape)
     asked = written(queries.select(F.col("vec_id").alias("query_id"), "v").distinct(), "asked")
-    # small inputs are dealt over the session's tasks all the same
-    count = asked.count()
-    n_parts = max(1, -(-count // part_queries), min(parts(vectors.sparkSession), 4, count // 512))
+    n_parts = max(1, -(-asked.count() // part_queries))  # a block is copied for each part that asks for it
     asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int"))
     near = written(_answers(blocks, asked.withColumn("floor", F.lit(float("-inf"))), directory, k, True), "near")
     floors = _best(near, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("kth"))
