@@ -63,14 +63,6 @@ def give_back() -> None:
         pass
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, or with underscores before it until no column has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

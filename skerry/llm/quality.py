@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skerry.llm.common import free_name, give_back, table, text_or_empty, written
+from skerry.llm.common import give_back, table, text_or_empty, written
 
 FEATURES = ["log_bytes", "log_words", "letters", "upper", "digits", "spaces", "stops", "symbols", "shouts", "high_bytes", "entropy", "log_word_length", "distinct_words", "top_word", "same_neighbour", "plain_words", "log_line_length", "distinct_lines", "distinct_pairs"]
 TO_POOLED, TO_IDENTITY = 0.2, 0.02
@@ -165,26 +164,16 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", *FEATURES).mapInArrow(_score_rows(model), "doc_id long, score double")
 
 
-def _append_statistics(text: int, name: str):
+def _good(model: Model, text: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(text).cast(pa.string()))
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, each], [*batch.schema.names, name])
+            yield batch.filter(pa.array(model.score(x) >= threshold))
         give_back()
 
     return run
 
 
-def _good(model: Model, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(model.score(x) >= threshold)).select(list(range(batch.num_columns - 1)))
-
-    return run
-
-
 def held_out(doc_id="doc_id"):
     """Rows that no label is learnt from: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -198,13 +187,10 @@ def fit_on_table(stats: DataFrame, labels: DataFrame) -> Model:
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that a model fitted to their own labelled rows scores ``threshold`` or more.
 
-    Texts are read once: they are stored with their statistics, the numbers alone meet the labels, and no text is shuffled.
+    Texts are read twice, to fit and to judge, and neither stored nor shuffled in between: numbers alone meet the labels.
     """
-    name = free_name(docs, "statistics")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
-    marked = written(docs.mapInArrow(_append_statistics(docs.columns.index("text"), name), schema), "marked")
-    stats = marked.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(name)[j].alias(f) for j, f in enumerate(FEATURES)])
-    return marked.mapInArrow(_good(fit_on_table(stats, labels), threshold), docs.schema)
+    model = fit_on_table(features(docs), labels)
+    return docs.mapInArrow(_good(model, docs.columns.index("text"), threshold), docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
