@@ -10,13 +10,14 @@ from skerry.llm.mixing import OP2_SQL, op2_source_mixing
 from skerry.llm.packing import op3_best_fit_packing
 from skerry.llm.quality import op6_quality_classifier
 from skerry.llm.repeats import op4_suffix_dedup
+from skerry.llm.sharding import op12_sharding
 from skerry.llm.simhash import op7_simhash_near_dedup
 from skerry.llm.token_store import op9_token_store
 from skerry.llm.topk import OP8_SQL, op8_exact_topk
 
 
 def queries() -> dict:
-    return {"op1_html_extraction": op1_html_extraction, "op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_suffix_dedup": op4_suffix_dedup, "op5_media_columns": op5_media_columns, "op6_quality_classifier": op6_quality_classifier, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_exact_topk": op8_exact_topk, "op9_token_store": op9_token_store, "op10_chat_format": op10_chat_format, "op11_importance_resampling": op11_importance_resampling}
+    return {"op1_html_extraction": op1_html_extraction, "op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_suffix_dedup": op4_suffix_dedup, "op5_media_columns": op5_media_columns, "op6_quality_classifier": op6_quality_classifier, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_exact_topk": op8_exact_topk, "op9_token_store": op9_token_store, "op10_chat_format": op10_chat_format, "op11_importance_resampling": op11_importance_resampling, "op12_sharding": op12_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
