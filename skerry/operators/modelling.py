@@ -1,76 +1,253 @@
-"""Models as rows: a fit is a grouped task over a bounded sample, a model is a few kilobytes, and every row is scored.
+"""Models over rows: nested choice of settings, scores of every row, dealing values anew, and Shapley values.
 
-A task is a text; ``train`` holds the rows of each task (task, id, label and the features). Only fits are bounded: a task
-sees at most ``FIT_ROWS`` rows of each label, the first of a seeded order. The models of all tasks (as many as the task
-table has rows, stated by the caller) go with the scoring function to the executors.
+A task is a text; rows carry the task that trains or tests them. Models are stored as rows of a table (JSON), so that a
+later step, or another session, has them from the table alone. The models of all tasks (as many as the task table has
+rows, which the caller states) go with the scoring function to the executors.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable
+import json
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.numeric import hash_order
+from skerry.operators import ranking
+from skerry.operators.trees import Bins, Model, Spec, Tree, fit
 
-FIT_ROWS = 900
+#: Steps of a score where settings are compared and importance is measured; metrics that are reported use scores as they are.
+SLOTS = 1024
 
 
-def bounded(train: DataFrame, seed: int = 11, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` of each task and label, the first by a hash of the id."""
-    w = Window.partitionBy("task", "label").orderBy("_o", "id")
-    return train.withColumn("_o", hash_order(F.col("id"), seed)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows).drop("_o", "_n")
+def variance_inflation(corr: np.ndarray, limit: float = 10.0) -> list[int]:
+    """Columns left when the one of the greatest variance inflation goes until none reaches the limit."""
+    keep = list(range(len(corr)))
+    while len(keep) > 1:
+        inverse = np.diag(np.linalg.pinv(np.nan_to_num(corr[np.ix_(keep, keep)]) + 1e-10 * np.eye(len(keep))))
+        v = 1 / (1 / np.maximum(inverse, 1) + 1e-8)
+        if v.max() < limit:
+            break
+        keep.pop(int(v.argmax()))
+    return keep
 
 
-def fit(train: DataFrame, run: Callable[[pd.DataFrame], dict | None]) -> dict[str, dict]:
-    """What ``run`` gives for each task's bounded rows (a small picklable record, or None for no model)."""
+def correlations(rows: DataFrame, keys: list[str], features: list[str]) -> dict[tuple, np.ndarray]:
+    """Pearson's correlations of all pairs of features by group, from one pass; not finite ones are 0."""
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.corr(features[i], features[j]) for i, j in pairs]).collect()
+    out = {}
+    for r in found:
+        c = np.eye(len(features))
+        for (i, j), v in zip(pairs, list(r)[len(keys) + 1 :], strict=True):
+            c[i, j] = c[j, i] = v if v is not None and math.isfinite(v) else 0.0
+        out[tuple(r)[: len(keys)]] = c
+    return out
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"task": rows["task"].iloc[:1], "model": [pickle.dumps(run(rows.sort_values("id")))]})
 
-    found = bounded(train).groupBy("task").applyInPandas(one, "task string, model binary").collect()
-    return {r.task: m for r in found if (m := pickle.loads(r.model)) is not None}  # noqa: S301  our own bytes
+def slot_counts(rows: DataFrame, models: dict[str, Model], features: list[str], candidates: dict[str, list[dict]]) -> DataFrame:
+    """name, nth, score (a slot), pos, neg: labels by score of each candidate's model on the inner fold that it left out.
 
+    ``candidates``: for each model the settings (fewer trees or levels) that it answers for, with ``nth``.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[tuple, np.ndarray] = {}
+        for f in frames:
+            for (task, inner), part in f.groupby(["task", "inner"]):
+                y = part["label"].to_numpy()
+                for name, m in models.items():
+                    if (m.spec.task, m.spec.without) != (task, inner):
+                        continue
+                    x = part[list(m.spec.columns)].to_numpy(float)
+                    for nth, s in candidates[name]:
+                        slot = np.rint(m.predict(x, s.get("trees", s.get("rounds")), s.get("depth")) * SLOTS).astype(np.int64)
+                        counts = kept.setdefault((name, nth), np.zeros((2, SLOTS + 1), np.int64))
+                        counts += np.stack([np.bincount(slot[y == k], minlength=SLOTS + 1) for k in (1, 0)])
+        for (name, nth), c in kept.items():
+            at = np.flatnonzero(c.sum(axis=0))
+            yield pd.DataFrame({"name": name, "nth": nth, "score": at / SLOTS, "pos": c[0, at], "neg": c[1, at]})
+
+    out = rows.select("task", "inner", "label", *features).mapInPandas(run, "name string, nth int, score double, pos long, neg long")
+    return out.groupBy("name", "nth", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def nested_choice(rows: DataFrame, tasks: dict[str, Spec], grids: dict[str, list[dict]], bins: Bins, folds: int, seed: int = 42) -> dict[str, tuple[dict, float]]:
+    """Settings and threshold of each task: the greatest mean AUC over inner folds, the first of equals, and the threshold of
+    the greatest TPR - FPR over a second pass of all inner folds with another seed; 0.5 where there is none.
 
-def predict(rows: DataFrame, models: dict[str, dict], extra: str = "") -> DataFrame:
+    Candidates that differ in trees or levels of a forest, or in rounds, are read off one model. ``tasks``: a spec without settings.
+    """
+    specs: dict[str, Spec] = {}
+    answers: dict[str, list[tuple[int, dict]]] = {}
+    for name, s in tasks.items():
+        for nth, settings in enumerate(grids[s.algo]):
+            grown = _grown(s.algo, settings, grids[s.algo])
+            for k in range(folds):
+                model = json.dumps([name, k, grown], sort_keys=True)
+                specs[model] = Spec(s.task, s.columns, s.algo, grown, k, seed)
+                answers.setdefault(model, []).append((nth, settings))
+    counts = slot_counts(rows, fit(rows, specs, bins), list(bins.cuts), answers)
+    each = ranking.auc(counts, ["name", "nth"]).where("auc IS NOT NULL").collect()
+    by: dict[tuple[str, int], list[float]] = {}
+    for r in sorted(each, key=lambda r: r.name):
+        by.setdefault((json.loads(r["name"])[0], r.nth), []).append(r.auc)
+    chosen = {}
+    for name, s in tasks.items():
+        mean = [round(float(np.mean(by[name, i])), 9) if (name, i) in by else -1.0 for i in range(len(grids[s.algo]))]
+        chosen[name] = grids[s.algo][int(np.argmax(mean))]
+    again = {json.dumps([n, k]): Spec(s.task, s.columns, s.algo, chosen[n], k, seed + 10_000) for n, s in tasks.items() for k in range(folds)}
+    pooled = slot_counts(rows, fit(rows, again, bins), list(bins.cuts), {n: [(0, s.settings)] for n, s in again.items()})
+    pooled = pooled.groupBy(F.get_json_object("name", "$[0]").alias("name"), "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    cuts = {r["name"]: r.threshold for r in ranking.youden(ranking.curve(pooled, ["name"]), ["name"]).collect()}
+    return {n: (chosen[n], float(cuts.get(n, 0.5))) for n in tasks}
+
+
+def _grown(algo: str, settings: dict, grid: list[dict]) -> dict:
+    """The largest settings from whose model those of ``settings`` can be read."""
+    if algo == "forest":
+        like = [s for s in grid if s["min_leaf"] == settings["min_leaf"]]
+        return {**settings, "trees": max(s["trees"] for s in like), "depth": max(s["depth"] for s in like)}
+    if algo == "boosting":
+        return {**settings, "rounds": max(s["rounds"] for s in grid if (s["depth"], s["rate"]) == (settings["depth"], settings["rate"]))}
+    return settings
+
+
+def predict(rows: DataFrame, models: dict[str, Model], extra: str = "") -> DataFrame:
     """task, id, label, the columns of ``extra`` (a schema) and suit of every row whose task has a model; ``rows`` has the features."""
     names = [c.split()[0] for c in extra.split(", ")] if extra else []
 
-    def run(frames):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for task, part in f.groupby("task"):
                 if task in models:
                     m = models[task]
-                    suit = m["model"].predict(part[m["columns"]].to_numpy(float))
-                    yield part[["task", "id", "label", *names]].assign(suit=suit)
+                    yield part[["task", "id", "label", *names]].assign(suit=m.predict(part[list(m.spec.columns)].to_numpy(float)))
+
+    return rows.mapInPandas(run, f"task string, id {dict(rows.dtypes)['id']}, label int, " + (extra + ", " if extra else "") + "suit double")
 
-    return rows.mapInPandas(run, "task string, id long, label int, " + (extra + ", " if extra else "") + "suit double")
 
+#: Primes above any number of rows that a task may have: each makes i -> (prime * i + draw) mod n a permutation.
+def strides(draws: int, seed: int) -> list[int]:
+    """Different primes above 2 ** 31 for the draws of a seed, by trial division."""
+    out: list[int] = []
+    x = 2**31 + 1 + 2 * 100_003 * (seed % 1000)
+    while len(out) < draws:
+        if all(x % p for p in range(3, math.isqrt(x) + 1, 2)):
+            out.append(x)
+            x += 2 * 7919
+        x += 2
+    return out
 
-def shuffled_scores(rows: DataFrame, models: dict[str, dict], groups: dict[str, list[str]], draws: int, seed: int) -> DataFrame:
-    """task, label, grp, draw, suit: every row scored again with a group of features dealt anew among rows, ``draws`` times.
 
-    Rows are dealt into batches by a hash of their id first; a batch's values are dealt among its own rows.
+def dealt_values(rows: DataFrame, features: list[str], draws: int, seed: int) -> DataFrame:
+    """task, id, label, draw, the features, and the features ``o_*`` of the row whose values it gets in each draw.
+
+    Rows of a task are numbered by a hash of their id (``nth``, exactly and without ordering a task as a whole); in a draw
+    row i gets the values of row (prime * i + draw) mod n. Results hang on ids and seed alone.
     """
-    dealt = rows.repartition(F.xxhash64("id"))
+    hashed = rows.withColumn("_u", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id"))), 1, 12), 16, 10).cast("double"))
+    counts = hashed.groupBy("task", "_u").agg(F.count("*").alias("_n"))
+    starts = ranking.running(counts, ["task"], "_u", {"_less": "_n"}).select(F.col("task").alias("_t"), F.col("_u").alias("_v"), "_less")
+
+
+    numbered = hashed.join(starts, (F.col("task") == F.col("_t")) & (F.col("_u") == F.col("_v")))
+    numbered = numbered.withColumn("nth", F.col("_less") + F.row_number().over(Window.partitionBy("task", "_u").orderBy("id")) - 1)
+    size = counts.groupBy(F.col("task").alias("_t")).agg(F.sum("_n").alias("_all"))
+    numbered = numbered.drop("_t", "_u", "_v", "_less").join(size, F.col("task") == F.col("_t")).drop("_t")
+    steps = F.array(*[F.lit(p) for p in strides(draws, seed)])
+    each = numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    each = each.withColumn("_from", (F.element_at(steps, F.col("draw")) * F.col("nth") + F.col("draw")) % F.col("_all"))
+    values = numbered.select(F.col("task").alias("_t"), F.col("nth").alias("_f"), *[F.col(c).alias(f"o_{c}") for c in features])
+    return each.join(values, (F.col("task") == F.col("_t")) & (F.col("_from") == F.col("_f"))).select("task", "id", "label", "draw", "nth", *features, *[f"o_{c}" for c in features])
+
+
+def dealt_scores(rows: DataFrame, models: dict[str, Model], features: list[str], groups: dict[str, list[str]], draws: int, seed: int) -> DataFrame:
+    """task, grp, draw (0: as they are), score (a slot), pos, neg: labels by score when a group of features is dealt anew."""
 
-    def run(frames):
+    def counted(task, grp, draw, m, x, y):
+        slot = np.rint(m.predict(x) * SLOTS).astype(np.int64)
+        both = pd.DataFrame({"draw": draw, "score": slot, "pos": (y == 1).astype(np.int64), "neg": (y == 0).astype(np.int64)}).groupby(["draw", "score"], as_index=False).sum()
+        return both.assign(task=task, grp=grp, score=both["score"] / SLOTS)[["task", "grp", "draw", "score", "pos", "neg"]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for task, part in f.groupby("task"):
-                m = models.get(task)
-                for name, members in groups.items() if m else ():
-                    at = [m["columns"].index(c) for c in members if c in m["columns"]]
-                    if not at:
-                        continue
-                    x = part[m["columns"]].to_numpy(float)
-                    rng = np.random.default_rng([seed, len(part), int(part["id"].iloc[0]) % (1 << 31)])
-                    for k in range(draws):
+                if (m := models.get(task)) is None:
+                    continue
+                columns = list(m.spec.columns)
+                x, other, y = part[columns].to_numpy(float), part[[f"o_{c}" for c in columns]].to_numpy(float), part["label"].to_numpy()
+                first = part["draw"].to_numpy() == 1
+                yield counted(task, "", np.zeros(int(first.sum()), int), m, x[first], y[first])
+                for name, members in groups.items():
+                    if at := [columns.index(c) for c in members if c in columns]:
                         z = x.copy()
-                        z[:, at] = z[rng.permutation(len(z))][:, at]
-                        yield pd.DataFrame({"task": task, "label": part["label"].to_numpy(), "grp": name, "draw": k, "suit": m["model"].predict(z)})
+                        z[:, at] = other[:, at]
+                        yield counted(task, name, part["draw"].to_numpy(), m, z, y)
+
+    out = dealt_values(rows, features, draws, seed).mapInPandas(run, "task string, grp string, draw int, score double, pos long, neg long")
+    return out.groupBy("task", "grp", "draw", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def _leaves(tree: Tree) -> Iterator[tuple[float, list[tuple[int, float, bool, float]]]]:
+    """Value and path of each leaf: (feature, cut, whether the path goes low, share of the weight that goes there)."""
+    todo: list[tuple[int, list]] = [(0, [])]
+    while todo:
+        at, path = todo.pop()
+        f = int(tree.feature[at])
+        if f < 0:
+            yield float(tree.value[at]), path
+            continue
+        for child, low in ((2 * at + 1, True), (2 * at + 2, False)):
+            todo.append((child, [*path, (f, float(tree.cut[at]), low, float(tree.weight[child] / tree.weight[at]))]))
+
+
+def tree_shapley(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """(rows, features): Shapley values of a tree's value, where absent features follow the weight of the branches.
+
+    A leaf's value counts by the product over its features of 1 or 0 (present: the row goes that way, or not) and of the
+    branches' shares (absent). The weights of all sets of m features are the coefficients of a product of m terms, so a
+    leaf costs m squared steps a feature, not 2 ** m.
+    """
+    out = np.zeros(x.shape)
+    for value, path in _leaves(tree):
+        one: dict[int, np.ndarray] = {}
+        zero: dict[int, float] = {}
+        for f, cut, low, share in path:
+            one[f] = one.get(f, True) & ((x[:, f] <= cut) == low)
+            zero[f] = zero.get(f, 1.0) * share
+        m = len(one)
+        weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
+        for f in one:
+            terms = [np.ones(len(x))]  # by how many of the others are present
+            for g in one:
+                if g == f:
+                    continue
+                on, off = one[g].astype(float), zero[g]
+                terms = [(terms[k] * off if k < len(terms) else 0) + (terms[k - 1] * on if k else 0) for k in range(len(terms) + 1)]
+            out[:, f] += value * (one[f] - zero[f]) * sum(w * t for w, t in zip(weight, terms, strict=True))
+    return out
+
+
+def shapley_values(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """task, id, feature, shap, value: the mean over a forest's trees, of every row whose task has a model."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for task, part in f.groupby("task"):
+                if (m := models.get(task)) is None:
+                    continue
+                x = part[list(m.spec.columns)].to_numpy(float)
+                v = np.mean([tree_shapley(t, x) for t in m.trees], axis=0)
+                for j, c in enumerate(m.spec.columns):
+                    yield pd.DataFrame({"task": task, "id": part["id"], "feature": c, "shap": v[:, j], "value": x[:, j]})
+
+    return rows.mapInPandas(run, f"task string, id {dict(rows.dtypes)['id']}, feature string, shap double, value double")
+
 
-    return dealt.mapInPandas(run, "task string, label int, grp string, draw int, suit double")
+def models_table(models: dict[str, Model], more: dict[str, dict], spark) -> DataFrame:
+    """task, spec, model: a row a model; ``spec`` (JSON) holds what a refit needs."""
+    return spark.createDataFrame([(n, json.dumps({"algo": m.spec.algo, "columns": list(m.spec.columns), "settings": m.spec.settings, "seed": m.spec.seed, **more.get(n, {})}, sort_keys=True), m.to_json()) for n, m in models.items()], "task string, spec string, model string")

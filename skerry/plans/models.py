@@ -1,4 +1,4 @@
-"""Model queries: a table of tasks, one small fit a task on a bounded sample, and figures over every row."""
+"""Model queries: a table of tasks whose models are grown over all rows of their training folds, and figures over every row."""
 
 from __future__ import annotations
 
@@ -10,29 +10,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.numeric import hash_order, rounded
-from skerry.operators import modelling, ranking, resampling, spatial
-from skerry.operators.learners import LEARNERS, auc_of, shapley, vif_keep, youden_of
+from skerry.operators import modelling, ranking, resampling, spatial, trees
+from skerry.operators.trees import Model, Spec
 from skerry.plans.registry import registered
 from skerry.plans.spatial import ANGLE, _blocks, _near
 from skerry.plans.views import view
-from skerry.sources.tables import parquet, union_by_name, written
+from skerry.sources.tables import fingerprint, parquet, stored, union_by_name, written
 
 FEATURES = ["quantity", "price", "unit", "discount", "tax"]
 #: Feature sets; one with fewer than three of its features in the table is left out.
 FEATURE_SETS = {"S": FEATURES[:3], "SA": FEATURES[:4], "SP": [*FEATURES[:3], "tax"], "SAP": FEATURES}
 GRIDS = {
-    "forest": [{"trees": t, "depth": d, "min_leaf": m} for t in (10, 20) for d in (3, 5, 8) for m in (1, 5)],
-    "boosting": [{"rounds": r, "depth": d, "rate": e} for r in (10, 20) for d in (1, 2, 3) for e in (0.1, 0.3)],
+    "forest": [{"trees": t, "depth": d, "min_leaf": m} for t in (10, 20) for d in (2, 4, 6) for m in (1, 5)],
+    "boosting": [{"rounds": r, "depth": d, "rate": 0.3} for r in (2, 4, 6, 10) for d in (1, 2, 3)],
     "hinges": [{"strength": s, "l1_ratio": r} for s in (0.01, 0.1, 1.0, 10.0) for r in (0.0, 0.5, 1.0)],
 }
 CANDIDATES, FOLDS = 10, 3
-_MODELS: dict[tuple[str, str], dict] = {}
 
 
 def rows_of(spark, d) -> DataFrame:
-    """Every line as id, fold, label and the predictors, complete rows only."""
+    """Every line as id, fold, inner fold, label and the predictors, complete rows only.
+
+    The id is all columns that identify a line (order and line number alone repeat), h a 64-bit hash of them for draws.
+    """
+    of = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")]
     return parquet(spark, d, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") % FOLDS).cast("int").alias("fold"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.concat_ws("-", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in of]).alias("id"), F.xxhash64(*of).alias("h"),
+        (F.col("l_orderkey") % FOLDS).cast("int").alias("fold"), F.expr(f"CAST(l_orderkey div {FOLDS} % {FOLDS} AS INT)").alias("inner"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
         F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / 1000).alias("price"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"), (F.col("l_discount") * 100).alias("discount"), (F.col("l_tax") * 100).alias("tax"),
     ).dropna()
 
@@ -49,46 +53,37 @@ def candidates(algo: str, seed: int = 42) -> list[dict]:
     return [GRIDS[algo][i] for i in order]
 
 
-def _out_of_fold(algo: str, settings: dict, x, y, inner, seed: int) -> np.ndarray:
-    out = np.full(len(y), np.nan)
-    for k in range(FOLDS):
-        a, b = inner != k, inner == k
-        if b.any() and 0 < y[a].sum() < a.sum():
-            out[b] = LEARNERS[algo](**settings, seed=seed).fit(x[a], y[a]).predict(x[b])
-    return out
-
-
-def nested_fit(rows: pd.DataFrame) -> dict | None:
-    """Predictors by variance inflation, settings by inner folds (mean AUC, the first of equals), the threshold by a second pass over them."""
-    algo, feat_set, _ = json.loads(rows["task"].iloc[0])
-    y = rows["label"].to_numpy()
-    if not 0 < y.sum() < len(y):
-        return None
-    cols = [c for c in FEATURE_SETS[feat_set] if c in rows]
-    cols = [cols[i] for i in vif_keep(rows[cols].to_numpy())]
-    x, inner = rows[cols].to_numpy(), rows["id"].to_numpy() // 10 // FOLDS % FOLDS
-    best, chosen = -1.0, None
-    for settings in candidates(algo):
-        p = _out_of_fold(algo, settings, x, y, inner, 42)
-        folds = [auc_of(y[ok], p[ok]) for k in range(FOLDS) if (ok := (inner == k) & ~np.isnan(p)).any()]
-        score = float(np.nanmean(folds)) if np.isfinite(folds).any() else -0.5
-        if score > best:
-            best, chosen = score, settings
-    p = _out_of_fold(algo, chosen, x, y, inner, 10042)
-    ok = ~np.isnan(p)
-    threshold = youden_of(y[ok], p[ok]) if 0 < y[ok].sum() < ok.sum() else 0.5
-    return {"columns": cols, "settings": chosen, "threshold": threshold, "model": LEARNERS[algo](**chosen).fit(x, y)}
-
-
-def fitted(spark, d) -> dict:
-    """The models of all tasks (36), fitted once a session and folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _MODELS:
-        rows = rows_of(spark, d)
-        tasks = task_table(spark, rows.columns)
-        train = rows.join(F.broadcast(tasks), F.col("fold") != F.col("test_fold"))
-        _MODELS[key] = modelling.fit(train.select("task", "id", "label", *FEATURES), nested_fit)
-    return _MODELS[key]
+def _training(rows: DataFrame) -> DataFrame:
+    """The rows of each outer fold's training side: ``task`` is the fold that tests."""
+    folds = F.array(*[F.lit(k) for k in range(FOLDS)])
+    return rows.withColumn("_k", F.explode(F.filter(folds, lambda k: k != F.col("fold")))).withColumn("task", F.col("_k").cast("string")).drop("_k")
+
+
+def _choose(spark, d) -> DataFrame:
+    """task, spec, model: predictors by variance inflation, settings and threshold by inner folds, and the model fitted to all training rows."""
+    rows = written(_training(rows_of(spark, d)), "training")
+    bins = trees.bins_of(rows, FEATURES)
+    corr = modelling.correlations(rows, ["task"], FEATURES)
+    tasks = {}
+    for r in task_table(spark, rows.columns).collect():  # as many as the design has
+        columns = FEATURE_SETS[r.feat_set]
+        if (str(r.test_fold),) in corr:
+            at = [FEATURES.index(c) for c in columns]
+            keep = modelling.variance_inflation(corr[str(r.test_fold),][np.ix_(at, at)])
+            tasks[r.task] = Spec(str(r.test_fold), tuple(columns[i] for i in keep), r.algo)
+    chosen = modelling.nested_choice(rows, tasks, {a: candidates(a) for a in GRIDS}, bins, FOLDS)
+    final = {n: Spec(s.task, s.columns, s.algo, chosen[n][0]) for n, s in tasks.items()}
+    return modelling.models_table(trees.fit(rows, final, bins), {n: {"threshold": chosen[n][1], "task": s.task} for n, s in tasks.items()}, spark)
+
+
+def specifications(spark, d) -> DataFrame:
+    """task, spec, model of all tasks, as stored for these files: fitted once, read by every later query and session."""
+    return stored(spark, "models", fingerprint(spark, [f"{d}/lineitem.parquet"]), lambda: _choose(spark, d))
+
+
+def fitted(spark, d) -> dict[str, Model]:
+    """The models of all tasks (36)."""
+    return {r.task: Model.from_json(r.model) for r in specifications(spark, d).collect()}
 
 
 def held_out(spark, d, algos=tuple(GRIDS), feat_sets=tuple(FEATURE_SETS)) -> DataFrame:
@@ -115,30 +110,76 @@ def oof_predictions(spark, d):
 @registered()
 def nested_cv(spark, d):
     """Every algorithm, feature set and outer fold: choice and threshold by inner folds, all metrics over every row of the outer one."""
-    models = fitted(spark, d)
-    scored = _task_columns(modelling.predict(held_out(spark, d), models))
-    specs = [(*json.loads(t), float(m["threshold"]), ",".join(m["columns"]), json.dumps(m["settings"])) for t, m in models.items()]
-    chosen = spark.createDataFrame(specs, "algo string, feat_set string, test_fold int, threshold double, selected string, hp string")
+    scored = _task_columns(modelling.predict(held_out(spark, d), fitted(spark, d)))
+    spec = lambda path, kind="string": F.get_json_object("spec", f"$.{path}").cast(kind)
+    columns = F.array_join(F.from_json(spec("columns"), "array<string>"), ",")
+    chosen = _task_columns(specifications(spark, d)).select(*_TASK, spec("threshold", "double").alias("threshold"), columns.alias("selected"), spec("settings").alias("hp"))
     return ranking.bundle(scored, _TASK, chosen.select(*_TASK, "threshold"), fallback=True).join(chosen.drop("threshold"), _TASK)
 
 
-def _refit(rows: pd.DataFrame) -> dict | None:
-    """From the stored specification alone: predictors, settings and seed."""
-    spec = json.loads(rows["spec"].iloc[0])
-    y = rows["label"].to_numpy()
-    return {"columns": spec["columns"], "model": LEARNERS[spec["algo"]](**spec["settings"]).fit(rows[spec["columns"]].to_numpy(), y)} if 0 < y.sum() < len(y) else None
-
-
-def _specs(spark, d, feat_set: str = "SAP") -> DataFrame:
-    rows = [(t, json.loads(t)[2], json.dumps({"algo": "forest", "columns": m["columns"], "settings": m["settings"]}), float(m["threshold"])) for t, m in fitted(spark, d).items() if json.loads(t)[:2] == ["forest", feat_set]]
-    return spark.createDataFrame(rows, "task string, test_fold int, spec string, threshold double")
+def _selected(spark, d, feat_set: str = "SAP") -> DataFrame:
+    """task, spec of the forests of one feature set."""
+    return _task_columns(specifications(spark, d).select("task", "spec")).where((F.col("algo") == "forest") & (F.col("feat_set") == feat_set))
+
+
+def refit(spark, rows: DataFrame, specs: DataFrame, all_rows: bool = False) -> dict[str, Model]:
+    """Models from stored specifications alone: task, predictors, settings and seed. With ``all_rows`` each sees every row of ``rows``."""
+    out = {}
+    for r in specs.select("task", "spec").collect():
+        s = json.loads(r.spec)
+        out[r.task] = Spec("all" if all_rows else s["task"], tuple(s["columns"]), s["algo"], s["settings"], None, s["seed"] + (17 * int(s["task"]) if all_rows else 0))
+    return trees.fit(rows, out, trees.bins_of(rows, FEATURES))
+
+
+#: Cuts between whole numbers of the predictors that have few.
+_STUMP_CUTS = {"quantity": [float(q) for q in range(1, 50)], "discount": [float(q) for q in range(10)], "tax": [float(q) for q in range(8)]}
+_STUMP_ROWS = """rows AS (SELECT l_orderkey % 3 AS fold, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity AS quantity, round(l_discount * 100) AS discount, round(l_tax * 100) AS tax FROM lineitem
+  WHERE l_orderkey IS NOT NULL AND l_returnflag IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL)"""
+
+
+@registered(f"""WITH {_STUMP_ROWS}, t AS (SELECT CAST(k AS INT) AS test_fold, rows.* FROM rows, range(3) f(k) WHERE fold <> k),
+n AS (SELECT test_fold, count(*) AS n, sum(y) AS pos FROM t GROUP BY ALL),
+w AS (SELECT t.*, CASE WHEN y = 1 THEN n / (2e0 * pos) ELSE n / (2e0 * (n - pos)) END AS w FROM t JOIN n USING (test_fold)),
+c AS ({" UNION ALL ".join(f"SELECT test_fold, '{f}' AS feature, cut, {f} <= cut AS low, y, w FROM w, unnest({cuts}) u(cut)" for f, cuts in _STUMP_CUTS.items())}),
+g AS (SELECT test_fold, feature, cut, sum(w) FILTER (low) AS lw, sum(w * y) FILTER (low) AS lg, sum(w) FILTER (NOT low) AS hw, sum(w * y) FILTER (NOT low) AS hg FROM c GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY test_fold ORDER BY round(lg * lg / lw + hg * hg / hw - (lg + hg) * (lg + hg) / (lw + hw), 9) DESC, feature = 'tax', feature = 'discount', cut) AS r FROM g WHERE lw > 0 AND hw > 0)
+SELECT test_fold, feature, cut, round(lg / lw, 9) AS low, round(hg / hw, 9) AS high FROM b WHERE r = 1""")
+def tree_stumps(spark, d):
+    """The first cut of a tree over all training rows of each fold: the predictor and cut of the greatest gain, and the shares on both sides."""
+    at = lambda c: F.round(F.col(c)).alias(c)
+    rows = written(_training(rows_of(spark, d)).select("task", "label", "h", "inner", "quantity", at("discount"), at("tax")), "stumps")
+    bins = trees.Bins(_STUMP_CUTS, {}, {}, {})
+    settings = {"trees": 1, "depth": 1, "min_leaf": 1, "bootstrap": False, "features": len(_STUMP_CUTS)}
+    models = trees.fit(rows, {str(k): Spec(str(k), tuple(_STUMP_CUTS), "forest", settings) for k in range(FOLDS)}, bins)
+    out = [(int(k), list(_STUMP_CUTS)[t.feature[0]], float(t.cut[0]), round(float(t.value[1]), 9), round(float(t.value[2]), 9)) for k, m in models.items() for t in m.trees if t.feature[0] >= 0]
+    return spark.createDataFrame(out, "test_fold int, feature string, cut double, low double, high double")
+
+
+_DRAWS = 5
+_PRIMES = modelling.strides(_DRAWS, 42)
+
+
+@registered(f"""WITH r AS (SELECT l_orderkey % 3 AS fold, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_quantity AS quantity,
+  concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id FROM lineitem WHERE l_orderkey IS NOT NULL AND l_returnflag IS NOT NULL AND l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL AND l_suppkey IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY CAST('0x' || substr(md5('42:' || id), 1, 12) AS BIGINT), id) - 1 AS nth, count(*) OVER (PARTITION BY fold) AS n FROM r),
+e AS (SELECT k.*, draw, ({_PRIMES}[draw] * nth + draw) % n AS src FROM k, range(1, {_DRAWS + 1}) t(draw)),
+v AS (SELECT e.fold, e.draw, e.label, o.quantity AS score FROM e JOIN k o ON o.fold = e.fold AND o.nth = e.src UNION ALL SELECT fold, 0, label, quantity FROM k),
+c AS (SELECT fold, draw, score, sum(label) AS pos, count(*) - sum(label) AS neg FROM v GROUP BY ALL),
+w AS (SELECT *, pos * (2 * coalesce(sum(neg) OVER (PARTITION BY fold, draw ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg) AS won FROM c)
+SELECT CAST(fold AS INT) AS test_fold, CAST(draw AS INT) AS draw, round(CAST(sum(won) AS DOUBLE) / nullif(2e0 * sum(pos) * sum(neg), 0) + 1e-9, 6) AS auc FROM w GROUP BY ALL""")
+def dealt_predictor_auc(spark, d):
+    """AUC of one predictor alone in each fold: as it is (draw 0), and dealt anew over all rows of the fold."""
+    rows = rows_of(spark, d).select(F.col("fold").cast("string").alias("task"), "id", "label", "quantity")
+    dealt = modelling.dealt_values(rows, ["quantity"], _DRAWS, 42)
+    all_ = dealt.select("task", "draw", "label", F.col("o_quantity").alias("suit")).unionByName(rows.select("task", F.lit(0).alias("draw"), "label", F.col("quantity").alias("suit")))
+    auc = ranking.auc(ranking.score_counts(all_, ["task", "draw"]), ["task", "draw"])
+    return auc.select(F.col("task").cast("int").alias("test_fold"), "draw", rounded(F.col("auc")).alias("auc"))
 
 
 @registered()
 def refit_selected(spark, d):
     """The selected models fitted again from their stored specifications: AUC as reported and as reconstructed."""
-    rows, specs = rows_of(spark, d), _specs(spark, d)
-    again = modelling.fit(rows.join(F.broadcast(specs), F.col("fold") != F.col("test_fold")).select("task", "id", "label", "spec", *FEATURES), _refit)
+    again = refit(spark, written(_training(rows_of(spark, d)), "training"), _selected(spark, d))
     held = held_out(spark, d, ("forest",), ("SAP",))
     auc = lambda models, name: ranking.auc(ranking.score_counts(modelling.predict(held, models), ["task"]), ["task"]).select("task", F.col("auc").alias(name))
     both = auc(fitted(spark, d), "reported_auc").join(auc(again, "reconstructed_auc"), "task")
@@ -148,9 +189,9 @@ def refit_selected(spark, d):
 @registered()
 def full_refit_ensemble(spark, d):
     """Every selected specification fitted to all folds and every row scored by each: mean, deviation, the class at the median threshold, and support."""
-    rows, specs = rows_of(spark, d), _specs(spark, d)
-    models = modelling.fit(rows.crossJoin(F.broadcast(specs)).select("task", "id", "label", "spec", *FEATURES), _refit)
-    cut = specs.agg(F.percentile("threshold", F.lit(0.5)).alias("cut"))
+    rows, specs = rows_of(spark, d), _selected(spark, d)
+    models = refit(spark, written(rows.withColumn("task", F.lit("all")), "rows"), specs, all_rows=True)
+    cut = specs.agg(F.percentile(F.get_json_object("spec", "$.threshold").cast("double"), F.lit(0.5)).alias("cut"))
     scored = modelling.predict(rows.crossJoin(F.broadcast(specs.select("task"))), models).crossJoin(F.broadcast(cut))
     out = scored.groupBy("id", "cut").agg(F.avg("suit").alias("mean"), F.stddev_samp("suit").alias("sd"), F.avg((F.col("suit") >= F.col("cut")).cast("double")).alias("support"))
     return out.select("id", "mean", "sd", (F.col("mean") >= F.col("cut")).cast("int").alias("above"), "support")
@@ -158,26 +199,26 @@ def full_refit_ensemble(spark, d):
 
 @registered()
 def ensemble_support(spark, d):
-    """Shares of rows that all models, four in five and fewer than half support."""
+    """Shares of rows that all models, four in five, and fewer than half support, with those between and the 99th percentile of the deviation."""
     s = full_refit_ensemble(spark, d)
     share = lambda c: F.avg(c.cast("double"))
-    return s.agg(F.count("*").alias("n"), share(F.col("support") == 1).alias("by_all"), share(F.col("support") >= 0.8).alias("by_most"), share(F.col("support") < 0.5).alias("by_few"), F.percentile("sd", F.lit(0.99)).alias("sd_p99"))
+    return s.agg(F.count("*").alias("n"), share(F.col("support") == 1).alias("by_all"), share(F.col("support") >= 0.8).alias("by_most"), share(F.col("support").between(0.5, 0.8) & (F.col("support") < 0.8)).alias("by_half"), share(F.col("support") < 0.5).alias("by_few"), share(F.col("support") == 0).alias("by_none"), share(F.col("above") == 1).alias("above"), F.percentile("sd", F.lit(0.99)).alias("sd_p99"))
 
 
 def _decreases(spark, d, groups: dict[str, list[str]], draws: int, seed: int) -> DataFrame:
     """algo, feat_set, test_fold, grp, mean decrease of AUC; 0 for groups none of whose features was selected."""
-    models, held = fitted(spark, d), held_out(spark, d, ("forest",), ("SAP",))
-    base = ranking.auc(ranking.score_counts(modelling.predict(held, models), ["task"]), ["task"]).select("task", F.col("auc").alias("base"))
-    scores = modelling.shuffled_scores(held.select("task", "id", "label", *FEATURES), models, groups, draws, seed)
-    each = ranking.auc(ranking.score_counts(scores, ["task", "grp", "draw"]), ["task", "grp", "draw"])
-    mean = each.join(base, "task").groupBy("task", "grp").agg(F.avg(F.col("base") - F.col("auc")).alias("importance"))
+    held = held_out(spark, d, ("forest",), ("SAP",)).select("task", "id", "label", *FEATURES)
+    counts = modelling.dealt_scores(held, fitted(spark, d), FEATURES, groups, draws, seed)
+    each = written(ranking.auc(counts, ["task", "grp", "draw"]), "dealt")
+    base = each.where("draw = 0").select("task", F.col("auc").alias("base"))
+    mean = each.where("draw > 0").join(base, "task").groupBy("task", "grp").agg(F.avg(F.col("base") - F.col("auc")).alias("importance"))
     every = base.select("task").crossJoin(F.broadcast(spark.createDataFrame([(g,) for g in groups], "grp string")))
     return _task_columns(every.join(mean, ["task", "grp"], "left")).select(*_TASK, "grp", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
 
 @registered()
 def permutation_importance(spark, d):
-    """Loss of AUC over every held-out row when a predictor is dealt anew, mean of 30; 0 for predictors left out."""
+    """Loss of AUC over every held-out row when a predictor is dealt anew over its fold, mean of 30; 0 for predictors left out."""
     return _decreases(spark, d, {f: [f] for f in FEATURES}, 30, 42).withColumnRenamed("grp", "feature")
 
 
@@ -189,56 +230,65 @@ def grouped_permutation(spark, d):
 
 @registered()
 def shap_long(spark, d):
-    """Shapley values of a uniform sample of 300 rows, a row a predictor: the first fold's forest of the widest set."""
-    model = fitted(spark, d)[json.dumps(["forest", "SAP", 0])]
-    sample = rows_of(spark, d).where("fold = 0").orderBy(hash_order(F.col("id"), 23), "id").limit(300)
-
-    def run(frames):
-        for f in frames:
-            if len(f):
-                v = shapley(model["model"].model, f[model["columns"]].to_numpy(float))
-                wide = pd.DataFrame(v, columns=model["columns"]).assign(id=f["id"].to_numpy())
-                long = wide.melt("id", var_name="feature", value_name="shap")
-                yield long.merge(f[["id", *model["columns"]]].melt("id", var_name="feature", value_name="value"), on=["id", "feature"])
-
-    return sample.mapInPandas(run, "id long, feature string, shap double, value double")
+    """Shapley values of every held-out row under its fold's forest of the widest set, a row a predictor."""
+    held = held_out(spark, d, ("forest",), ("SAP",)).select("task", "id", "label", *FEATURES)
+    return _task_columns(modelling.shapley_values(held, fitted(spark, d))).select(*_TASK, "id", "feature", "shap", "value")
 
 
 @registered()
 def importance_summary(spark, d):
-    """Predictors by mean loss of AUC: how often selected, the interval of the loss over the models, mean absolute Shapley value, and both scaled to their greatest."""
-    models = {t: m for t, m in fitted(spark, d).items() if json.loads(t)[0] == "forest"}
-    chosen = [(f, sum(f in m["columns"] for m in models.values()) / len(models)) for f in FEATURES]
-    loss = permutation_importance(spark, d).withColumn("nth", F.col("test_fold").cast("long"))
-    interval = resampling.mean_ci(loss, "feature", "importance", 2000, 5)
-    shap = shap_long(spark, d).groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
-    out = spark.createDataFrame(chosen, "feature string, selection_frequency double").join(interval, "feature").join(shap, "feature", "left").fillna(0.0, ["mean_abs_shap"])
+    """Predictors by mean loss of AUC: how often selected, the losses' and the mean absolute Shapley values' intervals over the
+    models, the direction (rank correlation of value and Shapley value), and both scaled to their greatest."""
+    picked = _task_columns(specifications(spark, d)).where("algo = 'forest'").select(F.explode(F.from_json(F.get_json_object("spec", "$.columns"), "array<string>")).alias("feature"))
+    n_models = _task_columns(specifications(spark, d)).where("algo = 'forest'").agg(F.count("*").alias("m"))
+    every = spark.createDataFrame([(f,) for f in FEATURES], "feature string")
+    chosen = every.join(picked.groupBy("feature").agg(F.count("*").alias("k")), "feature", "left").crossJoin(F.broadcast(n_models)).select("feature", (F.coalesce("k", F.lit(0)) / F.col("m")).alias("selection_frequency"))
+    nth = F.col("test_fold").cast("long")
+    loss = resampling.mean_ci(permutation_importance(spark, d).withColumn("nth", nth), "feature", "importance", 2000, 5)
+    shap = written(shap_long(spark, d), "shap")
+    by_model = shap.groupBy("test_fold", "feature").agg(F.avg(F.abs("shap")).alias("v")).withColumn("nth", F.row_number().over(Window.partitionBy("feature").orderBy("test_fold")).cast("long") - 1)
+    size = resampling.mean_ci(by_model, "feature", "v", 2000, 6).withColumnsRenamed({"mean": "mean_abs_shap", "lo": "shap_lo", "hi": "shap_hi"})
+    ranks = ranking.average_ranks(ranking.average_ranks(shap.select("feature", "shap", "value"), ["feature"], "value", "rv"), ["feature"], "shap", "rs")
+    rho = ranks.groupBy("feature").agg(ranking.correlation("rv", "rs").alias("shap_direction_rho"))
+    out = chosen.join(loss, "feature").join(size, "feature", "left").join(rho, "feature", "left").fillna(0.0, ["mean_abs_shap"])
     all_ = Window.partitionBy(F.lit(0))  # five rows
     scaled = lambda c: F.coalesce(F.try_divide(F.col(c), F.max(c).over(all_)), F.lit(0.0))
     return out.withColumns({"scaled_loss": scaled("mean"), "scaled_shap": scaled("mean_abs_shap")}).orderBy(F.desc("mean"), "feature").limit(6)
 
 
+@registered()
+def shap_swarm(spark, d):
+    """What a beeswarm draws: Shapley values with their predictor's value scaled to its range, and the cell of a grid of
+    100 by which points of like height are spread."""
+    shap = shap_long(spark, d)
+    ends = shap.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min("shap").alias("s_low"), F.max("shap").alias("s_high"))
+    both = shap.join(F.broadcast(ends), "feature")
+    scaled = F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5))
+    cell = F.floor(F.coalesce(F.try_divide(F.col("shap") - F.col("s_low"), F.col("s_high") - F.col("s_low")), F.lit(0.0)) * 99).cast("int")
+    return both.withColumns({"colour": scaled, "cell": cell}).groupBy("feature", "cell").agg(F.count("*").alias("n"), F.avg("shap").alias("shap"), F.avg("colour").alias("colour"))
+
+
 @registered()
 def ale_curve(spark, d):
     """Accumulated local effects over decile edges of every held-out row: mean finite differences, summed up and centred by weight."""
     models, held = fitted(spark, d), held_out(spark, d, ("forest",), ("SAP",))
     deciles = [i / 10 for i in range(11)]
     found = held.groupBy("task").agg(*[F.percentile(c, F.array(*[F.lit(q) for q in deciles])).alias(c) for c in FEATURES]).collect()
-    edges = {(r.task, c): e for r in found for c in models[r.task]["columns"] if len(e := np.unique(r[c])) >= 4}
+    edges = {(r.task, c): e for r in found for c in models[r.task].spec.columns if len(e := np.unique(r[c])) >= 4}
 
     def run(frames):
         for f in frames:
             for task, part in f.groupby("task"):
                 m = models[task]
-                x = part[m["columns"]].to_numpy(float)
-                for j, c in enumerate(m["columns"]):
+                x = part[list(m.spec.columns)].to_numpy(float)
+                for j, c in enumerate(m.spec.columns):
                     if (task, c) not in edges:
                         continue
                     e = edges[task, c]
                     at = np.clip(np.searchsorted(e, x[:, j], side="right") - 1, 0, len(e) - 2)
                     low, high = x.copy(), x.copy()
                     low[:, j], high[:, j] = e[at], e[at + 1]
-                    step = m["model"].predict(high) - m["model"].predict(low)
+                    step = m.predict(high) - m.predict(low)
                     n = np.bincount(at, minlength=len(e) - 1)
                     yield pd.DataFrame({"task": task, "feature": c, "bin": np.arange(len(e) - 1), "x": (e[1:] + e[:-1]) / 2, "n": n, "step": np.bincount(at, step, len(e) - 1)})
 
@@ -254,16 +304,8 @@ def ale_curve(spark, d):
 def vif_select(spark, d):
     """Predictors kept by stepwise variance inflation; correlations over every row, in one pass."""
     rows = rows_of(spark, d)
-    pairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
-    m = rows.agg(F.count("*").alias("n"), *[F.corr(a, b).alias(f"c_{a}_{b}") for a, b in pairs]).first()
-    c = np.array([[m[f"c_{a}_{b}"] if (a, b) in pairs else m[f"c_{b}_{a}"] for b in FEATURES] for a in FEATURES], float)
-    keep = list(range(len(FEATURES)))
-    while len(keep) > 1 and m["n"] >= 5:
-        inverse = np.diag(np.linalg.pinv(np.nan_to_num(c[np.ix_(keep, keep)]) + 1e-10 * np.eye(len(keep))))
-        v = 1 / (1 / np.maximum(inverse, 1) + 1e-8)
-        if v.max() < 10:
-            break
-        keep.pop(int(v.argmax()))
+    found = modelling.correlations(rows.withColumn("all", F.lit(0)), ["all"], FEATURES)
+    keep = modelling.variance_inflation(found[0,]) if found else []
     return spark.createDataFrame([(f, i in keep) for i, f in enumerate(FEATURES)], "feature string, kept boolean")
 
 
@@ -312,12 +354,12 @@ def _presences(spark, d) -> DataFrame:
     return found.dropna()
 
 
-def _forest(trees: int, depth: int):
-    def run(rows: pd.DataFrame) -> dict | None:
-        y = rows["label"].to_numpy()
-        return {"columns": PLACE, "model": LEARNERS["forest"](trees=trees, depth=depth).fit(rows[PLACE].to_numpy(float), y)} if 0 < y.sum() < len(y) else None
-
-    return run
+def _forests(rows: DataFrame, n_trees: int, depth: int) -> dict[str, Model]:
+    """A forest on the places of each task."""
+    rows = written(rows.select("task", "label", F.xxhash64("id", "label").alias("h"), F.lit(None).cast("int").alias("inner"), *PLACE), "places")
+    names = [r.task for r in rows.select("task").distinct().collect()]
+    specs = {n: Spec(n, tuple(PLACE), "forest", {"trees": n_trees, "depth": depth, "min_leaf": 1}) for n in names}
+    return trees.fit(rows, specs, trees.bins_of(rows, PLACE))
 
 
 def _pilot(spark, d) -> DataFrame:
@@ -325,7 +367,7 @@ def _pilot(spark, d) -> DataFrame:
     cells = _places(spark, d)
     background = cells.where("km >= 10").orderBy(hash_order(F.col("cell_id"), 3), "cell_id").limit(200)
     train = _presences(spark, d).select("id", F.lit(1).alias("label"), *PLACE).unionByName(background.select(F.col("cell_id").alias("id"), F.lit(0).alias("label"), *PLACE))
-    models = modelling.fit(train.withColumn("task", F.lit("pilot")), _forest(50, 6))
+    models = _forests(train.withColumn("task", F.lit("pilot")), 50, 6)
     rows = cells.select(F.lit("pilot").alias("task"), F.col("cell_id").alias("id"), F.lit(0).alias("label"), *PLACE)
     scored = modelling.predict(rows, models).select(F.col("id").alias("cell_id"), F.col("suit").alias("score"))
     return cells.select("cell_id", "km").join(scored, "cell_id", "left")
@@ -391,7 +433,7 @@ def sensitivity_sweep(spark, d):
     tested = rows.withColumn("test", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("task", task)
     w = Window.partitionBy("task", "label").orderBy(hash_order(F.col("id"), 9), "id")
     train = tested.where("fold <> test").withColumn("n", F.row_number().over(w)).where("label = 1 OR n <= 200")
-    models = modelling.fit(train.select("task", "id", "label", *PLACE), _forest(20, 6))
+    models = _forests(train, 20, 6)
     auc = ranking.auc(ranking.score_counts(modelling.predict(tested.where("fold = test").select("task", "id", "label", *PLACE), models), ["task"]), ["task"])
     t = F.from_json("task", "array<string>")
     out = auc.select(t[0].alias("factor"), t[1].alias("level"), "auc", "n_pos").groupBy("factor", "level")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import fnmatch
+import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,6 +112,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The folder is ``spark.checkpoint.dir``; only local sessions may do without, with a temporary one.
     """
     spark = df.sparkSession
+    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _shared(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -117,9 +125,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
         base = tempfile.mkdtemp(prefix="skerry-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return base.rstrip("/")
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the files under the paths: name, size and time of change of each."""
+    seen = []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        listed = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+        while listed.hasNext():
+            f = listed.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:32]
+
+
+def stored(spark: SparkSession, name: str, made_from: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` of the shared folder for what ``made_from`` identifies: written once, read by every later step and session."""
+    path = f"{_shared(spark)}/{name}-{made_from}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
