@@ -11,6 +11,7 @@ share one; a run of windows with one key is a segment.
    without shuffling texts again.
 2. Each group says which keys it has, once each, and how many segments. Keys that two groups have, or two documents of
    a group, are shared; those of more than ``HOT`` segments in all are hot.
+   Whether a key is hot is said once for all groups that have it.
 3. Of its segments with shared keys each group says the content (a hash of their text), once each, with the least
    doc_id, to a share by content. Where a smaller doc_id has an equal segment, all its windows are repeated. The others
    give their text, so each different text counts once.
@@ -147,13 +148,13 @@ def _blobs(x: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def _say_keys(shares: int):
-    """Keys and how many segments have them (255 and more count as 255), to each key's share."""
+    """Keys and how many segments have them, to each key's share."""
 
     def run(rows: pa.Table) -> pa.Table:
         keys, count = np.unique(_group(rows)[4][2], return_counts=True)
         share = (keys % np.uint64(shares)).astype(np.int64)
         order = np.argsort(share, kind="stable")
-        keys, share, count = keys[order], share[order], np.minimum(count[order], 255).astype(np.uint8)
+        keys, share, count = keys[order], share[order], count[order].astype(np.uint32)
         at, _ = _runs(share)
         group = rows.column("_group")[0].as_py()
         return pa.table({"share": pa.array(share[at], pa.int32()), "_group": pa.array([group] * len(at), pa.int32()), "keys": _blobs(keys, at), "counts": _blobs(count, at)})
@@ -167,7 +168,7 @@ def _find_shared(hot: int):
     def run(rows: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(b, np.uint64) for b in rows.column("keys").to_pylist()]
         groups = np.repeat(rows.column("_group").to_numpy(), [len(b) for b in blobs])
-        keys, count = np.concatenate(blobs), np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8)
+        keys, count = np.concatenate(blobs), np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32)
         order = np.argsort(keys)
         keys, groups, count = keys[order], groups[order], count[order]
         _, run = _runs(keys)
@@ -210,7 +211,7 @@ def _say_contents(length: int, shares: int, hot: int):
                 place = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 there = known[place] == key
                 many |= there
-                is_hot |= there & wide[place]
+                is_hot = np.where(there, wide[place], is_hot)  # of keys that other groups have too, all groups say the same
         pick = np.flatnonzero(many)
         doc, index = doc[pick], pick.astype(np.uint32) | is_hot[pick] * _IS_HOT
         own, more = _content(data, at[pick], count[pick] + length - 1)
@@ -419,18 +420,9 @@ def _cut_out(rows: pa.Table, ranges: pa.Table) -> pa.Table:
     return pa.table({"rest": rows.column("rest"), "_null": rows.column("_null"), "repeat_kept": kept, "repeat_spans": spans, "repeat_bytes": pa.array(np.diff(off), pa.int64())})
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` (doc_id, text, any others) without repeats, and ``repeat_kept``, ``repeat_spans``, ``repeat_bytes``; a stored table."""
-    spark = docs.sparkSession
-    docs = docs.drop("repeat_kept", "repeat_spans", "repeat_bytes")
-    rest = [c for c in docs.columns if c != "text"]
-    size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
-    tasks = max(parts(spark), -(-size // TASK_BYTES))
-    groups = GROUPS * tasks
-    whole = F.col("doc_id").cast("long")
-    slim = docs.select(F.struct(*rest).alias("rest"), whole.alias("_doc"), F.encode(text_or_empty(), "UTF-8").alias("_bytes"), F.col("text").isNull().alias("_null"))
-    dealt = slim.where(F.col("_doc").isNotNull()).select("*", F.pmod(F.xxhash64("_doc"), F.lit(groups)).cast("int").alias("_group"), F.monotonically_increasing_id().alias("_row"))
-    name = f"repeats_{uuid.uuid4().hex}"
+def _removed(slim: DataFrame, dealt: DataFrame, name: str, tasks: int, length: int) -> DataFrame:
+    """The steps above over ``dealt``, whose texts become the table ``name``: rest, _null, repeat_kept, repeat_spans, repeat_bytes."""
+    spark = slim.sparkSession
     dealt.repartition(tasks, "_group").write.option("compression", "zstd").option("path", new_path(spark, "texts")).bucketBy(tasks, "_group").saveAsTable(name)
     texts = spark.table(name)
     bare = texts.select("_group", "_row", "_doc", "_bytes")
@@ -448,7 +440,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     alone = slim.where(F.col("_doc").isNull()).select("rest", "_null", F.col("_bytes").alias("repeat_kept"), F.expr(f"CAST(array() AS {_SPANS})").alias("repeat_spans"), F.octet_length("_bytes").cast("long").alias("repeat_bytes"))
     out = written(cut.unionByName(alone), "kept")
     forget(ranges, texts, shuffles=True)
-    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` (doc_id, text, any others) without repeats, and ``repeat_kept``, ``repeat_spans``, ``repeat_bytes``; a stored table."""
+    spark = docs.sparkSession
+    docs = docs.drop("repeat_kept", "repeat_spans", "repeat_bytes")
+    rest = [c for c in docs.columns if c != "text"]
+    size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    tasks = max(parts(spark), -(-size // TASK_BYTES))
+    groups = GROUPS * tasks
+    whole = F.col("doc_id").cast("long")
+    slim = docs.select(F.struct(*rest).alias("rest"), whole.alias("_doc"), F.encode(text_or_empty(), "UTF-8").alias("_bytes"), F.col("text").isNull().alias("_null"))
+    dealt = slim.where(F.col("_doc").isNotNull()).select("*", F.pmod(F.xxhash64("_doc"), F.lit(groups)).cast("int").alias("_group"), F.monotonically_increasing_id().alias("_row"))
+    name = f"repeats_{uuid.uuid4().hex}"
+    try:
+        out = _removed(slim, dealt, name, tasks, length)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     text = F.when(~F.col("_null"), F.expr("make_valid_utf8(CAST(repeat_kept AS STRING))"))
     return out.select(*[text.alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns], "repeat_kept", "repeat_spans", "repeat_bytes")
 

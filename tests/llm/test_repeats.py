@@ -117,3 +117,29 @@ def test_line_in_many_surroundings_meets_evenly(spark, monkeypatch, tmp_path):
         assert span.start <= 64 and span.end >= 124 and span.end - span.start < 75
     sizes = sorted(int(f.rsplit("-")[-1]) for f in os.listdir(folder))
     assert sizes[-1] < 2 * sizes[len(sizes) // 2], sizes
+
+
+@pytest.mark.parametrize("owner", [1, 100])
+@pytest.mark.parametrize(("hot", "times"), [(400, 500), (3, 9)])
+def test_key_that_is_hot_in_one_group_only(spark, monkeypatch, owner, hot, times):
+    """A document of many like lines, and others that hold the line once: equal windows meet, whichever comes first."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    line = "2024-01-01 12:00:00 INFO worker started with the usual settings and nothing else to report"
+    assert len(line) == 90
+    noise = lambda k: hashlib.sha256(b"%d" % k).hexdigest()[:40]
+    texts = [(owner, "".join(noise(k) + line for k in range(times)))] + [(10 + d, f"document {d} has {noise(9000 + d)} {line} {noise(9900 + d)} end") for d in range(6)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    have = [(r.doc_id, r.repeat_bytes, r.repeat_bytes - len(r.repeat_kept), len(r.repeat_spans), bytes(r.repeat_kept)) for r in repeats.remove_repeats(df).collect()]
+    assert digest(have) == digest(brute(texts))
+
+
+def test_random_lines_in_random_documents(spark, monkeypatch):
+    """Lines over few letters dealt over documents of one and of hundreds of lines, with a low mark for hot keys."""
+    monkeypatch.setattr(repeats, "HOT", 5)
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        lines = ["".join(rng.choice(list("ab "), rng.integers(20, 90))) for _ in range(25)]
+        texts = [(int(d), "\n".join(lines[i] for i in rng.integers(0, 25, int(rng.choice([1, 2, 3, 60]))))) for d in rng.permutation(30)]
+        df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+        have = [(r.doc_id, r.repeat_bytes, r.repeat_bytes - len(r.repeat_kept), len(r.repeat_spans), bytes(r.repeat_kept)) for r in repeats.remove_repeats(df).collect()]
+        assert digest(have) == digest(brute(texts)), seed
