@@ -184,12 +184,21 @@ def fit_on_table(stats: DataFrame, labels: DataFrame) -> Model:
     return fit(stats.join(known, "doc_id"))
 
 
+#: Up to so many labelled ids are sent to all tasks.
+BROADCAST_LABELS = 1_000_000
+
+
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that a model fitted to their own labelled rows scores ``threshold`` or more.
 
-    Texts are read twice, to fit and to judge, and neither stored nor shuffled in between: numbers alone meet the labels.
+    To fit, the labelled rows' texts are read, to judge, all; texts are neither stored nor shuffled. Where there are more
+    labelled ids than ``BROADCAST_LABELS``, statistics of all texts are made and numbers alone meet the labels.
     """
-    model = fit_on_table(features(docs), labels)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("quality").isin(0, 1) & ~held_out())
+    asked = docs.select("doc_id", "text")
+    if known.count() <= BROADCAST_LABELS:
+        asked = asked.join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit_on_table(features(asked), labels)
     return docs.mapInArrow(_good(model, docs.columns.index("text"), threshold), docs.schema)
 
 

@@ -34,11 +34,14 @@ def same_columns(out, docs):
 
 
 @pytest.mark.parametrize("empty", [False, True])
-def test_stages_keep_columns_and_values(docs, labels, empty):
+def test_stages_keep_columns_and_values(docs, labels, empty, monkeypatch):
     rows = docs.limit(0) if empty else docs
     n = 0 if empty else len(ROWS)
     assert same_columns(quality.keep_quality(rows, labels, threshold=0.0), docs) == n
     assert same_columns(quality.keep_quality(rows, labels.limit(0)), docs) == n  # no model: 0.5 for all
+    asked = quality.keep_quality(rows, labels).select("doc_id").collect()
+    monkeypatch.setattr(quality, "BROADCAST_LABELS", -1)  # the way for many labels keeps the same rows
+    assert quality.keep_quality(rows, labels).select("doc_id").collect() == asked
     assert same_columns(simhash.keep_one(rows), docs) == same_columns(near_copies.keep_one(rows, 5), docs) == (0 if empty else 6)  # 1, one of the empty ones, one of the long ones, 8, and both without an id
     assert same_columns(repeats.without_repeats(rows), docs) == n
     mixed = mixing.mixed_documents(rows)
