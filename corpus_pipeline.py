@@ -50,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_documents(docs)
 
 
-STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", repeats), ("source mixing", mixing), ("best-fit packing", packing)]
+STAGES = [("quality classifier", quality), ("SimHash and minima near-dedup", near_dedup), ("suffix-array dedup", repeats), ("source mixing", mixing), ("best-fit packing", packing)]
 
 #: SQL can express neither the model nor the fingerprints; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
