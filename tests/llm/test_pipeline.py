@@ -125,6 +125,6 @@ def test_packing_stage_by_the_library(stages):
 
 
 def test_near_dedup_keeps_one_of_each_class(stages):
-    before, after = stages["SimHash near-dedup"]
+    before, after = stages["SimHash and minima near-dedup"]
     kept, all_ = [r.doc_id for r in after.collect()], [r.doc_id for r in before.collect()]
     assert len(kept) == len(set(kept)) <= len(set(all_)) and min(all_) in kept
