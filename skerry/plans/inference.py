@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.numeric import rounded
+from skerry.functions.special import chi_square_tail
 from skerry.operators import spatial
 from skerry.operators.ranking import average_ranks
 from skerry.plans.registry import r6, registered
@@ -37,14 +36,6 @@ def kruskal_h(spark, d):
     return k.select(rounded(F.col("h")).alias("h"), "df", "n", rounded(F.exp(-F.col("h") / 2)).alias("p"))
 
 
-def chi_square_tail(h: Column, df: Column) -> Column:
-    """Upper tail for 2 or 3 degrees of freedom; with 3 the error function is the usual five-term approximation (1.5e-7)."""
-    x = F.sqrt(h / 2)
-    t = 1 / (1 + F.lit(0.3275911) * x)
-    erfc = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429))))) * F.exp(-h / 2)
-    return F.when(df == 2, F.exp(-h / 2)).when(df == 3, erfc + F.sqrt(2 * h / F.lit(math.pi)) * F.exp(-h / 2))
-
-
 def _kruskal_sql(factor: str) -> str:
     return f"""SELECT '{factor}' AS factor, h, df, n FROM (WITH r AS (SELECT {factor} AS g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2e0 AS r FROM cells_),
 g AS (SELECT g, sum(r) AS rs, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM cells_ GROUP BY v),
@@ -52,7 +43,8 @@ n AS (SELECT CAST(sum(n) AS DOUBLE) AS n, sum(rs * rs / n) AS s, count(*) AS k F
 SELECT (12e0 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - (SELECT sum(t * t * t - t) FROM t) / (n * n * n - n)) AS h, k - 1 AS df, CAST(n AS BIGINT) AS n FROM n) x"""
 
 
-_TAIL = """CASE df WHEN 2 THEN exp(-h / 2) WHEN 3 THEN t * (0.254829592e0 + t * (-0.284496736e0 + t * (1.421413741e0 + t * (-1.453152027e0 + t * 1.061405429e0)))) * exp(-h / 2) + sqrt(2 * h / pi()) * exp(-h / 2) END"""
+#: The lower incomplete gamma function as a sum of positive terms.
+_TAIL = "1 - list_sum(list_transform(range(0, 600), lambda k: exp((df / 2e0 + k) * ln(h / 2) - h / 2 - lgamma(df / 2e0 + k + 1))))"
 
 
 _FACTORS = ["algo", "feat_set", "pa_method"]
@@ -99,12 +91,19 @@ def paired_level_diffs(spark, d):
     return _pairs(spark, d).groupBy("factor", "level_a", "level_b").agg(F.count("*").alias("n_pairs"), F.sum("diff").alias("diff"))
 
 
-@registered(with_views(f"WITH {_CELLS}, k AS ({' UNION ALL '.join(_kruskal_sql(f) for f in _FACTORS)}) SELECT factor, {r6('h')} AS h, df, n, {r6(_TAIL)} AS p FROM (SELECT *, 1 / (1 + 0.3275911e0 * sqrt(h / 2)) AS t FROM k) y", "fold_metrics"))
+@registered(with_views(f"WITH {_CELLS}, k AS ({' UNION ALL '.join(_kruskal_sql(f) for f in _FACTORS)}) SELECT factor, {r6('h')} AS h, df, n, {r6(_TAIL)} AS p FROM k", "fold_metrics"))
 def kruskal_factors(spark, d):
     """Rank test of the response over the levels of each factor."""
     cells = _cells(spark, d)
     out = union_by_name([kruskal(cells, f, "v").withColumn("factor", F.lit(f)) for f in _FACTORS])
-    return out.select("factor", rounded(F.col("h")).alias("h"), "df", "n", rounded(chi_square_tail(F.col("h"), F.col("df"))).alias("p"))
+    return out.withColumn("p", rounded(chi_square_tail(F.col("h"), F.col("df")))).select("factor", rounded(F.col("h")).alias("h"), "df", "n", "p")
+
+
+@registered(with_views(f"""WITH cells_ AS (SELECT zone, value AS v FROM occ WHERE value IS NOT NULL), k AS ({_kruskal_sql('zone')}) SELECT factor, {r6('h')} AS h, df, n, round({_TAIL}, 9) AS p FROM k""", "occ"))
+def kruskal_zones(spark, d):
+    """Rank test of the presences' value over all zones, whatever their number."""
+    k = kruskal(view(spark, d, "occ"), "zone", "value").withColumn("p", F.round(chi_square_tail(F.col("h"), F.col("df")), 9))
+    return k.select(F.lit("zone").alias("factor"), rounded(F.col("h")).alias("h"), "df", "n", "p")
 
 
 def paired_permutation(pairs: DataFrame, keys: list[str], draws: int = 500, seed: int = 42) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.numeric import rounded
+from skerry.functions.special import student_two_sided
 from skerry.operators import ranking
 from skerry.plans.registry import r6, registered
 from skerry.plans.views import view, with_views
@@ -252,12 +253,15 @@ def text_functions(spark, d):
 
 
 @registered(f"""WITH x AS (SELECT count(*) AS n, corr(CAST(quality AS DOUBLE), ln(1e0 + n_chars)) AS r FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)
-SELECT n, {r6('r')} AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM x""")
+SELECT n, {r6('r')} AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t,
+  round(1 - list_sum(list_transform(range(0, 4000), lambda k: exp(lgamma((n - 1) / 2e0 + k) - lgamma((n - 2) / 2e0) - lgamma(1.5e0 + k) + (0.5e0 + k) * ln(r * r) + (n - 2) / 2e0 * ln(1 - r * r)))), 9) AS p FROM x""")
 def point_biserial_t(spark, d):
-    """Correlation of a class with a logarithm, and its t statistic with n - 2 degrees of freedom."""
+    """Correlation of a class with a logarithm, its t statistic with n - 2 degrees of freedom, and the two-sided p."""
     rows = parquet(spark, d, "documents").select("doc_id", "n_chars").join(parquet(spark, d, "labels"), "doc_id").where("quality IS NOT NULL AND n_chars IS NOT NULL")
     x = rows.agg(F.count("*").alias("n"), F.corr(F.col("quality").cast("double"), F.log(1 + F.col("n_chars").cast("double"))).alias("r"))
-    return x.select("n", rounded(F.col("r")).alias("r"), F.round(F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))), 4).alias("t"))
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    x = x.withColumn("t", t).withColumn("p", F.round(student_two_sided(F.col("t"), F.col("n") - 2), 9))
+    return x.select("n", rounded(F.col("r")).alias("r"), F.round("t", 4).alias("t"), "p")
 
 
 @registered(with_views("""WITH c AS (SELECT algo, feat_set, pa_method, CAST(floor(CAST(sum(response) AS DOUBLE) / count(*) / 100) AS BIGINT) AS mean, CAST(floor(CAST(min(response) AS DOUBLE) / 100) AS BIGINT) AS lo, CAST(floor(CAST(max(response) AS DOUBLE) / 100) AS BIGINT) AS hi FROM fold_metrics GROUP BY ALL)
