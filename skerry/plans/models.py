@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.numeric import hash_order, rounded
 from skerry.operators import modelling, ranking, resampling, spatial, trees
+from skerry.operators.neighbours import nearest_other
 from skerry.operators.trees import Model, Spec
 from skerry.plans.registry import registered
 from skerry.plans.spatial import ANGLE, _blocks, _near
@@ -309,33 +310,30 @@ def vif_select(spark, d):
     return spark.createDataFrame([(f, i in keep) for i, f in enumerate(FEATURES)], "feature string, kept boolean")
 
 
-@registered()
-def aoa_fraction(spark, d):
-    """Area of applicability by fold: share of every test row whose nearest training row (of those that a fit sees) is no farther than these are from each other (95th percentile)."""
-    rows = rows_of(spark, d)
-    folds = spark.range(FOLDS).select(F.col("id").cast("int").alias("test_fold"))
-    train = rows.join(F.broadcast(folds), F.col("fold") != F.col("test_fold")).withColumn("task", F.col("test_fold").cast("string"))
-    gap = lambda p, q: np.maximum((p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1) - 2 * p @ q.T, 0)
+def applicability(train: DataFrame, tested: DataFrame, features: list[str], share: float = 0.95) -> DataFrame:
+    """nth, near, limit, inside of every tested row: its distance to the nearest training row, all predictors in the training
+    side's deviations, and whether that is at most the ``share`` percentile of the training rows' own nearest distances.
 
-    def reach(part: pd.DataFrame) -> dict:
-        x = part[FEATURES].to_numpy(float)
-        mean, sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        x = (x - mean) / sd
-        own = gap(x, x)
-        np.fill_diagonal(own, np.inf)
-        return {"mean": mean, "sd": sd, "x": x, "limit": float(np.quantile(np.sqrt(own.min(axis=1)), 0.95))}
+    train: nth (a number that none shares) and the features; tested: the same.
+    """
+    ends = train.agg(*[e for c in features for e in (F.avg(c), F.stddev_pop(c))]).first()
+    scaled = F.array(*[(F.col(c) - F.lit(ends[2 * i] or 0.0)) / F.lit(ends[2 * i + 1] or 1.0) for i, c in enumerate(features)])
+    held = written(train.select(F.col("nth").alias("id"), scaled.alias("v")), "training")
+    own = nearest_other(held.select(F.col("id").alias("query"), "v"), held)
+    limit = own.agg(F.percentile("d", F.lit(share)).alias("limit"))
+    found = nearest_other(tested.select(F.col("nth").alias("query"), scaled.alias("v")), held, itself=False)
+    return found.crossJoin(F.broadcast(limit)).select(F.col("query").alias("nth"), F.col("d").alias("near"), "limit", (F.col("d") <= F.col("limit")).alias("inside"))
 
-    areas = modelling.fit(train.select("task", "id", "label", *FEATURES), reach)
 
-    def run(frames):
-        for f in frames:
-            for fold, part in f.groupby("fold"):
-                if (a := areas.get(str(fold))) is not None:
-                    near = np.sqrt(gap((part[FEATURES].to_numpy(float) - a["mean"]) / a["sd"], a["x"]).min(axis=1))
-                    yield pd.DataFrame({"test_fold": [fold], "limit": [a["limit"]], "inside": [int((near <= a["limit"]).sum())], "n": [len(part)]})
-
-    counted = rows.select("fold", *FEATURES).mapInPandas(run, "test_fold int, limit double, inside long, n long")
-    return counted.groupBy("test_fold", "limit").agg((F.sum("inside") / F.sum("n")).alias("inside"), F.sum("n").alias("n"))
+@registered()
+def aoa_fraction(spark, d):
+    """Area of applicability by fold: share of every test row whose nearest training row is no farther than training rows are from each other (95th percentile); all rows on both sides."""
+    rows = written(rows_of(spark, d).select("fold", F.monotonically_increasing_id().alias("nth"), *FEATURES), "rows")
+    folds = []
+    for k in range(FOLDS):
+        a = applicability(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), FEATURES)
+        folds.append(a.groupBy(F.lit(k).alias("test_fold"), "limit").agg(F.avg(F.col("inside").cast("double")).alias("inside"), F.count("*").alias("n")))
+    return union_by_name(folds)
 
 
 PLACE = ["f1", "f2", "parity"]

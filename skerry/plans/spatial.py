@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.numeric import cell_area_km2, hash_order, rounded
 from skerry.operators import spatial
+from skerry.operators.neighbours import nearest_other
 from skerry.plans.registry import r6, registered
 from skerry.plans.views import view, with_views
 from skerry.sources.tables import parquet
@@ -134,31 +135,12 @@ def pa_spatial_constrained(spark, d):
 p AS (SELECT a.vec_id, min(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (coalesce(t[1], 0) - coalesce(t[2], 0)) * (coalesce(t[1], 0) - coalesce(t[2], 0))))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL)
 SELECT vec_id, round(sqrt(d2), 6) AS distance FROM p""")
 def knn_leave_self_out(spark, d):
-    """Distance to the nearest other vector, for a stated query set against all rows in blocks; short vectors are filled up with zeros."""
-    import numpy as np
-    import pandas as pd
-
+    """Distance to the nearest other vector, for a stated query set against all rows; short vectors are filled up with zeros."""
     x = F.col("embedding")
     good = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))), F.lit(False))
-    rows = parquet(spark, d, "embeddings").where(good).select("vec_id", F.transform(x, lambda e: e.cast("double")).alias("v"))
-    block = 1024
-    n_queries = rows.where("vec_id % 50 = 0").count()
-    q_blocks = max(1, -(-n_queries // block))
-    n_blocks = max(1, -(-rows.count() // block))
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("qb")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    held = rows.withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
-
-    def least(asked_part: pd.DataFrame, held_part: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked_part) or not len(held_part):
-            return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "d2": pd.Series(dtype="float64")})
-        dims = max(asked_part["q"].map(len).max(), held_part["v"].map(len).max())
-        q, v = (np.stack([np.pad(x, (0, dims - len(x))) for x in c]) for c in (asked_part["q"], held_part["v"]))
-        ids = held_part["vec_id"].to_numpy()
-        best = [((v - one) ** 2).sum(axis=1)[ids != own].min(initial=np.inf) for one, own in zip(q, asked_part["query"], strict=True)]
-        return pd.DataFrame({"vec_id": asked_part["query"], "d2": best})
-
-    part = asked.groupBy("qb", "rb").cogroup(held.groupBy("qb", "rb")).applyInPandas(least, "vec_id long, d2 double")
-    return part.groupBy("vec_id").agg(F.min("d2").alias("d2")).where(F.col("d2") < float("inf")).select("vec_id", F.round(F.sqrt("d2"), 6).alias("distance"))
+    rows = parquet(spark, d, "embeddings").where(good).select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda e: e.cast("double")).alias("v"))
+    found = nearest_other(rows.where("id % 50 = 0").select(F.col("id").alias("query"), "v"), rows)
+    return found.select(F.col("query").alias("vec_id"), F.round("d", 6).alias("distance"))
 
 
 @registered("""WITH q AS (SELECT [quantile_cont(l_quantity, i / 10e0) for i in range(1, 10)] AS t FROM lineitem)

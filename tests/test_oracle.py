@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from skerry.plans import inference, lookups, metrics, models, reports, resampled, spatial  # noqa: F401
+from skerry.plans import design, inference, lookups, metrics, models, reports, resampled, spatial  # noqa: F401
 from skerry.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
