@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skerry.functions.numeric import rounded
-from skerry.operators import ranking
+from skerry.operators import ranking, resampling
+from skerry.operators.resampling import NEWTON
 from skerry.plans.registry import r6, registered
 from skerry.plans.views import view, with_views
 from skerry.sources.tables import parquet
@@ -158,24 +159,44 @@ bundle AS (SELECT {keys}, CAST(p AS BIGINT) AS n_pres, CAST(q AS BIGINT) AS n_bg
   FROM at_ JOIN ap USING ({keys}) LEFT JOIN bo USING ({keys}))"""
 
 
+def calibration_sql(keys: str, source: str) -> str:
+    """CTEs up to ``line`` (keys, cal_int, cal_slope): Newton steps on the rows of ``source`` (keys, suit, label)."""
+    steps = [f"""lg_ AS (SELECT {keys}, ln(s / (1 - s)) AS x, pos, n FROM (SELECT {keys}, least(greatest(suit, 1e-6), 1 - 1e-6) AS s, CAST(sum(label) AS DOUBLE) AS pos, CAST(count(*) AS DOUBLE) AS n FROM {source} GROUP BY {keys}, suit) c),
+nw0 AS (SELECT DISTINCT {keys}, 0e0 AS b0, 0e0 AS b1 FROM lg_)"""]
+    clip = lambda x: f"least(greatest({x}, -2e0), 2e0)"
+    for i in range(NEWTON):
+        steps.append(f"""nw{i + 1} AS MATERIALIZED (SELECT {keys}, b0 + {clip('(h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01)')} AS b0, b1 + {clip('(h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)')} AS b1 FROM (
+  SELECT {keys}, b0, b1, sum(w) + 1e-9 AS h00, sum(w * x) AS h01, sum(w * x * x) + 1e-9 AS h11, sum(r) AS g0, sum(r * x) AS g1 FROM (
+    SELECT {keys}, b0, b1, x, n * p * (1 - p) AS w, pos - n * p AS r FROM (SELECT lg_.*, b0, b1, 1 / (1 + exp(-least(greatest(b0 + b1 * x, -30e0), 30e0))) AS p FROM lg_ JOIN nw{i} USING ({keys})) a) q GROUP BY {keys}, b0, b1) t)""")
+    return ", ".join(steps) + f", line AS (SELECT {keys}, round(b0 + 1e-9, 5) AS cal_int, round(b1 + 1e-9, 5) AS cal_slope FROM nw{NEWTON})"
+
+
+def _with_line(bundle, oof, keys: list[str]):
+    """The figures of each group with the intercept and slope of its calibration line."""
+    usable = oof.where(F.col("suit").between(0.0, 1.0) & F.col("label").isin(0, 1)).join(bundle.select(*keys), keys, "left_semi")
+    line = resampling.calibration_line(usable, keys)
+    return bundle.join(line.select(*keys, rounded(F.col("intercept"), 5).alias("cal_int"), rounded(F.col("slope"), 5).alias("cal_slope")), keys, "left")
+
+
 def _inner_thresholds(oof):
     t = F.when(F.count("*") < 5, F.lit(None)).when(F.sum("label") == 0, F.lit(float("inf"))).otherwise(F.percentile("suit", F.lit(0.5)))
     return oof.groupBy(*CONFIG, "rep", "fold").agg(t.alias("threshold"))
 
 
-@registered(with_views(f"WITH {_INNER}, mean_ AS (SELECT {_K}, round(avg(threshold) FILTER (isfinite(threshold)), 9) AS threshold FROM inner_ GROUP BY ALL), {_bundle_sql(_K, 'mean_', False)} SELECT * FROM bundle", "oof"))
+@registered(with_views(f"WITH {_INNER}, mean_ AS (SELECT {_K}, round(avg(threshold) FILTER (isfinite(threshold)), 9) AS threshold FROM inner_ GROUP BY ALL), {_bundle_sql(_K, 'mean_', False)}, ok_ AS (SELECT usable.* FROM usable JOIN sizes USING ({_K})), {calibration_sql(_K, 'ok_')} SELECT * FROM bundle LEFT JOIN line USING ({_K})", "oof"))
 def pooled_oof_metrics(spark, d):
     """All metrics of each configuration's pooled out-of-fold predictions, at the mean of its folds' finite thresholds."""
     oof = _oof(spark, d)
     mean = _inner_thresholds(oof).groupBy(*CONFIG).agg(F.round(F.avg(F.when(F.col("threshold") < float("inf"), F.col("threshold"))), 9).alias("threshold"))
-    return ranking.bundle(oof, CONFIG, mean, fallback=False)
+    return _with_line(ranking.bundle(oof, CONFIG, mean, fallback=False), oof, CONFIG)
 
 
-@registered(with_views(f"WITH {_INNER}, {_bundle_sql(_FOLD, 'inner_', True)} SELECT * FROM bundle", "oof"))
+@registered(with_views(f"WITH {_INNER}, {_bundle_sql(_FOLD, 'inner_', True)}, ok_ AS (SELECT usable.* FROM usable JOIN sizes USING ({_FOLD})), {calibration_sql(_FOLD, 'ok_')} SELECT * FROM bundle LEFT JOIN line USING ({_FOLD})", "oof"))
 def fold_metric_bundle(spark, d):
     """All metrics of each fold, at its threshold or, where that is missing or infinite, at the one best on the fold itself."""
     oof = _oof(spark, d)
-    return ranking.bundle(oof, [*CONFIG, "rep", "fold"], _inner_thresholds(oof), fallback=True)
+    keys = [*CONFIG, "rep", "fold"]
+    return _with_line(ranking.bundle(oof, keys, _inner_thresholds(oof), fallback=True), oof, keys)
 
 
 @registered(with_views(f"WITH {_INNER}, m AS (SELECT thr_source, count(*) AS n, round(avg(tss) + 1e-9, 6) AS mean_tss FROM (SELECT *, CASE WHEN threshold IS NULL THEN 'none' WHEN isfinite(threshold) THEN 'inner' ELSE 'infinite' END AS thr_source, CAST(rep * 3 + fold AS DOUBLE) AS tss FROM inner_) t GROUP BY ALL) SELECT * FROM m", "oof"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.numeric import rounded
 from skerry.operators import resampling, spatial
+from skerry.plans.metrics import CONFIG, calibration_sql
 from skerry.plans.registry import r6, registered
 from skerry.plans.spatial import _HAV
 from skerry.plans.views import view, with_views
@@ -58,9 +59,30 @@ def contrast_ci(spark, d):
     return resampling.mean_ci(diffs, "contrast", "v", 5000, 7).select("contrast", *[F.round(c, 4).alias(c) for c in ("mean", "lo", "hi")])
 
 
-@registered()
+@registered(with_views(f"WITH {calibration_sql('algo', 'oof')} SELECT algo, cal_int AS intercept, cal_slope AS slope FROM line", "oof"))
 def calibration_slope(spark, d):
-    return resampling.calibration_line(view(spark, d, "oof"), ["algo"])
+    """Intercept and slope of the label's logistic regression on the score's logit."""
+    line = resampling.calibration_line(view(spark, d, "oof"), ["algo"])
+    return line.select("algo", *[rounded(F.col(c), 5).alias(c) for c in ("intercept", "slope")])
+
+
+_K = ", ".join(CONFIG)
+
+
+@registered(with_views(f"""WITH c AS (SELECT {_K}, label AS kind, CAST(CASE WHEN label = 1 THEN occ_id ELSE rep * 100 + fold END AS BIGINT) AS cluster, suit AS score, count(*) AS n FROM oof GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY {_K}, kind ORDER BY cluster) - 1 AS nth, count(*) OVER (PARTITION BY {_K}, kind) AS m FROM (SELECT DISTINCT {_K}, kind, cluster FROM c) x),
+t AS (SELECT {_K}, kind, draw, {_u("'42'", "draw", *CONFIG, "kind", "nth")} % m AS nth, count(*) AS times FROM k, range(1, 201) r(draw) GROUP BY ALL),
+p AS (SELECT {_K}, draw, score, sum(CASE WHEN kind = 1 THEN n * times ELSE 0 END) AS pos, sum(CASE WHEN kind = 0 THEN n * times ELSE 0 END) AS neg FROM c JOIN k USING ({_K}, kind, cluster) JOIN t USING ({_K}, kind, nth) GROUP BY ALL
+  UNION ALL SELECT {_K}, 0, score, sum(CASE WHEN kind = 1 THEN n ELSE 0 END), sum(CASE WHEN kind = 0 THEN n ELSE 0 END) FROM c GROUP BY ALL),
+w AS (SELECT *, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER a AS n_pos, sum(neg) OVER a AS n_neg FROM p WINDOW d AS (PARTITION BY {_K}, draw ORDER BY score DESC ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY {_K}, draw)),
+e AS (SELECT {_K}, draw, CAST(sum(pos * (2 * (n_neg - fp) + neg)) AS DOUBLE) / (2e0 * any_value(n_pos) * any_value(n_neg)) AS auc, sum(CAST(pos AS DOUBLE) / n_pos * tp / (tp + fp)) AS ap, sum((score - 1) * (score - 1) * pos + score * score * neg) / sum(pos + neg) AS brier FROM w WHERE n_pos > 0 AND n_neg > 0 GROUP BY ALL)
+SELECT {_K}, count(*) FILTER (draw > 0) AS draws, {", ".join(f"{r6(f'max({m}) FILTER (draw = 0)')} AS {n}" for m, n in (('auc', 'auc_roc'), ('ap', 'pr_auc'), ('brier', 'brier')))},
+  {", ".join(f"CASE WHEN count(*) FILTER (draw > 0) >= 10 THEN {r6(f'quantile_cont({m}, {q}) FILTER (draw > 0)')} END AS {n}_ci_{e}" for m, n in (('auc', 'auc_roc'), ('ap', 'pr_auc'), ('brier', 'brier')) for e, q in (('lo', 0.025), ('hi', 0.975)))} FROM e GROUP BY {_K}""", "oof"))
+def pooled_metric_intervals(spark, d):
+    """AUC, PR-AUC and Brier score of each configuration with the intervals of 200 draws of presences and of background partitions."""
+    out = resampling.clustered_ci(view(spark, d, "oof"), CONFIG, 200)
+    names = {"auc": "auc_roc", "ap": "pr_auc", "brier": "brier"}
+    return out.select(*CONFIG, "draws", *[rounded(F.col(m)).alias(n) for m, n in names.items()], *[rounded(F.col(f"{m}_{e}")).alias(f"{n}_ci_{e}") for m, n in names.items() for e in ("lo", "hi")])
 
 
 @registered(with_views(f"""WITH s AS (SELECT count(*) FILTER (value > 5000) AS n_pos, count(*) AS n FROM occ),
