@@ -11,7 +11,8 @@ the two whole sets alone.
 2. Keys that still hold nodes of several components go through all their pairs of blocks. A task compares the nodes'
    minima: pairs of one component, pairs whose sizes exclude the similarity and pairs that agree in fewer than ``AGREE``
    of the minima (at 0.8 a chance of about 1e-6) go no further, and a pair counts at the first key that it shares. In a
-   first round each node gives the likeliest of its pairs, in a second one, over what is still apart, all of them.
+   first round each node gives the likeliest of its pairs; in a second one, over what is still apart, the nodes' whole
+   sets go to the tasks, which judge all such pairs on the spot and give those that are similar.
 
 Defined results: as for ``simhash``; texts without words are copies of each other only.
 """
@@ -33,7 +34,7 @@ from skerry.llm.simhash import SEED, keep_least, shingle_hashes
 
 LEAST, ROWS, BANDS, BLOCK = 0.8, 5, 32, 2048
 #: Of the ROWS * BANDS minima; the share of equal ones estimates the similarity with a deviation of 0.03.
-AGREE = 103 / 160
+AGREE = 103 / 160  # 0 turns this estimate off: every pair of a key is judged
 _PIECE = 1 << 11
 _FACTORS, _TURNS = (np.random.default_rng(8).integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -168,8 +169,22 @@ def candidate_pairs(band: int, own: np.ndarray, across: bool, size: np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
+def similar_pairs(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the pairs have sets (sorted, each number once) that are as similar."""
+    out = np.zeros(len(i), bool)
+    for n, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        x, y = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        common = int((y[at] == x).sum())
+        out[n] = common >= (len(x) + len(y) - common) * (similarity - 1e-12)
+    return out
+
+
 def _candidates(similarity: float, best: bool):
-    """Groups (band, key, low, high) follow each other in sorted rows; one may go on in the next batch."""
+    """Groups (band, key, low, high) follow each other in sorted rows; one may go on in the next batch.
+
+    With ``best`` pairs to judge come out, else, by the rows' own ``hashes``, those that are similar.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -180,6 +195,12 @@ def _candidates(similarity: float, best: bool):
             node, own, size, root = (rows.column(c).to_numpy() for c in ("node", "own", "size", "root"))
             least = np.frombuffer(b"".join(rows.column("least").to_pylist()), np.uint16).reshape(len(node), -1)
             i, j = candidate_pairs(current[0], own, current[2] != current[3], size, root, least, similarity, best)
+            if not best and len(i):
+                hashes = rows.column("hashes").combine_chunks()
+                ends = hashes.offsets.to_numpy()
+                sets = np.split(hashes.flatten().to_numpy().view(np.uint64), (ends - ends[0])[1:-1])
+                use = similar_pairs(i, j, sets, similarity)
+                i, j = i[use], j[use]
             return [np.minimum(node[i], node[j]), np.maximum(node[i], node[j])] if len(i) else None
 
         for batch in batches:
@@ -205,14 +226,17 @@ def _candidates(similarity: float, best: bool):
     return run
 
 
-def _across(met: DataFrame, nodes: DataFrame, found: DataFrame, least: float, best: bool) -> DataFrame:
-    """Pairs (u, v) to judge among nodes that share a key but no component of ``found`` (node, root)."""
+def _across(met: DataFrame, nodes: DataFrame, found: DataFrame, least: float, sets: DataFrame | None) -> DataFrame:
+    """Pairs (u, v) among nodes that share a key but no component of ``found`` (node, root): each node's likeliest to judge, or with ``sets`` all that are similar."""
     rooted = met.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last").select("key")
     rest = rooted.join(mixed, "key").join(nodes.select("node", "least"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rest.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "own", "size", "root", "least")
+    columns = ["node", "own", "size", "root", "least"]
+    if sets is not None:
+        rest, columns = rest.join(sets, "node"), [*columns, "hashes"]
+    dealt = rest.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *columns)
     dealt = dealt.repartition(parts(met.sparkSession), "key", "low", "high").sortWithinPartitions("band", "key", "low", "high", "node")
-    return dealt.mapInArrow(_candidates(least, best), "u long, v long").distinct()
+    return dealt.mapInArrow(_candidates(least, sets is None), "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame, words: int, least: float = LEAST, seed: int = SEED) -> DataFrame:
@@ -229,12 +253,14 @@ def near_copies(docs: DataFrame, words: int, least: float = LEAST, seed: int = S
     asked = nodes.join(some, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     sets = written(rows.join(asked, "doc_id", "left_semi").select("text").mapInArrow(_give_sets(words, seed), "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
     edges = written(_similar(tried, sets, least), "edges")
-    for best in (True, False):
-        found = written(connected_components(edges).withColumnsRenamed({"u": "node", "v": "root"}), "found")
-        more = written(_across(met, nodes, found, least, best).join(tried, ["u", "v"], "left_anti"), "more")
-        tried = written(tried.unionByName(more), "tried")
-        edges = written(edges.unionByName(_similar(more, sets, least)), "edges")
-        forget(found, more)
+    rooted = lambda: written(connected_components(edges).withColumnsRenamed({"u": "node", "v": "root"}), "found")
+    found = rooted()
+    more = written(_across(met, nodes, found, least, None).join(tried, ["u", "v"], "left_anti"), "more")
+    edges = written(edges.unionByName(_similar(more, sets, least)), "edges")
+    forget(found, more)
+    found = rooted()
+    edges = written(edges.unionByName(_across(met, nodes, found, least, sets)).distinct(), "edges")
+    forget(found)
     forget(met, sets, tried, shuffles=True)
     final = connected_components(edges).withColumnsRenamed({"u": "node", "v": "root"})
     rooted = written(nodes.select("node", "rep").join(final, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "rooted")
