@@ -2,9 +2,9 @@
 
 A page becomes a flat list of text blocks (block-level tags end a block; inline tags do not). Each block has its word
 count and link density, the same two of its neighbours, and one hint, the place that markup gives it: 1 inside an
-article or main element, -2 inside an element that is made for other things (menu, aside, footer, form, comment thread,
-hidden), -1 where a class or id is such a name ("ad", "cookie-notice"), -0.5 where such a name is only part of one, 0
-elsewhere. A decision tree fitted to a small table of labelled blocks keeps or drops each block. Link density and words
+article or main element, 2 in a paragraph there, -2 inside an element that is made for other things (menu, aside, footer,
+form, comment thread, hidden, or with a class or id that is or begins with the name of a notice or advert), -1 where a
+class or id is another such name ("sidebar"), -0.5 where a name is only part of one, 0 elsewhere. A decision tree fitted to a small table of labelled blocks keeps or drops each block. Link density and words
 head the tree; the hint decides only among blocks that these leave open.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones
@@ -38,11 +38,15 @@ LABELLED = """
 0 1 0.9 | 2 5 9 20 | 50 0 4 1; 4 1 40 0; 60 0 60 0; 3 0 3 0; 6 1 5 1
 0 1 0.5 | 2 5 9 20 | 50 0 4 1; 4 1 40 0; 60 0 60 0; 3 0 3 0; 6 1 5 1
 0 -0.5 0.8 | 3 8 30 | 40 0 70 0; 5 1 5 1
+0 2 0.9 | 1 2 3 | 50 0 4 1; 4 1 40 0; 60 0 60 0; 3 0 3 0; 6 1 5 1
+1 2 0.9 | 5 8 14 40 | 50 0 4 1; 4 1 40 0; 60 0 60 0; 3 0 3 0; 6 1 5 1
+1 2 0.5 | 2 5 9 20 60 | 50 0 4 1; 4 1 40 0; 60 0 60 0; 3 0 3 0; 6 1 5 1
+1 2 0 | 1 2 4 7 12 25 60 150 | 1 1 0 0; 5 1 3 1; 1 1 80 0; 6 1 8 0; 40 0 44 0; 1 0 2 0; 70 0 5 1; 12 0 60 0; 90 0 0 0; 3 0 5 0; 4 0 0 0; 2 0 20 0; 2 0 4 1; 1 0 3 0.6
 0 -1 0.5 | 3 8 30 | 40 0 70 0; 5 1 5 1
 0 -2 0 | 2 5 9 16 30 60 | 60 0 0 0; 4 1 5 1; 100 0 20 0; 8 0 70 0
 0 -1 0 | 2 4 8 14 24 40 | 1 1 8 0; 9 0 11 0; 60 0 55 0; 100 0 0 0
 1 -1 0 | 50 70 95 150 | 70 0 60 0; 90 0 120 0; 75 0 6 0; 12 0 80 0
-1 1 0 | 1 2 4 7 12 25 60 150 | 6 1 8 0; 40 0 44 0; 1 0 2 0; 70 0 5 1; 12 0 60 0; 90 0 0 0; 3 0 5 0; 4 0 0 0; 2 0 20 0; 2 0 4 1; 1 0 3 0.6
+1 1 0 | 1 2 4 7 12 25 60 150 | 1 1 0 0; 5 1 3 1; 1 1 80 0; 6 1 8 0; 40 0 44 0; 1 0 2 0; 70 0 5 1; 12 0 60 0; 90 0 0 0; 3 0 5 0; 4 0 0 0; 2 0 20 0; 2 0 4 1; 1 0 3 0.6
 1 1 0.2 | 7 60 150 | 44 0 15 0; 95 0 1 0; 3 0 4 0
 1 -0.5 0 | 6 9 12 | 6 1 60 0; 80 0 40 0; 8 0 70 0; 70 0 4 1
 1 -0.5 0 | 25 45 90 | 9 0 45 0; 40 0 4 1; 80 0 70 0
@@ -68,21 +72,27 @@ _OTHERS = frozenset(
     "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation"
     " breadcrumb breadcrumbs header masthead footer share sharing social related recommended widget toolbar pagination pager login search".split()
 )
+#: Of these names, those of notices and adverts: what they begin is no article's text however long.
+_NOTICES = frozenset("ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup".split())
+#: Before a thread's name these say that an element has comments, not that it is them.
+_HAVING = frozenset("has with without no open show hide enable allow post article page entry".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 
 def _named(attributes: str) -> tuple[bool, float]:
-    """(whether a class or id names a comment thread, the hint of its names: -1, -0.5 or 0)."""
+    """(whether a class or id names a comment thread, the hint of its names: -2, -1, -0.5 or 0)."""
     hint = 0.0
     for m in _NAMED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             words = _WORDS.findall(name)
-            if words and words[0] in _THREAD:
+            if words and any(w in _THREAD for w in words) and words[0] not in _HAVING:  # "comments", "user-comments"
                 return True, -1.0
             others = sum(w in _OTHERS for w in words)
-            if others:  # "share-box" is one, "post-header" and "text-share-price" may be
+            if words and words[0] in _NOTICES:
+                hint = -2.0
+            elif others:  # "share-box" is one, "post-header" and "text-share-price" may be
                 hint = min(hint, -1.0 if others == len(words) or words[0] in _OTHERS else -0.5)
     return False, hint
 
@@ -148,8 +158,10 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
             in_head = not closing
         elif tag == "body":
             in_head = False
-        if tag == "p" and not closing and attributes:
+        if tag == "p" and not closing:
             paragraph = _region(tag, attributes, state)
+            if paragraph[0] == 1:
+                paragraph = 2.0, False
         if tag in _VOID or tag in ("p", "head", "html", "body"):
             continue
         if not closing:

@@ -65,6 +65,32 @@ def test_what_is_no_article_goes():
     assert main_text(page, TREE) == f"Title & more\n{words(50)}\nOne two three"
 
 
+def test_long_comments_notices_and_adverts_go_whatever_their_place():
+    body = f"<h1>The title</h1><p>{words(60)}</p>"
+    for name in ("user-comments", "comment-list", "reader-comments", "article__comments x-comments"):
+        assert main_text(f"<body><article>{body}</article><div class='{name.split()[-1]}'><p>{words(90, 'opinion')}</p></div></body>", TREE) == f"The title\n{words(60)}"
+    for box in ("<div class='notice'>", "<div id='cookie-bar'>", "<div class='advert large'>", "<section class='ad-slot'>"):
+        page = f"<body><article>{body}{box}{words(60, 'notice')}</{box[1:].split()[0]}><p>More of the text.</p></article></body>"
+        assert main_text(page, TREE) == f"The title\n{words(60)}\nMore of the text."
+    assert main_text(f"<body><main>{body}<p class='banner'>{words(60, 'sale')}</p></main></body>", TREE) == f"The title\n{words(60)}"
+    assert main_text(f"<body><article class='has-comments'>{body}</article></body>", TREE) == f"The title\n{words(60)}"
+
+
+def test_a_paragraph_that_is_one_link_stays():
+    page = f"<body><nav><a>Home</a></nav><article><h1>The title</h1><p>{words(60)}</p><p><a href='x'>the whole report of the year is here</a></p><p>{words(30)}</p><p><a>Read more</a></p><ul><li><a>One other story of today</a></li></ul></article></body>"
+    assert main_text(page, TREE) == f"The title\n{words(60)}\nthe whole report of the year is here\n{words(30)}"
+
+
+def test_pages_in_spark(spark):
+    """Repeated rows, a clashing name, a long page; and the whole table against the plain function."""
+    rows = [(1, "u", f"<main><p>{words(9000, 'long')}</p></main>", "x")] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert [r.text for r in html_extract.extract(df).collect()] == [words(9000, "long")] * 3
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {(r.page_id, r.url): r.text for r in html_extract.extract(pages).collect()}
+    assert got == {(r.page_id, r.url): main_text(r.html, TREE) for r in pages.collect()}
+
+
 def test_defined_results(spark):
     long_ = words(300_000, "ümlaut")
     rows = [(1, "u", f"<article><p>{long_}</p></article>", 1), (None, None, None, 2), (2, "u", "", 3), (2, "u", "", 3), (3, "u", "<nav><a>x</a></nav>", 4), (4, None, "plain &lt; text " + words(30), 5)]
