@@ -65,11 +65,26 @@ class EliasFano:
             low |= (int(self.low[p // 8]) >> (p % 8) & 1) << j
         return (byte * 8 + bit - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """Every value, as int64."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little")) - np.arange(self.n)
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """The values a to b - 1, as int64: reads the high bits between the samples around them, and their low bits."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.empty(0, np.int64)
+        first = a // SAMPLE
+        begin = int(self.samples[first]) // 8
+        last = -(-b // SAMPLE)
+        end = int(self.samples[last]) // 8 + 1 if last < len(self.samples) else len(self.high)
+        ones = 8 * begin + np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little"))
+        skip = int(np.searchsorted(ones, int(self.samples[first]))) + a - first * SAMPLE
+        high = ones[skip : skip + b - a] - np.arange(a, b)
         out = high.astype(np.int64) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, -1)
+            at = a * self.low_bits
+            bits = np.unpackbits(self.low[at // 8 : -(-b * self.low_bits // 8)], bitorder="little")[at % 8 :][: (b - a) * self.low_bits].reshape(b - a, -1)
             out |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
         return out
+
+    def all(self) -> np.ndarray:
+        """Every value, as int64."""
+        return self.select_range(0, self.n)

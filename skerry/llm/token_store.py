@@ -96,15 +96,26 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     forget(encoded)
 
 
+#: Documents whose ends are looked up together.
+SLICE_DOCS = 1024
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of segments, a slice at a time: ends and doc_ids by select, ids by the ends, no table of offsets."""
     for batch in batches:
         for r in batch.to_pylist():
-            ends = elias_fano.EliasFano(r["ends"]).all()
-            starts = np.concatenate([[0], ends[:-1]])
-            known = elias_fano.EliasFano(r["doc_gaps"]).all() + r["first_doc"]
-            docs = pa.concat_arrays([pa.nulls(r["n_null"], pa.int64()), pa.array(known, pa.int64())])
-            ids = tokens.binaries(np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4"), 4 * ends)
-            yield pa.RecordBatch.from_arrays([docs, pa.array(starts + (r["shard_start"] + r["ids_before"]), pa.int64()), pa.array(ends - starts, pa.int64()), ids], ["doc_id", "start", "n_tokens", "ids"])
+            ends, gaps = elias_fano.EliasFano(r["ends"]), elias_fano.EliasFano(r["doc_gaps"])
+            nulls, w, done = r["n_null"], r["width"], 0
+            for a in range(0, len(ends), SLICE_DOCS):
+                b = min(len(ends), a + SLICE_DOCS)
+                stop = ends.select_range(a, b)
+                start = np.concatenate([[done], stop[:-1]])
+                without = max(0, min(nulls, b) - a)
+                known = gaps.select_range(max(a - nulls, 0), max(b - nulls, 0)) + r["first_doc"] if b > nulls else np.empty(0, np.int64)
+                docs = pa.concat_arrays([pa.nulls(without, pa.int64()), pa.array(known, pa.int64())])
+                ids = np.frombuffer(r["ids"], f"<u{w}", int(stop[-1]) - done, w * done).astype("<u4")
+                yield pa.RecordBatch.from_arrays([docs, pa.array(start + (r["shard_start"] + r["ids_before"]), pa.int64()), pa.array(stop - start, pa.int64()), tokens.binaries(ids, 4 * (stop - done))], ["doc_id", "start", "n_tokens", "ids"])
+                done = int(stop[-1])
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -84,3 +84,24 @@ def test_elias_fano_select(top):
     ef = elias_fano.EliasFano(elias_fano.encode(v))
     assert ef.all().tolist() == v.tolist() == [ef.select(i) for i in range(len(v))]
     assert len(elias_fano.EliasFano(elias_fano.encode(np.empty(0, np.uint64))).all()) == 0
+
+
+def test_elias_fano_ranges():
+    rng = np.random.default_rng(3)
+    for top in (1, 300, 10**7):
+        v = np.sort(rng.integers(0, top, 1500)).astype(np.uint64)
+        ef = elias_fano.EliasFano(elias_fano.encode(v))
+        for a, b in ((0, 0), (0, 1), (0, 1500), (255, 257), (256, 512), (700, 1499), (1499, 1500), (1500, 1500)):
+            assert ef.select_range(a, b).tolist() == v[a:b].tolist()
+
+
+def test_documents_are_read_by_select(spark, monkeypatch, tmp_path):
+    """The reader never decodes all boundaries, whatever the slice."""
+    docs = spark.createDataFrame([(None, f"none {i}") for i in range(5)] + [(i, "word " * (i % 7)) for i in range(40)], "doc_id long, text string")
+    token_store.write_token_shards(docs, str(tmp_path / "s"), "byte_bpe_50k.json", 2)
+    want = sorted(map(tuple, token_store.read_token_shards(spark, str(tmp_path / "s")).select("n_tokens", "ids").collect()))
+    monkeypatch.setattr(elias_fano.EliasFano, "all", None)
+    monkeypatch.setattr(token_store, "SLICE_DOCS", 3)
+    segments = [r.asDict() | {"shard_start": 0} for r in spark.read.parquet(str(tmp_path / "s")).collect()]
+    got = [r for s in segments for b in token_store._documents(iter([pa.RecordBatch.from_pylist([s])])) for r in b.to_pylist()]
+    assert sorted((r["n_tokens"], r["ids"]) for r in got) == want and sum(r["doc_id"] is None for r in got) == 5
