@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skerry.functions.numeric import cell_area_km2, hash_order, rounded
 from skerry.operators import spatial
 from skerry.operators.neighbours import nearest_other
+from skerry.operators.outline import ring_figures, rings
 from skerry.plans.registry import r6, registered
 from skerry.plans.views import view, with_views
 from skerry.sources.tables import parquet
@@ -176,6 +177,23 @@ def morphology_support(spark, d):
     return closed.join(at(cells.where("zone < 20")), ["row", "col"], "left_semi")
 
 
+_SUPPORT_SQL = f"""d0 AS (SELECT DISTINCT {_GRID_SQL} FROM cells WHERE f1 > 9000), land AS (SELECT DISTINCT {_GRID_SQL} FROM cells WHERE zone < 20),
+{_dilated_sql('d1', 'd0')}, {_dilated_sql('d2', 'd1')}, {_dilated_sql('d3', 'd2')}, {_dilated_sql('d4', 'd3')}, {_dilated_sql('d5', 'd4')}, {_eroded_sql('e1', 'd5')}, {_eroded_sql('e2', 'e1')},
+s AS (SELECT row, col FROM e2 SEMI JOIN land USING (row, col))"""
+
+
+@registered(with_views(f"""WITH RECURSIVE {_SUPPORT_SQL},
+x AS (SELECT s.row + dr AS nr, s.col + dc AS nc, s.row + a AS y1, s.col + b AS x1, s.row + c AS y2, s.col + e AS x2, dir FROM s, (VALUES (-1, 0, 0, 0, 0, 1, 0), (0, 1, 0, 1, 1, 1, 1), (1, 0, 1, 1, 1, 0, 2), (0, -1, 1, 0, 0, 0, 3)) v(dr, dc, a, b, c, e, dir)),
+g AS (SELECT CAST(y1 AS BIGINT) * 100000000 + x1 * 10 + dir AS id, y1, x1, y2, x2, dir FROM x ANTI JOIN s ON s.row = nr AND s.col = nc),
+n AS (SELECT g.id, arg_min(h.id, (g.dir + 1 - h.dir + 4) % 4) AS nxt FROM g JOIN g h ON h.y1 = g.y2 AND h.x1 = g.x2 GROUP BY g.id),
+walk AS (SELECT id, id AS here FROM n UNION SELECT walk.id, n.nxt FROM walk JOIN n ON n.id = walk.here),
+r AS (SELECT id, min(here) AS ring FROM walk GROUP BY id)
+SELECT any_value(y1) FILTER (id = ring) AS first_y, any_value(x1) FILTER (id = ring) AS first_x, count(*) AS n_edges, CAST(sum(x1 * y2 - x2 * y1) / 2 AS BIGINT) AS area FROM r JOIN g USING (id) GROUP BY ring""".replace("WITH RECURSIVE ", "WITH "), "cells").replace("WITH cells", "WITH RECURSIVE cells", 1))
+def support_outline(spark, d):
+    """The rings around the support mask: outer ones with their cells, holes with a negative count."""
+    return ring_figures(rings(morphology_support(spark, d))).select("first_y", "first_x", "n_edges", "area")
+
+
 _RINGS = [("west", [(97.0, 6.0), (101.0, 7.0), (100.0, 20.0), (98.0, 15.0)]), ("east", [(101.5, 5.0), (106.0, 8.0), (105.0, 20.5), (102.0, 12.0)])]
 
 
