@@ -85,12 +85,13 @@ def nested_choice(rows: DataFrame, tasks: dict[str, Spec], grids: dict[str, list
     answers: dict[str, list[tuple[int, dict]]] = {}
     for name, s in tasks.items():
         for nth, settings in enumerate(grids[s.algo]):
-            grown = _grown(s.algo, settings, grids[s.algo])
+            largest = _grown(s.algo, settings, grids[s.algo])
             for k in range(folds):
-                model = json.dumps([name, k, grown], sort_keys=True)
-                specs[model] = Spec(s.task, s.columns, s.algo, grown, k, seed)
+                model = json.dumps([name, k, largest], sort_keys=True)
+                specs[model] = Spec(s.task, s.columns, s.algo, largest, k, seed)
                 answers.setdefault(model, []).append((nth, settings))
-    counts = slot_counts(rows, fit(rows, specs, bins), list(bins.cuts), answers)
+    grown = fit(rows, specs, bins)
+    counts = slot_counts(rows, grown, list(bins.cuts), answers)
     each = ranking.auc(counts, ["name", "nth"]).where("auc IS NOT NULL").collect()
     by: dict[tuple[str, int], list[float]] = {}
     for r in sorted(each, key=lambda r: r.name):
@@ -100,7 +101,12 @@ def nested_choice(rows: DataFrame, tasks: dict[str, Spec], grids: dict[str, list
         mean = [round(float(np.mean(by[name, i])), 9) if (name, i) in by else -1.0 for i in range(len(grids[s.algo]))]
         chosen[name] = grids[s.algo][int(np.argmax(mean))]
     again = {json.dumps([n, k]): Spec(s.task, s.columns, s.algo, chosen[n], k, seed + 10_000) for n, s in tasks.items() for k in range(folds)}
-    pooled = slot_counts(rows, fit(rows, again, bins), list(bins.cuts), {n: [(0, s.settings)] for n, s in again.items()})
+    second = fit(rows, {n: s for n, s in again.items() if s.algo == "forest"}, bins)
+    for name, s in again.items():  # the others draw nothing: another seed gives the same model
+        model = json.dumps([*json.loads(name), _grown(s.algo, s.settings, grids[s.algo])], sort_keys=True)
+        if s.algo != "forest" and model in grown:
+            second[name] = grown[model]
+    pooled = slot_counts(rows, second, list(bins.cuts), {n: [(0, s.settings)] for n, s in again.items()})
     pooled = pooled.groupBy(F.get_json_object("name", "$[0]").alias("name"), "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     cuts = {r["name"]: r.threshold for r in ranking.youden(ranking.curve(pooled, ["name"]), ["name"]).collect()}
     return {n: (chosen[n], float(cuts.get(n, 0.5))) for n in tasks}
