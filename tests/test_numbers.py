@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.operators import learners, modelling, ranking, resampling, spatial
+from skerry.operators import modelling, ranking, resampling, spatial, trees
 from skerry.plans import inference
 
 
@@ -100,51 +100,37 @@ def test_published_figures(spark):
     assert [r.p for r in tails.collect()] == [0.0001, 0.0276, 0.5900]
 
 
-def test_trees_split_like_exhaustive_search():
-    rng = np.random.default_rng(8)
-    for _ in range(20):
-        x, y, w = rng.integers(0, 4, (12, 2)).astype(float), rng.integers(0, 2, 12).astype(float), rng.uniform(1, 2, 12)
-        tree = learners._grow(x, y, w, 1, 1, 2, np.random.default_rng(0))
-        loss = lambda at: sum((w[s] * (y[s] - np.average(y[s], weights=w[s])) ** 2).sum() for s in (at, ~at))
-        cuts = [x[:, f] <= c for f in range(2) for c in np.unique(x[:, f])[:-1]]
-        best = min(map(loss, cuts)) if cuts else 0
-        if isinstance(tree, tuple):
-            assert loss(x[:, tree[0]] <= tree[1]) == pytest.approx(best)
-            assert tree[4] == pytest.approx(w[x[:, tree[0]] <= tree[1]].sum() / w.sum())
+def test_shapley_values_of_one_split():
+    """One split on the first feature, a quarter of the weight below it (whole trees: test_trees)."""
+    tree = trees.Tree(np.array([0, -1, -1]), np.zeros(3), np.array([2.5, 1.0, 3.0]), np.array([4.0, 1.0, 3.0]))
+    assert np.allclose(modelling.tree_shapley(tree, np.array([[-1.0, 5.0], [1.0, 5.0]])), [[-1.5, 0], [0.5, 0]])
 
 
-def test_shapley_values_add_up():
-    rng = np.random.default_rng(9)
-    x, y = rng.normal(size=(200, 4)), rng.integers(0, 2, 200)
-    forest = learners.Forest(trees=5, depth=4).fit(x, y)
-    v = learners.shapley(forest.model, x)
-    rest = np.mean([learners._expected(t, x[:1], frozenset()) for t in forest.model])
-    assert np.allclose(v.sum(axis=1) + rest, forest.predict(x))
-    constant = [(0, 0.0, 1.0, 3.0, 0.25)]  # one split on the first feature
-    assert np.allclose(learners.shapley(constant, np.array([[-1.0, 5.0], [1.0, 5.0]])), [[-1.5, 0], [0.5, 0]])
-
-
-def test_learners_learn():
+def test_learners_learn(spark):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(600, 3))
     y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(int)
-    for make in learners.LEARNERS.values():
-        assert learners.auc_of(y[400:], make().fit(x[:400], y[:400]).predict(x[400:])) > 0.93
+    frame = pd.DataFrame({"task": "t", "label": y[:400], "h": rng.integers(-(2**62), 2**62, 400), "inner": 0} | {c: x[:400, j] for j, c in enumerate("abc")})
+    rows = spark.createDataFrame(frame, "task string, label int, h long, inner int, a double, b double, c double")
+    settings = {"forest": {"trees": 20, "depth": 6, "min_leaf": 1}, "boosting": {"rounds": 15, "depth": 3, "rate": 0.3}, "hinges": {"strength": 1.0, "l1_ratio": 0.5}}
+    models = trees.fit(rows, {a: trees.Spec("t", tuple("abc"), a, s) for a, s in settings.items()}, trees.bins_of(rows, list("abc")))
+    for m in models.values():
+        p = m.predict(x[400:])
+        pos, neg = p[y[400:] == 1], p[y[400:] == 0]
+        assert ((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean() > 0.93
 
 
 def test_every_row_is_scored(spark):
-    """Fits are bounded, scores are not; a task of one class has no model."""
-    rows = spark.createDataFrame([("a" if i % 2 else "b", i, int(i % 3 == 0) if i % 2 else 1, float(i % 3)) for i in range(4000)], "task string, id long, label int, x double")
-
-    def fit(part: pd.DataFrame):
-        assert part.groupby("label").size().max() <= modelling.FIT_ROWS
-        y = part["label"].to_numpy()
-        return {"columns": ["x"], "model": learners.Forest(trees=3, depth=2).fit(part[["x"]].to_numpy(), y)} if 0 < y.sum() < len(y) else None
-
-    models = modelling.fit(rows, fit)
+    """A task of one class has no model; all rows of the other are seen, scored and dealt anew."""
+    of = [("a" if i % 2 else "b", i, int(i % 3 == 0) if i % 2 else 1, i, None, float(i % 3)) for i in range(4000)]
+    rows = spark.createDataFrame(of, "task string, id long, label int, h long, inner int, x double")
+    bins = trees.bins_of(rows, ["x"])
+    models = trees.fit(rows, {t: trees.Spec(t, ("x",), "forest", {"trees": 3, "depth": 2, "min_leaf": 1}) for t in "ab"}, bins)
     assert list(models) == ["a"]
     scored = modelling.predict(rows, models)
     assert scored.count() == 2000
     assert ranking.auc(ranking.score_counts(scored, ["task"]), ["task"]).first().auc == 1.0
-    shuffled = modelling.shuffled_scores(rows, models, {"x": ["x"], "none": ["y"]}, 3, 1)
-    assert shuffled.count() == 6000 and 0.4 < ranking.auc(ranking.score_counts(shuffled, ["draw"]), ["draw"]).first().auc < 0.6
+    dealt = modelling.dealt_scores(rows, models, ["x"], {"x": ["x"], "none": ["y"]}, 3, 1)
+    auc = {(r.grp, r.draw): r for r in ranking.auc(dealt, ["grp", "draw"]).collect()}
+    assert set(auc) == {("", 0), ("x", 1), ("x", 2), ("x", 3)} and auc["", 0].auc == 1.0
+    assert all(r.n_pos + r.n_neg == 2000 and (k[0] == "" or 0.4 < r.auc < 0.6) for k, r in auc.items())
