@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skerry.operators import trees
+from skerry.operators import modelling, trees
 from skerry.operators.trees import Bins, Spec
 
 CUTS = Bins({c: [0.0, 1.0, 2.0] for c in "ab"}, dict.fromkeys("ab", 1.5), dict.fromkeys("ab", 1.0), {c: [1.0, 2.0] for c in "ab"})
@@ -38,3 +38,19 @@ def test_copies_are_no_more_work(spark, frame):
     spec = {"m": Spec("t", ("a", "b"), "boosting", {"rounds": 2, "depth": 2, "rate": 0.5}, 1)}
     x = frame[["a", "b"]].to_numpy()
     assert np.allclose(*(trees.fit(r, spec, CUTS)["m"].predict(x) for r in (rows, more)))
+
+
+def test_shapley_values_look_patterns_up(monkeypatch):
+    """Many rows cost a leaf no more than its patterns, and get what each of them gets alone."""
+    rng = np.random.default_rng(5)
+    weight = np.zeros(15)
+    weight[7:] = rng.integers(1, 9, 8)
+    for i in range(6, -1, -1):
+        weight[i] = weight[2 * i + 1] + weight[2 * i + 2]
+    tree = trees.Tree(np.where(np.arange(15) < 7, rng.integers(0, 3, 15), -1), rng.random(15), rng.random(15), weight)
+    x = rng.random((500, 3))
+    alone = np.concatenate([modelling.tree_shapley(tree, one[None]) for one in x])
+    seen = []
+    plain = modelling._leaf_values
+    monkeypatch.setattr(modelling, "_leaf_values", lambda one, zero: seen.extend(map(len, one)) or plain(one, zero))
+    assert np.allclose(modelling.tree_shapley(tree, x), alone) and max(seen) <= 8
