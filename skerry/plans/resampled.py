@@ -10,6 +10,7 @@ from skerry.plans.metrics import CONFIG, calibration_sql
 from skerry.plans.registry import r6, registered
 from skerry.plans.spatial import _HAV
 from skerry.plans.views import view, with_views
+from skerry.sources.tables import written
 
 
 def _u(*parts: str) -> str:
@@ -108,8 +109,11 @@ def morans_perm_p(spark, d):
     """How often values dealt anew over the points, 9,999 times, are as far from independence; one added to both."""
     occ = view(spark, d, "occ")
     z = occ.crossJoin(F.broadcast(occ.agg(F.avg("value").alias("m")))).select("occ_id", "lon", "lat", (F.col("value") - F.col("m")).alias("z"))
-    pairs = spatial.within_distance(z.withColumnRenamed("occ_id", "a_id"), z.withColumnRenamed("occ_id", "b_id"), 100.0).where("a_id <> b_id AND km > 0").select("a_id", "b_id")
-    each = resampling.permuted_moran(z.select("occ_id", "z"), pairs).withColumn("morans", F.abs(F.round("morans", 9)))
+    places = written(z.where("lon IS NOT NULL AND lat IS NOT NULL").select("lon", "lat").distinct().withColumn("place", F.monotonically_increasing_id()), "places")
+    at = lambda side: places.select(F.col("place").alias(side), F.col("lon").alias(f"{side}_lon"), F.col("lat").alias(f"{side}_lat"))
+    pairs = written(spatial.place_pairs(at("a"), at("b"), 100.0).where("a < b AND km > 0").select("a", "b"), "near")
+    points = written(z.join(places, ["lon", "lat"], "left").select("occ_id", "place", "z"), "points")
+    each = written(resampling.permuted_moran(points, pairs), "draws").withColumn("morans", F.abs(F.round("morans", 9)))
     seen = each.where("draw = 0").agg(F.max("morans").alias("seen"))
     return each.where("draw > 0").crossJoin(F.broadcast(seen)).agg(F.round((F.count_if(F.col("morans") >= F.col("seen")) + 1) / (F.count("*") + F.lit(1.0)), 9).alias("p"), F.count("*").alias("draws"))
 
