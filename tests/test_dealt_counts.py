@@ -18,3 +18,16 @@ def test_numbers_are_the_order_of_hashes(spark):
     rows = spark.createDataFrame([("t", f"{i}") for i in range(3000)], "task string, id string").repartition(5)
     got = modelling.numbered(rows, 3).withColumn("u", F.substring(F.md5(F.concat_ws(":", F.lit("3"), "id")), 1, 12)).orderBy("u", "id").collect()
     assert [r.nth for r in got] == list(range(3000)) and {r._all for r in got} == {3000}
+
+
+def test_no_side_of_the_dealing_is_broadcast(spark, monkeypatch):
+    """Stored rows, whose files are small, were broadcast by way of the driver's memory."""
+    plans = []
+    plain = modelling.written
+    monkeypatch.setattr(modelling, "written", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), plain(df, name))[1])
+    rows = spark.range(4000).select(F.lit("t").alias("task"), F.col("id").cast("string").alias("id"), (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("a"))
+    assert modelling.dealt_counts(rows, "a", 2, 9).count() == 21
+    plan = dict(plans)["dealt"]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    wide = modelling.dealt_values(plain(rows, "rows"), ["a"], 2, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in wide
