@@ -52,3 +52,27 @@ def test_applicability_over_all_rows(spark):
     limit = np.quantile(least(train, train, True), 0.95)
     near = least(test, train, False)
     assert got[0].n == len(test) and got[0].limit == pytest.approx(limit, rel=1e-9) and got[0].inside == pytest.approx((near <= limit + 1e-12).mean(), abs=1e-3)
+
+
+def test_few_boxes_are_within_reach(spark, monkeypatch):
+    """Shells about pivots left most blocks within reach of rows in several dimensions: pairs of queries and blocks filled the disk."""
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.integers(1, 40, 4000) / 10, rng.integers(0, 8, 4000) / 2, rng.normal(size=(4000, 3))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    pairs = spark.sparkContext.accumulator(0)
+    reached = neighbours._reached
+
+    def counted(*a):
+        run = reached(*a)
+
+        def go(frames):
+            for f in run(frames):
+                pairs.add(len(f))
+                yield f
+
+        return go
+
+    monkeypatch.setattr(neighbours, "_reached", counted)
+    assert neighbours.nearest_other(rows.withColumnRenamed("id", "query"), rows).count() == 4000
+    assert 0 < pairs.value < 4000 * 40  # of 127 other leaves
