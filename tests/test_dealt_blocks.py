@@ -30,3 +30,27 @@ def test_a_table_has_the_scores_of_its_forest():
     assert (grid.table.ravel()[grid.codes(x)] == m.predict(x)).all() and trees.Grid.of(m, 10) is None
     codes = grid.codes(x)
     assert (grid.share(codes, [0, 2]) + grid.share(codes, [1]) == codes).all()
+
+
+def test_shapley_values_of_a_place_are_worked_out_once(spark, monkeypatch):
+    """Each row's values were worked out anew, a row a predictor at a time."""
+    rng = np.random.default_rng(6)
+    x = rng.choice([-2.0, -0.7, 0.3, 2.0], (5000, 2))
+    rows = spark.createDataFrame(pd.DataFrame({"id": [f"r{i}" for i in range(5000)], "fold": np.arange(5000, dtype=np.int32) % 2, "a": x[:, 0], "b": x[:, 1]})).coalesce(1)
+    m = forest(("b", "a"), 3)
+    monkeypatch.setattr(modelling.trees, "HELD", 700)
+    calls = spark.sparkContext.accumulator(0)
+    plain = modelling.tree_shapley
+    want = np.mean([plain(t, x[:, ::-1]) for t in m.trees], axis=0)[:, ::-1]
+
+    def counted(tree, part):
+        calls.add(len(part))
+        return plain(tree, part)
+
+    monkeypatch.setattr(modelling, "tree_shapley", counted)
+    got = modelling.shapley_each(rows, ["a", "b"], {"m": m}, {0: "m", 1: "other"}, ["id"]).collect()
+    assert len(got) == 5000
+    for r in got:
+        i = int(r.id[1:])
+        assert (r.shap_a, r.value_b) == (None, None) if i % 2 else np.allclose([r.shap_a, r.shap_b, r.value_a, r.value_b], [*want[i], *x[i]])
+    assert 0 < calls.value <= 16 * len(m.trees)
